@@ -114,13 +114,17 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes between runs of letters; bytes of other scripts count as letters.
+NOT_LETTER = ~((np.arange(256) >= 128) | ((np.arange(256) | 32) >= 97) & ((np.arange(256) | 32) <= 122))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased (A-Z) words of some texts, and the number of words in each."""
     n = len(data)
     rows = len(offsets) - 1
     if not n:
         return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
-    word = ~_SEP[data]
+    word = ~between[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     begin = offsets[:-1][np.diff(offsets) > 0]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import langid, mixing, secrets, toxicity, warc, webp
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op3_media_webp": webp.op3,
+    "op5_warc": warc.op5,
     "op7_mix_sources": mixing.op7,
+    "op8_language_id": langid.op8,
     "op10_secret_scan": secrets.op10,
 }
 
