@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> Dat
                         own, _ = trigram_cells(folded, np.array([0, len(folded)]))
                         own = own if len(own) else np.zeros(1, np.int64)
                     x = np.bincount(own, minlength=CELLS)
-                    f = np.flatnonzero(x)
+                    f = np.flatnonzero(x != 0)
                     shares, chosen = infer(p[f], logs[f], x[f].astype(float))
                     top = max(chosen, key=lambda c: shares[c])
                     pred[k], score[k], sets[k] = langs[top], float(min(1.0, shares[top])), [langs[c] for c in chosen]

@@ -15,11 +15,11 @@ from .common import NOT_LETTER, remainder, steps, table, text_buffers, word_hash
 #: Labelled rows of each class that are drawn, by keyed hash of the id, to fit the index and its calibration.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
 #: Of these, examples of each class in the index; where rows are few, half of a class.
-INDEX_ROWS = 1024
+INDEX_ROWS = 768
 #: Examples in a block of the index.
 BLOCK = 64
 #: Terms in more examples than this have dense rows and block maxima; the postings of rarer ones are short.
-HEAD = 24
+HEAD = 40
 #: Nearest examples that vote, the similarity that the prior has in the vote, and examples shown as evidence.
 NEAREST, PRIOR_VOTE, SHOWN = 15, 0.05, 3
 #: A term whose class frequencies differ (chi-squared above CHI) weighs more, by GAIN times its phi coefficient.
@@ -108,6 +108,7 @@ class Index:
         self.dense = np.zeros((len(common), self.size), np.float32)
         is_head = self.head[term] >= 0
         self.dense[self.head[term[is_head]], doc[is_head]] = value[is_head]
+        self.blocks = np.ascontiguousarray(self.dense.reshape(len(common), -1, BLOCK).transpose(1, 0, 2))
         self.most = self.dense.reshape(len(common), -1, BLOCK).max(axis=2)
         order = np.argsort(term[~is_head], kind="stable")
         self.post_doc, self.post_value = doc[~is_head][order], value[~is_head][order]
@@ -133,21 +134,23 @@ class Index:
         rows, w = head[common], q[common].astype(np.float32)
         bound = score.reshape(-1, BLOCK).max(axis=1) + w @ self.most[rows]
         order = np.argsort(-bound, kind="stable")
-        blocks = [order[:2]]
-        cols = (blocks[0][:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        exact = score[cols] + w @ self.dense[np.ix_(rows, cols)]
-        least = np.partition(exact, -NEAREST)[-NEAREST] if len(exact) >= NEAREST else 0.0
-        more = order[2:][bound[order[2:]] >= least - 1e-5]
-        if len(more):
-            rest = (more[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rest = rest[score[rest] + np.repeat(bound[more] - score.reshape(-1, BLOCK)[more].max(axis=1), BLOCK) >= least - 1e-5]
-            cols = np.concatenate([cols, rest])
-            exact = np.concatenate([exact, score[rest] + w @ self.dense[np.ix_(rows, rest)]])
+        parts = [self.scored(order[:2], rows, w, score)]
+        least = np.partition(parts[0][1], -NEAREST)[-NEAREST]
+        if (bound[order[2:]] >= least - 1e-5).any():
+            parts.append(self.scored(order[2:][bound[order[2:]] >= least - 1e-5], rows, w, score))
+        cols, exact = (np.concatenate(x) for x in zip(*parts))
         keep = exact > 1e-9
         cols, exact = cols[keep], exact[keep]
         best = np.lexsort((self.ids[cols], -exact))[:NEAREST]
         return cols[best], exact[best]
 
+    def scored(self, blocks: np.ndarray, rows: np.ndarray, w: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of some blocks and their cosines."""
+        cols = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        if len(blocks) * 4 > len(self.blocks):  # whole rows are read faster than many short pieces
+            return cols, rare[cols] + (w @ self.dense[rows])[cols]
+        return cols, rare[cols] + np.concatenate([w @ self.blocks[b][rows] for b in blocks])
+
     def vote(self, places: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         return float((cosines @ self.labels[places] + PRIOR_VOTE * prior) / (cosines.sum() + PRIOR_VOTE))
 
