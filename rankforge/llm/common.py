@@ -158,3 +158,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = labels.select("id", "component")
         if not changed:
             return labels
+
+
+#: Ids that may be sent to every executor, some 20 bytes each; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """docs whose key is (left_semi) or is not (left_anti) in ids, a stored table of that one column.
+
+    Texts stay where they are unless there are more than BROADCAST_IDS ids.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, key, how)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets, toxicity, warc, webp
+from . import ann, jaccard, langid, mixing, pieces, secrets, toxicity, warc, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_sentencepiece": pieces.op2,
     "op3_media_webp": webp.op3,
     "op5_warc": warc.op5,
+    "op6_jaccard_join": jaccard.op6,
     "op7_mix_sources": mixing.op7,
     "op8_language_id": langid.op8,
+    "op9_ann_partitions": ann.op9,
     "op10_secret_scan": secrets.op10,
 }
 
