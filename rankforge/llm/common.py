@@ -37,7 +37,17 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing needs any more
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes materialized tables that no later step reads."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

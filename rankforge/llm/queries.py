@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, langid, mixing, pieces, secrets, toxicity, warc, webp
+from . import ann, jaccard, katz, langid, mixing, pieces, secrets, toxicity, warc, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_sentencepiece": pieces.op2,
     "op3_media_webp": webp.op3,
+    "op4_katz_lm": katz.op4,
     "op5_warc": warc.op5,
     "op6_jaccard_join": jaccard.op6,
     "op7_mix_sources": mixing.op7,

@@ -177,7 +177,8 @@ def fit(labels: DataFrame, docs: DataFrame) -> dict:
     if not 0 < toxic.sum() < len(toxic):
         return {"prior": share, "index": None}
     data, offsets = text_buffers(pa.array([t for _, t, _ in rows]))
-    h, doc = terms(data, offsets)
+    parts = [(i, *terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in steps(offsets)]
+    h, doc = np.concatenate([h for _, h, _ in parts]), np.concatenate([i + d for i, _, d in parts])
     vocab, at = np.unique(h, return_inverse=True)
     key, n = np.unique(doc * len(vocab) + at, return_counts=True)
     doc, term = key // len(vocab), key % len(vocab)
