@@ -65,7 +65,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     left = np.repeat(ends, counts) - np.arange(n)  # words from here to the text's end
     h = np.zeros(n, np.uint64)
     for k in range(width):
-        part = words * u64(0x9E3779B97F4A7C15 * (2 * k + 3) | 1)
+        part = words * (mix(u64(k + 1) * u64(0xD6E8FEB86659FD93)) | u64(1))
         h[: n - k] += np.where(left[: n - k] > k, part[k:], u64(k * 0x632BE59BD9B4E019 + 1)) if n > k else 0
         if k:
             h[max(0, n - k) :] += u64(k * 0x632BE59BD9B4E019 + 1)
