@@ -1,13 +1,15 @@
 """All registered queries and their oracles."""
 
+from rankforge.plans import queries as match_queries
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return match_queries.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(match_queries.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(match_queries.ORACLES)
