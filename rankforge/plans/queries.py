@@ -407,3 +407,56 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("step0_top_by_elo")(lambda t: flagship(t.spark, t.dir))
+
+# --- extraction -----------------------------------------------------------------------------------
+
+from rankforge.sources import extract as E  # noqa: E402
+from rankforge.streaming import streams as ST  # noqa: E402
+
+query("e1_classify_pages", "select page_id, case when html is null or trim(html) = '' then 'invalid' when not contains(html, '<div class=\"match\">') then 'not a match' else 'parse error' end as kind from pages")(
+    lambda t: t.base("pages").select("page_id", E.page_class(F.col("html")).alias("kind"))
+)
+query("e5_decide_winner", "select match_id, case when marker = 1 then player1_id when marker = 2 then player2_id when player1_score > player2_score then player1_id when player2_score > player1_score then player2_id end as winner, case when player1_score = player2_score and marker > 0 then 2 - marker else player1_score end as s1, case when player1_score = player2_score and marker > 0 then marker - 1 else player2_score end as s2 from (select *, cast(match_id % 3 as int) as marker from matches) m")(
+    lambda t: t.matches.select("match_id", *[c.cast(k).alias(n) for c, n, k in zip(E.decide_winner((F.col("match_id") % 3).cast("int"), F.col("player1_id"), F.col("player2_id"), F.col("player1_score"), F.col("player2_score")), ("winner", "s1", "s2"), ("bigint", "int", "int"))])
+)
+query("e9_attach_embeds", "select v.match_id, v.vod_index, coalesce(e.video_id, v.video_id) as video_id from (select match_id, vod_index, vod_post_id, case when vod_post_id % 2 = 0 then video_id end as video_id from match_vods) v left join (select vod_post_id, 'x' || cast(vod_post_id as varchar) as video_id from match_vods where vod_post_id % 5 = 0) e using (vod_post_id)")(
+    lambda t: E.attach_embeds(t.match_vods.withColumn("video_id", F.when(F.col("vod_post_id") % 2 == 0, F.col("video_id"))), t.match_vods.filter("vod_post_id % 5 = 0").select("vod_post_id", F.lit("youtube").alias("platform"), F.concat(F.lit("x"), F.col("vod_post_id").cast("string")).alias("video_id")))[0].select("match_id", "vod_index", "video_id")
+)
+query("e14_register", "select match_id as post_id, strftime(min(played_at), '%Y-%m-%d %H:%M:%S') as sort_time from matches where match_id not in (select post_id from raw_posts where status <> 'discovered') group by 1")(
+    lambda t: E.register(t.matches.select("match_id", "played_at"), t.raw_posts.filter("status <> 'discovered'")).select("post_id", at("sort_time"))
+)
+query("e15_progress", "select *, coalesce(max(case when full_run = 3 then 1 else 0 end) over (order by page rows between unbounded preceding and current row) = 1, false) as caught_up from (select *, sum(case when new = 0 then 1 else 0 end) over (order by page rows between 2 preceding and current row) as full_run from (select match_id // 100 as page, count(*) filter (where p.post_id is null) as new, count(*) filter (where p.post_id is not null) as known from matches m left join (select post_id from raw_posts where post_id < 100 or post_id % 2 = 0) p on p.post_id = m.match_id group by 1) x) y".replace("select *, coalesce(", "select page, new, known, coalesce("))(
+    lambda t: E.progress(t.matches.select(F.expr("match_id div 100").alias("page"), "match_id"), t.raw_posts.filter("post_id < 100 or post_id % 2 = 0"))
+)
+query("e16_due", "select post_id from raw_posts where status = 'skipped' and reason = 'not played' and sort_time <= timestamp '2024-02-15 00:00:00'")(lambda t: E.due(t.raw_posts, F.lit("2024-02-15 00:00:00").cast("timestamp")).select("post_id"))
+query("e17_walls", "select min(id) as first_id, max(id) as last_id, count(*) as length from (select id, id - row_number() over (order by id) as island from (select match_id as id from matches where match_id % 17 > 4) a) b group by island having count(*) >= 10")(
+    lambda t: E.walls(t.matches.filter("match_id % 17 > 4").select(F.col("match_id").alias("post_id"), F.lit("skipped").alias("status"), F.lit("invalid").alias("reason")), 10)
+)
+query("e18_pending_vods", "select distinct vod_post_id as post_id from match_vods where vod_post_id not in (select post_id from raw_posts)")(lambda t: E.pending_vods(t.match_vods, t.raw_posts))
+query("e22_needs_bracket", "select t.tournament_id, 'egb' as source from tournaments t left join (select tournament_id, case when tournament_id % 4 = 0 then 0 else 5 end as matches, timestamp '2024-01-01 00:00:00' - to_days(cast(tournament_id % 6 as int)) as fetched_at from tournaments where tournament_id % 3 = 0) s using (tournament_id) where s.matches is null or s.matches = 0 or s.fetched_at < timestamp '2024-01-01 00:00:00' - interval 3 day")(
+    lambda t: E.needs_bracket(t.tournaments.select("tournament_id", F.lit("egb").alias("source")), t.tournaments.filter("tournament_id % 3 = 0").select("tournament_id", F.when(F.col("tournament_id") % 4 == 0, 0).otherwise(5).alias("matches"), (F.lit(NOW).cast("timestamp") - F.make_interval(days=(F.col("tournament_id") % 6).cast("int"))).alias("fetched_at")), F.lit(NOW).cast("timestamp"), 3)
+)
+
+
+def named_matches(t):
+    return R.with_names(t.matches, t.players).select("match_id", "played_at", "player1_id", "player2_id", F.col("player1").alias("player1_name"), F.concat(F.col("player2"), (F.col("match_id") % 3).cast("string")).alias("player2_name"), "player1_country", "player2_country")
+
+
+NAMED_SIDES = "(select match_id, played_at, player1_id as player_id, a.name as name, player1_country as country from matches m join players a on a.player_id = player1_id union all select match_id, played_at, player2_id, b.name || cast(match_id % 3 as varchar), player2_country from matches m join players b on b.player_id = player2_id)"
+query("e23_players_upsert", f"select player_id, max_by(name, (played_at, match_id)) as name, max_by(country, (played_at, match_id)) filter (where country is not null) as country from {NAMED_SIDES} s group by 1")(lambda t: E.dimension_players(named_matches(t)))
+query("e24_alias_counts", f"select player_id, name, count(*) as cnt from {NAMED_SIDES} s group by 1, 2")(lambda t: E.alias_counts(named_matches(t)))
+query("e25_parse_summary", "select status, reason, count(*) as n from raw_posts group by 1, 2")(lambda t: E.parse_summary(t.raw_posts))
+
+# --- streams, drained -----------------------------------------------------------------------------
+
+CLOSED = "(select max(ts) - interval 1 day from events)"
+query("s4_tumbling_counts", f"select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= {CLOSED} group by 1, 2")(
+    lambda t: ST.drained(ST.tumbling_counts(ST.events(t.spark, t.dir), "ts", "event_type")).select(at("window_start"), "event_type", "n")
+)
+query("s2_dedup", "select event_id, user_id from events")(
+    lambda t: ST.drained(ST.dedup(ST.events(t.spark, t.dir).select("event_id", "ts", "user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")), "ts", ["event_id"])).select("event_id", "user_id")
+)
+S5 = "(select user_id as key, event_id as id, ts, case event_type when 'click' then 'W' when 'view' then 'L' else 'D' end as result from events)"
+query("s5_running_records", f"select key, id, count(*) over w as matches, cast(sum(case when result = 'W' then 1 else 0 end) over w as bigint) as wins, cast(sum(case when result = 'L' then 1 else 0 end) over w as bigint) as losses from {S5} e window w as (partition by key order by ts, id rows between unbounded preceding and current row)")(
+    lambda t: ST.drained(ST.running_records(ST.events(t.spark, t.dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "click", "W").when(F.col("event_type") == "view", "L").otherwise("D").alias("result")))).select("key", "id", "matches", "wins", "losses")
+)
