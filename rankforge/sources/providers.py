@@ -101,7 +101,7 @@ def provider_complete(payloads: DataFrame) -> DataFrame:
         F.when(k == "toornament", F.forall(F.coalesce(F.from_json(p, TOORNAMENT)["stages"], F.array().cast("array<struct<id:string,name:string,closed:boolean>>")), lambda s: F.coalesce(s["closed"], F.lit(False))))
         .when(k == "shambler", F.from_json(p, SHAMBLER)["status"] == 2)
         .when(k == "egb", F.forall(F.from_json(p, EGB)["matches"], lambda m: m["status"].isin(*FINISHED)))
-        .when(k == "kuachi", F.forall(F.from_json(p, KUACHI)["matches"], lambda m: F.coalesce(m["is_scored"], F.lit(False))))
+        .when(k == "kuachi", F.forall(F.from_json(p, KUACHI)["matches"], lambda m: F.coalesce(m["is_scored"], F.lit(False)) | (m["cup_stage_id"] != F.from_json(p, KUACHI)["stage_id"])))
     )
     return payloads.select("tournament_id", F.coalesce(over, F.lit(False)).alias("complete"))
 
