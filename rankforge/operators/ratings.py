@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import scalars as S
 from rankforge.operators.relational import participants
+from rankforge.sources.store import stored
 
 HISTORY = "player_id long, game_id int, rating_system string, match_id long, played_at timestamp, rating double, rd double, vol double, wins long, losses long, matches_played long"
 
@@ -49,39 +51,13 @@ def fold_input(rows: DataFrame) -> DataFrame:
     return both
 
 
-def elo_fold(state: dict | None = None) -> Callable:
-    """A task's fold over matches sorted by (pool, played_at, match_id); only the pool's ratings are held."""
-
-    def task(frames):
-        pool, ratings = None, {}
-        for f in frames:
-            out = np.empty((len(f), 2))
-            for i, (p, a, b, s, ka, kb) in enumerate(zip(f["pool"].tolist(), f["a"].tolist(), f["b"].tolist(), f["s"].tolist(), f["ka"].tolist(), f["kb"].tolist())):
-                if p != pool:
-                    pool, ratings = p, {}
-                ra, rb = ratings.get(a), ratings.get(b)
-                if ra is None:
-                    ra = S.START if state is None else state.get((p, a), S.START)
-                if rb is None:
-                    rb = S.START if state is None else state.get((p, b), S.START)
-                change = s - 1.0 / (1.0 + 10.0 ** ((rb - ra) / 400.0))
-                ratings[a], ratings[b] = out[i] = ra + ka * change, rb - kb * change
-            yield pd.DataFrame({"pool": f["pool"], "match_id": f["match_id"], "ra": out[:, 0], "rb": out[:, 1]})
-
-    return task
-
-
 def elo(matches: DataFrame, tournaments: DataFrame | None = None, partitions: int = 32) -> DataFrame:
     """The Elo history: two rows a match and pool.
 
     Pools are folded in parallel, each by one task in time order with the ratings of its players alone in memory;
     counters and K come from windows.
     """
-    rows = rating_input(matches, tournaments)
-    ordered = fold_input(rows).repartition(partitions, "pool").sortWithinPartitions("pool", "played_at", "match_id")
-    rated = ordered.select("pool", "match_id", "a", "b", "s", "ka", "kb").mapInPandas(elo_fold(), "pool int, match_id long, ra double, rb double")
-    out = counters(rows).join(rated, ["pool", "match_id"])
-    return out.select("player_id", F.col("pool").alias("game_id"), F.lit("elo").alias("rating_system"), "match_id", "played_at", F.when(F.col("side") == 1, F.col("ra")).otherwise(F.col("rb")).alias("rating"), F.lit(0.0).alias("rd"), F.lit(0.0).alias("vol"), "wins", "losses", "matches_played")
+    return elo_of(rating_input(matches, tournaments), partitions=partitions)
 
 
 def elo_incremental(history: DataFrame, matches: DataFrame, tournaments: DataFrame | None = None) -> DataFrame:
@@ -105,7 +81,10 @@ def elo_incremental(history: DataFrame, matches: DataFrame, tournaments: DataFra
 
 
 def elo_of(rows: DataFrame, state: DataFrame | None = None, only: DataFrame | None = None, partitions: int = 32) -> DataFrame:
-    """As elo over given input rows; with state and only, folds those matches from each player's rating in state."""
+    """As elo over given input rows; with state and only, folds those matches from each player's rating in state.
+
+    A task's fold runs over matches sorted by (pool, played_at, match_id) and holds one pool's ratings.
+    """
     ordered = fold_input(rows)
     if only is not None:
         ordered = ordered.join(only, ["pool", "match_id"], "left_semi")
@@ -173,9 +152,9 @@ def glicko2(matches: DataFrame, unit: str = "month", mode: str = "default", stat
 
     Pools advance together, each by its own match-bearing periods; only the list of period numbers is known to
     the driver. Every period is a few joins and aggregations over its own players; the state is stored between
-    periods, which cuts the lineage. keep(df) stores a DataFrame and reads it back (default: checkpoint).
+    periods, which cuts the lineage. keep(df) stores a DataFrame and reads it back (default: a table in the shared folder).
     """
-    keep = keep or (lambda df: df.checkpoint())
+    keep = keep or stored
     rows = period_index(rating_input(matches).withColumn("result", S.score_result("player1_score", "player2_score")), unit)
     all_sides = keep(sides_with_period(rows))
     spark = matches.sparkSession
@@ -187,8 +166,6 @@ def glicko2(matches: DataFrame, unit: str = "month", mode: str = "default", stat
         new = keep(glicko_period(games, current, mode))
         out.append(new)
         current = keep(current.join(new.select("pool", "player_id"), ["pool", "player_id"], "left_anti").unionByName(new))
-    from functools import reduce
-
     states = reduce(DataFrame.unionByName, out) if out else current
     tags = all_sides.groupBy("pool", "player_id", "n").agg(F.max(F.struct("played_at", "match_id", "wins", "losses", "matches_played")).alias("t"))
     return states.join(tags, ["pool", "player_id", "n"]).select("player_id", F.col("pool").alias("game_id"), F.lit("glicko2").alias("rating_system"), "t.match_id", "t.played_at", "rating", "rd", "vol", "t.wins", "t.losses", "t.matches_played", "n")
