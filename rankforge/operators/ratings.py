@@ -189,6 +189,11 @@ def glicko2_incremental(history: DataFrame, matches: DataFrame, unit: str = "mon
     return kept.unionByName(glicko2(matches, unit, state=state, first=last, keep=keep))
 
 
+def rate_all(matches: DataFrame, tournaments: DataFrame | None = None, unit: str = "month") -> DataFrame:
+    """Both systems' histories of all pools."""
+    return elo(matches, tournaments).unionByName(glicko2(matches, unit).drop("n"))
+
+
 def match_state(matches: DataFrame, history: DataFrame) -> DataFrame:
     """Per pool: whether its Elo history is up to date, lacks new matches, or must be filled again."""
     m = rating_input(matches).groupBy("pool").agg(F.min("match_id").alias("m_lo"), F.max("match_id").alias("m_hi"), F.count_distinct("match_id").alias("m_n"))
