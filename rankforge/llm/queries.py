@@ -1,4 +1,4 @@
-"""Registered queries of the corpus operators."""
+"""Registered queries of the corpus operators, and DuckDB queries for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -17,10 +17,29 @@ QUERIES = {
     "op10_secret_scan": secrets.op10,
 }
 
+ORACLES = {
+    "op5_warc": """
+select page_id, n as payload_bytes, digest as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> first then first end as refers_to
+from (select page_id, cast(strlen(coalesce(html, '')) as bigint) as n, sha256(coalesce(html, '')) as digest, min(page_id) over (partition by coalesce(html, '')) as first from pages) p""",
+    "op6_jaccard_join": """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, case when len(w) >= 4 then list_distinct([concat_ws(chr(10), w[i], w[i + 1], w[i + 2], w[i + 3]) for i in range(1, len(w) - 2)]) when len(w) > 0 then [array_to_string(w, chr(10))] else [] end as g from words),
+items as (select doc_id, unnest(g) as x, len(g) as n from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from items a join items b on a.x = b.x and a.doc_id < b.doc_id and 85 * a.n <= 100 * b.n and 85 * b.n <= 100 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges as (select a, b from pairs union all select b, a from pairs),
+reach as (select doc_id as id, doc_id as c from documents union select e.b, r.c from reach r join edges e on e.a = r.id)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, r.c as component_id from sets s join (select id, min(c) as c from reach group by 1) r on r.id = s.doc_id""",
+}
+
 
 def queries():
     return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
