@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -17,6 +16,10 @@ STEP_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting that shuffle files go when the query that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,12 +35,13 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing needs any more
-    out = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
@@ -59,10 +63,10 @@ def remainder(col, n: int):
     return F.crc32(F.col(col).cast("string")) % n
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "left") -> DataFrame:
-    """left joined with right, which has one row a key; each key of left is dealt over several tasks."""
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 16, how: str = "left") -> DataFrame:
+    """left joined with right, which has one row a key; each key of left is dealt over several tasks by a hash of by."""
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     return dealt.join(many, [key, "_salt"], how).drop("_salt")
 
 
@@ -155,18 +159,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Every id's label falls to the least label near it and then to its label's label, until nothing changes.
     """
-    spark = edges.sparkSession
     both = materialize(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
     labels = materialize(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.min("x")).alias("component")))
     while True:
         near = both.join(labels, both.y == labels.id).groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        step = materialize(step)
+        step = materialize(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")))
         up = step.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        labels = materialize(step.join(up, "component").select("id", "old", F.least("component", "above").alias("component")))
-        changed = labels.filter("component <> old").limit(1).count()
-        labels = labels.select("id", "component")
+        new = materialize(step.join(up, "component").select("id", "old", F.least("component", "above").alias("component")))
+        discard(labels, step)
+        changed = new.filter("component <> old").limit(1).count()
+        labels = new.select("id", "component")
+        labels._stored_at = new._stored_at
         if not changed:
+            discard(both)
             return labels
 
 

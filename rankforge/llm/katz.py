@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from .common import discard, materialize, mix, remainder, steps, table, text_buf
 #: Counts up to this are discounted by Good and Turing; higher ones lose as much in all as this one does.
 K = 5
 #: Bytes of text in a chunk, and entries that a bucket gets in a round.
-CHUNK_BYTES, BUCKET_ENTRIES = 4 << 20, 400_000
+CHUNK_BYTES, BUCKET_ENTRIES = 8 << 20, 400_000
 END = np.uint64(0xE4D0FD0C0DE5EED1)
 _COUNTED = ", ".join(f"n{r} long" for r in range(1, K + 2))
 
@@ -72,13 +73,22 @@ def coded(docs: DataFrame) -> DataFrame:
                 counts = np.bincount(tokens[train], minlength=len(uniq))
                 blob = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
                 own = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column("doc_id").slice(i, j - i).cast(pa.int64()))
-                columns = [pa.array([at]), own, blob(held[i:j], "?"), blob(n, "<i4"), blob(uniq, "<u8"), blob(counts, "<i4"), blob(tokens, "<u4")]
+                columns = [pa.array([at]), own, blob(held[i:j], "?"), blob(n, "<i4"), blob(uniq, "<u8"), blob(counts, "<i4"), packed(tokens)]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "held", "sizes", "uniq", "counts", "tokens"])
                 at += 1
 
     return materialize(docs.mapInArrow(task, "chunk long, doc_ids array<long>, held binary, sizes binary, uniq binary, counts binary, tokens binary"))
 
 
+def packed(tokens: np.ndarray) -> pa.Array:
+    """Token numbers compressed, as they are stored and shuffled."""
+    return pa.array([zstandard.compress(tokens.astype("<u4").tobytes(), 3)], pa.binary())
+
+
+def tokens_of(row: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(row.column("tokens")[0].as_py()), "<u4").astype(np.int64)
+
+
 def number(row: pa.RecordBatch, column: str, kind: str) -> np.ndarray:
     return np.frombuffer(row.column(column)[0].as_buffer(), dtype=kind)
 
@@ -100,7 +110,7 @@ def dealt(chunk: int, keys: np.ndarray, log2: int, **values) -> pa.RecordBatch:
 
 def pairs_of(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's distinct pairs: key hashes in order, contexts, tokens, training counts; and each token's pair."""
-    tokens, sizes, uniq = number(row, "tokens", "<u4").astype(np.int64), number(row, "sizes", "<i4"), number(row, "uniq", "<u8")
+    tokens, sizes, uniq = tokens_of(row), number(row, "sizes", "<i4"), number(row, "uniq", "<u8")
     held = number(row, "held", "?")
     before = np.concatenate([[0], tokens[:-1]])
     before[np.cumsum(sizes) - sizes] = np.searchsorted(uniq, END)
@@ -116,10 +126,10 @@ def pairs_of(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def summed(requests: DataFrame) -> DataFrame:
-    """(chunk, bucket, totals, first, types, uses, n1..): training counts of the keys over all chunks.
+    """(chunk, bucket, totals, keys, types, uses, n1..): training counts of the keys over all chunks.
 
-    totals are in the order of the chunk's keys; first marks, for each key with a count, one chunk that has it.
-    The other columns count the bucket's types: all, their tokens (uses), and those that occur 1, 2, ... times.
+    totals are in the order of the chunk's keys, of which there are so many; a total is negative in one chunk of
+    those that have the key, and so marks its owner. The other columns count the bucket's types: all, their tokens (uses), and those that occur 1, 2, ... times.
     """
 
     def task(t: pa.Table) -> pa.Table:
@@ -129,16 +139,18 @@ def summed(requests: DataFrame) -> DataFrame:
         uniq, index, at = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(at, counts).astype(np.int64)
         first = np.zeros(len(keys), dtype=bool)
-        first[index[total > 0]] = True
+        first[index] = True
         ends = np.concatenate([[0], np.cumsum(sizes)])
         each = total[at]
-        cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        signed = np.where(first, -each, each)
+        kind = "<i8" if len(total) and total.max() >= 1 << 31 else "<i4"
+        cut = pa.array([zstandard.compress(signed[a:b].astype(kind).tobytes(), 1) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
         stats = [int((total > 0).sum()), int(total.sum())] + [int((total == r).sum()) for r in range(1, K + 2)]
         zero = [0] * (len(sizes) - 1)
-        names = ["chunk", "bucket", "totals", "first", "types", "uses", *[f"n{r}" for r in range(1, K + 2)]]
-        return pa.Table.from_arrays([t["chunk"].combine_chunks(), t["bucket"].combine_chunks(), cut(each, "<i8"), cut(first, "?"), *[pa.array([s, *zero], pa.int64()) for s in stats]], names)
+        names = ["chunk", "bucket", "totals", "keys", "types", "uses", *[f"n{r}" for r in range(1, K + 2)]]
+        return pa.Table.from_arrays([t["chunk"].combine_chunks(), t["bucket"].combine_chunks(), cut, pa.array(ends[1:] - ends[:-1]), *[pa.array([s, *zero], pa.int64()) for s in stats]], names)
 
-    schema = f"chunk long, bucket int, totals binary, first binary, types long, uses long, {_COUNTED}"
+    schema = f"chunk long, bucket int, totals binary, keys long, types long, uses long, {_COUNTED}"
     return materialize(requests.groupBy("bucket").applyInArrow(task, schema))
 
 
@@ -160,6 +172,14 @@ def gathered(t: pa.Table, kind: str) -> pa.Table:
     return t.filter(pc.equal(t["kind"], kind)).sort_by("bucket")
 
 
+def totals_of(t: pa.Table, kind: str) -> np.ndarray:
+    """A chunk's signed totals, of 4 bytes each or 8 where a bucket has larger ones."""
+    own = gathered(t, kind)
+    raw = [zstandard.decompress(x.as_py()) for x in own["totals"]]
+    parts = [np.frombuffer(x, "<i4" if len(x) == 4 * n else "<i8").astype(np.int64) for x, n in zip(raw, own["keys"].to_pylist())]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def joined(t: pa.Table, kind: str, column: str, dtype: str) -> np.ndarray:
     parts = [np.frombuffer(x.as_buffer(), dtype) for x in gathered(t, kind)[column]]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
@@ -182,7 +202,7 @@ def score(docs: DataFrame, held) -> DataFrame:
     64-bit hashes.
     """
     chunks = coded(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")))
-    word_bits, pair_bits = bits_for(chunks, "uniq", 8), bits_for(chunks, "tokens", 4)
+    word_bits, pair_bits = bits_for(chunks, "uniq", 8), bits_for(chunks, "tokens", 2)
 
     def ask_words(batches):
         for row in rows_of(batches):
@@ -209,11 +229,11 @@ def score(docs: DataFrame, held) -> DataFrame:
     def first_part(t: pa.Table) -> pa.Table:
         """All of a chunk's scores but the backoff weights, and what it knows and asks of these."""
         row = gathered(t, "chunk").combine_chunks().to_batches()[0]
-        c = joined(t, "words", "totals", "<i8")
-        pair_c, pair_first = joined(t, "pairs", "totals", "<i8"), joined(t, "pairs", "first", "?")
+        c, pair_c = np.abs(totals_of(t, "words")), totals_of(t, "pairs")
+        pair_c, pair_first = np.abs(pair_c), pair_c < 0
         _, left, right, _, at = pairs_of(row)
         sizes, uniq = number(row, "sizes", "<i4"), number(row, "uniq", "<u8")
-        tokens = number(row, "tokens", "<u4").astype(np.int64)
+        tokens = tokens_of(row)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         n, v = model["n"], model["v"]
         p = np.where(c > 0, discounted(c, model["one"]) / max(n, 1), model["unknown"])
@@ -239,7 +259,7 @@ def score(docs: DataFrame, held) -> DataFrame:
 
     names = ["bucket", "chunk", "keys", "s1", "s2", "want", "doc_ids", "held", "sizes", "known", "base", "partial", "backed", "asked"]
     kinds = {c: "binary" for c in names} | {"bucket": "int", "chunk": "long", "doc_ids": "array<long>"}
-    has = {"chunk": "long", "bucket": "int", "doc_ids": "array<long>", "held": "binary", "sizes": "binary", "uniq": "binary", "tokens": "binary", "totals": "binary", "first": "binary"}
+    has = {"chunk": "long", "bucket": "int", "doc_ids": "array<long>", "held": "binary", "sizes": "binary", "uniq": "binary", "tokens": "binary", "totals": "binary", "keys": "long"}
     met = aligned(chunks, "chunk", has).union(aligned(words, "words", has)).union(aligned(pairs, "pairs", has))
     parts = materialize(met.groupBy("chunk").applyInArrow(first_part, ", ".join(f"{c} {t}" for c, t in kinds.items())))
     discard(chunks, words, pairs)

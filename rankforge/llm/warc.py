@@ -39,7 +39,7 @@ def roles(pages: DataFrame) -> DataFrame:
     again = materialize(seen.filter("n > 1").drop("n"))
     if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(again), "digest", "left")
-    return salted_lookup(rows, again, "digest")
+    return salted_lookup(rows, again, "digest", "page_id")
 
 
 def open_file(path: str, mode: str):
@@ -278,7 +278,7 @@ def pages_of(records: DataFrame) -> DataFrame:
     named = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
     held = rows.filter("record_type = 'response'").join(named, "page_id", "left_semi")
     held = held.groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("full_bytes"), F.first("payload_digest").alias("full_digest"))
-    revisits = salted_lookup(rows.filter("record_type = 'revisit'").drop("payload_bytes"), held, "refers_to")
+    revisits = salted_lookup(rows.filter("record_type = 'revisit'").drop("payload_bytes"), held, "refers_to", "page_id")
     revisits = revisits.select("page_id", F.col("full_bytes").alias("payload_bytes"), F.coalesce("full_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
     return rows.filter("record_type = 'response'").select(*revisits.columns).unionByName(revisits)
 
