@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, connected_components, materialize, mix, salted_lookup, steps, table, text_buffers, word_hashes
+from .common import by_ids, connected_components, discard, materialize, mix, salted_lookup, steps, table, text_buffers, word_hashes
 
 #: Size bands: each ends at RATIO times where it begins.
 RATIO = 1.5
@@ -198,7 +198,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, plan: Plan) -> DataF
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
 
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long").distinct())
+    out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long").distinct())
+    discard(ids, sets)
+    return out
 
 
 def candidates(x: str, y: str, plan: Plan):
@@ -237,29 +239,36 @@ def links(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFrame
     met = [materialize(as_pairs(stars.filter(candidates("x", "y", plan))))]
     found = [verified(met[0], docs, width, plan)]
     labels = connected_components(found[0])
+    whole = members
     members = members.drop("x_id", "x_size", "x_flags")
     for turn in range(ROUNDS + 1):
         named = members.join(labels, "id", "left").select("sig", "id", "size", "flags", F.coalesce("component", "id").alias("comp"))
-        bits = lambda b: F.sum((F.col("flags").bitwiseAND(F.lit(b)) > 0).cast("long"))
-        open_ = named.groupBy("sig").agg(F.count("*").alias("n"), (bits(INDEX) * bits(PROBE)).alias("pairs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("n > 2 and lo <> hi")
-        named = materialize(named.join(open_.select("sig", "pairs"), "sig"))
-        pairs = named.agg(F.sum(F.col("pairs") / F.lit(1.0))).first()[0]
-        if not pairs:
+        per = named.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max(F.col("flags").bitwiseAND(F.lit(PROBE))).alias("p"), F.max(F.col("flags").bitwiseAND(F.lit(INDEX))).alias("i"))
+        open_ = per.groupBy("sig").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.max("p").alias("p"), F.max("i").alias("i"))
+        open_ = materialize(open_.filter("n > 2 and comps > 1 and p > 0 and i > 0").select("sig", "n", "most", "main"))
+        total = open_.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0]
+        if not total:
+            discard(open_)
             break
-        total = named.select("sig", "pairs").distinct().agg(F.sum("pairs")).first()[0]
+        named = named.join(open_.select("sig", "main"), "sig")
         last = total <= MANY or turn == ROUNDS
         if last:
-            x, y = named.select("sig", F.struct("id", "size", "flags", "comp").alias("x")), named.select("sig", F.struct("id", "size", "flags", "comp").alias("y"))
-            new = as_pairs(x.join(y, "sig").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & candidates("x", "y", plan)))
+            # rows outside a bucket's largest component meet all others of the bucket, those inside do not meet each other
+            side = lambda name: F.struct("id", "size", "flags", "comp").alias(name)
+            x, y = named.filter("comp <> main").select("sig", side("x")), named.select("sig", side("y"))
+            new = as_pairs(x.join(y, "sig").filter((F.col("x.comp") != F.col("y.comp")) & candidates("x", "y", plan)))
         else:
             new = star(named, turn, plan)
         new = materialize(new.join(reduce(DataFrame.union, met), ["a", "b"], "left_anti"))
         if new.limit(1).count():
             met.append(new)
             found.append(verified(new, docs, width, plan))
+            discard(labels)
             labels = connected_components(reduce(DataFrame.union, found))
+        discard(open_)
         if last:
             break
+    discard(whole, *met)
     return reduce(DataFrame.union, found), labels
 
 
@@ -282,7 +291,7 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     _, labels = links(single, width, plan)
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     shared = named.filter("copies > 1 or component <> rep").select(F.struct("n", "d1", "d2").alias("k"), "component")
-    out = salted_lookup(rows.withColumn("k", F.struct("n", "d1", "d2")), materialize(shared), "k")
+    out = salted_lookup(rows.withColumn("k", F.struct("n", "d1", "d2")), materialize(shared), "k", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
