@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import NOT_LETTER, remainder, steps, table, text_buffers, word_hashes
 
 #: Labelled rows of each class that are drawn, by keyed hash of the id, to fit the index and its calibration.
-TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+TOXIC_ROWS, CLEAN_ROWS = 1600, 3000
 #: Of these, examples of each class in the index; where rows are few, half of a class.
 INDEX_ROWS = 768
 #: Examples in a block of the index.
@@ -43,20 +43,20 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, vocab: np.ndarray) -> tup
     return key // len(vocab), key % len(vocab), n
 
 
-def drawn(labels: DataFrame, docs: DataFrame) -> tuple[list, float]:
-    """The bounded sample of labelled rows with their texts, and the share of toxic rows in all labels.
+def drawn(labels: DataFrame, docs: DataFrame) -> tuple[pa.Table | None, float]:
+    """The bounded sample of labelled rows (doc_id, text, toxic), and the share of toxic rows in all labels.
 
     The rows of a class with the least keyed hashes are taken; at most TOXIC_ROWS + CLEAN_ROWS texts are fetched.
     """
     rows = labels.filter("toxic is not null and doc_id is not null").withColumn("_h", F.xxhash64(F.lit(5), "doc_id"))
     share = rows.agg(F.avg("toxic")).first()[0]
     if share is None:
-        return [], 0.0
+        return None, 0.0
     pick = lambda toxic, n: rows.filter(F.col("toxic") == toxic).orderBy("_h", "doc_id").limit(n).select("doc_id", "toxic")
     ids = pick(1, TOXIC_ROWS).union(pick(0, CLEAN_ROWS)).dropDuplicates(["doc_id"])
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
     got = got.filter("text is not null").dropDuplicates(["doc_id"])
-    return sorted((r["doc_id"], r["text"], r["toxic"]) for r in got.toLocalIterator()), float(share)
+    return got.toArrow().sort_by("doc_id"), float(share)
 
 
 def document_frequency(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
@@ -167,22 +167,29 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(labels: DataFrame, docs: DataFrame) -> dict:
-    """The index, the prior and the calibration curve.
+    """The index, the prior and the calibration curve. The space's terms are those of two sampled rows or more.
 
     labels (doc_id, toxic) are all rows that may be learned from; docs (doc_id, text) are all documents, whose
     document frequencies give the inverse ones. Without examples of both classes the model is the prior alone.
     """
     rows, share = drawn(labels, docs)
-    toxic = np.array([t for *_, t in rows], dtype=np.int64)
+    if rows is None:
+        return {"prior": share, "index": None}
+    toxic = rows["toxic"].to_numpy().astype(np.int64)
     if not 0 < toxic.sum() < len(toxic):
         return {"prior": share, "index": None}
-    data, offsets = text_buffers(pa.array([t for _, t, _ in rows]))
+    data, offsets = text_buffers(rows["text"])
     parts = [(i, *terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in steps(offsets)]
     h, doc = np.concatenate([h for _, h, _ in parts]), np.concatenate([i + d for i, _, d in parts])
+    ids = rows["doc_id"].to_numpy()
+    del rows, data, offsets, parts
     vocab, at = np.unique(h, return_inverse=True)
     key, n = np.unique(doc * len(vocab) + at, return_counts=True)
     doc, term = key // len(vocab), key % len(vocab)
-    ids = np.array([d for d, *_ in rows])
+    shared = np.bincount(term, minlength=len(vocab)) > 1
+    keep = shared[term]
+    doc, term, n, vocab = doc[keep], (np.cumsum(shared) - 1)[term[keep]], n[keep], vocab[shared]
+    del h, at, key
     rank = np.empty(len(ids), np.int64)
     for c in (0, 1):
         own = np.flatnonzero(toxic == c)
@@ -195,11 +202,11 @@ def fit(labels: DataFrame, docs: DataFrame) -> dict:
     p = toxic.mean()
     both = seen[0] + seen[1]
     chi = (seen[1] - both * p) ** 2 / (both * p * (1 - p))
-    weight = idf * (1 + GAIN * np.where(chi > CHI, np.sqrt(chi / len(rows)), 0))
+    weight = idf * (1 + GAIN * np.where(chi > CHI, np.sqrt(chi / len(toxic)), 0))
     own = inside[doc]
     number = np.cumsum(inside) - 1
     index = Index((number[doc[own]], term[own], n[own]), vocab, weight, toxic[inside], ids[inside])
-    begin = np.searchsorted(doc, np.arange(len(rows) + 1))
+    begin = np.searchsorted(doc, np.arange(len(toxic) + 1))
     rest = np.flatnonzero(~inside)
     votes = np.array([index.vote(*index.nearest(term[begin[i] : begin[i + 1]], n[begin[i] : begin[i + 1]]), share) for i in rest])
     if not 0 < toxic[rest].sum() < len(rest):
