@@ -19,15 +19,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group that 4-word shingles link at 0.85."""
-    groups = jaccard.components(docs)
-    later = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    return by_ids(docs, later, "left_anti").dropDuplicates(["doc_id"]) if has_repeats(docs) else by_ids(docs, later, "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a hash of all columns: rows of one id, or of none, stay apart unless they are equal throughout."""
+    return docs.withColumn("_key", F.xxhash64(*docs.columns))
+
+
+def once(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows with one of each group of equal ones whose _key is in twice, a stored table."""
+    if not twice.limit(1).count():
+        return rows
+    return by_ids(rows, twice, "left_anti", "_key").unionByName(by_ids(rows, twice, "left_semi", "_key").dropDuplicates(["_key"]))
 
 
-def has_repeats(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each group that 5-word shingles link at 0.8.
+
+    Groups are of rows, not of ids: rows that share an id, or have none, go only if they are linked.
+    """
+    rows = keyed(docs)
+    groups = jaccard.components(rows.select(F.col("_key").alias("doc_id"), "text"), 5, 80, 100)
+    known = groups.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("component"), F.count("*").alias("copies"))
+    known = materialize(known.join(rows.select("_key", "doc_id").distinct(), "_key"))
+    first = known.groupBy("component").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = materialize(known.join(first, "component").filter("_key <> first").select("_key"))
+    twice = materialize(known.filter("copies > 1").select("_key"))
+    return once(by_ids(rows, later, "left_anti", "_key"), twice).select(*docs.columns)
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +55,11 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents as the mixture of sources takes them; one at the limit gives its first words."""
-    taken = materialize(mixing.mix(docs).filter("taken > 0").select("doc_id", "size", "taken"))
-    joined = docs.join(taken.dropDuplicates(["doc_id"]), "doc_id")
+    rows = keyed(docs)
+    taken = mixing.mix(rows.withColumn("doc_id", F.col("_key"))).filter("taken > 0")
+    taken = materialize(taken.select(F.col("doc_id").alias("_key"), "size", "taken"))
+    twice = materialize(rows.groupBy("_key").count().filter("count > 1").select("_key"))
+    joined = once(rows, twice).join(taken, "_key")  # a row of taken for each of equal rows
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = F.col("taken") % F.col("size")
     pieces_of = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

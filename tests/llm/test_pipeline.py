@@ -45,6 +45,28 @@ def test_secrets_are_masked(spark):
     assert row["text"] == "my <secret> is" and row["n_chars"] == len(row["text"])
 
 
+def test_rows_of_one_id_or_none_stay_apart(spark):
+    rng = random.Random(4)
+    text = lambda n=60: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, text(), "en", "a", 1) for i in (None, None, 7, 7, 7)]
+    rows += [rows[2], (None, "", "en", "a", 0), (None, "", "en", "a", 0), (3, rows[0][1], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = [rows[1], *rows[2:5], rows[6], rows[7], rows[8]]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+    words = lambda x: sum(len(r["text"].split()) for r in x)
+    mixed = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert words(mixed) == int(1.5 * words(docs.collect())) and {r["text"] for r in mixed} >= {r[1] for r in rows if r[1]}
+
+
+def test_near_duplicates_are_by_five_words_at_four_fifths(spark):
+    words = [f"w{i}" for i in range(50)]
+    changed = [*words[:25], "other", *words[26:]]
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join(changed), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
+
+
 def test_stages_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
