@@ -17,8 +17,21 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Runs of characters that keys are written in.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Inferred encodings, narrowest first: pattern and alphabet size.
-ENCODINGS = (("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16), ("base32", r"^[A-Z2-7]+=*$", 32), ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", 36), ("base62", r"^[0-9A-Za-z]+$", 62), ("base64", r"^[0-9A-Za-z+/_=-]+$", 64))
+#: Inferred encodings, narrowest first: pattern and alphabet size. Runs without digits or letters are encodings of their own.
+ENCODINGS = (
+    ("digits", r"^[0-9]+=*$", 10),
+    ("letters of one case", r"^(?:[a-z]+|[A-Z]+)=*$", 26),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16),
+    ("base32", r"^[A-Z2-7]+=*$", 32),
+    ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", 36),
+    ("letters", r"^[A-Za-z]+=*$", 52),
+    ("base62", r"^[0-9A-Za-z]+$", 62),
+    ("letters and signs", r"^[A-Za-z+/_=-]+$", 54),
+    ("digits and signs", r"^[0-9+/_=-]+$", 64),
+    ("base64", r"^[0-9A-Za-z+/_=-]+$", 64),
+)
+#: Numbers of the encodings in which the case of letters says nothing.
+FOLDED = [i for i, (name, *_) in enumerate(ENCODINGS) if name in ("letters of one case", "hex", "base36")]
 #: Upper ends of the length bands in which false discoveries are held apart.
 BANDS = (23, 31, 39, 63, 127, 255)
 #: Share of true keys that may be thrown away in a band of an encoding.
@@ -82,10 +95,10 @@ def tested(spans: Column) -> Column:
         return F.transform(xs, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *[f(m).alias(k) for k, f in new.items()]))
 
     same = lambda k: lambda m: m[k]
-    # a key of these encodings has a digit and a letter
-    x = F.filter(spans, lambda m: F.rlike(m["s"], F.lit("[0-9]")) & F.rlike(m["s"], F.lit("[A-Za-z]")))
+    # padding is no symbol: a run with fewer than two symbols has nothing to test
+    x = F.filter(spans, lambda m: F.rlike(m["s"], F.lit("[^=]=*[^=]")))
     x = with_(x, s=same("s"), enc=lambda m: F.coalesce(*[F.when(F.rlike(m["s"], F.lit(p)), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)]))
-    folded = lambda m: F.translate(F.when(m["enc"].isin(0, 2), F.upper(m["s"])).otherwise(m["s"]), "=", "")
+    folded = lambda m: F.translate(F.when(m["enc"].isin(FOLDED), F.upper(m["s"])).otherwise(m["s"]), "=", "")
     x = with_(
         x,
         enc=same("enc"),

@@ -662,3 +662,15 @@ def test_secret_tests_tell_random_from_regular(spark):
     got = secrets.scan(docs(spark, rows)).collect()
     flagged = {r["doc_id"]: bool(r["spans"]) for r in got}
     assert np.mean([flagged[i] for i in range(300)]) > 0.97 and np.mean([flagged[1000 + i] for i in range(300)]) < 0.05
+
+
+def test_secrets_without_digits_or_letters_are_tested(spark):
+    _, key = secret_texts()
+    alphabets = {1: "0123456789", 2: "abcdefghijklmnopqrstuvwxyz", 3: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 4: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"}
+    rows = [(1000 * k + i, "k " + key(30, a), None, None) for k, a in alphabets.items() for i in range(100)]
+    rows += [(1, "=" * 40, None, None), (2, "-" * 40, None, None), (3, "a" + "=" * 30, None, None), (4, "0" * 30, None, None)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs(spark, rows)).collect()}
+    for k in alphabets:
+        found = [got[1000 * k + i] for i in range(100)]
+        assert sum(map(bool, found)) > 95 and all((s["start"], s["end"]) == (2, 32) for spans in found for s in spans)
+    assert not any(got[i] for i in (1, 2, 3, 4))
