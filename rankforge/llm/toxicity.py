@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTER, remainder, steps, table, text_buffers, word_hashes
+from .common import NOT_LETTER, remainder, shared_dir, steps, table, text_buffers, word_hashes
+from .warc import open_file
 
 #: Labelled rows of each class that are drawn, by keyed hash of the id, to fit the index and its calibration.
 TOXIC_ROWS, CLEAN_ROWS = 1600, 3000
@@ -24,6 +27,8 @@ HEAD = 40
 NEAREST, PRIOR_VOTE, SHOWN = 15, 0.05, 3
 #: A term whose class frequencies differ (chi-squared above CHI) weighs more, by GAIN times its phi coefficient.
 CHI, GAIN = 15.0, 50.0
+#: Leading bits of a term's hash that name its file of document frequencies, and terms a task counts before it passes them on.
+FILE_BITS, COUNTED = 6, 500_000
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,15 +37,13 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, np.repeat(np.arange(len(counts)), counts)
 
 
-def term_counts(data: np.ndarray, offsets: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term number, count) of all vocabulary terms in some texts, ordered by text and term."""
+def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in own terms, count) of all terms of some texts, ordered by text and term, and the sorted terms."""
     h, doc = terms(data, offsets)
-    if not len(h) or not len(vocab):
-        return (np.zeros(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    known = vocab[at] == h
-    key, n = np.unique(doc[known] * len(vocab) + at[known], return_counts=True)
-    return key // len(vocab), key % len(vocab), n
+    own, at = np.unique(h, return_inverse=True)
+    key, n = np.unique(doc * len(own) + at, return_counts=True)
+    most = max(1, len(own))
+    return key // most, key % most, n, own
 
 
 def drawn(labels: DataFrame, docs: DataFrame) -> tuple[pa.Table | None, float]:
@@ -59,26 +62,98 @@ def drawn(labels: DataFrame, docs: DataFrame) -> tuple[pa.Table | None, float]:
     return got.toArrow().sort_by("doc_id"), float(share)
 
 
-def document_frequency(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many rows of docs each vocabulary term occurs, over all rows, and the number of rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+class Frequencies:
+    """In how many rows of a table each term occurs, over all its terms, from sorted files in the shared folder.
+
+    Files are mapped, not read, where the folder is mounted, so memory does not grow with the vocabulary.
+    """
+
+    def __init__(self, paths: dict[int, str], total: int):
+        self.paths, self.total, self.open = paths, total, {}
+
+    def __getstate__(self):
+        return {"paths": self.paths, "total": self.total, "open": {}}
+
+    def file(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        if number not in self.open:
+            self.open[number] = tuple(mapped(f"{self.paths[number]}.{kind}") for kind in ("terms", "counts"))
+        return self.open[number]
+
+    def idf(self, own: np.ndarray) -> np.ndarray:
+        """Inverse document frequencies of some sorted terms."""
+        df = np.zeros(len(own), np.int64)
+        ends = np.searchsorted(own >> np.uint64(64 - FILE_BITS), np.arange((1 << FILE_BITS) + 1, dtype=np.uint64))
+        for number in self.paths:
+            part = own[ends[number] : ends[number + 1]]
+            if len(part):
+                known, counts = self.file(number)
+                at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+                df[ends[number] : ends[number + 1]] = np.where(known[at] == part, counts[at].astype(np.int64), 0)
+        return np.log((self.total + 1) / (np.minimum(df, self.total) + 1))
+
+
+def mapped(path: str) -> np.ndarray:
+    if re.match(r"file:|/", path):
+        return np.memmap(re.sub(r"^file:/*", "/", path), "<u8", "r")
+    with open_file(path, "rb") as f:
+        return np.frombuffer(f.read(), "<u8")
+
+
+def document_frequency(docs: DataFrame) -> Frequencies:
+    """Counts the rows of docs that each term occurs in, by shuffle."""
+    folder = f"{shared_dir(docs.sparkSession)}/terms-{uuid.uuid4().hex}"
+
+    def merged(parts):
+        own, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return own, np.bincount(at, np.concatenate([n for _, n in parts]), len(own)).astype(np.int64)
+
+    def rows(own, n, kind):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.view(np.int64)), pa.array(n)], ["file", "term", "n"])
 
     def count(batches):
-        own, df, rows = shared.value, np.zeros(len(shared.value), np.int64), 0
+        parts, size, total = [], 0, 0
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            rows += batch.num_rows
+            total += batch.num_rows
             for i, j in steps(offsets):
-                _, t, _ = term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], own)
-                df += np.bincount(t, minlength=len(df))
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], rows))], ["term", "n"])
-
-    out = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(vocab), np.int64)
-    known = out[out["term"] >= 0]
-    df[known["term"].to_numpy()] = known["n"].to_numpy()
-    return df, int(out.loc[out["term"] < 0, "n"].sum())
+                _, t, _, own = term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                parts.append((own, np.bincount(t, minlength=len(own))))
+                size += len(own)
+                if size > COUNTED:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if size > COUNTED // 2:
+                        yield rows(*parts[0], 0)
+                        parts, size = [], 0
+        if parts:
+            yield rows(*merged(parts), 0)
+        yield rows(np.zeros(1, np.uint64), np.array([total]), -1)  # the number of rows
+
+    def write(batches):
+        made, out, name = {}, (), None
+        for batch in batches:
+            number = batch.column("file").to_numpy()
+            for k in np.unique(number).tolist():
+                part = batch.filter(pa.array(number == k))
+                if k < 0:
+                    made[k] = str(part.column("n")[0].as_py())
+                    continue
+                if name != k:
+                    for f in out:
+                        f.close()
+                    name, made[k] = k, f"{folder}/{k}-{uuid.uuid4().hex}"
+                    out = [open_file(f"{made[k]}.{kind}", "wb") for kind in ("terms", "counts")]
+                for f, column in zip(out, ("term", "n")):
+                    f.write(part.column(column).to_numpy().astype("<i8").tobytes())
+        for f in out:
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array(list(made.values()), pa.string())], ["file", "path"])
+
+    found = docs.select("text").mapInArrow(count, "file int, term long, n long")
+    found = found.withColumn("file", F.when(F.col("file") < 0, -1).otherwise(F.shiftrightunsigned("term", 64 - FILE_BITS)).cast("int"))
+    found = found.groupBy("file", "term").agg(F.sum("n").alias("n")).repartition(1 << FILE_BITS, "file").sortWithinPartitions("file", "term")
+    paths = {r["file"]: r["path"] for r in found.mapInArrow(write, "file int, path string").collect()}
+    return Frequencies(paths, int(paths.pop(-1, 0)))
 
 
 class Index:
@@ -108,22 +183,24 @@ class Index:
         self.dense = np.zeros((len(common), self.size), np.float32)
         is_head = self.head[term] >= 0
         self.dense[self.head[term[is_head]], doc[is_head]] = value[is_head]
-        self.blocks = np.ascontiguousarray(self.dense.reshape(len(common), -1, BLOCK).transpose(1, 0, 2))
-        self.most = self.dense.reshape(len(common), -1, BLOCK).max(axis=2)
+        self.blocks = np.ascontiguousarray(self.dense.reshape(len(common), self.size // BLOCK, BLOCK).transpose(1, 0, 2))
+        self.most = self.dense.reshape(len(common), self.size // BLOCK, BLOCK).max(axis=2)
         order = np.argsort(term[~is_head], kind="stable")
         self.post_doc, self.post_value = doc[~is_head][order], value[~is_head][order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term[~is_head], minlength=len(vocab)))])
 
-    def nearest(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, term: np.ndarray, n: np.ndarray, outside: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the NEAREST examples of positive similarity, nearest first.
 
+        outside: the sum of squared weights of the text's terms that no sampled row has; they belong to its norm.
+
         Rare terms are summed exactly. A block's bound is its best such sum plus the query's weights times the
         block's maxima of common terms. The two blocks of the highest bounds are scored first; of the others only
         those whose bound reaches the NEAREST-th score, so no nearer example is missed.
         """
         q = (1 + np.log(n)) * self.weight[term]
-        norm = np.sqrt((q**2).sum())
-        if not norm:
+        norm = np.sqrt((q**2).sum() + outside)
+        if not norm or not len(q):
             return np.zeros(0, np.int64), np.zeros(0)
         q = q / norm
         head = self.head[term]
@@ -167,7 +244,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(labels: DataFrame, docs: DataFrame) -> dict:
-    """The index, the prior and the calibration curve. The space's terms are those of two sampled rows or more.
+    """The index, the prior and the calibration curve. The index holds all terms of the sampled rows.
 
     labels (doc_id, toxic) are all rows that may be learned from; docs (doc_id, text) are all documents, whose
     document frequencies give the inverse ones. Without examples of both classes the model is the prior alone.
@@ -186,9 +263,6 @@ def fit(labels: DataFrame, docs: DataFrame) -> dict:
     vocab, at = np.unique(h, return_inverse=True)
     key, n = np.unique(doc * len(vocab) + at, return_counts=True)
     doc, term = key // len(vocab), key % len(vocab)
-    shared = np.bincount(term, minlength=len(vocab)) > 1
-    keep = shared[term]
-    doc, term, n, vocab = doc[keep], (np.cumsum(shared) - 1)[term[keep]], n[keep], vocab[shared]
     del h, at, key
     rank = np.empty(len(ids), np.int64)
     for c in (0, 1):
@@ -196,8 +270,8 @@ def fit(labels: DataFrame, docs: DataFrame) -> dict:
         rank[own] = np.random.default_rng(3).permutation(len(own))
     size = {c: min(INDEX_ROWS, int((toxic == c).sum() + 1) // 2) for c in (0, 1)}
     inside = rank < np.where(toxic == 1, size[1], size[0])
-    df, total = document_frequency(docs, vocab)
-    idf = np.log((total + 1) / (np.minimum(df, total) + 1))
+    frequencies = document_frequency(docs)
+    idf = frequencies.idf(vocab)
     seen = [np.bincount(term[toxic[doc] == c], minlength=len(vocab)) for c in (0, 1)]
     p = toxic.mean()
     both = seen[0] + seen[1]
@@ -210,9 +284,21 @@ def fit(labels: DataFrame, docs: DataFrame) -> dict:
     rest = np.flatnonzero(~inside)
     votes = np.array([index.vote(*index.nearest(term[begin[i] : begin[i + 1]], n[begin[i] : begin[i + 1]]), share) for i in rest])
     if not 0 < toxic[rest].sum() < len(rest):
-        return {"prior": share, "index": index, "curve": (np.array([0.0, 1.0]), np.array([0.0, 1.0]))}
+        return {"prior": share, "index": index, "frequencies": frequencies, "curve": (np.array([0.0, 1.0]), np.array([0.0, 1.0]))}
     per = np.where(toxic[rest] == 1, share / toxic[rest].sum(), (1 - share) / (1 - toxic[rest]).sum())
-    return {"prior": share, "index": index, "curve": isotonic(votes, toxic[rest].astype(float), per)}
+    return {"prior": share, "index": index, "frequencies": frequencies, "curve": isotonic(votes, toxic[rest].astype(float), per)}
+
+
+def queries(data: np.ndarray, offsets: np.ndarray, index: Index, frequencies: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term number, count) of the index's terms in some texts, and each text's sum of squared weights of other terms."""
+    doc, at, n, own = term_counts(data, offsets)
+    place = np.minimum(np.searchsorted(index.vocab, own), len(index.vocab) - 1)
+    known = index.vocab[place] == own if len(index.vocab) else np.zeros(len(own), bool)
+    square = np.zeros(len(own))
+    square[~known] = frequencies.idf(own[~known]) ** 2
+    outside = np.bincount(doc, (1 + np.log(n)) ** 2 * square[at], len(offsets) - 1)
+    inside = known[at]
+    return doc[inside], place[at[inside]], n[inside], outside
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -233,10 +319,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             if index is not None:
                 data, offsets = text_buffers(batch.column("text"))
                 for i, j in steps(offsets):
-                    doc, term, n = term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], index.vocab)
+                    doc, term, n, outside = queries(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], index, m["frequencies"])
                     begin = np.searchsorted(doc, np.arange(j - i + 1))
                     for k in range(j - i):
-                        places, cosines = index.nearest(term[begin[k] : begin[k + 1]], n[begin[k] : begin[k + 1]])
+                        places, cosines = index.nearest(term[begin[k] : begin[k + 1]], n[begin[k] : begin[k + 1]], outside[k])
                         v = index.vote(places, cosines, prior)
                         out[i + k] = min(1.0, max(0.0, 0.998 * np.interp(v, *m["curve"]) + 0.002 * v))
                         shown[i + k] = [{"doc_id": int(index.ids[p]), "cosine": float(c), "toxic": int(index.labels[p])} for p, c in zip(places[:SHOWN], cosines[:SHOWN])]

@@ -102,6 +102,29 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert {r["score"] for r in toxicity.score(d, none).collect()} == {0.0} and toxicity.score(d.limit(0), none).count() == 0
 
 
+def test_toxicity_cosines_count_unseen_and_single_terms(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "GAIN", 0.0)
+    rng = random.Random(8)
+    letters = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    common = [letters() for _ in range(30)]
+    rows = [(i, " ".join([*rng.choices(common, k=12), letters(), "vile foul" if i % 3 == 0 else "kind"]), None, None) for i in range(60)]
+    rows.append((100, "vile foul " + " ".join(letters() for _ in range(300)), None, None))
+    rows.append((101, rows[5][1] + " " + letters(), None, None))
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.score(d, toxicity.fit(labels, d)).collect()}
+    count = {i: collections.Counter(t.split()) for i, t, *_ in rows}
+    df = collections.Counter(w for c in count.values() for w in c)
+    vector = {i: {w: (1 + math.log(n)) * math.log((len(rows) + 1) / (df[w] + 1)) for w, n in c.items()} for i, c in count.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    for i in (100, 101, 7):
+        assert got[i]
+        for e in got[i]:
+            j = e["doc_id"]
+            cosine = sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / norm[i] / norm[j]
+            assert abs(cosine - e["cosine"]) < 1e-5
+
+
 # --- 2 pieces ---------------------------------------------------------------------------------------
 
 
