@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankforge.llm import jaccard, langid, mixing, pieces, secrets
@@ -70,8 +70,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the pieces of each text, as ids, and their number."""
-    return pieces.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Adds the pieces of each text, as ids, and their number; each pass of a repeated document is segmented for itself."""
+    passes = keyed(docs).withColumn("_pass", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    return pieces.encode(passes, by=("_key", "_pass")).drop("_key", "_pass").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

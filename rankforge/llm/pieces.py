@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table, text_buffers
+from .common import mix, steps, table, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Share of candidate merges that are skipped, the seed, and how many segmentations of a word documents share.
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
-#: Chunks of a variant that a task remembers.
-REMEMBERED = 150_000
+#: Share of candidate merges that are skipped, and the seed.
+DROPOUT, SEED = 0.1, 17
+#: Runs of merges that a task remembers.
+REMEMBERED = 300_000
 #: Symbols up to which the next merge is found by scanning; longer chunks keep an agenda in a heap.
 SCANNED = 64
 #: No merge crosses the end of a chunk: spaces with the word behind them, line feeds, spaces at a line's end.
@@ -54,48 +54,122 @@ def load_model(path: str = MODEL) -> dict:
 
 
 class Encoder:
-    """Segments chunks; the ids of chunks met often are remembered as little-endian int32 bytes."""
+    """Segments occurrences of chunks, each by a hash base of its own, over a tree of runs that all of them share.
+
+    A run is the merges of a chunk, in order, when some candidates are known to be skipped. It does not depend on
+    candidates that never come first, so an occurrence that skips none of a run's merges has the run's pieces;
+    else it goes on with the run in which the first merge it skips is known to be skipped as well. Runs hold no
+    hashes: they are tables of candidates, and dropping them changes no result.
+    """
 
     def __init__(self, model: dict, variant: int, dropout: float, seed: int, remembered: int = REMEMBERED):
         self.merges, self.ids, self.byte_ids, self.remembered = model["merges"], model["ids"], model["bytes"], remembered
         self.key, self.limit = (seed * 1_000_003 + variant) & _MASK, int(dropout * (1 << 24))
         self.known: dict[str, bytes] = {}
         self.tables = model["tables"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.chunks: list[str] = []
+        none = np.zeros(0, np.int64)
+        # a run: its chunk, the run it comes from, the candidate skipped since, its pieces and its merges
+        self.chunk, self.parent, self.via, self.start, self.size, self.first, self.merged = (none for _ in range(7))
+        self.pool, self.made, self.child = np.zeros(0, np.int32), none, none
 
     def look_up(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of all these chunks, those of known ones too."""
-        new = [c for c in chunks if c not in self.known]
+        """The ids of all these chunks, hashed by the chunk alone."""
+        own = list(chunks)
+        return dict(zip(own, self.encode_all(own)))
+
+    def encode_all(self, chunks: list[str]) -> list[bytes]:
+        """As encode, over many chunks at once."""
+        bases = np.fromiter((zlib.crc32(c.encode(), self.key) for c in chunks), np.uint32, len(chunks))
+        ids, counts = self.segments(chunks, bases)
+        ends = np.cumsum(counts)
+        return [ids[a:b].astype("<i4").tobytes() for a, b in zip(ends - counts, ends)]
+
+    def segments(self, chunks: list[str], bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences, one after the other, and how many each has."""
+        if len(self.start) > self.remembered:
+            self.forget()
+        new = [c for c in set(chunks) if c not in self.roots]
         short = [c for c in new if len(c) <= SCANNED]
-        found = dict(zip(short, self.encode_all(short)))
-        for c in new:
-            if found.get(c) is None:
-                found[c] = np.array(self.encode(c), dtype="<i4").tobytes()
-        room = self.remembered - len(self.known)
-        if room > 0:
-            self.known.update((c, found[c]) for c in new[:room] if len(c) <= SCANNED)
-        return found
-
-    def encode_all(self, chunks: list[str]) -> list[bytes | None]:
-        """As encode, over many chunks at once: in each round every chunk makes its best merge.
-
-        None for chunks with a character that is no piece.
-        """
-        out: list[bytes | None] = [None] * len(chunks)
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        self.roots.update(dict.fromkeys(new, -1))
+        begin = len(self.chunks)
+        self.chunks += short
+        none = np.full(len(short), -1, np.int64)
+        self.roots.update(zip(short, self.grow(np.arange(begin, len(self.chunks)), none, none).tolist()))
+        node = np.fromiter(map(self.roots.__getitem__, chunks), np.int64, len(chunks))
+        active = np.flatnonzero(node >= 0) if self.limit else np.zeros(0, np.int64)
+        while len(active):
+            own = node[active]
+            n = self.merged[own]
+            owner = np.repeat(np.arange(len(active)), n)
+            at = np.arange(len(owner)) + np.repeat(self.first[own] - np.cumsum(n) + n, n)
+            skip = np.flatnonzero(self.skipped(bases[active][owner], self.made[at]))
+            who, first = np.unique(owner[skip], return_index=True)
+            active, at = active[who], at[skip[first]]
+            missing, one = np.unique(at[self.child[at] < 0], return_index=True)
+            if len(missing):
+                parents = own[who][self.child[at] < 0][one]
+                self.child[missing] = -2  # grown next; grow appends to child
+                grown = self.grow(self.chunk[parents], parents, self.made[missing])
+                self.child[missing] = grown
+            node[active] = self.child[at]
+        fast, slow = np.flatnonzero(node >= 0), np.flatnonzero(node < 0).tolist()
+        counts = np.zeros(len(chunks), np.int64)
+        counts[fast] = self.size[node[fast]]
+        found = [self.encode(chunks[k], int(bases[k])) for k in slow]
+        counts[slow] = [len(x) for x in found]
+        ends = np.cumsum(counts)
+        out = np.empty(int(counts.sum()), np.int32)
+        n = counts[fast]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat((ends - counts)[fast], n) + within] = self.pool[np.repeat(self.start[node[fast]], n) + within]
+        for k, x in zip(slow, found):
+            out[ends[k] - len(x) : ends[k]] = x
+        return out, counts
+
+    def skipped(self, base: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether the keyed hash skips candidate merges, given as place * PIECES + piece."""
+        h = base + (code // PIECES).astype(np.uint32) * np.uint32(0x9E3779B1) + (code % PIECES).astype(np.uint32) * np.uint32(0x85EBCA77)
+        h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        h = (h ^ h >> np.uint32(12)) * np.uint32(0x297A2D39)
+        return (h ^ h >> np.uint32(15)) >> np.uint32(8) < self.limit
+
+    def grow(self, chunk: np.ndarray, parent: np.ndarray, via: np.ndarray) -> np.ndarray:
+        """Adds runs of chunks, given by number; their own numbers, -1 for chunks with a character that is no piece."""
+        out = np.full(len(chunk), -1, np.int64)
+        drops, above = [via], parent
+        while len(above) and (above >= 0).any():
+            drops.append(np.where(above >= 0, self.via[above], -1))
+            above = np.where(above >= 0, self.parent[above], -1)
+        drops = np.stack(drops, axis=1)
+        texts = [self.chunks[i] for i in chunk.tolist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(sizes, kind="stable")
+        parts, n_runs, n_pool, n_made = [], len(self.start), len(self.pool), len(self.made)
         for k in range(0, len(order), 4096):
             own = order[k : k + 4096]
-            some = [chunks[i] for i in own]
-            ids, fine = self.rounds(some, sizes[own])
-            has = ids >= 0
-            ends = np.concatenate([[0], np.cumsum(has.sum(axis=1))]) * 4
-            raw = ids[has].astype("<i4").tobytes()
-            for i, ok, a, b in zip(own.tolist(), fine.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-                if ok:
-                    out[i] = raw[a:b]
+            ids, fine, made = self.rounds([texts[i] for i in own.tolist()], sizes[own], drops[own])
+            own, ids, made = own[fine], ids[fine], made[fine]
+            size, merged = (ids >= 0).sum(axis=1), (made >= 0).sum(axis=1)
+            start, first = n_pool + np.cumsum(size) - size, n_made + np.cumsum(merged) - merged
+            out[own] = n_runs + np.arange(len(own))
+            parts.append((chunk[own], parent[own], via[own], start, size, first, merged, ids[ids >= 0].astype(np.int32), made[made >= 0]))
+            n_runs, n_pool, n_made = n_runs + len(own), n_pool + int(size.sum()), n_made + int(merged.sum())
+        if parts:
+            old = (self.chunk, self.parent, self.via, self.start, self.size, self.first, self.merged, self.pool, self.made)
+            self.chunk, self.parent, self.via, self.start, self.size, self.first, self.merged, self.pool, self.made = (np.concatenate(x) for x in zip(old, *parts))
+            self.child = np.concatenate([self.child, np.full(len(self.made) - len(self.child), -1, np.int64)])
         return out
 
-    def rounds(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rounds(self, chunks: list[str], sizes: np.ndarray, drops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of chunks, all at once: in each round every chunk makes its best merge that is not in its row of drops.
+
+        Gives pieces, whether all characters are pieces, and the merges made; -1 where a row has no more.
+        """
         t = self.tables
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4")
         at = np.minimum(np.searchsorted(t["points"], points), len(t["points"]) - 1)
@@ -104,25 +178,26 @@ class Encoder:
         ids = np.full((len(chunks), width), -1, dtype=np.int64)
         ids[np.arange(width) < sizes[:, None]] = single
         fine = ~(ids == -2).any(axis=1)
-        base = np.fromiter((zlib.crc32(c.encode(), self.key) for c in chunks), np.uint32, len(chunks))
-        result = ids.copy()
+        result, made = ids.copy(), np.full((len(chunks), width), -1, dtype=np.int64)
         rows = np.flatnonzero(fine & (sizes > 1))
-        ids, base = ids[rows], base[rows]
-        place = np.broadcast_to(np.arange(width, dtype=np.uint32), ids.shape).copy()
+        ids, drops = ids[rows], drops[rows]
+        place = np.broadcast_to(np.arange(width), ids.shape).copy()
         if not len(rows):
-            return result, fine
-        ranks, merged = self.ranked(ids[:, :-1], ids[:, 1:], place[:, :-1], base[:, None])
-        columns = np.arange(width)
+            return result, fine, made
+        ranks, merged = self.ranked(ids[:, :-1], ids[:, 1:], place[:, :-1], drops[:, None])
+        turn = 0
         while len(rows):
             best = ranks.argmin(axis=1)
             go = ranks[np.arange(len(rows)), best] < NO_MERGE
             if not go.all():
                 result[rows[~go]] = -1
                 result[rows[~go], : ids.shape[1]] = ids[~go]
-                rows, ids, place, ranks, merged, base, best = rows[go], ids[go], place[go], ranks[go], merged[go], base[go], best[go]
+                rows, ids, place, ranks, merged, drops, best = rows[go], ids[go], place[go], ranks[go], merged[go], drops[go], best[go]
                 if not len(rows):
                     break
             each = np.arange(len(rows))
+            made[rows, turn] = place[each, best] * PIECES + merged[each, best]
+            turn += 1
             ids[each, best] = merged[each, best]
             width = ids.shape[1] - 1
             columns = np.arange(width)
@@ -137,28 +212,27 @@ class Encoder:
             for side in (best - 1, best):
                 ok = np.flatnonzero((side >= 0) & (side < width - 1))
                 i = side[ok]
-                ranks[ok, i], merged[ok, i] = self.ranked(ids[ok, i], ids[ok, i + 1], place[ok, i], base[ok])
-        return result, fine
+                ranks[ok, i], merged[ok, i] = self.ranked(ids[ok, i], ids[ok, i + 1], place[ok, i], drops[ok])
+        return result, fine, made
 
-    def ranked(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Priorities and pieces of candidate merges; NO_MERGE where there is none or the keyed hash skips it."""
+    def ranked(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, drops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Priorities and pieces of candidate merges; NO_MERGE where there is none or it is among drops."""
         t = self.tables
         key = left * PIECES + right
         i = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
         there = (t["pairs"][i] == key) & (left >= 0) & (right >= 0)
         piece = t["pair_ids"][i]
-        if self.limit:
-            h = base + at * np.uint32(0x9E3779B1) + piece.astype(np.uint32) * np.uint32(0x85EBCA77)
-            h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-            h = (h ^ h >> np.uint32(12)) * np.uint32(0x297A2D39)
-            there &= (h ^ h >> np.uint32(15)) >> np.uint32(8) >= self.limit
+        code = at * PIECES + piece
+        for k in range(drops.shape[-1]):
+            there &= code != drops[..., k]
         return np.where(there, t["pair_ranks"][i], NO_MERGE), piece
 
-    def encode(self, chunk: str) -> list[int]:
+    def encode(self, chunk: str, base: int | None = None) -> list[int]:
+        """The ids of one occurrence; without a base, hashed by the chunk alone."""
         # a U+2581 of the text itself goes by bytes, as its piece means a space
         symbols = ["\0" if c == SPACE else SPACE if c == " " else c for c in chunk]
         literal = SPACE in chunk or "\0" in chunk
-        base = zlib.crc32(chunk.encode(), self.key)
+        base = zlib.crc32(chunk.encode(), self.key) if base is None else base
         symbols = (self.scan if len(symbols) <= SCANNED else self.agenda)(symbols, base)
         out, at = [], 0
         for s in symbols:
@@ -235,45 +309,40 @@ class Both(dict):
         return self.second[key]
 
 
-def variant_of(chunks: list[str], variants: int) -> int:
-    return zlib.crc32(f"{len(chunks)}:{''.join(chunks[:16])}".encode()) % variants
-
-
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, by: tuple[str, ...] | None = None) -> DataFrame:
     """docs with ids: the pieces of text, one merge in 1 / dropout skipped.
 
-    A merge of a chunk is skipped where a hash of seed, variant, chunk, place and piece falls under dropout, so a
-    rerun agrees and another seed segments anew; the variant is one of a few by a text's number of chunks and first ones, so
-    a word has several segmentations. With dropout 0 the ids are the model's own. As the model does, one space is
-    put before a text, but nothing before an empty one. A null text has null ids, an empty one none. Other
-    columns stay, repeated rows too; a column named ids is replaced; an empty table stays empty.
+    A merge is skipped where a hash of seed, row, the chunk's position in the text, place and piece falls under
+    dropout, so a rerun agrees, another seed segments anew, and each occurrence of a word is segmented for itself.
+    The row enters by its text and the columns in by (doc_id, if there is one): texts that differ in them come out
+    differently. With dropout 0 the ids are the model's own. As the model does, one space is put before a text,
+    but nothing before an empty one. A null text has null ids, an empty one none. Other columns stay, repeated
+    rows too; a column named ids is replaced; an empty table stays empty.
     """
     base = docs.drop("ids")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     names = base.columns
+    by = [c for c in ("doc_id",) if c in names] if by is None else by
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model))
 
     def task(batches):
-        own = [Encoder(shared.value, v, dropout, seed) for v in range(variants)]
+        own = Encoder(shared.value, 0, dropout, seed)
         for batch in batches:
             _, offsets = text_buffers(batch.column(text))
-            for i, j in steps(offsets, 4 << 20):
+            for i, j in steps(offsets):
                 part = batch.slice(i, j - i)
                 split = [CHUNK.findall(" " + t) if t else [] for t in part.column(text).to_pylist()]
-                kind = [variant_of(t, variants) for t in split]
-                for v in range(variants):
-                    new = own[v].look_up(set().union(*[t for t, w in zip(split, kind) if w == v]))
-                    both = Both(new, own[v].known)
-                    for k, w in enumerate(kind):
-                        if w == v:
-                            split[k] = b"".join(map(both.__getitem__, split[k]))
-                parts, counts = split, [0, *(len(x) // 4 for x in split)]
-                values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
+                n = np.fromiter(map(len, split), np.int64, len(split))
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row = part.column("_row").to_numpy().view(np.uint64)
+                bases = (mix(np.repeat(row, n) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+                values, sizes = own.segments([c for t in split for c in t], bases)
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])]
                 nulls = part.column(text).is_null()
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), values, mask=nulls)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=nulls)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], ids], [*names, "ids"])
 
-    return base.mapInArrow(task, f"{fields}, ids array<int>")
+    return base.withColumn("_row", F.xxhash64(F.lit(seed), *by, text)).mapInArrow(task, f"{fields}, ids array<int>")
 
 
 def decode(docs: DataFrame, model: str = MODEL) -> DataFrame:

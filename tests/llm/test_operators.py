@@ -163,6 +163,29 @@ def test_pieces_round_trip(spark):
     assert pieces.decode(pieces.encode(d.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("dropout", [0.1, 0.6])
+def test_pieces_runs_equal_a_scan_of_each_occurrence(dropout):
+    rng = np.random.default_rng(7)
+    words = [" the", " internationalisation", " x", "\n", "  deux", " über", " \U0001f600a", "z" * 90, " wordword", "aaaaaaaa"] * 60
+    for remembered in (5, 10**6):
+        e = pieces.Encoder(pieces.load_model(), 0, dropout, 5, remembered)
+        for _ in range(2):
+            bases = rng.integers(0, 1 << 32, len(words), dtype=np.uint32)
+            ids, counts = e.segments(words, bases)
+            ends = np.cumsum(counts)
+            assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends)] == [e.encode(w, int(b)) for w, b in zip(words, bases)]
+
+
+def test_pieces_segment_each_occurrence_for_itself(spark):
+    word = "internationalisation"
+    d = docs(spark, [(i, " ".join([word] * 50), None, None) for i in range(4)])
+    got = [tuple(r["ids"]) for r in pieces.encode(d, dropout=0.3).collect()]
+    assert len(set(got)) == 4
+    texts = pieces.load_model()["texts"]
+    split = "|".join(texts[i].decode() for i in got[0]).split("| ")
+    assert len(set(split)) > 2
+
+
 # --- 3 media ----------------------------------------------------------------------------------------
 
 

@@ -59,6 +59,13 @@ def test_rows_of_one_id_or_none_stay_apart(spark):
     assert words(mixed) == int(1.5 * words(docs.collect())) and {r["text"] for r in mixed} >= {r[1] for r in rows if r[1]}
 
 
+def test_passes_of_a_document_are_segmented_for_themselves(spark):
+    row = (1, "internationalisation of the unforgettable " * 20, "en", "a", 5)
+    docs = spark.createDataFrame([row, row], COLUMNS)
+    got = [corpus_pipeline.encoding(spark, docs, "").collect() for _ in range(2)]
+    assert len({tuple(r["ids"]) for r in got[0]}) == 2 and sorted(map(str, got[0])) == sorted(map(str, got[1]))
+
+
 def test_near_duplicates_are_by_five_words_at_four_fifths(spark):
     words = [f"w{i}" for i in range(50)]
     changed = [*words[:25], "other", *words[26:]]
