@@ -117,6 +117,7 @@ query("r10_before_time", "select player_id, game_id, rating_system, max_by(match
     lambda t: R.before(t.rating_history, F.lit("1996-06-01 00:00:00").cast("timestamp"), L.KEY).select(*L.KEY, "match_id", "rating")
 )
 query("r11_participants", f"select match_id, player_id, opponent_id, score, country from {SIDES} s where game_id = 2")(lambda t: R.participants(t.matches.filter("game_id = 2")).select("match_id", "player_id", "opponent_id", "score", "country"))
+query("r11_participants_all", f"select match_id, player_id, opponent_id, score, country from {SIDES} s")(lambda t: R.participants(t.matches).select("match_id", "player_id", "opponent_id", "score", "country"))
 query("r12_arg_max", "select player_id, game_id, rating_system, max_by(rating, (played_at, match_id)) as rating, max_by(match_id, (played_at, match_id)) as match_id from rating_history group by 1, 2, 3")(
     lambda t: R.last_by(t.rating_history, L.KEY).select(*L.KEY, "rating", "match_id")
 )
@@ -143,6 +144,16 @@ query("r20_previous", "select player_id, game_id, rating_system, match_id, coale
 query("r21_tier_order", "select tournament_id, tier from tournaments order by tier is null, case tier when 'premier' then 0 when 'major' then 1 else 2 end, tournament_id limit 600")(
     lambda t: t.tournaments.orderBy(*R.tier_order(True), "tournament_id").limit(600).select("tournament_id", "tier")
 )
+
+
+@query("r21_tier_positions", "select tournament_id, tier, dense_rank() over (order by tier is null, case tier when 'premier' then 0 when 'major' then 1 else 2 end, tier) as position from tournaments")
+def _(t):
+    tiers = t.tournaments.select("tier").distinct()  # few by nature
+    order = Window.orderBy(*R.tier_order(True), F.col("tier").asc_nulls_last())
+    tiers = tiers.select(F.col("tier").alias("of"), F.dense_rank().over(order).cast("long").alias("position"))
+    return t.tournaments.join(F.broadcast(tiers), F.expr("tier <=> of")).select("tournament_id", "tier", "position")
+
+
 query("r22_sort_players", "select player_id, win_rate from (select player_id, round(wins / matches_played, 4) as win_rate, wins / matches_played as w from player_ratings where game_id = 0 and rating_system = 'elo') x order by w desc nulls last, player_id limit 20")(
     lambda t: t.player_ratings.filter("game_id = 0 and rating_system = 'elo'").orderBy(*R.player_order("win_rate")).limit(20).select("player_id", num(S.win_rate("wins", "matches_played"), 4, "win_rate"))
 )
@@ -211,6 +222,10 @@ query("f21_f22_scores", "select s.match_id, s.player_id, s.score || '-' || s.opp
     lambda t: t.matches.select("match_id", F.col("player2_id").alias("player_id"), S.oriented_score("player2_id", "player2_id", "player1_score", "player2_score").alias("score"))
 )
 
+query("f21_f22_scores_both", "select s.match_id, s.player_id, s.score || '-' || s.opponent_score as score from " + SIDES + " s")(
+    lambda t: t.matches.select("*", F.explode(F.array("player1_id", "player2_id")).alias("player_id")).select("match_id", "player_id", S.oriented_score("player_id", "player2_id", "player1_score", "player2_score").alias("score"))
+)
+
 # --- leaderboards ---------------------------------------------------------------------------------
 
 ELO0 = "game_id = 0 and rating_system = 'elo'"
@@ -379,7 +394,7 @@ query("g2_elo")(lambda t: G.elo(t.matches, t.tournaments).select("player_id", "g
 def _(t):
     from rankforge.sources.store import stored
 
-    return G.glicko2(t.matches, "year", keep=stored).select("player_id", "game_id", "n", "match_id", num("rating"), num("rd"), num("vol", 6), "wins", "losses", "matches_played")
+    return G.glicko2(t.matches, "month", keep=stored).select("player_id", "game_id", "n", "match_id", num("rating"), num("rd"), num("vol", 6), "wins", "losses", "matches_played")
 
 
 query("g5_idle_rd", "select player_id, game_id, round(least(350.0, sqrt(pow(rd, 2) + (player_id % 9) * pow(173.7178 * vol, 2))), 4) as rd from player_ratings where rating_system = 'glicko2'")(

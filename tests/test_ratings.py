@@ -156,3 +156,12 @@ def test_match_state_and_corrupt_ratings(spark):
     assert "new_matches" in {r["state"] for r in G.match_state(m, stored(G.elo(m.filter("match_id < 50")))).collect()}
     broken = history.withColumn("rating", F.when(F.col("game_id") == 0, F.lit(float("nan"))).otherwise(F.col("rating")))
     assert {r["pool"]: r["state"] for r in G.match_state(m, broken).collect()}[0] == "backfill"
+
+
+def test_registered_glicko_is_by_month(spark, monkeypatch):
+    from rankforge.plans import queries
+
+    units = []
+    monkeypatch.setattr(queries.G, "glicko2", lambda matches, unit, keep: units.append(unit) or matches.selectExpr("1L as player_id", "game_id", "1 as n", "match_id", "1.0 as rating", "1.0 as rd", "1.0 as vol", "1 as wins", "1 as losses", "1 as matches_played"))
+    queries.QUERIES["g4_glicko2"](spark, "/root/testdata/sf0.001")
+    assert units == ["month"]
