@@ -1,31 +1,35 @@
 """N-gram Jaccard join: universe partitions and the pigeonhole principle, verified exactly.
 
-The shingles of a set fall by hash into segments. Two sets whose Jaccard similarity reaches the threshold differ
-in at most H shingles, H following from their sizes, so of any H + 1 segments one has no difference: its
-signature is the same in both. A set is indexed by all its segments in its own size band, and looks for partners
-of its size or smaller in their bands by H + 1 of its segments.
+The shingles of a set fall by hash into the m segments of its size band. Two sets whose Jaccard similarity reaches
+the threshold differ in at most H shingles, H following from their sizes, so at least m - H segments are equal in
+both. Which segments a set is indexed by is a matter of cost: the H + 1 whose signatures the fewest sets have. Signatures
+are ranked alike for all sets, so two linked sets share at least one that both are indexed by. A set whose cheap
+segments have signatures of its own is met by nobody. Small bands have half as many segments, each indexed by its
+one-deletion neighbourhood, as one of H // 2 + 1 segments has one difference at most.
+
+Buckets are met in two turns: every row with one row of its bucket, which joins groups of near copies into
+components, and then rows of different components, whose difference is first bounded by parity sketches.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, connected_components, discard, materialize, mix, salted_lookup, steps, table, text_buffers, word_hashes
+from .common import by_ids, connected_components, discard, materialize, mix, salted_lookup, steps, table, text_buffers, with_values, word_hashes
 
 #: Size bands: each ends at RATIO times where it begins.
 RATIO = 1.5
-#: Segments besides the H + 1 that are needed: a set looks by its fullest segments and leaves out poor ones.
-SPARE, SPARE_SHARE = 4, 10
-#: Bands of so many needed segments at most also index one-deletion neighbourhoods.
-DELETIONS = 8
-#: Candidate pairs above which buckets are thinned by further rounds of stars before all pairs are met.
-MANY, ROUNDS = 5_000_000, 6
-INDEX, PROBE = 1, 2
+#: Segments besides the H + 1 that are needed, which a set may leave out: so many, and one for so many needed.
+SPARE, SPARE_SHARE = 4, 6
+#: Bands in which sets differ in so many shingles at most are indexed by one-deletion neighbourhoods.
+DELETIONS = 3
+#: Rows of a bucket that one task compares with as many others.
+BLOCK = 1024
+#: Pairs with one row that one task verifies.
+PAIRS = 2000
 
 
 def u64(x: int) -> np.uint64:
@@ -42,8 +46,9 @@ class Plan:
             ends.append(max(low, int(low * RATIO)))
             low = ends[-1] + 1
         self.ends = np.array(ends, dtype=np.int64)
-        self.needed = self.differences(self.ends, self.ends * den // num) + 1
-        self.segments = self.needed + SPARE + self.needed // SPARE_SHARE
+        most = self.differences(self.ends, self.ends * den // num)
+        self.near = most <= DELETIONS
+        self.segments = np.where(self.near, most // 2 + 1, most + 1 + SPARE + most // SPARE_SHARE)
 
     def differences(self, r, s):
         """The most shingles in which linked sets of sizes r and s differ: D <= (den - num) * (r + s) / (den + num)."""
@@ -65,7 +70,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     left = np.repeat(ends, counts) - np.arange(n)  # words from here to the text's end
     h = np.zeros(n, np.uint64)
     for k in range(width):
-        part = words * (mix(u64(k + 1) * u64(0xD6E8FEB86659FD93)) | u64(1))
+        part = words * (mix(np.full(1, (k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF, np.uint64))[0] | u64(1))
         h[: n - k] += np.where(left[: n - k] > k, part[k:], u64(k * 0x632BE59BD9B4E019 + 1)) if n > k else 0
         if k:
             h[max(0, n - k) :] += u64(k * 0x632BE59BD9B4E019 + 1)
@@ -90,16 +95,14 @@ def grouped_sum(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, sizes: np.ndarray, band: np.ndarray, plan: Plan, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set, flags) of the sets in their bands; lower: of sets that only look there for smaller ones.
+    """(signature, set, slack) of the sets in their bands; slack: how many of its signatures the set can leave out.
 
-    Which segments a set looks by is a matter of cost: the fullest first, each good for one difference. A set
-    with too few segments that hold anything takes its fullest ones with their one-deletion neighbourhoods, each
-    good for two; if even that falls short, empty segments count too.
+    lower: the sets are from the band above and look there for smaller ones.
     """
     sets = np.flatnonzero((sizes > 0) & (band >= 0))
     if not len(sets):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
-    inside = np.isin(np.repeat(np.arange(len(sizes)), sizes), sets)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = np.repeat((sizes > 0) & (band >= 0), sizes)
     h, size, band = h[inside], sizes[sets], band[sets]
     own = np.repeat(np.arange(len(sets)), size)
     m = plan.segments[band]
@@ -107,30 +110,17 @@ def signatures(h: np.ndarray, sizes: np.ndarray, band: np.ndarray, plan: Plan, l
     segment = start[own] + (mix(h ^ u64(0x5851F42D4C957F2D)) % m[own].astype(np.uint64)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
     segment, value = segment[order], mix(h[order] + u64(0x2545F4914F6CDD1D))
-    total = int(m.sum())
-    count, full = np.bincount(segment, minlength=total), grouped_sum(value, segment, total)
+    full = grouped_sum(value, segment, int(m.sum()))
     owner = np.repeat(np.arange(len(sets)), m)
-    number = np.arange(total) - start[owner]
+    number = np.arange(len(owner)) - start[owner]
     salt = mix((band[owner].astype(np.uint64) << u64(40)) + number.astype(np.uint64) + u64(1))
-    need = plan.differences(np.minimum(size, plan.ends[band]), size) + 1
-    place = np.empty(total, np.int64)
-    place[np.argsort((owner << 32) - count, kind="stable")] = np.arange(total)
-    place -= start[owner]  # 0: the set's fullest segment
-    some = np.bincount(owner, count > 0, minlength=len(sets)).astype(np.int64)
-    small = plan.needed[band] <= DELETIONS
-    doubled = np.where(small, np.minimum(np.maximum(need - some, 0), some), 0)
-    looks = place < np.maximum(np.minimum(need - doubled, m), doubled)[owner]
-    flags = (looks * PROBE + (0 if lower else INDEX)).astype(np.int8)
-    keep = flags > 0
-    out = [(mix(full[keep] ^ salt[keep]), owner[keep], flags[keep])]
-    # one-deletion neighbourhoods: by all sets of small bands as indexed, by those with doubled segments as looking
-    near = (place < doubled[owner]) | (False if lower else small[owner])
-    each = near[segment]
+    partner = np.minimum(size, plan.ends[band]) if lower else size * plan.den // plan.num
+    slack = np.where(plan.near[band], 0, np.maximum(m - plan.differences(partner, size) - 1, 0))
+    each = plan.near[band][owner[segment]]  # one-deletion neighbourhoods: segments without one of their shingles
     at = segment[each]
-    flags = ((place[at] < doubled[owner[at]]) * PROBE + (0 if lower else INDEX)).astype(np.int8)
-    out.append((mix((full[at] - value[each]) ^ salt[at]), owner[at], flags))
-    sig, who, flags = (np.concatenate(x) for x in zip(*out))
-    return sig, sets[who], flags
+    sig = np.concatenate([mix(full ^ salt), mix((full[at] - value[each]) ^ salt[at])])
+    who = np.concatenate([owner, owner[at]])
+    return sig, sets[who], slack[who]
 
 
 def class_digests(docs: DataFrame, width: int) -> DataFrame:
@@ -149,7 +139,7 @@ def class_digests(docs: DataFrame, width: int) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """(sig, id, size, flags) of all rows of docs."""
+    """(sig, id, size, lower, slack) of all rows of docs."""
 
     def task(batches):
         for batch in batches:
@@ -160,14 +150,26 @@ def signature_rows(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
                 band = plan.band(sizes)
                 under = np.where((band > 0) & (plan.num * sizes <= plan.den * plan.ends[np.maximum(band - 1, 0)]), band - 1, -1)
                 for where, lower in ((band, False), (under, True)):
-                    sig, who, flags = signatures(h, sizes, where, plan, lower)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[i:j][who]), pa.array(sizes[who].astype(np.int32)), pa.array(flags)], ["sig", "id", "size", "flags"])
+                    sig, who, slack = signatures(h, sizes, where, plan, lower)
+                    columns = [pa.array(sig.view(np.int64)), pa.array(ids[i:j][who]), pa.array(sizes[who].astype(np.int32)), pa.array(np.full(len(sig), lower)), pa.array(slack.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["sig", "id", "size", "lower", "slack"])
+
+    return docs.select("doc_id", "text").mapInArrow(task, "sig long, id long, size int, lower boolean, slack int")
+
+
+def sketch_bits(size: int) -> int:
+    """Bits of a set's sketch: a power of two, at least twice its size."""
+    return max(64, 1 << int(2 * size - 1).bit_length())
 
-    return docs.select("doc_id", "text").mapInArrow(task, "sig long, id long, size int, flags byte")
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles by hash: two sets differ in at least as many shingles as their sketches in bits."""
+    bits = np.bincount((mix(h ^ u64(0x94D049BB)) & u64(sketch_bits(len(h)) - 1)).astype(np.int64), minlength=sketch_bits(len(h))) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little")
 
 
 def packed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, set): each row's shingle hashes, sorted, as bytes."""
+    """(id, set, sketch): each row's shingle hashes, sorted, as bytes, and their parity sketch."""
 
     def task(batches):
         for batch in batches:
@@ -175,17 +177,24 @@ def packed_sets(docs: DataFrame, width: int) -> DataFrame:
             for i, j in steps(offsets):
                 h, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                raw = [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(raw, pa.binary())], ["id", "set"])
+                each = [h[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                columns = [pa.array([x.tobytes() for x in each], pa.binary()), pa.array([sketch(x).tobytes() for x in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns], ["id", "set", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "id long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(task, "id long, set binary, sketch binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets link: den * intersection >= num * union, on the sets themselves."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = materialize(packed_sets(by_ids(docs, ids, "left_semi"), width))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Those of pairs (a, b), a stored table, whose shingle sets link: den * intersection >= num * union, on the sets themselves.
+
+    The set of a row that is in many pairs as a, a bucket's centre say, goes to a task for each PAIRS of them.
+    """
+    per = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    tasks = F.ceil(F.col("n") / PAIRS)
+    dealt = with_values(pairs, per, "a", "n", "b").withColumn("task", F.pmod(F.xxhash64("b"), tasks)).drop("n")
+    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).join(per, "a")
+    left = left.withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))).drop("n")
+    both = dealt.join(left, ["a", "task"]).join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     num, den = plan.num, plan.den
 
     def task(batches):
@@ -199,77 +208,124 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, plan: Plan) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
 
     out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long").distinct())
-    discard(ids, sets)
+    discard(per)
     return out
 
 
-def candidates(x: str, y: str, plan: Plan):
-    """Whether rows x and y of a bucket may link: sizes in reach, the smaller indexed and the larger looking."""
-    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    has = lambda r, bit: F.col(f"{r}.flags").bitwiseAND(F.lit(bit)) > 0
-    one = (F.col(f"{x}.size") <= F.col(f"{y}.size")) & has(x, INDEX) & has(y, PROBE)
-    other = (F.col(f"{y}.size") <= F.col(f"{x}.size")) & has(y, INDEX) & has(x, PROBE)
-    return (small * plan.den >= large * plan.num) & (F.col(f"{x}.id") != F.col(f"{y}.id")) & (one | other)
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows of words, long ones folded to the shortest one's bits."""
+    short = min(len(x) for x in sketches)
+    rows = [np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in sketches]
+    return np.stack(rows).view(np.uint64)
 
 
-def as_pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def near_pairs(ids, sizes, comps, blocks, sketches, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that their sizes and sketches leave open.
 
+    blocks: of two different blocks only pairs across them, of one block all.
+    """
+    x = folded(sketches)
+    across = blocks.max() != blocks.min()
+    left, right = [], []
+    for i in range(len(ids)):
+        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        ok = (comps != comps[i]) & (small * plan.den >= large * plan.num)
+        ok[: i + 1] = False
+        if across:
+            ok &= blocks != blocks[i]
+        at = np.flatnonzero(ok)
+        if len(at):
+            differ = np.bitwise_count(x[at] ^ x[i]).sum(axis=1, dtype=np.int64)
+            at = at[differ <= plan.differences(sizes[at], sizes[i])]
+            left.append(np.full(len(at), ids[i]))
+            right.append(ids[at])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def across_components(open_rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Candidate pairs of rows (sig, id, size, comp, n) that share a bucket of n rows but no component.
+
+    A bucket is cut into blocks of some BLOCK rows by a hash of the id, and each pair of blocks is a group of its
+    own, so that no task holds a bucket. Pairs exist inside a group's arrays only, until their sketches pass.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(parts, F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    dealt = dealt.join(sets.select("id", "sketch"), "id").select("sig", "lo", "hi", "block", "id", "size", "comp", "sketch")
+    grouped = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+
+    def pairs_of(t: pa.Table):
+        column = lambda c: t.column(c).to_numpy()
+        keys = np.stack([column("sig"), column("lo"), column("hi")])
+        begin = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        ids, sizes, comps, blocks = column("id"), column("size").astype(np.int64), column("comp"), column("block")
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("sketch")]
+        out = [near_pairs(ids[a:b], sizes[a:b], comps[a:b], blocks[a:b], raw[a:b], plan) for a, b in zip(begin, [*begin[1:], len(ids)])]
+        a, b = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def star(members: DataFrame, seed: int, plan: Plan) -> DataFrame:
-    """Candidate pairs of each bucket's other rows with one looking row of it, another for each seed."""
-    w = Window.partitionBy("sig").orderBy(F.col("flags").bitwiseAND(F.lit(PROBE)).desc(), F.xxhash64(F.lit(seed), "id"), "id")
-    rows = members.select(F.struct("id", "size", "flags", "comp").alias("y"), F.first(F.struct("id", "size", "flags", "comp")).over(w).alias("x"))
-    return as_pairs(rows.filter(candidates("x", "y", plan) & (F.col("x.comp") != F.col("y.comp"))))
-
-
-def links(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """Verified links that connect all classes that any links connect, and (id, component) of those.
-
-    docs has one row a class of equal sets. Buckets of equal signatures first give pairs with one of their rows;
-    only pairs of rows that such links leave in different components are then met, so a bucket of thousands of
-    near copies does not give all its pairs.
+    def task(batches):
+        held: list[pa.RecordBatch] = []  # the rows of the last group seen, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            last = [t.column(c)[-1].as_py() for c in ("sig", "lo", "hi")]
+            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("sig", "lo", "hi"), last)])
+            cut = int(np.argmax(same))
+            if cut:
+                yield pairs_of(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
+
+    return grouped.mapInArrow(task, "a long, b long").distinct()
+
+
+def prefixes(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
+    """(sig, id, size): the signatures that sets are indexed by, left out where no other set has them.
+
+    Counts come first, combined before they are shuffled; then each set leaves out as many of its signatures as it
+    can, those that most sets have. Signatures are ranked by count and value, for all sets alike.
     """
-    first = Window.partitionBy("sig").orderBy(F.col("flags").bitwiseAND(F.lit(PROBE)).desc(), "id")
-    rows = signature_rows(docs, width, plan).repartition("sig")
-    rows = rows.withColumn("x", F.first(F.struct("id", "size", "flags")).over(first)).withColumn("more", F.lead("id").over(first))
-    rows = rows.filter((F.col("x.flags").bitwiseAND(F.lit(PROBE)) > 0) & ((F.col("more") != F.col("x.id")) | (F.col("id") != F.col("x.id"))))
-    members = materialize(rows.select("sig", "id", "size", "flags", F.col("x.id").alias("x_id"), F.col("x.size").alias("x_size"), F.col("x.flags").alias("x_flags")))
-    stars = members.select(F.struct("id", "size", "flags").alias("y"), F.struct(F.col("x_id").alias("id"), F.col("x_size").alias("size"), F.col("x_flags").alias("flags")).alias("x"))
-    met = [materialize(as_pairs(stars.filter(candidates("x", "y", plan))))]
-    found = [verified(met[0], docs, width, plan)]
-    labels = connected_components(found[0])
-    whole = members
-    members = members.drop("x_id", "x_size", "x_flags")
-    for turn in range(ROUNDS + 1):
-        named = members.join(labels, "id", "left").select("sig", "id", "size", "flags", F.coalesce("component", "id").alias("comp"))
-        per = named.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max(F.col("flags").bitwiseAND(F.lit(PROBE))).alias("p"), F.max(F.col("flags").bitwiseAND(F.lit(INDEX))).alias("i"))
-        open_ = per.groupBy("sig").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.max("p").alias("p"), F.max("i").alias("i"))
-        open_ = materialize(open_.filter("n > 2 and comps > 1 and p > 0 and i > 0").select("sig", "n", "most", "main"))
-        total = open_.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0]
-        if not total:
-            discard(open_)
-            break
-        named = named.join(open_.select("sig", "main"), "sig")
-        last = total <= MANY or turn == ROUNDS
-        if last:
-            # rows outside a bucket's largest component meet all others of the bucket, those inside do not meet each other
-            side = lambda name: F.struct("id", "size", "flags", "comp").alias(name)
-            x, y = named.filter("comp <> main").select("sig", side("x")), named.select("sig", side("y"))
-            new = as_pairs(x.join(y, "sig").filter((F.col("x.comp") != F.col("y.comp")) & candidates("x", "y", plan)))
-        else:
-            new = star(named, turn, plan)
-        new = materialize(new.join(reduce(DataFrame.union, met), ["a", "b"], "left_anti"))
-        if new.limit(1).count():
-            met.append(new)
-            found.append(verified(new, docs, width, plan))
-            discard(labels)
-            labels = connected_components(reduce(DataFrame.union, found))
-        discard(open_)
-        if last:
-            break
-    discard(whole, *met)
-    return reduce(DataFrame.union, found), labels
+    rows = signature_rows(docs, width, plan)
+    counts = materialize(rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = with_values(rows, counts, "sig", "n", "id")
+    costly = Window.partitionBy("id", "lower").orderBy(F.desc("n"), "sig")
+    kept = materialize(shared.withColumn("place", F.row_number().over(costly)).filter("place > slack").select("sig", "id", "size"))
+    discard(counts)
+    return kept
+
+
+def links(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
+    """(id, component) of all classes that a link joins to another; docs has one row a class of equal sets."""
+    kept = prefixes(docs, width, plan)
+    buckets = kept.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("x"), F.max("id").alias("last"))
+    buckets = materialize(buckets.filter("last <> x.id").drop("last"))
+    members = materialize(with_values(kept, buckets, "sig", "n", "id"))
+    discard(kept)
+    in_reach = F.least("size", "x.size") * plan.den >= F.greatest("size", "x.size") * plan.num
+    stars = members.filter((F.col("id") != F.col("x.id")) & in_reach).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+    stars = materialize(stars)
+    ids = materialize(members.select(F.col("id").alias("doc_id")).distinct())
+    sets = materialize(packed_sets(by_ids(docs, ids, "left_semi"), width))
+    found = verified(stars, sets, plan)
+    labels = connected_components(found)
+    named = materialize(members.select("sig", "id", "size").join(labels, "id", "left").select("sig", "id", "size", F.coalesce("component", "id").alias("comp")))
+    mixed = named.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    mixed = materialize(mixed.filter("least <> most").select("sig", "n"))
+    more = materialize(across_components(with_values(named, mixed, "sig", "n", "id"), sets, plan))
+    added = verified(more, sets, plan)
+    if added.limit(1).count():
+        discard(labels)
+        labels = connected_components(found.union(added))
+    discard(buckets, members, stars, ids, sets, found, named, mixed, more, added)
+    return labels
 
 
 def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -288,7 +344,7 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     copies = known.join(classes.filter("copies > 1").select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).filter("doc_id <> rep").select("doc_id")
     copies = copies.distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     single = by_ids(docs.select("doc_id", "text").filter("doc_id is not null"), materialize(copies), "left_anti")
-    _, labels = links(single, width, plan)
+    labels = links(single, width, plan)
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     shared = named.filter("copies > 1 or component <> rep").select(F.struct("n", "d1", "d2").alias("k"), "component")
     out = salted_lookup(rows.withColumn("k", F.struct("n", "d1", "d2")), materialize(shared), "k", "doc_id")
