@@ -593,8 +593,7 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, epochs=2):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_mixing(spark, seed, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_WORDS", 300)
+def test_mixing(spark, seed):
     rng = random.Random(seed)
     rows = [(i, prose(rng, rng.randint(0, 40)), None, "hot" if i % 2 else rng.choice(["a", "b", "c", "é", None, "Z"])) for i in range(400)]
     rows += [(1000, None, None, "a"), (1001, " ", None, None), rows[0]]
@@ -617,6 +616,28 @@ def test_mixing(spark, seed, monkeypatch):
     assert {r["taken"] for r in mixing.mix(d.filter("doc_id > 999")).collect()} == {0}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_mixing_takes_by_finish_time(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, prose(rng, rng.randrange(0, 60)), None, rng.choice(["a"] * 5 + ["b", "c", None])) for i in range(200)]
+    d = docs(spark, rows).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"))
+    queued = d.select("doc_id", "source", "size", F.xxhash64(F.lit(11), "doc_id", "size").alias("h")).filter("size > 0").collect()
+    words = collections.Counter()
+    for r in queued:
+        words[r["source"]] += r["size"]
+    want, passes = brute_targets(words), []
+    for s in words:
+        end = 0
+        for r in sorted((r for r in queued if r["source"] == s), key=lambda r: (r["h"], r["doc_id"])):
+            end += r["size"]
+            passes += [((end + k * words[s]) / want[s], s is None, s or "", r["h"], r["doc_id"], k, r["size"]) for k in range(2)]
+    left, taken = int(1.5 * sum(words.values())), collections.Counter()
+    for *_, i, _, n in sorted(passes):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(d).collect() if r["taken"]} == {i: n for i, n in taken.items() if n}
+
+
 # --- 8 language ID ----------------------------------------------------------------------------------
 
 

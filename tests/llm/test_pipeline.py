@@ -56,7 +56,7 @@ def test_rows_of_one_id_or_none_stay_apart(spark):
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
     words = lambda x: sum(len(r["text"].split()) for r in x)
     mixed = corpus_pipeline.mixture(spark, docs, "").collect()
-    assert words(mixed) == int(1.5 * words(docs.collect())) and {r["text"] for r in mixed} >= {r[1] for r in rows if r[1]}
+    assert 0 <= int(1.5 * words(docs.collect())) - words(mixed) < 3 and {r["text"] for r in mixed} >= {r[1] for r in rows if r[1]}
 
 
 def test_passes_of_a_document_are_segmented_for_themselves(spark):
@@ -74,6 +74,17 @@ def test_near_duplicates_are_by_five_words_at_four_fifths(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
 
 
+def test_columns_that_clash_stay(spark, tmp_path):
+    data = [(i, t, lang, s, len(t or ""), 7.5, ["x"], 3, "b", [1], i) for i, t, lang, s in rows()[:40]]
+    more = ["score", "langs", "size", "base", "spans", "taken"]
+    docs = spark.createDataFrame(data, [*COLUMNS, *more])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [*COLUMNS, *more]
+    got = docs.collect()
+    assert got and all((r["score"], r["langs"], r["size"], r["base"], r["spans"], r["taken"]) == (7.5, ["x"], 3, "b", [1], r["doc_id"]) for r in got)
+
+
 def test_stages_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
