@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,18 @@ from rankforge.llm.common import by_ids, materialize, remainder, shared_dir, tab
 LEAST_SHARE = 0.4
 
 
+def hidden(docs: DataFrame, *shown: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those shown under numbers, so that no operator's column clashes, and the way back."""
+    names = [c if c in shown else f"_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with letters in which one language has LEAST_SHARE at least; lang takes what was found."""
     model = langid.learn(docs.filter(remainder("doc_id", 5) != 0))
-    found = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    rows, back = hidden(docs, "doc_id", "text", "lang")
+    found = langid.identify(rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return back(found.withColumn("lang", F.col("lang_pred")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -48,25 +57,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents, their secrets replaced by a mark; n_chars follows the text."""
-    found = secrets.scan(docs, text=True)
+    rows, back = hidden(docs, "doc_id", "text", "n_chars")
+    found = secrets.scan(rows, text=True)
     masked = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
-    return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return back(masked.withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the mixture of sources takes them; one at the limit gives its first words."""
-    rows = keyed(docs)
-    taken = mixing.mix(rows.withColumn("doc_id", F.col("_key"))).filter("taken > 0")
-    taken = materialize(taken.select(F.col("doc_id").alias("_key"), "size", "taken"))
-    twice = materialize(rows.groupBy("_key").count().filter("count > 1").select("_key"))
-    joined = once(rows, twice).join(taken, "_key")  # a row of taken for each of equal rows
+    """Repeats or drops documents as the mixture of sources takes them; one at the limit gives its first words.
+
+    What is taken follows from the row and its source's queue, so texts are neither joined nor shuffled.
+    """
+    rows, back = hidden(docs, "text", "source", "n_chars")
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    rows = mixing.sized(rows.withColumn("doc_id", key), *[c for c in rows.columns if c != "source"])
+    taken = mixing.take(rows, mixing.queue(rows)).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = F.col("taken") % F.col("size")
     pieces_of = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(pieces_of, F.lit(1), rest.cast("int")), "")
     texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
-    out = joined.withColumn("text", F.explode(texts)).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = taken.withColumn("text", F.explode(texts)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return back(out)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
