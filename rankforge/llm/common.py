@@ -70,23 +70,22 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, by: str, salts: i
     return dealt.join(many, [key, "_salt"], how).drop("_salt")
 
 
-#: Keys that hold more than 1 / HEAVY of all rows; there are fewer than HEAVY of them, whatever the data.
-HEAVY = 1000
+#: Keys that hold more than 1 / HEAVY of all rows are dealt over SALTS tasks; there are fewer than HEAVY of them, whatever the data.
+HEAVY, SALTS = 1000, 32
 
 
 def with_values(rows: DataFrame, values: DataFrame, key: str, weight: str, by: str) -> DataFrame:
     """rows whose key is in values, a stored table of a row a key, with its other columns.
 
-    weight says how many rows a key has. The fewer than HEAVY keys with more than 1 / HEAVY of all are sent to
-    every executor and their rows are dealt by a hash of by; so no key of the shuffled rest is hot.
+    weight says how many rows a key has. Rows of the fewer than HEAVY keys that have more than 1 / HEAVY of all are
+    dealt by a hash of by, and these keys' values repeated for each of their tasks.
     """
-    names = [c for c in values.columns if c != key]
     limit = (values.agg(F.sum(weight)).first()[0] or 0) / HEAVY
-    heavy = values.filter(F.col(weight) > limit).select(key, F.struct(*names).alias("_heavy"))
-    light = values.filter(F.col(weight) <= limit).select(F.col(key).alias("_key"), F.struct(*names).alias("_light"))
-    dealt = rows.join(F.broadcast(heavy), key, "left").withColumn("_key", F.when(F.col("_heavy").isNull(), F.col(key)).otherwise(F.xxhash64(by)))
-    met = dealt.join(light, "_key", "left").withColumn("_value", F.coalesce("_heavy", "_light")).filter("_value is not null")
-    return met.select(*rows.columns, *[F.col(f"_value.{c}").alias(c) for c in names])
+    heavy = [r[0] for r in values.filter(F.col(weight) > limit).select(key).collect()]  # fewer than HEAVY
+    salts = lambda col: F.when(col.isin(heavy), F.lit(SALTS)).otherwise(1) if heavy else F.lit(1)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), salts(F.col(key))).cast("int"))
+    many = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts(F.col(key)) - 1)))
+    return dealt.join(many, [key, "_salt"]).select(*rows.columns, *[c for c in values.columns if c != key])
 
 
 # --- vectorised words -----------------------------------------------------------------------------

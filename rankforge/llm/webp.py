@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import table, text_buffers
 
-#: Bytes of payload in a row of pixels at least (4 samples a pixel), and the format's largest side.
-ROW_BYTES, SIDE = 64, 16384
+#: Samples in a row of pixels at least, the format's largest side, and its longest copy and distance.
+ROW, SIDE, LONGEST, FARTHEST = 64, 16384, 4096, (1 << 20) - 120
+#: Shortest copy the writer makes, and its longest prefix code.
+COPY, CODE_BITS = 8, 12
+#: Samples, tokens or bits of a stream that are handled at once, so that memory does not grow with a text's length.
+AT_ONCE = 1 << 20
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 SIGNATURE = 0x2F
@@ -32,7 +36,7 @@ def reversed_bits(n: int) -> np.ndarray:
     return out
 
 
-REVERSED = [reversed_bits(n) for n in range(9)]
+REVERSED = [reversed_bits(n) for n in range(16)]
 
 
 class Bits:
@@ -47,54 +51,236 @@ class Bits:
         return self
 
 
-def even_code(used: np.ndarray, alphabet: int, bits: Bits) -> tuple[np.ndarray, int]:
-    """Writes a prefix code in which 2**n symbols, all used ones among them, have n bits each; codes and n."""
-    codes = np.zeros(256, dtype=np.uint32)
+def code_lengths(counts: list[int], most: int) -> list[int]:
+    """Lengths of an optimal prefix code, 0 for symbols that do not occur; flatter counts if one is longer than most."""
+    used = [s for s, c in enumerate(counts) if c]
+    lengths = [0] * len(counts)
+    if len(used) < 2:
+        return lengths
+    weights = [counts[s] for s in used]
+    while True:
+        heap = sorted((w, i) for i, w in enumerate(weights))
+        above, made = [0] * (2 * len(used) - 1), len(used)
+        leaves, inner, i, j = heap, [], 0, 0
+        for _ in range(len(used) - 1):
+            total = 0
+            for _ in range(2):  # the lighter of the next leaf and the next joined pair, twice
+                if j >= len(inner) or i < len(leaves) and leaves[i] <= inner[j]:
+                    w, node = leaves[i]
+                    i += 1
+                else:
+                    w, node = inner[j]
+                    j += 1
+                total += w
+                above[node] = made
+            inner.append((total, made))
+            made += 1
+        depth = [0] * made
+        for node in range(made - 2, -1, -1):
+            depth[node] = depth[above[node]] + 1
+        if max(depth[: len(used)]) <= most:
+            break
+        weights = [(w + 1) // 2 for w in weights]
+    for s, d in zip(used, depth):
+        lengths[s] = d
+    return lengths
+
+
+def canonical(lengths: list[int]) -> list[int]:
+    """The codes that lengths stand for, first bit lowest."""
+    codes, code, last = [0] * len(lengths), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code, last = code + 1, n
+    return codes
+
+
+def put_code(bits: Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the prefix code for symbols that occur so often; codes and their lengths."""
+    counts = counts.tolist()
+    used = [s for s, c in enumerate(counts) if c] or [0]
     if len(used) == 1:
-        bits.put(1, 1).put(0, 1).put(1, 1).put(int(used[0]), 8)  # one symbol, no bits
-        return codes, 0
-    n = int(len(used) - 1).bit_length()
-    own = np.zeros(256, dtype=bool)
-    own[used] = True
-    if (spare := (1 << n) - len(used)) > 0:
-        own[np.flatnonzero(~own)[:spare]] = True
-    bits.put(0, 1).put(len(CODE_LENGTH_ORDER) - 4, 4)
-    for symbol in CODE_LENGTH_ORDER:
-        bits.put(int(symbol in (0, n)), 3)
+        bits.put(1, 1).put(0, 1).put(1, 1).put(used[0], 8)  # one symbol, no bits
+        return np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.int64)
+    lengths = code_lengths(counts, CODE_BITS)
+    tokens, at = [], 0  # lengths with runs: (symbol, extra, bits of extra)
+    while at < len(lengths):
+        n, end = lengths[at], at + 1
+        while end < len(lengths) and lengths[end] == n:
+            end += 1
+        left = end - at
+        if n:
+            tokens.append((n, 0, 0))
+            left -= 1
+        while left >= 3:
+            take = min(left, 6 if n else 138)
+            tokens.append((16, take - 3, 2) if n else (17, take - 3, 3) if take < 11 else (18, take - 11, 7))
+            left -= take
+        tokens += [(n, 0, 0)] * left
+        at = end
+    own = [0] * 19
+    for t, *_ in tokens:
+        own[t] += 1
+    if sum(c > 0 for c in own) == 1:
+        own[0 if not own[0] else 1] += 1  # a code of one symbol would have no bits to read
+    short = code_lengths(own, 7)
+    codes = canonical(short)
+    count = max(4, 1 + max(i for i, s in enumerate(CODE_LENGTH_ORDER) if short[s]))
+    bits.put(0, 1).put(count - 4, 4)
+    for s in CODE_LENGTH_ORDER[:count]:
+        bits.put(short[s], 3)
     bits.put(0, 1)
-    lengths = np.zeros(alphabet, dtype=np.uint8)
-    lengths[:256] = own
-    bits.put(int.from_bytes(np.packbits(lengths, bitorder="little").tobytes(), "little"), alphabet)
-    codes[own] = REVERSED[n]
-    return codes, n
+    for t, extra, n in tokens:
+        bits.put(codes[t] | extra << short[t], short[t] + n)
+    return np.array(canonical(lengths), np.uint64), np.array(lengths, np.int64)
+
+
+def copies(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of copies, in order: where COPY samples stood before, for as long as they go on alike."""
+    n = len(px) - COPY + 1
+    if n < 2:
+        return []
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(px, COPY)).view("<u8").ravel()
+    order = np.argsort(keys, kind="stable")
+    back = np.zeros(n, np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    back[back > FARTHEST] = 0
+    begin = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
+    ends = np.concatenate([begin[1:], [n]])
+    some = back[begin] > 0
+    out, at = [], 0
+    for s, e, d in zip(begin[some].tolist(), ends[some].tolist(), back[begin[some]].tolist()):
+        s, e = max(s, at), e + COPY - 1
+        while e - s >= COPY:
+            k = min(e - s, LONGEST)
+            out.append((s, k, d))
+            s = at = s + k
+    return out
+
+
+def prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra value and its number of bits of lengths or distances."""
+    x = v - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    extra = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1)), x & ((1 << extra) - 1), extra
+
+
+def spread(value: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The bits of all values, first bit first."""
+    out = []
+    for k in range(0, len(value), AT_ONCE // 8):
+        w = width[k : k + AT_ONCE // 8]
+        token = np.repeat(np.arange(k, k + len(w)), w)
+        shift = np.arange(len(token)) - np.repeat(np.cumsum(w) - w, w)
+        out.append((value[token] >> shift.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
+    return np.concatenate(out) if out else np.zeros(0, np.uint8)
+
+
+def put_pixels(bits: Bits, green: np.ndarray, alpha: int, main: bool) -> np.ndarray:
+    """Writes the header of an image whose pixels differ in green only to bits; gives the bits of its pixels."""
+    bits.put(0, 1)  # no colour cache: a pixel of one sample is no longer than its place in a cache
+    if main:
+        bits.put(0, 1)  # one group of codes
+    found = [(k + i, n, d) for k in range(0, len(green), AT_ONCE) for i, n, d in copies(green[k : k + AT_ONCE])]
+    place, size, back = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
+    inside = np.zeros(len(green) + 1, np.int64)
+    np.add.at(inside, place, 1)
+    np.add.at(inside, place + size, -1)
+    starts = np.cumsum(inside[:-1]) == 0
+    starts[place] = True
+    at = np.flatnonzero(starts)
+    symbol = green[at].astype(np.int64)
+    copy = np.searchsorted(at, place)
+    length, length_extra, length_bits = prefixed(size)
+    far, far_extra, far_bits = prefixed(back + len(NEAR))
+    symbol[copy] = 256 + length
+    codes, lengths = put_code(bits, np.bincount(symbol, minlength=280))
+    for only in (0, 0, alpha):
+        bits.put(1, 1).put(0, 1).put(1, 1).put(only, 8)
+    far_codes, far_lengths = put_code(bits, np.bincount(far, minlength=40))
+    value, width = codes[symbol], lengths[symbol]
+    for part, n in ((length_extra, length_bits), (far_codes[far], far_lengths[far]), (far_extra, far_bits)):
+        value[copy] |= part.astype(np.uint64) << width[copy].astype(np.uint64)
+        width[copy] += n
+    return spread(value, width)
+
+
+def entropy(x: np.ndarray) -> float:
+    """Bits that an ideal prefix code takes for all of x."""
+    c = np.bincount(x, minlength=1)
+    c = c[c > 0]
+    return float(len(x) * np.log2(len(x)) - (c * np.log2(c)).sum())
 
 
 def encode(payload: np.ndarray) -> bytes:
-    """A WebP file whose pixels hold payload (a multiple of 64 bytes) as A, R, G, B samples in order."""
-    size = len(payload)
-    row = ROW_BYTES
-    while size > row * SIDE:
+    """A WebP file whose pixels hold payload (a multiple of 64 bytes), a sample a pixel, in green.
+
+    Up to 16 different samples make a palette, several of them a pixel. Where differences to the left neighbour
+    take fewer bits than samples, the predictor transform stores those. What stood before is copied; the rest has
+    a prefix code. ValueError above the format's 16384 * 16384 pixels.
+    """
+    row = ROW
+    while len(payload) > row * SIDE:
         row *= 2
-    height = -(-size // row)
-    if height * row > size:
-        payload = np.concatenate([payload, np.zeros(height * row - size, np.uint8)])
-    a, r, g, b = payload.reshape(-1, 4).T
-    bits = Bits().put(SIGNATURE, 8).put(row // 4 - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)
-    bits.put(0, 1).put(0, 1).put(0, 1)  # no transform, no colour cache, one group of codes
-    packed, at = np.zeros(len(a), dtype=np.uint32), 0
-    for plane, alphabet in ((g, 280), (r, 256), (b, 256), (a, 256)):
-        codes, n = even_code(np.flatnonzero(np.bincount(plane, minlength=256)), alphabet, bits)
-        if n:
-            packed |= codes[plane] << np.uint32(at)
-        at += n
-    bits.put(1, 1).put(0, 1).put(0, 1).put(0, 1)  # the distance code: one symbol
-    head = np.unpackbits(np.frombuffer(bits.value.to_bytes(bits.n // 8 + 1, "little"), np.uint8), bitorder="little")[: bits.n]
-    body = np.unpackbits(packed.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :at].ravel() if at else np.zeros(0, np.uint8)
-    chunk = np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
+    if row > SIDE:
+        raise ValueError("the payload does not fit into one image")
+    height = -(-len(payload) // row)
+    if height * row > len(payload):
+        payload = np.concatenate([payload, np.zeros(height * row - len(payload), np.uint8)])
+    bits = Bits().put(SIGNATURE, 8).put(row - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)
+    parts, alpha, px = [], 255, payload
+    count = np.bincount(payload, minlength=256)
+    used = np.flatnonzero(count)
+
+    def flush(body: np.ndarray) -> None:
+        head = np.unpackbits(np.frombuffer(bits.value.to_bytes(bits.n // 8 + 1, "little"), np.uint8), bitorder="little")[: bits.n]
+        parts.extend((head, body))
+        bits.value = bits.n = 0
+
+    if len(used) <= 16:
+        bits.put(1, 1).put(3, 2).put(len(used) - 1, 8)
+        steps = np.diff(used, prepend=0).astype(np.uint8)
+        flush(put_palette(bits, steps))
+        index = np.zeros(256, np.uint8)
+        index[used] = np.arange(len(used))
+        each = 8 if len(used) <= 2 else 4 if len(used) <= 4 else 2
+        packed = index[payload].reshape(-1, each) << (np.arange(each) * (8 // each)).astype(np.uint8)
+        px, alpha = np.bitwise_or.reduce(packed, axis=1).astype(np.uint8), 255
+    else:
+        grid = payload.reshape(height, row)
+        left = np.diff(grid, axis=1, prepend=np.uint8(0))
+        left[1:, 0] = np.diff(grid[:, 0])
+        if entropy(left.ravel()) + 512 < entropy(payload):
+            bits.put(1, 1).put(0, 2).put(7, 3)
+            blocks = np.ones(-(-row // 512) * -(-height // 512), np.uint8)  # mode 1: left
+            flush(put_pixels(bits, blocks, 0, False))
+            px, alpha = left.ravel(), 0
+    bits.put(0, 1)  # no further transform
+    flush(put_pixels(bits, px, alpha, True))
+    chunk = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
     padded = chunk + b"\0" * (len(chunk) % 2)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + padded
 
 
+def put_palette(bits: Bits, steps: np.ndarray) -> np.ndarray:
+    """Writes a palette of grey-green colours, opaque, as differences: the first has alpha, the others none."""
+    bits.put(0, 1)
+    codes, lengths = put_code(bits, np.bincount(steps, minlength=280))
+    for _ in range(2):
+        bits.put(1, 1).put(0, 1).put(1, 1).put(0, 8)
+    first = np.zeros(256, np.int64)
+    first[255], first[0] = 1, len(steps) - 1
+    alpha_codes, alpha_lengths = put_code(bits, first)
+    put_code(bits, np.zeros(40, np.int64))
+    alpha = np.where(np.arange(len(steps)) == 0, 255, 0)
+    value = codes[steps] | alpha_codes[alpha] << lengths[steps].astype(np.uint64)
+    width = lengths[steps] + alpha_lengths[alpha]
+    return spread(value, width)
+
+
 # --- reading ----------------------------------------------------------------------------------------
 
 
@@ -104,7 +290,17 @@ class Reader:
     def __init__(self, data: bytes):
         self.data, self.at, self.held, self.n = data, 0, 0, 0
 
+    def peek(self, n: int) -> int:
+        self.fill(n)
+        return self.held & ((1 << n) - 1)
+
     def bits(self, n: int) -> int:
+        out = self.peek(n)
+        self.held >>= n
+        self.n -= n
+        return out
+
+    def fill(self, n: int) -> None:
         while self.n < n:
             chunk = self.data[self.at : self.at + 8]
             self.at += 8
@@ -112,10 +308,6 @@ class Reader:
             self.n += 64  # zeros stand behind the end
             if self.at > len(self.data) + 64:
                 raise ValueError("the stream ends early")
-        out = self.held & ((1 << n) - 1)
-        self.held >>= n
-        self.n -= n
-        return out
 
     def position(self) -> int:
         return self.at * 8 - self.n
@@ -124,44 +316,35 @@ class Reader:
 class Code:
     """A canonical prefix code given by the lengths of its symbols."""
 
-    def __init__(self, lengths, same: int | None = None):
-        """same: the one length that all symbols have, if that is known."""
-        self.lengths = np.asarray(lengths, dtype=np.uint8)
-        self.used = np.flatnonzero(self.lengths != 0)
+    def __init__(self, lengths):
+        self.lengths = np.asarray(lengths, dtype=np.int64)
+        self.used = np.flatnonzero(self.lengths)
         self.only = int(self.used[0]) if len(self.used) == 1 else None if len(self.used) else 0
-        self.same, self._table = same, None
-        if same and len(self.used) == 1 << same:
-            return
-        own = self.lengths[self.used].astype(np.int64)
-        if self.only is None and (1 << 15 - own).sum() != 1 << 15:
+        self.bits = 0 if self.only is not None else int(self.lengths.max())
+        if self.only is None and (1 << 15 - self.lengths[self.used]).sum() != 1 << 15:
             raise ValueError("the prefix code is not complete")
-        self.same = int(own[0]) if self.only is None and (own == own[0]).all() else None
+        self._table = None
 
-    def table(self) -> dict[tuple[int, int], int]:
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and their lengths by the next bits of the stream."""
         if self._table is None:
-            self._table, code, last = {}, 0, 0
-            for n, s in sorted((int(self.lengths[s]), int(s)) for s in self.used):
-                code <<= n - last
-                self._table[n, code] = s
-                code, last = code + 1, n
+            if self.only is not None:
+                self._table = np.array([self.only], np.int32), np.zeros(1, np.int32)
+            else:
+                # in order of codes, each symbol takes 2**(bits - length) entries by bits read highest first
+                order = self.used[np.argsort(self.lengths[self.used], kind="stable")]
+                n = self.lengths[order]
+                by_code = np.repeat(np.arange(len(order)), 1 << self.bits - n)[REVERSED[self.bits]]
+                self._table = order[by_code].astype(np.int32), n[by_code].astype(np.int32)
         return self._table
 
     def read(self, r: Reader) -> int:
         if self.only is not None:
             return self.only
-        table, code, n = self.table(), 0, 0
-        while True:
-            code, n = code << 1 | r.bits(1), n + 1
-            if (s := table.get((n, code))) is not None:
-                return s
-
-    def even(self) -> tuple[np.ndarray, int] | None:
-        """Symbols by their bits as read and the number of bits, if all symbols have equally many."""
-        if self.only is not None:
-            return np.array([self.only], dtype=np.uint32), 0
-        if self.same is None or self.same > 8:
-            return None
-        return self.used[REVERSED[self.same]].astype(np.uint32), self.same
+        symbols, lengths = self.table()
+        i = r.peek(self.bits)
+        r.bits(int(lengths[i]))
+        return int(symbols[i])
 
 
 def read_code(r: Reader, alphabet: int) -> Code:
@@ -177,11 +360,6 @@ def read_code(r: Reader, alphabet: int) -> Code:
     for i in range(count):
         own[CODE_LENGTH_ORDER[i]] = triples >> 3 * i & 7
     most = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    known = [s for s, n in enumerate(own) if n]
-    if len(known) == 2 and known[0] == 0 and known[1] < 16 and own[0] == own[known[1]] == 1 and most >= alphabet:
-        # each symbol has a code of this one length or none: a bit a symbol
-        bits = np.frombuffer(r.bits(alphabet).to_bytes(-(-alphabet // 8), "little"), np.uint8)
-        return Code(np.unpackbits(bits, bitorder="little")[:alphabet] * np.uint8(known[1]), known[1])
     code = Code(own)
     s, last = 0, 8
     while s < alphabet and most:
@@ -219,8 +397,8 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     cached = 1 << cache_bits if cache_bits else 0
     codes = [[read_code(r, n) for n in (280 + cached, 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
-    if groups == 1 and not cached and (fast := even_pixels(r, codes[0], total)) is not None:
-        return fast
+    if groups == 1 and not cached:
+        return tabled_pixels(r, codes[0], width, total)
     out, cache, i = [0] * total, [0] * cached, 0
     seen = 0  # pixels before this one are in the colour cache
     while i < total:
@@ -254,36 +432,106 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def even_pixels(r: Reader, codes: list[Code], total: int) -> np.ndarray | None:
-    """All pixels at once where each channel's codes have one length and no copies can occur."""
-    planes = [c.even() for c in codes[:4]]
-    if any(p is None for p in planes) or planes[0][0].max() >= 256:
-        return None
-    each = sum(n for _, n in planes)
-    at = r.position()
-    if not each:
-        values = np.zeros(total, np.uint32)
-    else:
-        raw = np.frombuffer(r.data, np.uint8)[at // 8 : (at + each * total + 7) // 8]
-        bits = np.unpackbits(raw, bitorder="little")[at % 8 : at % 8 + each * total]
-        if len(bits) < each * total:
-            raise ValueError("the stream ends early")
-        wide = np.zeros((total, 32), np.uint8)
-        wide[:, :each] = bits.reshape(total, each)
-        values = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
-    parts, shift = [], 0
-    for symbols, n in planes:
-        parts.append(symbols[(values >> np.uint32(shift)) & np.uint32((1 << n) - 1)])
-        shift += n
-    r.at, r.held, r.n = (at + each * total) // 8, 0, 0
-    if rest := (at + each * total) % 8:
-        r.bits(rest)
-    green, red, blue, alpha = parts
-    return alpha << np.uint32(24) | red << np.uint32(16) | green << np.uint32(8) | blue
+#: What lengths and distances start from and how many more bits they have, by prefix symbol.
+EXTRA = np.array([max(0, (k - 2) >> 1) for k in range(40)])
+FROM = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+_NEAR = np.array(NEAR)
 
 
-def signed(x: int) -> int:
-    return x - 256 if x > 127 else x
+def tabled_pixels(r: Reader, codes: list[Code], width: int, total: int) -> np.ndarray:
+    """All pixels of an image with one group of codes and no cache.
+
+    What would be read is looked up in tables for every bit of the stream at once, with the bit at which the next
+    pixel or copy begins. Those that are read are then followed from the first, and copies resolved by halving
+    the way back to the pixel that they come from.
+    """
+    green, red, blue, alpha, far = (c.table() for c in codes)
+    masks = [(1 << c.bits) - 1 for c in codes]
+    only = [c.only for c in codes]
+    if all(x is not None for x in only[:4]) and only[0] < 256:
+        return np.full(total, only[3] << 24 | only[1] << 16 | only[0] << 8 | only[2], np.uint32)
+    at = r.position()
+    data = np.frombuffer(r.data + b"\0" * 32, np.uint8)
+    end, parts, left = len(r.data) * 8, [], total
+    while left > 0:
+        if at >= end:
+            raise ValueError("the stream ends early")
+        raw = data[at // 8 : (at // 8) + AT_ONCE // 8 + 32]
+        n = min((len(raw) - 16) * 8, end + 64 - at // 8 * 8)
+        words = np.zeros(len(raw) - 3, np.uint32)
+        for k in range(4):
+            words |= raw[k : len(raw) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+        ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at least 25 bits from each bit on
+        last = len(ahead) - 1
+        taken = lambda p, bits: ahead[np.minimum(p, last)].astype(np.int64) & ((1 << bits) - 1)  # noqa: B023, E731
+        i = ahead[:n] & masks[0]
+        symbol, after = green[0][i], np.arange(n, dtype=np.int32) + green[1][i]
+        next_ = after.copy()
+        reads = []
+        for k, (values, lengths) in enumerate((red, blue, alpha), 1):
+            if only[k] is None:
+                i = ahead[np.minimum(next_, last)] & masks[k]
+                reads.append(values[i])
+                next_ = next_ + lengths[i]
+            else:
+                reads.append(only[k])
+        jump = np.flatnonzero(symbol >= 256)
+        prefix = symbol[jump] - 256
+        p = after[jump]
+        size = FROM[prefix] + taken(p, EXTRA[prefix])
+        p = p + EXTRA[prefix]
+        i = taken(p, codes[4].bits)
+        code, p = far[0][i], p + far[1][i]
+        back = FROM[code] + taken(p, EXTRA[code])
+        next_[jump] = p + EXTRA[code]
+        follow, walk, p = next_.tolist(), [], at % 8
+        for _ in range(left):
+            if p >= n:
+                break
+            walk.append(p)
+            p = follow[p]
+        walk = np.array(walk)
+        which = np.full(n, -1)
+        which[jump] = np.arange(len(jump))
+        which = which[walk]
+        copy = which >= 0
+        sizes, backs = np.ones(len(walk), np.int64), np.zeros(len(walk), np.int64)
+        sizes[copy], backs[copy] = size[which[copy]], back[which[copy]]
+        ends = np.cumsum(sizes)
+        read = int(np.searchsorted(ends, left)) + 1
+        if read <= len(ends):
+            p = follow[int(walk[read - 1])]
+            walk, sizes, backs, copy, ends = walk[:read], sizes[:read], backs[:read], copy[:read], ends[:read]
+        pick = lambda x: x[walk].astype(np.uint32) if isinstance(x, np.ndarray) else np.uint32(x)  # noqa: B023, E731
+        argb = pick(reads[2]) << np.uint32(24) | pick(reads[0]) << np.uint32(16) | symbol[walk].astype(np.uint32) << np.uint32(8) | pick(reads[1])
+        parts.append((argb, sizes, backs, copy))
+        left -= int(ends[-1])
+        at = at // 8 * 8 + p
+    if left < 0:
+        raise ValueError("a copy reaches out of the image")
+    argb, sizes, back, copy = (np.concatenate(x) for x in zip(*parts))
+    starts = np.cumsum(sizes) - sizes
+    near = np.flatnonzero(copy & (back <= len(NEAR)))
+    shift = _NEAR[back[near] - 1]
+    back = back - len(NEAR)
+    back[near] = np.maximum(1, shift[:, 0] + shift[:, 1] * width)
+    value = np.zeros(total, np.uint32)
+    value[starts[~copy]] = argb[~copy]
+    if copy.any():
+        k = sizes[copy]
+        to = np.repeat(starts[copy] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        source = np.arange(total)
+        source[to] = to - np.repeat(back[copy], k)
+        if source.min() < 0:
+            raise ValueError("a copy reaches out of the image")
+        while len(to):
+            source[to] = source[source[to]]
+            to = to[source[source[to]] != source[to]]
+        value = value[source]
+    r.at, r.held, r.n = at // 8, 0, 0
+    if at % 8:
+        r.bits(at % 8)
+    return value
 
 
 def unpredict(px: np.ndarray, modes: np.ndarray, bits: int, width: int, height: int) -> np.ndarray:
@@ -291,6 +539,11 @@ def unpredict(px: np.ndarray, modes: np.ndarray, bits: int, width: int, height:
     channels = lambda v: (v >> 24, v >> 16 & 255, v >> 8 & 255, v & 255)
     half = lambda p, q: tuple((x + y) >> 1 for x, y in zip(p, q))
     clamp = lambda x: 0 if x < 0 else min(x, 255)
+    if len(modes) and (modes >> 8 & 15 == 1).all():  # left neighbours alone: running sums
+        grid = px.astype("<u4").view(np.uint8).reshape(height, width, 4).copy()
+        grid[0, 0, 3] = int(grid[0, 0, 3]) + 255 & 255
+        grid[:, 0] = np.cumsum(grid[:, 0], axis=0, dtype=np.uint8)
+        return np.cumsum(grid, axis=1, dtype=np.uint8).view("<u4").ravel()
     out = [channels(int(v)) for v in px]
 
     def select(left, top, corner):
@@ -431,7 +684,7 @@ def store(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) as media: (doc_id, n_bytes, payload_bytes, media).
 
     The UTF-8 bytes of a text, or none for a null, are padded with zeros to a positive multiple of 64. Long
-    texts make wider images, up to the format's 16384 x 16384 pixels. Equal texts give equal media; repeated rows
+    texts make wider images, up to the format's 16384 x 16384 pixels, a sample each; more is an error. Equal texts give equal media; repeated rows
     and null ids stay; other columns are left out; an empty table gives an empty one.
     """
 
@@ -451,13 +704,13 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def load(media: DataFrame, samples: bool = False) -> DataFrame:
-    """Decodes media and describes the payload that was read back; with samples, also gives the pixel array."""
+    """Decodes media and describes the payload that was read back; with samples, also gives the pixel array of the payload."""
 
     def task(batches):
         for batch in batches:
             out = []
             for raw, size in zip(batch.column("media").to_pylist(), batch.column("payload_bytes").to_pylist()):
-                pixels = decode(raw).reshape(-1)[:size]
+                pixels = decode(raw)[:, :, 2].ravel()[:size]  # the green samples
                 data = pixels.tobytes()
                 row = [hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(pixels)]
                 out.append(row + [data] * samples)

@@ -375,6 +375,42 @@ def test_webp_damage_is_told():
             webp.decode(bad)
 
 
+def test_webp_writer_uses_the_format(monkeypatch):
+    rng = np.random.default_rng(2)
+    prose = " ".join(rng.choice(["the", "cat", "sat", "on", "mat", "über", "and", "again"], 900)).encode()
+    prose += prose[:700]
+    prose += b"\0" * (-len(prose) % 64)
+    cases = {"codes": np.frombuffer(prose, np.uint8), "palette": rng.integers(0, 5, 640).astype(np.uint8) + 60, "two": rng.integers(0, 2, 192).astype(np.uint8), "one": np.zeros(64, np.uint8), "left": np.cumsum(rng.integers(0, 3, 6400)).astype(np.uint8), "noise": rng.integers(0, 256, 12800, dtype=np.uint8)}
+    seen = collections.Counter()
+    for name in ("unpredict", "unpalette"):
+        def counted(*args, real=getattr(webp, name), name=name):
+            seen[name] += 1
+            return real(*args)
+        monkeypatch.setattr(webp, name, counted)
+    sizes = {}
+    for at_once in (1 << 20, 1024):
+        monkeypatch.setattr(webp, "AT_ONCE", at_once)
+        for name, payload in cases.items():
+            media = webp.encode(payload)
+            sizes[name] = len(media) / len(payload)
+            assert (webp.decode(media)[:, :, 2].ravel()[: len(payload)] == payload).all(), name
+            assert (webp.decode(media)[:, :, 0] == 255).all()
+    assert sizes["codes"] < 0.4 and sizes["palette"] < 0.5 and sizes["left"] < 0.35 and sizes["noise"] < 1.1
+    assert seen["unpredict"] == 4 and seen["unpalette"] == 12 and len(webp.copies(cases["codes"])) > 20
+    with pytest.raises(ValueError, match="does not fit"):
+        webp.encode(np.broadcast_to(np.uint8(0), webp.SIDE**2 + 64))
+
+
+def test_webp_code_lengths_are_optimal_and_limited():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        counts = (rng.pareto(0.4, 60) * rng.integers(0, 3, 60)).astype(int).tolist()
+        n = [x for x in webp.code_lengths(counts, 12) if x]
+        assert sum(2.0**-x for x in n) == (1.0 if n else 0.0) and max(n, default=0) <= 12
+    fib = [1, 1, 2, 3, 5, 8, 13]
+    assert sorted(webp.code_lengths(fib, 12)) == [1, 2, 3, 4, 5, 6, 6]
+
+
 def test_media_round_trip(spark):
     rows = [(1, "Abc é" * 50, None, None), (2, None, None, None), (3, "", None, None), (4, "x", None, None), (5, "long " * 400_000, None, None), (6, "Abc é" * 50, None, None), (1, "Abc é" * 50, None, None)]
     got = webp.load(webp.store(docs(spark, rows)), samples=True).collect()
