@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 #: Vectors, drawn by keyed hash of the id, that the partitioning and the classifier are fitted on.
 SAMPLE = 6000
-PARTS, NEIGHBOURS, SLACK = 24, 10, 1.1
+#: Parts grow with the vectors, by one for each PART_ROWS of them, from the fewest to the most that the sample can tell apart.
+PART_ROWS, FEWEST, MOST = 4096, 4, 96
+NEIGHBOURS, SLACK = 10, 1.1
 #: Passes of label moves, hidden units, steps and batch of the classifier.
 MOVES, HIDDEN, STEPS, BATCH, RATE = 12, 64, 1500, 256, 0.01
 #: Queries are routed to as many parts as give this recall on the sample.
@@ -21,13 +23,11 @@ BLOCK = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: not null or zero, all numbers finite, of the commonest length."""
+    """(vec_id, v) of the vectors that can take part: not null or zero, all numbers finite."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.filter(fine)
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (top["n"] if top else 0))
+    return rows.filter(fine)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -115,29 +115,30 @@ def train(x: np.ndarray, target: np.ndarray) -> dict:
 
 
 def fit(rows: DataFrame, nearest: int) -> dict | None:
-    """The router: a classifier of vectors into parts and the number of parts to search; None for few vectors.
+    """The router: a classifier of vectors into parts and the number of parts to search; None for fewer than ten vectors a part.
 
     Fitted on at most SAMPLE vectors, which alone reach the driver. Four fifths are partitioned and trained on;
     the others are queries against those, and the parts searched grow until they find RECALL of the nearest.
     """
     got = rows.orderBy(F.xxhash64(F.lit(23), "vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    if len(got) < 20 * PARTS:
-        return None
+    parts = int(min(MOST, max(FEWEST, -(-rows.count() // PART_ROWS))))
+    if len(got) < 10 * parts:
+        return None  # one part holds them all, and it is searched whole
     x = unit(got.values.to_numpy().reshape(len(got), -1))
     fresh = np.arange(len(x)) % 5 == 0
     base, query = x[~fresh], x[fresh]
-    graph = neighbour_graph(base, NEIGHBOURS)
-    part = partition(base, graph, PARTS)
-    target = np.zeros((len(base), PARTS))
+    graph = neighbour_graph(base, min(NEIGHBOURS, len(base) - 1))
+    part = partition(base, graph, parts)
+    target = np.zeros((len(base), parts))
     np.add.at(target, (np.arange(len(base)), part), 1.0)
-    np.add.at(target, (np.repeat(np.arange(len(base)), NEIGHBOURS), part[graph].ravel()), 1.0)
+    np.add.at(target, (np.repeat(np.arange(len(base)), graph.shape[1]), part[graph].ravel()), 1.0)
     net = train(base, target / target.sum(axis=1, keepdims=True))
     at = forward(net, base).argmax(axis=1)
     s = query @ base.T
     true = np.argpartition(-s, nearest - 1, axis=1)[:, :nearest]
     order = np.argsort(-forward(net, query), axis=1, kind="stable")
     rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(PARTS)[None, :].repeat(len(order), 0), 1)
+    np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(order), 0), 1)
     found = np.sort(np.take_along_axis(rank, at[true], 1).ravel())
     probes = int(found[min(len(found) - 1, int(np.ceil(RECALL * len(found))) - 1)]) + 1
     return {"net": net, "probes": probes}
@@ -200,10 +201,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     most, or hold nulls or non-finite numbers take no part. Ids should be unique; of repeated ones each row
     counts. Few vectors make one part, and the search is exact. Other columns are left out.
     """
-    rows = materialize(usable(vectors))
+    fine = usable(vectors)
+    top = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    length = F.size("v") == (top["n"] if top else 0)  # of vectors and queries alike
+    rows = materialize(fine.filter(length))
     router = fit(rows, k)
     base = materialize(routed(rows, router, False))
-    asked = materialize(routed(usable(queries), router, True))
+    asked = materialize(routed(usable(queries).filter(length), router, True))
+    discard(rows)
     pairs = blocks(base, "b").join(blocks(asked, "q"), "part")
 
     def task(batches):

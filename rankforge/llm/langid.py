@@ -180,4 +180,4 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder("doc_id", 5) == 0
     model = learn(docs.filter(~held))
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "langs")
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs")

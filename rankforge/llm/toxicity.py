@@ -49,16 +49,16 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def drawn(labels: DataFrame, docs: DataFrame) -> tuple[pa.Table | None, float]:
     """The bounded sample of labelled rows (doc_id, text, toxic), and the share of toxic rows in all labels.
 
-    The rows of a class with the least keyed hashes are taken; at most TOXIC_ROWS + CLEAN_ROWS texts are fetched.
+    A doc_id with labels of both kinds is toxic, and of several texts under one id the least is taken. The rows of a class with the least keyed hashes are taken; at most TOXIC_ROWS + CLEAN_ROWS texts are fetched.
     """
-    rows = labels.filter("toxic is not null and doc_id is not null").withColumn("_h", F.xxhash64(F.lit(5), "doc_id"))
+    rows = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64(F.lit(5), "doc_id"))
     share = rows.agg(F.avg("toxic")).first()[0]
     if share is None:
         return None, 0.0
     pick = lambda toxic, n: rows.filter(F.col("toxic") == toxic).orderBy("_h", "doc_id").limit(n).select("doc_id", "toxic")
-    ids = pick(1, TOXIC_ROWS).union(pick(0, CLEAN_ROWS)).dropDuplicates(["doc_id"])
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
-    got = got.filter("text is not null").dropDuplicates(["doc_id"])
+    ids = pick(1, TOXIC_ROWS).union(pick(0, CLEAN_ROWS))
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text is not null")
+    got = got.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     return got.toArrow().sort_by("doc_id"), float(share)
 
 
@@ -334,4 +334,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(labels.filter(remainder("doc_id", 4) != 2).select("doc_id", "toxic"), docs)
-    return score(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+    return score(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")

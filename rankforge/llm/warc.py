@@ -22,7 +22,7 @@ ARCHIVE_BYTES = 16 << 20
 LEAST_REVISIT = 100
 #: Duplicated payloads that are known everywhere without a shuffle; about 100 bytes each.
 BROADCAST_ROWS = 100_000
-WINDOW = 1 << 20
+WINDOW, HEAD = 1 << 20, 1 << 12
 
 _MANIFEST = "path string, records long, bytes long"
 _RECORD = "path string, start long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_end long, reason string"
@@ -115,19 +115,22 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 # --- reading ----------------------------------------------------------------------------------------
 
 
-def inflate(f, start: int) -> tuple[bytes, int] | None:
-    """The member at start and where it ends; None if it is damaged or cut off."""
+def inflate(f, start: int) -> tuple[bytes, int | None]:
+    """What can be read of the member at start, and where it ends: None if it is damaged or cut off."""
     f.seek(start)
     z, parts = zlib.decompressobj(31), []
     while not z.eof:
         chunk = f.read(WINDOW)
         if not chunk:
-            return None
-        try:
-            parts.append(z.decompress(chunk))
-        except zlib.error:
-            return None
-    return b"".join(parts), f.tell() - len(z.unused_data)
+            return b"".join(parts), None
+        for k in range(0, len(chunk), 1024):  # in small steps, so that little is lost before the damage
+            try:
+                parts.append(z.decompress(chunk[k : k + 1024]))
+            except zlib.error:
+                return b"".join(parts), None
+            if z.eof:
+                return b"".join(parts), f.tell() - len(chunk) + min(k + 1024, len(chunk)) - len(z.unused_data)
+    return b"".join(parts), f.tell()
 
 
 def search(f, start: int, mark: bytes, good) -> int:
@@ -204,29 +207,45 @@ def understood(fields: dict, block: bytes) -> dict:
     return out | {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload}
 
 
+def records_of(data: bytes, at: int):
+    """Records and gaps of an inflated member that starts at byte at: after a failed check the next version line is searched for."""
+    i = 0
+    while i < len(data):
+        try:
+            fields, block, n = parse(data[i:] if i else data)
+            yield {"start": at, **understood(fields, block)}
+            i += n
+        except ValueError as why:
+            following = data.find(b"\nWARC/1.", i + 1)
+            yield {"start": at, "gap_end": None, "reason": f"{why}, inflated bytes {i} to {following + 1 or len(data)}"}
+            i = following + 1 or len(data)
+
+
 def salvage(f, gzipped: bool):
     """Records and gaps of an archive in order: dicts with start and either a record's fields or gap_end, reason.
 
     At a failed check the reader looks for the next member that opens with a version line (or the next version
-    line of a plain archive), logs the bytes in between as a gap and goes on there.
+    line of a plain archive), logs the bytes in between as a gap and goes on there. Records of a member before and
+    behind a bad one are kept, as are those before the place where a member is damaged.
     """
     at, end = 0, f.seek(0, io.SEEK_END)
     while at < end:
         try:
             if gzipped:
-                got = inflate(f, at)
-                if got is None:
+                data, after = inflate(f, at)
+                found = list(records_of(data, at))
+                if after is None and found and found[-1].get("reason"):
+                    found.pop()  # cut by the damage; the gap below tells of it
+                whole = after is not None
+                for x in found:
+                    yield x | {"gap_end": after if whole else end} if x.get("reason") else x
+                if not whole:
                     raise ValueError("damaged member")
-                data, after = got
-                found, i = [], 0
-                while i < len(data):
-                    fields, block, n = parse(data[i:] if i else data)
-                    found.append(understood(fields, block))
-                    i += n
-                yield from ({"start": at, **x} for x in found)
             else:
                 f.seek(at)
-                data = f.read(WINDOW)
+                data = f.read(HEAD)
+                while b"\r\n\r\n" not in data and len(data) < WINDOW and (more := f.read(HEAD)):
+                    data += more
                 m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data)
                 head = data.find(b"\r\n\r\n")
                 if m and m.start() < head and head + 8 + int(m[1]) > len(data):
@@ -271,10 +290,18 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
     return manifest.select("path").repartition(min(files, 10_000)).mapInArrow(task, out_schema)
 
 
-def pages_of(records: DataFrame) -> DataFrame:
-    """One row a record that could be read: revisits take length and digest from the response they refer to."""
-    rows = records.filter("reason is null").select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
-    rows = materialize(rows)
+def pages_of(records: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """One row a record that could be read: revisits take length and digest from the response they refer to.
+
+    With the manifest of archives that must be whole, RuntimeError if there are gaps or records are missing.
+    """
+    rows = materialize(records.select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "reason"))
+    if manifest is not None:
+        wrote = manifest.agg(F.sum("records")).first()[0] or 0
+        got = rows.agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("read"), F.count("reason").alias("gaps")).first()
+        if got["gaps"] or got["read"] != wrote:
+            raise RuntimeError(f"{wrote} records were written and {got['read']} read, with {got['gaps']} gaps")
+    rows = rows.filter("reason is null").drop("reason")
     named = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
     held = rows.filter("record_type = 'response'").join(named, "page_id", "left_semi")
     held = held.groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("full_bytes"), F.first("payload_digest").alias("full_digest"))
@@ -286,4 +313,4 @@ def pages_of(records: DataFrame) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archives = write(table(spark, sf_dir, "pages"), folder)
-    return pages_of(read(archives, payload=False))
+    return pages_of(read(archives, payload=False), archives)

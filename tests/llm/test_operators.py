@@ -506,6 +506,34 @@ def test_warc_salvage(tmp_path, gzipped):
     assert lost == {*range(begin, later), *range(later + len(parts[3]) + len(parts[4]), len(data))}
 
 
+@pytest.mark.parametrize("bad", ["record", "member"])
+def test_warc_salvages_records_of_one_member(tmp_path, bad):
+    payload = lambda i: random.Random(i).randbytes(3000)
+    parts = [warc.record(i, f"http://x/{i}", payload(i), hashlib.sha256(payload(i)).hexdigest(), None) for i in range(3)]
+    if bad == "record":
+        parts[1] = parts[1].replace(payload(1)[:8], b"damaged!")
+    data = bytearray(warc.member(b"".join(parts)))
+    if bad == "member":
+        data[len(data) // 2] ^= 0xFF
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(bytes(data) + warc.member(warc.record(9, "u", b"last", hashlib.sha256(b"last").hexdigest(), None)))
+    with open(path, "rb") as f:
+        found = list(warc.salvage(f, True))
+    assert [x["page_id"] for x in found if "reason" not in x] == ([0, 2, 9] if bad == "record" else [0, 9])
+    assert sum("reason" in x for x in found) == 1
+
+
+def test_warc_tells_of_missing_records(spark, tmp_path):
+    df, _ = pages(spark)
+    manifest = warc.write(df, str(tmp_path))
+    path = manifest.first()["path"]
+    with open(path, "r+b") as f:
+        f.seek(20)
+        f.write(b"\xff" * 40)
+    with pytest.raises(RuntimeError, match="gaps"):
+        warc.pages_of(warc.read(manifest, payload=False), manifest)
+
+
 # --- 6 Jaccard join ---------------------------------------------------------------------------------
 
 
@@ -734,6 +762,13 @@ def test_ann(spark, n):
     assert ann.search(df.limit(0), df).count() == 0
 
 
+def test_ann_takes_one_length_for_vectors_and_queries(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(1, 40)] + [(i, [1.0, 2.0]) for i in (50, 100, 150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ann.search(df, df.filter("vec_id % 50 = 0")).count() == 0
+    assert {r["query_id"] for r in ann.search(df, df.filter("vec_id % 10 = 0")).collect()} == {10, 20, 30}
+
+
 # --- 10 secrets -------------------------------------------------------------------------------------
 
 
