@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,38 @@ TIERS = {"premier": 2.0, "major": 1.5, "minor": 1.0}
 START, START_RD, START_VOL, MAX_RD = 1500.0, 350.0, 0.06, 350.0
 SCALE, TAU, EPSILON = 173.7178, 1.2, 1e-6
 # The alias spellings of games.
-GAME_ALIASES = {"ql": "Quake Live", "qc": "Quake Champions", "q3": "Quake III Arena", "qw": "QuakeWorld", "q2": "Quake II"}
+GAME_ALIASES = {
+    "ql": "Quake Live",
+    "quakelive": "Quake Live",
+    "qc": "Quake Champions",
+    "quakechampions": "Quake Champions",
+    "cpm": "Quake 3 CPMA",
+    "cpma": "Quake 3 CPMA",
+    "q3": "Quake 3 Arena",
+    "q3a": "Quake 3 Arena",
+    "quake3": "Quake 3 Arena",
+    "q2": "Quake 2",
+    "quake2": "Quake 2",
+    "q4": "Quake 4",
+    "quake4": "Quake 4",
+    "qw": "Quake World",
+    "qworld": "Quake World",
+    "quakeworld": "Quake World",
+    "diabotical": "Diabotical",
+    "dbt": "Diabotical",
+    "br": "Blood Run",
+    "bloodrun": "Blood Run",
+    "ow": "Overwatch",
+    "overwatch": "Overwatch",
+    "ref": "Reflex",
+    "reflex": "Reflex",
+    "unreal": "Unreal Tournament",
+    "ut": "Unreal Tournament",
+    "unrealtournament": "Unreal Tournament",
+    "xon": "Xonotic",
+    "xonotic": "Xonotic",
+}
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def c(x) -> Column:
@@ -180,12 +212,29 @@ def strip_tags(html) -> Column:
     return F.regexp_replace(c(html), r"<[^>]+>", "")
 
 
+def character(code: Column) -> Column:
+    """The character of a code point; null if there is none. 128 to 159 mean Windows-1252, as in browsers."""
+    windows = {i: ord(x) for i in range(128, 160) if (x := bytes([i]).decode("cp1252", "ignore"))}
+    code = F.coalesce(F.create_map(*[F.lit(x) for pair in windows.items() for x in pair])[code], code)
+    text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), text)
+
+
 def unescape(text) -> Column:
-    """The five named entities and decimal or hexadecimal ones of ASCII, ampersand last."""
+    """text with named (HTML 4 and apos), decimal and hexadecimal entities replaced once; unknown ones stay, nbsp is a plain space."""
     out = c(text)
-    for name, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " ")):
-        out = F.replace(out, F.lit(name), F.lit(plain))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    points = name2codepoint | {"apos": 39, "nbsp": 32}
+    names = F.create_map(*[F.lit(x) for pair in points.items() for x in pair])
+
+    def plain(e: Column) -> Column:
+        inner = F.substring(e, F.lit(2), F.char_length(e) - 2)
+        hexed = F.conv(F.substring(inner, F.lit(3), F.char_length(inner)), 16, 10).cast("int")
+        number = F.when(F.rlike(inner, F.lit("^#[xX]")), hexed).when(F.startswith(inner, F.lit("#")), F.substring(inner, F.lit(2), F.char_length(inner)).cast("int")).otherwise(names[inner])
+        return F.coalesce(F.when(number == 160, " ").otherwise(character(number)), e)
+
+    found = F.transform(F.regexp_extract_all(out, F.lit(ENTITY), F.lit(0)), plain)
+    parts = F.zip_with(F.split(out, ENTITY, -1), found, lambda p, e: F.concat(p, F.coalesce(e, F.lit(""))))
+    return F.when(F.rlike(out, F.lit(ENTITY)), F.array_join(parts, "")).otherwise(out)
 
 
 def score_text(s1, s2) -> Column:

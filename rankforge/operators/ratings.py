@@ -147,22 +147,26 @@ def glicko_period(games: DataFrame, state: DataFrame, mode: str = "default") ->
     return per.select("pool", "player_id", rating.alias("rating"), F.least(F.lit(S.MAX_RD), F.col("new_phi") * S.SCALE).alias("rd"), "vol", "n")
 
 
-def glicko2(matches: DataFrame, unit: str = "month", mode: str = "default", state: DataFrame | None = None, first: int = 1, keep: Callable | None = None) -> DataFrame:
+def glicko2(matches: DataFrame, unit: str = "month", mode: str = "default", state: DataFrame | None = None, since: DataFrame | None = None, keep: Callable | None = None) -> DataFrame:
     """The Glicko-2 history: a row for each active player of each period, tagged with the player's last match there.
 
     Pools advance together, each by its own match-bearing periods; only the list of period numbers is known to
     the driver. Every period is a few joins and aggregations over its own players; the state is stored between
-    periods, which cuts the lineage. keep(df) stores a DataFrame and reads it back (default: a table in the shared folder).
+    periods, which cuts the lineage. since (pool, first) says from which of its periods on a pool is computed, all
+    if it is not there; state is what players had before. keep(df) stores a DataFrame and reads it back (default: a table in the shared folder).
     """
     keep = keep or stored
     rows = period_index(rating_input(matches).withColumn("result", S.score_result("player1_score", "player2_score")), unit)
     all_sides = keep(sides_with_period(rows))
     spark = matches.sparkSession
-    last = all_sides.agg(F.max("n")).first()[0] or 0
+    todo = all_sides
+    if since is not None:
+        todo = all_sides.join(since, "pool", "left").filter(F.col("n") >= F.coalesce("first", F.lit(1))).drop("first")
+    span = todo.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
     current = state if state is not None else spark.createDataFrame([], "pool int, player_id long, rating double, rd double, vol double, n int")
     out: list[DataFrame] = []
-    for n in range(first, last + 1):
-        games = all_sides.filter(F.col("n") == n)
+    for n in range(span["lo"] or 1, (span["hi"] or 0) + 1):
+        games = todo.filter(F.col("n") == n)
         new = keep(glicko_period(games, current, mode))
         out.append(new)
         current = keep(current.join(new.select("pool", "player_id"), ["pool", "player_id"], "left_anti").unionByName(new))
@@ -177,16 +181,16 @@ def sides_with_period(rows: DataFrame) -> DataFrame:
 
 
 def glicko2_incremental(history: DataFrame, matches: DataFrame, unit: str = "month", keep: Callable | None = None) -> DataFrame:
-    """The history after more matches: periods before the last processed one stay, it and later ones are computed.
+    """The history after more matches: of each pool, its last processed period and later ones are computed anew.
 
-    history carries n, the period's number; late matches that change earlier periods need a full run.
+    history carries n, the number of a period among those of its pool. Late matches that change earlier periods
+    need a full run.
     """
-    last = history.agg(F.max("n")).first()[0]
-    if last is None:
-        return glicko2(matches, unit, keep=keep)
-    kept = history.filter(F.col("n") < last)
+    last = history.groupBy(F.col("game_id").alias("pool")).agg(F.max("n").alias("first"))
+    kept = history.join(last.withColumnRenamed("pool", "game_id"), "game_id").filter("n < first").select(*history.columns)
     state = kept.groupBy(F.col("game_id").alias("pool"), "player_id").agg(F.max_by(F.struct("rating", "rd", "vol", "n"), "n").alias("s")).select("pool", "player_id", "s.*")
-    return kept.unionByName(glicko2(matches, unit, state=state, first=last, keep=keep))
+    more = glicko2(matches, unit, state=state, since=last, keep=keep)
+    return kept.unionByName(more.select(*kept.columns))
 
 
 def rate_all(matches: DataFrame, tournaments: DataFrame | None = None, unit: str = "month") -> DataFrame:

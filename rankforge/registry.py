@@ -1,5 +1,6 @@
 """All registered queries and their oracles."""
 
+from rankforge.plans import pages  # noqa: F401 - registers its queries
 from rankforge.plans import queries as match_queries
 
 

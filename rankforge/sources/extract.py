@@ -99,7 +99,7 @@ def decide_winner(marker: Column, p1: Column, p2: Column, s1: Column, s2: Column
 
 def matches(pages: DataFrame) -> DataFrame:
     """A row for each page of a played duel (post_id, raw_html)."""
-    x = pages.filter(page_class(F.col("raw_html")) == "match").withColumn("c", content(F.col("raw_html")))
+    x = played(pages).withColumn("c", content(F.col("raw_html")))
     c = F.col("c")
     x = x.withColumn("b", F.slice(F.filter(every(c, PLAYER_BLOCK, 1), lambda b: F.rlike(b, F.lit(PLAYER_LINK))), 1, 2)).withColumn("s", every(c, SCORE, 1).cast("array<int>")).withColumn("w", F.transform(F.slice(every(c, SCORE_CELL), 1, 2), lambda e: e.contains('class="win"')))
     marker = F.when(F.col("w")[0] & ~F.col("w")[1], 1).when(F.col("w")[1] & ~F.col("w")[0], 2).otherwise(0)
@@ -130,8 +130,14 @@ def matches(pages: DataFrame) -> DataFrame:
     )
 
 
+def played(pages: DataFrame) -> DataFrame:
+    """The pages that give a match; a page that is rejected gives no maps or recordings either."""
+    return pages.filter(page_class(F.col("raw_html")) == "match")
+
+
 def match_maps(pages: DataFrame) -> DataFrame:
-    rows = pages.select(F.col("post_id").alias("match_id"), F.posexplode(every(F.coalesce(first(F.col("raw_html"), MAP_TABLE), F.lit("")), MAP_ROW)).alias("map_index", "r"))
+    """The maps of matches, numbered by those with two scores."""
+    rows = played(pages).select(F.col("post_id").alias("match_id"), F.posexplode(every(F.coalesce(first(F.col("raw_html"), MAP_TABLE), F.lit("")), MAP_ROW)).alias("map_index", "r"))
     s = every(F.col("r"), MAP_SCORES, 1).cast("array<int>")
     rows = rows.filter(F.size(s) >= 2)
     again = Window.partitionBy("match_id").orderBy("map_index")
@@ -147,7 +153,8 @@ def match_maps(pages: DataFrame) -> DataFrame:
 
 
 def match_vods(pages: DataFrame) -> DataFrame:
-    rows = pages.select(F.col("post_id").alias("match_id"), F.posexplode(every(F.col("raw_html"), VOD_ROW)).alias("vod_index", "r"))
+    """The recordings that pages of matches link to."""
+    rows = played(pages).select(F.col("post_id").alias("match_id"), F.posexplode(every(F.col("raw_html"), VOD_ROW)).alias("vod_index", "r"))
     part = lambda i: F.trim(unescape(F.regexp_extract("r", VOD_PARTS, i)))
     return rows.select("match_id", "vod_index", F.regexp_extract("r", VOD_PARTS, 1).cast("long").alias("vod_post_id"), part(2).alias("label"), part(3).alias("caster"))
 

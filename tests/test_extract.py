@@ -87,6 +87,25 @@ def test_maps_vods_embeds(posts):
     assert [tuple(r) for r in E.vod_embeds(posts).collect()] == [(7, "youtube", "abc_1")]
 
 
+def test_rejected_pages_give_no_maps_or_vods(spark):
+    df = spark.createDataFrame([(1, page(fmt="TDM 4v4", extra=MAPS)), (2, page(s1="", s2="", extra=MAPS))], "post_id long, raw_html string")
+    assert E.match_maps(df).count() == 0 and E.match_vods(df).count() == 0
+
+
+def test_entities_and_aliases(spark):
+    import html
+
+    from rankforge.functions import scalars as S
+
+    texts = ["A&#38;B &#228; &eacute;", "&lt;b&gt; &amp;amp; &#x1F600; &#X41;", "&nosuch; & &;", "", None, "&#150;&#0;x&#55296;", "&apos;&quot;&#39;"]
+    got = [r["u"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(S.unescape("x").alias("u")).collect()]
+    want = [None if x is None else html.unescape(x) for x in texts]
+    want[5] = "–&#0;x&#55296;"  # what is no character stays
+    assert got == want
+    names = spark.createDataFrame([(k, v) for k, v in S.GAME_ALIASES.items()] + [("My Game", "My Game"), (" QL ", "Quake Live")], "a string, g string")
+    assert names.filter(S.resolve_game("a") != F.col("g")).count() == 0 and len(S.GAME_ALIASES) == 29
+
+
 def test_tournaments_and_standings(spark, posts):
     games = spark.createDataFrame([(20, "Quake Live")], "game_id int, name string")
     t = E.tournaments(posts, games).collect()[0]

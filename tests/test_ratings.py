@@ -148,6 +148,17 @@ def test_glicko_equals_scalar_and_incremental_equals_full(spark):
     assert other == pytest.approx({x: v[0] for x, v in mine.items()}, abs=1e-6)
 
 
+def test_glicko_incremental_of_pools_with_different_periods(spark):
+    row = lambda i, game, month: (i, 1 + i % 3, 4 + i % 2, 2, 1, 1 + i % 3, game, "1v1", 1, dt.datetime(2024, month, 3))
+    rows = [row(i, 1, 1 + i % 5) for i in range(20)] + [row(100 + i, 2, 1 + i % 2) for i in range(6)]
+    later = [row(200, 1, 7), row(201, 2, 6), row(202, 3, 6)]
+    columns = "match_id long, player1_id long, player2_id long, player1_score int, player2_score int, winner_id long, game_id int, match_format string, tournament_id long, played_at timestamp"
+    before, after = spark.createDataFrame(rows, columns), spark.createDataFrame(rows + later, columns)
+    first = stored(G.glicko2(before, "month", keep=stored))
+    key = lambda df: {(r["player_id"], r["game_id"], r["n"]): round(r["rating"], 6) for r in df.collect()}
+    assert key(G.glicko2_incremental(first, after, "month", keep=stored)) == key(G.glicko2(after, "month", keep=stored))
+
+
 def test_match_state_and_corrupt_ratings(spark):
     rows = league(60)
     m = spark.createDataFrame(rows, COLUMNS)
