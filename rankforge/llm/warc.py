@@ -234,12 +234,9 @@ def salvage(f, gzipped: bool):
             if gzipped:
                 data, after = inflate(f, at)
                 found = list(records_of(data, at))
-                if after is None and found and found[-1].get("reason"):
-                    found.pop()  # cut by the damage; the gap below tells of it
-                whole = after is not None
-                for x in found:
-                    yield x | {"gap_end": after if whole else end} if x.get("reason") else x
-                if not whole:
+                # of a member that breaks off, the gap below tells of what it lost
+                yield from (x | {"gap_end": after} if x.get("reason") else x for x in found if after is not None or not x.get("reason"))
+                if after is None:
                     raise ValueError("damaged member")
             else:
                 f.seek(at)

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import table, text_buffers
 
-#: Samples in a row of pixels at least, the format's largest side, and its longest copy and distance.
-ROW, SIDE, LONGEST, FARTHEST = 64, 16384, 4096, (1 << 20) - 120
+#: Samples in a row of pixels at least, the format's largest side, and its longest copy.
+ROW, SIDE, LONGEST = 64, 16384, 4096
 #: Shortest copy the writer makes, and its longest prefix code.
-COPY, CODE_BITS = 8, 12
+COPY, CODE_BITS = 8, 11
+#: Samples in which the writer looks for copies.
+BLOCK = 1 << 15
 #: Samples, tokens or bits of a stream that are handled at once, so that memory does not grow with a text's length.
 AT_ONCE = 1 << 20
 # Fixed values of the format.
@@ -141,12 +143,11 @@ def copies(px: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(px) - COPY + 1
     if n < 2:
         return []
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(px, COPY)).view("<u8").ravel()
-    order = np.argsort(keys, kind="stable")
+    keys = np.ndarray((n,), "<u8", np.ascontiguousarray(px), strides=(1,))
+    order = np.argsort((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     back = np.zeros(n, np.int64)
     same = keys[order[1:]] == keys[order[:-1]]
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
-    back[back > FARTHEST] = 0
     begin = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
     ends = np.concatenate([begin[1:], [n]])
     some = back[begin] > 0
@@ -184,7 +185,7 @@ def put_pixels(bits: Bits, green: np.ndarray, alpha: int, main: bool) -> np.ndar
     bits.put(0, 1)  # no colour cache: a pixel of one sample is no longer than its place in a cache
     if main:
         bits.put(0, 1)  # one group of codes
-    found = [(k + i, n, d) for k in range(0, len(green), AT_ONCE) for i, n, d in copies(green[k : k + AT_ONCE])]
+    found = [(k + i, n, d) for k in range(0, len(green), BLOCK) for i, n, d in copies(green[k : k + BLOCK])]
     place, size, back = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
     inside = np.zeros(len(green) + 1, np.int64)
     np.add.at(inside, place, 1)
@@ -309,6 +310,11 @@ class Reader:
             if self.at > len(self.data) + 64:
                 raise ValueError("the stream ends early")
 
+    def seek(self, at: int) -> None:
+        self.at, self.held, self.n = at // 8, 0, 0
+        if at % 8:
+            self.bits(at % 8)
+
     def position(self) -> int:
         return self.at * 8 - self.n
 
@@ -360,20 +366,26 @@ def read_code(r: Reader, alphabet: int) -> Code:
     for i in range(count):
         own[CODE_LENGTH_ORDER[i]] = triples >> 3 * i & 7
     most = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    code = Code(own)
+    symbols, sizes = (x.tolist() for x in Code(own).table())
+    mask, at = len(symbols) - 1, r.position()
+    ahead, p = int.from_bytes(r.data[at // 8 : at // 8 + 2 * alphabet + 8], "little") >> at % 8, 0  # 14 bits a symbol at most
     s, last = 0, 8
     while s < alphabet and most:
         most -= 1
-        n = code.read(r)
+        n = ahead >> p & mask
+        p, n = p + sizes[n], symbols[n]
         if n < 16:
             lengths[s] = n
             s, last = s + 1, n or last
             continue
-        value, times = (last, 3 + r.bits(2)) if n == 16 else (0, 3 + r.bits(3)) if n == 17 else (0, 11 + r.bits(7))
+        value, least, bits = (last, 3, 2) if n == 16 else (0, 3, 3) if n == 17 else (0, 11, 7)
+        times = least + (ahead >> p & (1 << bits) - 1)
+        p += bits
         if s + times > alphabet:
             raise ValueError("too many code lengths")
         lengths[s : s + times] = [value] * times
         s += times
+    r.seek(at + p)
     return Code(lengths)
 
 
@@ -458,9 +470,7 @@ def tabled_pixels(r: Reader, codes: list[Code], width: int, total: int) -> np.nd
             raise ValueError("the stream ends early")
         raw = data[at // 8 : (at // 8) + AT_ONCE // 8 + 32]
         n = min((len(raw) - 16) * 8, end + 64 - at // 8 * 8)
-        words = np.zeros(len(raw) - 3, np.uint32)
-        for k in range(4):
-            words |= raw[k : len(raw) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+        words = np.ndarray((len(raw) - 3,), "<u4", np.ascontiguousarray(raw), strides=(1,))
         ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at least 25 bits from each bit on
         last = len(ahead) - 1
         taken = lambda p, bits: ahead[np.minimum(p, last)].astype(np.int64) & ((1 << bits) - 1)  # noqa: B023, E731
@@ -484,13 +494,19 @@ def tabled_pixels(r: Reader, codes: list[Code], width: int, total: int) -> np.nd
         code, p = far[0][i], p + far[1][i]
         back = FROM[code] + taken(p, EXTRA[code])
         next_[jump] = p + EXTRA[code]
-        follow, walk, p = next_.tolist(), [], at % 8
-        for _ in range(left):
+        one = np.arange(n + 128, dtype=np.int32)  # what lies behind the window stays where it is
+        one[:n] = next_
+        two = one[one]
+        follow, walk, p = memoryview(two[two]), [], at % 8  # four tokens a step
+        for _ in range(left // 4 + 1):
             if p >= n:
                 break
             walk.append(p)
             p = follow[p]
         walk = np.array(walk)
+        walk = np.stack([walk, one[walk], two[walk], one[two[walk]]], axis=1).ravel()
+        walk = walk[walk < n]
+        p = int(one[walk[-1]])
         which = np.full(n, -1)
         which[jump] = np.arange(len(jump))
         which = which[walk]
@@ -500,7 +516,7 @@ def tabled_pixels(r: Reader, codes: list[Code], width: int, total: int) -> np.nd
         ends = np.cumsum(sizes)
         read = int(np.searchsorted(ends, left)) + 1
         if read <= len(ends):
-            p = follow[int(walk[read - 1])]
+            p = int(one[walk[read - 1]])
             walk, sizes, backs, copy, ends = walk[:read], sizes[:read], backs[:read], copy[:read], ends[:read]
         pick = lambda x: x[walk].astype(np.uint32) if isinstance(x, np.ndarray) else np.uint32(x)  # noqa: B023, E731
         argb = pick(reads[2]) << np.uint32(24) | pick(reads[0]) << np.uint32(16) | symbol[walk].astype(np.uint32) << np.uint32(8) | pick(reads[1])
@@ -528,9 +544,7 @@ def tabled_pixels(r: Reader, codes: list[Code], width: int, total: int) -> np.nd
             source[to] = source[source[to]]
             to = to[source[source[to]] != source[to]]
         value = value[source]
-    r.at, r.held, r.n = at // 8, 0, 0
-    if at % 8:
-        r.bits(at % 8)
+    r.seek(at)
     return value
 
 
