@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ def reversed_bits(n: int) -> np.ndarray:
 
 
 REVERSED = [reversed_bits(n) for n in range(16)]
+_REVERSED = [x.tolist() for x in REVERSED[:12]]
 
 
 class Bits:
@@ -61,21 +63,20 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
         return lengths
     weights = [counts[s] for s in used]
     while True:
-        heap = sorted((w, i) for i, w in enumerate(weights))
-        above, made = [0] * (2 * len(used) - 1), len(used)
-        leaves, inner, i, j = heap, [], 0, 0
+        leaves, inner, i, j = sorted(w << 20 | k for k, w in enumerate(weights)), [], 0, 0
+        above, made, mask = [0] * (2 * len(used) - 1), len(used), (1 << 20) - 1
         for _ in range(len(used) - 1):
             total = 0
             for _ in range(2):  # the lighter of the next leaf and the next joined pair, twice
                 if j >= len(inner) or i < len(leaves) and leaves[i] <= inner[j]:
-                    w, node = leaves[i]
+                    w = leaves[i]
                     i += 1
                 else:
-                    w, node = inner[j]
+                    w = inner[j]
                     j += 1
-                total += w
-                above[node] = made
-            inner.append((total, made))
+                total += w >> 20
+                above[w & mask] = made
+            inner.append(total << 20 | made)
             made += 1
         depth = [0] * made
         for node in range(made - 2, -1, -1):
@@ -93,7 +94,7 @@ def canonical(lengths: list[int]) -> list[int]:
     codes, code, last = [0] * len(lengths), 0, 0
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - last
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
+        codes[s] = _REVERSED[n][code]
         code, last = code + 1, n
     return codes
 
@@ -106,12 +107,9 @@ def put_code(bits: Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits.put(1, 1).put(0, 1).put(1, 1).put(used[0], 8)  # one symbol, no bits
         return np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.int64)
     lengths = code_lengths(counts, CODE_BITS)
-    tokens, at = [], 0  # lengths with runs: (symbol, extra, bits of extra)
-    while at < len(lengths):
-        n, end = lengths[at], at + 1
-        while end < len(lengths) and lengths[end] == n:
-            end += 1
-        left = end - at
+    tokens = []  # lengths with runs: (symbol, extra, bits of extra)
+    for n, run in groupby(lengths):
+        left = len(list(run))
         if n:
             tokens.append((n, 0, 0))
             left -= 1
@@ -120,7 +118,6 @@ def put_code(bits: Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             tokens.append((16, take - 3, 2) if n else (17, take - 3, 3) if take < 11 else (18, take - 11, 7))
             left -= take
         tokens += [(n, 0, 0)] * left
-        at = end
     own = [0] * 19
     for t, *_ in tokens:
         own[t] += 1
@@ -323,13 +320,16 @@ class Code:
     """A canonical prefix code given by the lengths of its symbols."""
 
     def __init__(self, lengths):
+        self._table = None
+        if isinstance(lengths, int):  # a code of this one symbol
+            self.only, self.bits = lengths, 0
+            return
         self.lengths = np.asarray(lengths, dtype=np.int64)
         self.used = np.flatnonzero(self.lengths)
         self.only = int(self.used[0]) if len(self.used) == 1 else None if len(self.used) else 0
         self.bits = 0 if self.only is not None else int(self.lengths.max())
         if self.only is None and (1 << 15 - self.lengths[self.used]).sum() != 1 << 15:
             raise ValueError("the prefix code is not complete")
-        self._table = None
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and their lengths by the next bits of the stream."""
@@ -356,10 +356,10 @@ class Code:
 def read_code(r: Reader, alphabet: int) -> Code:
     lengths = [0] * alphabet
     if r.bits(1):
-        two = r.bits(1)
-        lengths[r.bits(8 if r.bits(1) else 1)] = 1
-        if two:
-            lengths[r.bits(8)] = 1
+        two, first = r.bits(1), r.bits(8 if r.bits(1) else 1)
+        if not two:
+            return Code(first)
+        lengths[first] = lengths[r.bits(8)] = 1
         return Code(lengths)
     own, count = [0] * 19, 4 + r.bits(4)
     triples = r.bits(3 * count)
