@@ -167,13 +167,21 @@ def prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def spread(value: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """The bits of all values, first bit first."""
+    """The bits of all values, first bit first; values have 46 bits at most, so that they fit into 64 when shifted."""
     out = []
     for k in range(0, len(value), AT_ONCE // 8):
-        w = width[k : k + AT_ONCE // 8]
-        token = np.repeat(np.arange(k, k + len(w)), w)
-        shift = np.arange(len(token)) - np.repeat(np.cumsum(w) - w, w)
-        out.append((value[token] >> shift.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
+        v, w = value[k : k + AT_ONCE // 8], width[k : k + AT_ONCE // 8]
+        ends = np.cumsum(w)
+        start = ends - w
+        total = int(ends[-1])
+        words = np.zeros(total // 16 + 5)
+        v, at = v << (start & 15).astype(np.uint64), start >> 4
+        while len(v):  # sixteen bits at a time; no two values share a bit
+            words += np.bincount(at, (v & np.uint64(0xFFFF)).astype(np.float64), minlength=len(words))
+            v = v >> np.uint64(16)
+            more = v > 0
+            v, at = v[more], at[more] + 1
+        out.append(np.unpackbits(words.astype("<u2").view(np.uint8), bitorder="little")[:total])
     return np.concatenate(out) if out else np.zeros(0, np.uint8)
 
 
@@ -507,12 +515,10 @@ def tabled_pixels(r: Reader, codes: list[Code], width: int, total: int) -> np.nd
         walk = np.stack([walk, one[walk], two[walk], one[two[walk]]], axis=1).ravel()
         walk = walk[walk < n]
         p = int(one[walk[-1]])
-        which = np.full(n, -1)
-        which[jump] = np.arange(len(jump))
-        which = which[walk]
-        copy = which >= 0
+        copy = symbol[walk] >= 256
+        which = np.searchsorted(jump, walk[copy])
         sizes, backs = np.ones(len(walk), np.int64), np.zeros(len(walk), np.int64)
-        sizes[copy], backs[copy] = size[which[copy]], back[which[copy]]
+        sizes[copy], backs[copy] = size[which], back[which]
         ends = np.cumsum(sizes)
         read = int(np.searchsorted(ends, left)) + 1
         if read <= len(ends):
