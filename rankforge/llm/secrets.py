@@ -25,10 +25,10 @@ ENCODINGS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", _DIGITS + "ABCDEF"),
     ("base32", r"^[A-Z2-7]+=*$", "234567" + _UPPER),
     ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _UPPER),
-    ("letters", r"^[A-Za-z]+=*$", _UPPER + _LOWER),
+    ("letters", r"^[A-Za-z]+=*$", _UPPER),
     ("base62", r"^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
     ("digits and signs", r"^[0-9+/_=-]+$", _DIGITS + "+/"),
-    ("letters and signs", r"^[A-Za-z+/_=-]+$", _UPPER + _LOWER + "+/"),
+    ("letters and signs", r"^[A-Za-z+/_=-]+$", _UPPER + "+/"),
     ("base64", r"^[0-9A-Za-z+/_=-]+$", _DIGITS + _UPPER + _LOWER + "+/"),
 )
 #: Upper ends of the length bands in which false discoveries are held apart.
@@ -85,6 +85,13 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def split_of(alphabet: str) -> int:
+    """Where an alphabet is cut in two for the runs test: between kinds of symbols next to the middle, or there if all are of one kind."""
+    kind = lambda c: (c.isdigit(), c.isupper(), c.islower())
+    cuts = [i for i in range(1, len(alphabet)) if kind(alphabet[i]) != kind(alphabet[i - 1])]
+    return min(cuts, key=lambda i: abs(i - len(alphabet) / 2), default=len(alphabet) // 2)
+
+
 def scanned(docs: DataFrame, keep_text: bool) -> DataFrame:
     """docs, or just their doc_id, with _base and _cand: (start, end, s, known) of all runs; known ones touch a base span. Stored: texts are scanned once."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -119,7 +126,7 @@ def ordinary(found: DataFrame) -> list[dict]:
         total = sum(map(sum, joint))
         first, second = [sum(row) / total for row in joint], [sum(col) / total for col in zip(*joint)]
         q = [(x + y) / 2 for x, y in zip(first, second)]
-        half = [i >= k / 2 for i in range(k)]
+        half = [i >= split_of(alphabet) for i in range(k)]
         mean = sum(i * x for i, x in enumerate(q))
         spread = sum((i - mean) ** 2 * x for i, x in enumerate(q))
         cov = sum((i - mean) * (j - mean) * n / total for i, row in enumerate(joint) for j, n in enumerate(row))
@@ -132,7 +139,7 @@ def tested(spans: Column, null: list[dict]) -> Column:
     """Candidates (start, end) with encoding and length band (stratum), p-value's bin, and whether they look random.
 
     Three tests of the symbols of the inferred alphabet: chi-squared uniformity by coincidences (pairs of equal
-    symbols), runs about the alphabet's middle, and serial correlation of neighbours. Each is held against both
+    symbols), runs of its two parts, and serial correlation of neighbours. Each is held against both
     hypotheses. Ordinary text (null): p is the chance that text of this encoding and length has so few
     coincidences, so many runs (Chernoff's bound), or neighbours so little related. Random: the two-sided chance
     under even and independent symbols; a run with less than ALPHA does not look random. The least of three
@@ -159,7 +166,7 @@ def tested(spans: Column, null: list[dict]) -> Column:
         x,
         enc=same("enc"),
         band=lambda m: sum((F.when(F.char_length(m["s"]) > end, 1).otherwise(0) for end in BANDS[1:]), F.when(F.char_length(m["s"]) > BANDS[0], 1).otherwise(0)),
-        up=lambda m: F.call_function("translate", m["s"], F.lit(order), by_enc(m, ["".join("1" if c in a and a.index(c) >= len(a) / 2 else "0" for c in order) for *_, a in ENCODINGS])),
+        up=lambda m: F.call_function("translate", m["s"], F.lit(order), by_enc(m, ["".join("1" if c in a and a.index(c) >= split_of(a) else "0" for c in order) for *_, a in ENCODINGS])),
         v=lambda m: F.transform(F.split(m["s"], ""), lambda c: F.instr(m["alphabet"], c).cast("double")),
     )
     keep = {"enc": same("enc"), "band": same("band")}
