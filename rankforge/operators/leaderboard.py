@@ -72,10 +72,20 @@ def count_top(ratings: DataFrame, min_matches: int = 10) -> DataFrame:
 
 
 def ranks(ratings: DataFrame, min_matches: int = 10) -> DataFrame:
-    """Dense rank of every qualifying player in every pool and system, and how many qualify."""
-    rows = ratings.filter(F.col("matches_played") >= min_matches).withColumn("value", ranking_value())
-    by = Window.partitionBy("game_id", "rating_system")
-    return rows.select(*KEY, "value", F.dense_rank().over(by.orderBy(F.col("value").desc())).alias("dense_rank"), F.count("*").over(by).alias("total"))
+    """Dense rank of every qualifying player in every pool and system, and how many qualify.
+
+    Players are ranked within bands of one rating point, so that a pool is dealt over many tasks; a band's ranks
+    begin after the distinct values of the bands above, of which a pool has a few thousand. Nulls come last.
+    """
+    band = F.when(F.isnan("value"), F.lit(1 << 62)).otherwise(F.coalesce(F.floor("value"), F.lit(-1 << 62)))
+    rows = ratings.filter(F.col("matches_played") >= min_matches).withColumn("value", ranking_value()).withColumn("band", band)
+    inside = Window.partitionBy("game_id", "rating_system", "band").orderBy(F.col("value").desc())
+    rows = rows.select(*KEY, "value", "band", F.dense_rank().over(inside).alias("place"))
+    pool = Window.partitionBy("game_id", "rating_system")
+    above = pool.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = rows.groupBy("game_id", "rating_system", "band").agg(F.max("place").alias("values"), F.count("*").alias("n"))
+    bands = bands.select("game_id", "rating_system", "band", F.coalesce(F.sum("values").over(above), F.lit(0)).alias("before"), F.sum("n").over(pool).alias("total"))
+    return rows.join(bands, ["game_id", "rating_system", "band"]).select(*KEY, "value", (F.col("before") + F.col("place")).cast("int").alias("dense_rank"), "total")
 
 
 def most_active(ratings: DataFrame, limit: int = 10) -> DataFrame:

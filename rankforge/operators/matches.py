@@ -10,27 +10,46 @@ from rankforge.operators.players import match_deltas
 from rankforge.operators.relational import last_by, match_order, page, text_match, with_names
 
 
-def filtered(matches: DataFrame, players: DataFrame, tournaments: DataFrame, games: DataFrame, player: str | None = None, player_mode: str = "exact", game: int | None = None, tier: str | None = None, tournament: str | None = None, tournament_mode: str = "partial", since: str | None = None) -> DataFrame:
-    """Matches with names that pass all filters; a player filter takes either side."""
+def selected(matches: DataFrame, players: DataFrame, tournaments: DataFrame, player: str | None = None, player_mode: str = "exact", game: int | None = None, tier: str | None = None, tournament: str | None = None, tournament_mode: str = "partial", since: str | None = None) -> DataFrame:
+    """Matches that pass all filters; a player filter takes either side.
+
+    Names and tiers are filtered in their own tables, of which only the ids meet the matches.
+    """
     rows = matches
     if game is not None:
         rows = rows.filter(F.col("game_id") == game)
     if since is not None:
         rows = rows.filter(F.col("played_at") >= F.lit(since).cast("timestamp"))
-    rows = with_names(rows, players)
-    named = tournaments.select("tournament_id", F.col("name").alias("tournament"), "tier")
-    rows = rows.join(named, "tournament_id", "left").join(F.broadcast(games.select("game_id", F.col("name").alias("game"))), "game_id", "left")
+    if tier is not None or tournament is not None:
+        fit = tournaments if tier is None else tournaments.filter(F.col("tier") == tier)
+        fit = fit if tournament is None else fit.filter(text_match("name", tournament, tournament_mode))
+        rows = rows.join(fit.select("tournament_id"), "tournament_id", "left_semi")
     if player is not None:
-        rows = rows.filter(text_match("player1", player, player_mode) | text_match("player2", player, player_mode))
-    if tier is not None:
-        rows = rows.filter(F.col("tier") == tier)
-    if tournament is not None:
-        rows = rows.filter(text_match("tournament", tournament, tournament_mode))
+        ids = players.filter(text_match("name", player, player_mode)).select("player_id").distinct()
+        for n in (1, 2):
+            rows = rows.join(ids.select(F.col("player_id").alias(f"player{n}_id"), F.lit(True).alias(f"_{n}")), f"player{n}_id", "left")
+        rows = rows.filter(F.col("_1") | F.col("_2")).select(*matches.columns)
+    return rows
+
+
+def named(rows: DataFrame, players: DataFrame, tournaments: DataFrame, games: DataFrame) -> DataFrame:
+    """Matches with the names of their players, tournament and game, the tier and the winner's name."""
+    rows = with_names(rows, players).join(tournaments.select("tournament_id", F.col("name").alias("tournament"), "tier"), "tournament_id", "left")
+    rows = rows.join(F.broadcast(games.select("game_id", F.col("name").alias("game"))), "game_id", "left")  # games are few by nature
     return rows.withColumn("winner", winner_name("player1_id", "player2_id", "winner_id", "player1", "player2"))
 
 
-def recent(rows: DataFrame, limit: int = 20, offset: int = 0, sort: str = "played_at", descending: bool = True) -> DataFrame:
-    return page(rows, match_order(sort, descending), limit, offset)
+def filtered(matches: DataFrame, players: DataFrame, tournaments: DataFrame, games: DataFrame, **filters) -> DataFrame:
+    """Matches with names that pass all filters of `selected`."""
+    return named(selected(matches, players, tournaments, **filters), players, tournaments, games)
+
+
+def recent(matches: DataFrame, players: DataFrame, tournaments: DataFrame, games: DataFrame, limit: int = 20, offset: int = 0, sort: str = "played_at", descending: bool = True, **filters) -> DataFrame:
+    """A page of the matches that pass all filters, with names, which are joined after the page is cut unless it is sorted by them."""
+    rows = selected(matches, players, tournaments, **filters)
+    if sort in matches.columns or sort == "score":
+        return named(page(rows, match_order(sort, descending), limit, offset), players, tournaments, games)
+    return page(named(rows, players, tournaments, games), match_order(sort, descending), limit, offset)
 
 
 def vods_once(vods: DataFrame) -> DataFrame:

@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension is sent to all executors; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
 def latest_by_key(df: DataFrame, keys: Sequence[str], version: Sequence[str | Column]) -> DataFrame:
     """One row a key, that of the last version. version must order the rows of a key fully."""
     order = [F.col(v).desc() if isinstance(v, str) else v for v in version]

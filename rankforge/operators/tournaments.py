@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.operators.players import standings
 from rankforge.operators.relational import last_by, participants
 
+SYSTEMS = ("elo", "glicko2")
+
 
 def overview(tournaments: DataFrame, matches: DataFrame) -> DataFrame:
     """Per tournament: first and last match, matches, distinct players, distinct maps of its list."""
@@ -51,18 +53,23 @@ def player_stats(matches: DataFrame, match_maps: DataFrame) -> DataFrame:
 def rating_deltas(tournaments: DataFrame, matches: DataFrame, history: DataFrame, game: int = 0) -> DataFrame:
     """Per tournament player and system: the last snapshot in its time less the last before it.
 
-    Without an earlier snapshot the change is against the first in the window.
+    Without an earlier snapshot the change is against first_in, then the player's first of all. Snapshots and the
+    beginnings and ends of tournaments are stacked by player: a beginning comes before the snapshots of its
+    instant, an end after them, and each takes the last snapshot so far.
     """
     sides = participants(matches).filter("tournament_id is not null")
     span = sides.groupBy("tournament_id").agg(F.min("played_at").alias("lo"), F.max("played_at").alias("hi"))
-    rows = sides.select("tournament_id", "player_id").distinct().join(span, "tournament_id")
-    rows = rows.join(history.filter(F.col("game_id") == game).select("player_id", "rating_system", "match_id", "played_at", "rating"), "player_id").filter("played_at <= hi")
-    at = F.struct("played_at", "match_id")
-    out = rows.groupBy("tournament_id", "player_id", "rating_system").agg(
-        F.max_by("rating", at).alias("after"),
-        F.max_by(F.when(F.col("played_at") < F.col("lo"), F.col("rating")), F.when(F.col("played_at") < F.col("lo"), at)).alias("prior"),
-        F.min_by(F.when(F.col("played_at") >= F.col("lo"), F.col("rating")), F.when(F.col("played_at") >= F.col("lo"), at)).alias("first_in"),
-    )
+    own = sides.select("tournament_id", "player_id").distinct().join(span, "tournament_id")
+    moment = lambda col, place: F.struct(F.col(col).alias("played_at"), F.lit(place).alias("place"))
+    asked = own.select("player_id", "tournament_id", F.explode(F.array(moment("lo", 0), moment("hi", 2))).alias("m"), F.explode(F.array(*map(F.lit, SYSTEMS))).alias("rating_system"))
+    asked = asked.select("player_id", "rating_system", "m.*", "tournament_id")
+    known = history.filter(F.col("game_id") == game).select("player_id", "rating_system", "played_at", F.lit(1).alias("place"), "match_id", "rating")
+    so_far = Window.partitionBy("player_id", "rating_system").orderBy("played_at", "place", "match_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(known, allowMissingColumns=True)
+    rows = rows.withColumns({"last": F.last("rating", ignorenulls=True).over(so_far), "first": F.first("rating", ignorenulls=True).over(so_far)})
+    at_end = lambda col: F.max(F.when(F.col("place") == 2, F.col(col)))
+    out = rows.filter("tournament_id is not null").groupBy("player_id", "rating_system", "tournament_id").agg(at_end("last").alias("after"), F.max(F.when(F.col("place") == 0, F.col("last"))).alias("prior"), at_end("first").alias("first"))
+    out = out.filter("after is not null").withColumn("first_in", F.when(F.col("prior").isNull(), F.col("first"))).drop("first")
     return out.withColumn("delta", F.col("after") - F.coalesce("prior", "first_in"))
 
 

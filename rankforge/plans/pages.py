@@ -15,7 +15,7 @@ from rankforge.functions import scalars as S
 from rankforge.operators import brackets as B
 from rankforge.operators import ratings as G
 from rankforge.operators import relational as R
-from rankforge.plans.queries import DUEL, ORACLES, at, num, query, ts
+from rankforge.plans.queries import CANON, DUEL, ORACLES, at, num, query, ts
 from rankforge.sources import extract as E
 from rankforge.sources import providers as PV
 from rankforge.sources import store
@@ -258,6 +258,10 @@ ORACLES["g2_elo"] = with_views(FOLD + """, results as (select pool, match_id, pl
  totals as (select pool, match_id, player_id, cast(sum(cast(s = 1 as int)) over w as bigint) as wins, cast(sum(cast(s = 0 as int)) over w as bigint) as losses, count(*) over w as matches_played
   from results window w as (partition by pool, player_id order by played_at, match_id, side rows between unbounded preceding and current row))
  select e.player_id, game_id, e.match_id, round(rating, 4) as rating, wins, losses, matches_played from elo e join totals t on t.pool = game_id and t.match_id = e.match_id and t.player_id = e.player_id""")
+ORACLES["step0_top_by_elo"] = with_views(FOLD + f""", latest as (select e.player_id, max_by(e.rating, (m.played_at, e.match_id)) as rating from elo e join matches m using (match_id) where e.game_id = 0 group by 1),
+ tally as (select player_id, count(*) filter (where r = 1) as wins, count(*) filter (where r = 0) as losses, count(*) as matches_played from (select a as player_id, s as r from duels where pool = 0 union all select b, 1 - s from duels where pool = 0) x group by 1)
+ select cast(row_number() over (order by l.rating desc, l.player_id) as int) as position, l.player_id, c.name, round(l.rating, 4) as rating, 0.0::double as rd, round(l.rating, 4) as value, wins, losses, matches_played
+ from latest l join tally using (player_id) left join ({CANON}) c on c.player_id = l.player_id order by l.rating desc, l.player_id limit 10""")
 EARLY = "match_id % 8 > 0 or played_at < timestamp '1998-01-01 00:00:00'"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -162,12 +163,44 @@ query("r24_sort_matches", "select match_id, player1_score, player2_score from ma
     lambda t: t.matches.orderBy(*R.match_order("score")).limit(40).select("match_id", "player1_score", "player2_score")
 )
 query("r25_count", "select count(*) as n from matches m join tournaments t on m.tournament_id = t.tournament_id where t.tier = 'major'")(
-    lambda t: M.filtered(t.matches, t.players, t.tournaments, t.games, tier="major").agg(F.count("*").alias("n"))
+    lambda t: M.selected(t.matches, t.players, t.tournaments, tier="major").agg(F.count("*").alias("n"))
 )
 query("r26_widths", "select cast(max(strlen(a.name)) as bigint) as player1, cast(max(strlen(b.name)) as bigint) as player2, cast(max(strlen(m.match_format)) as bigint) as match_format from matches m left join players a on a.player_id = m.player1_id left join players b on b.player_id = m.player2_id")(
     lambda t: R.widths(R.with_names(t.matches, t.players), ["player1", "player2", "match_format"])
 )
 
+# Ten rows of each order, with their places; sql maps a column to its DuckDB order without direction.
+
+
+def places(rows: DataFrame, order: Callable[[str, bool], list], columns: list[str], key: str) -> DataFrame:
+    def one(column: str, down: bool) -> DataFrame:
+        page = R.page(rows, order(column, down), 10)
+        place = F.row_number().over(Window.orderBy(*order(column, down)))  # of one page
+        return page.select(F.lit(column).alias("by"), F.lit(down).alias("descending"), place.cast("long").alias("position"), key)
+
+    return reduce(DataFrame.unionByName, [one(c, d) for c in columns for d in (True, False)])
+
+
+def places_sql(rows: str, columns: dict[str, str], key: str, falls: bool = False) -> str:
+    def one(column: str, order: str, down: bool) -> str:
+        way = "desc" if down else "asc"
+        order = ", ".join(f"{x} {way} nulls last" for x in order.split(" | "))
+        return f"select '{column}' as by, {down} as descending, row_number() over (order by {order}, {key} {way if falls else 'asc'}) as position, {key} from {rows} z qualify position <= 10"
+
+    return " union all ".join(one(c, o, d) for c, o in columns.items() for d in (True, False))
+
+
+LEADERS = "(select r.*, n.name, wins / matches_played as win_rate from player_ratings r left join players n using (player_id) where game_id = 0 and rating_system = 'elo')"
+TIER = "case tier when 'premier' then -0 when 'major' then -1 when 'minor' then -2 end"
+query("r22_sort_players_by", places_sql(LEADERS, {"win_rate": "win_rate", "name": "lower(name)", "rating": "rating", "wins": "wins", "losses": "losses", "matches": "matches_played"}, "player_id"))(
+    lambda t: places(t.player_ratings.filter("game_id = 0 and rating_system = 'elo'").join(t.players.select("player_id", "name"), "player_id", "left"), R.player_order, ["win_rate", "name", "rating", "wins", "losses", "matches"], "player_id")
+)
+query("r23_sort_tournaments_by", places_sql("tournaments", {"name": "lower(name)", "tier": TIER, "game_id": "game_id"}, "tournament_id"))(lambda t: places(t.tournaments, R.tournament_order, ["name", "tier", "game_id"], "tournament_id"))
+NAMED_MATCHES = "(select m.*, a.name as player1, t.name as tournament, t.tier from matches m left join players a on a.player_id = m.player1_id left join tournaments t using (tournament_id))"
+query("r24_sort_matches_by", places_sql(NAMED_MATCHES, {"score": "player1_score + player2_score | player1_score", "played_at": "played_at", "tier": TIER, "player1": "lower(player1)", "tournament": "lower(tournament)", "match_format": "match_format"}, "match_id", True))(
+    lambda t: places(M.named(t.matches, t.players, t.tournaments, t.games), R.match_order, ["score", "played_at", "tier", "player1", "tournament", "match_format"], "match_id")
+)
+
 # --- scalar functions -----------------------------------------------------------------------------
 
 RESULT = "case when winner_id = player1_id then 1.0 when winner_id = player2_id then 0.0 when player1_score > player2_score then 1.0 when player2_score > player1_score then 0.0 else 0.5 end"
@@ -304,9 +337,9 @@ query("p20_games", "select g.game_id, g.name, count(m.match_id) as matches, coun
 
 ENRICHED = "(select m.*, a.name as player1, b.name as player2, t.name as tournament, t.tier, g.name as game from matches m left join players a on a.player_id = m.player1_id left join players b on b.player_id = m.player2_id left join tournaments t using (tournament_id) left join games g on g.game_id = m.game_id)"
 query("m1_recent_matches", f"select match_id, player1, player2, tournament, tier, game, {ts('played_at')} from {ENRICHED} e where game_id = 2 and tier = 'premier' order by e.played_at desc, match_id desc limit 50 offset 10")(
-    lambda t: M.recent(M.filtered(t.matches, t.players, t.tournaments, t.games, game=2, tier="premier"), 50, 10).select("match_id", "player1", "player2", "tournament", "tier", "game", at("played_at"))
+    lambda t: M.recent(t.matches, t.players, t.tournaments, t.games, 50, 10, game=2, tier="premier").select("match_id", "player1", "player2", "tournament", "tier", "game", at("played_at"))
 )
-query("m2_count_matches", f"select count(*) as n from {ENRICHED} e where player1 ilike '%#000000001%' or player2 ilike '%#000000001%'")(lambda t: M.filtered(t.matches, t.players, t.tournaments, t.games, player="#000000001", player_mode="partial").agg(F.count("*").alias("n")))
+query("m2_count_matches", f"select count(*) as n from {ENRICHED} e where player1 ilike '%#000000001%' or player2 ilike '%#000000001%'")(lambda t: M.selected(t.matches, t.players, t.tournaments, player="#000000001", player_mode="partial").agg(F.count("*").alias("n")))
 query("m3_match_details", "select m.match_id, count(mm.map_index) as maps, string_agg(coalesce(x.name, 'Unknown'), ',' order by mm.map_index) as names, count(*) filter (where mm.player1_score > mm.player2_score) as first_won from matches m join match_maps mm using (match_id) left join maps x using (map_id) group by 1")(
     lambda t: M.details(t.matches, t.match_maps, t.maps, t.match_vods).filter("maps is not null").select("match_id", F.size("maps").cast("bigint").alias("maps"), F.array_join(F.transform("maps", lambda m: m["map"]), ",").alias("names"), F.size(F.filter("maps", lambda m: m["won"] == 1)).cast("bigint").alias("first_won"))
 )
@@ -320,6 +353,12 @@ query("m7_ratings_before", f"select s.match_id, s.player_id, h.game_id, h.rating
 query("m8_k_before", f"select s.match_id, s.player_id, coalesce(max_by(h.matches_played, (h.played_at, h.match_id)), 0) as matches_before from {SIDES} s left join rating_history h on h.player_id = s.player_id and h.game_id = s.game_id and h.rating_system = 'elo' and h.played_at < s.played_at group by 1, 2")(
     lambda t: M.k_factors_before(t.matches, t.rating_history, t.tournaments).select("match_id", "player_id", "matches_before")
 )
+query("m8_k_factors", f"""select s.match_id, s.player_id, n as matches_before, base as base_k, mult as multiplier, base * mult as k
+ from (select match_id, player_id, n, case when n < 30 then 40.0::double when n <= 100 then 24.0::double else 16.0::double end as base, case lower(tier) when 'premier' then 2.0::double when 'major' then 1.5::double else 1.0::double end as mult
+ from (select s.match_id, s.player_id, any_value(t.tier) as tier, coalesce(max_by(h.matches_played, (h.played_at, h.match_id)), 0) as n from {SIDES} s left join tournaments t using (tournament_id)
+ left join rating_history h on h.player_id = s.player_id and h.game_id = s.game_id and h.rating_system = 'elo' and h.played_at < s.played_at group by 1, 2) x) s""")(
+    lambda t: M.k_factors_before(t.matches, t.rating_history, t.tournaments)
+)
 query("m9_rating_deltas", f"select player_id, game_id, match_id, delta from {DELTA} d where rating_system = 'glicko2'")(lambda t: P.match_deltas(t.rating_history, "glicko2").select("player_id", "game_id", "match_id", "delta"))
 H2H = "select least(player1_id, player2_id) as a, greatest(player1_id, player2_id) as b, {0} from matches m {1} group by 1, 2"
 query("m10_head_to_head", H2H.format(f"count(*) as matches, count(*) filter (where winner_id = least(player1_id, player2_id)) as a_wins, count(*) filter (where winner_id = greatest(player1_id, player2_id)) as b_wins, count(*) filter (where winner_id is null) as draws, count(distinct game_id) as games, {ts('max(played_at)', 'last_match')}", ""))(
@@ -356,7 +395,7 @@ NAMED = f"(select tournament_id, bool_and(player_name <> '') as named from {STAN
 query("t5_status", f"select t.tournament_id, coalesce(schedule_end < timestamp '{NOW}', true) or coalesce(named, false) as over from {SCHED} t left join {NAMED} n using (tournament_id)")(lambda t: T.status(scheduled(t), NOW))
 query("t6_in_progress", f"select t.tournament_id, case when named then false when not named then true else coalesce(schedule_start <= timestamp '{NOW}' and schedule_end >= timestamp '{NOW}', false) end as running from {SCHED} t left join {NAMED} n using (tournament_id)")(lambda t: T.in_progress(scheduled(t), NOW))
 query("t7_tournament_matches", f"select match_id, player1, player2, {ts('played_at')} from {ENRICHED} e where tournament_id = 11 order by e.played_at desc, match_id desc limit 100")(
-    lambda t: M.recent(M.filtered(t.matches.filter("tournament_id = 11"), t.players, t.tournaments, t.games), 100).select("match_id", "player1", "player2", at("played_at"))
+    lambda t: M.recent(t.matches.filter("tournament_id = 11"), t.players, t.tournaments, t.games, 100).select("match_id", "player1", "player2", at("played_at"))
 )
 query("t8_player_stats", f"select a.tournament_id, a.player_id, wins, losses, map_wins, map_losses, frags, deaths from (select tournament_id, player_id, count(*) filter (where winner_id = player_id) as wins, count(*) filter (where winner_id <> player_id) as losses from {SIDES} s where tournament_id is not null group by 1, 2) a left join (select tournament_id, player_id, count(*) filter (where mine > theirs) as map_wins, count(*) filter (where mine < theirs) as map_losses, cast(sum(mine) as bigint) as frags, cast(sum(theirs) as bigint) as deaths from (select s.tournament_id, s.player_id, case when side = 1 then mm.player1_score else mm.player2_score end as mine, case when side = 1 then mm.player2_score else mm.player1_score end as theirs from {SIDES} s join match_maps mm using (match_id) where tournament_id is not null) x group by 1, 2) b using (tournament_id, player_id)")(
     lambda t: T.player_stats(t.matches, t.match_maps).select("tournament_id", "player_id", "wins", "losses", "map_wins", "map_losses", "frags", "deaths")
@@ -421,7 +460,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.top_players(ratings, P.canonical_names(t.players, t.players, t.player_aliases), 0, "elo", 10, 1)
 
 
-query("step0_top_by_elo")(lambda t: flagship(t.spark, t.dir))
+query("step0_top_by_elo")(lambda t: flagship(t.spark, t.dir).withColumns({"rating": F.round("rating", 4), "value": F.round("value", 4)}))
 
 # --- extraction -----------------------------------------------------------------------------------
 
