@@ -25,6 +25,8 @@ CHUNK = re.compile(r"\n| *[^ \n]+| +")
 SPACE = "▁"
 _MASK = 0xFFFFFFFF
 PIECES, NO_MERGE = 1 << 20, 1 << 30
+#: Bits of the hash by which a pair of pieces is looked up.
+SLOT_BITS = 20
 
 
 def load_model(path: str = MODEL) -> dict:
@@ -53,6 +55,24 @@ def load_model(path: str = MODEL) -> dict:
     return {"merges": merges, "ids": singles, "bytes": byte_ids, "texts": texts, "tables": tables}
 
 
+class Grown:
+    """An array that values are added to at its end, in place while there is room."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            self.room = np.concatenate([self.values, np.zeros(2 * size - self.size, self.room.dtype)])
+        self.room[self.size : size] = values
+        self.size = size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Encoder:
     """Segments occurrences of chunks, each by a hash base of its own, over a tree of runs that all of them share.
 
@@ -67,15 +87,30 @@ class Encoder:
         self.key, self.limit = (seed * 1_000_003 + variant) & _MASK, int(dropout * (1 << 24))
         self.known: dict[str, bytes] = {}
         self.tables = model["tables"]
+        # pairs by hash: a pair's number in its slot; a slot that several pairs share is searched instead
+        at = self.slot(self.tables["pairs"])
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[at] = np.arange(len(at))
+        self.crowded = np.bincount(at, minlength=1 << SLOT_BITS) > 1
         self.forget()
 
+    @staticmethod
+    def slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def forget(self) -> None:
         self.roots: dict[str, int] = {}
         self.chunks: list[str] = []
-        none = np.zeros(0, np.int64)
         # a run: its chunk, the run it comes from, the candidate skipped since, its pieces and its merges
-        self.chunk, self.parent, self.via, self.start, self.size, self.first, self.merged = (none for _ in range(7))
-        self.pool, self.made, self.child = np.zeros(0, np.int32), none, none
+        self.held = {name: Grown(np.int32 if name == "pool" else np.int64) for name in ("chunk", "parent", "via", "start", "size", "first", "merged", "pool", "made", "child")}
+        self.add()
+
+    def add(self, **values: np.ndarray) -> None:
+        """Adds values to the columns of the runs, which are then seen under their names."""
+        for name, held in self.held.items():
+            if name in values:
+                held.add(values[name])
+            setattr(self, name, held.values)
 
     def look_up(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids of all these chunks, hashed by the chunk alone."""
@@ -160,9 +195,9 @@ class Encoder:
             parts.append((chunk[own], parent[own], via[own], start, size, first, merged, ids[ids >= 0].astype(np.int32), made[made >= 0]))
             n_runs, n_pool, n_made = n_runs + len(own), n_pool + int(size.sum()), n_made + int(merged.sum())
         if parts:
-            old = (self.chunk, self.parent, self.via, self.start, self.size, self.first, self.merged, self.pool, self.made)
-            self.chunk, self.parent, self.via, self.start, self.size, self.first, self.merged, self.pool, self.made = (np.concatenate(x) for x in zip(old, *parts))
-            self.child = np.concatenate([self.child, np.full(len(self.made) - len(self.child), -1, np.int64)])
+            names = ("chunk", "parent", "via", "start", "size", "first", "merged", "pool", "made")
+            more = dict(zip(names, (np.concatenate(x) for x in zip(*parts))))
+            self.add(**more, child=np.full(len(more["made"]), -1, np.int64))
         return out
 
     def rounds(self, chunks: list[str], sizes: np.ndarray, drops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,13 +237,15 @@ class Encoder:
             width = ids.shape[1] - 1
             columns = np.arange(width)
             move = columns + (columns > best[:, None])
-            ids, place = np.take_along_axis(ids, move, 1), np.take_along_axis(place, move, 1)
+            move += each[:, None] * ids.shape[1]
+            ids, place = ids.take(move), place.take(move)
             if width == 1:
                 result[rows] = -1
                 result[rows, 0] = ids[:, 0]
                 break
             pairs = np.minimum(columns[:-1] + (columns[:-1] >= best[:, None]), width - 1)
-            ranks, merged = np.take_along_axis(ranks, pairs, 1), np.take_along_axis(merged, pairs, 1)
+            pairs += each[:, None] * ranks.shape[1]
+            ranks, merged = ranks.take(pairs), merged.take(pairs)
             for side in (best - 1, best):
                 ok = np.flatnonzero((side >= 0) & (side < width - 1))
                 i = side[ok]
@@ -219,8 +256,14 @@ class Encoder:
         """Priorities and pieces of candidate merges; NO_MERGE where there is none or it is among drops."""
         t = self.tables
         key = left * PIECES + right
-        i = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
-        there = (t["pairs"][i] == key) & (left >= 0) & (right >= 0)
+        slot = self.slot(key)
+        i = self.slots[slot]
+        there = t["pairs"][i] == key
+        again = np.nonzero(self.crowded[slot] & ~there)
+        if len(again[0]):
+            i[again] = np.minimum(np.searchsorted(t["pairs"], key[again]), len(t["pairs"]) - 1)
+            there[again] = t["pairs"][i[again]] == key[again]
+        there &= (left >= 0) & (right >= 0)
         piece = t["pair_ids"][i]
         code = at * PIECES + piece
         for k in range(drops.shape[-1]):
