@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -396,14 +397,13 @@ def decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model)["texts"])
 
     def task(batches):
-        texts = shared.value
+        texts, nothing = pa.array(shared.value, pa.large_binary()), pa.scalar(None, pa.large_binary())
         for batch in batches:
             ids = batch.column("ids")
-            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-            each, null = [], ids.is_null().to_pylist()
-            for k in range(batch.num_rows):
-                each.append(None if null[k] else b"".join([texts[i] for i in values[ends[k] : ends[k + 1]].tolist()])[1:])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(each, pa.binary()).cast(pa.string())], [*names, "decoded"])
+            runs = pa.ListArray.from_arrays(ids.offsets, texts.take(ids.values))
+            joined = pc.binary_slice(pc.binary_join(runs, pa.scalar(b"", pa.large_binary())), 1)
+            decoded = pc.if_else(ids.is_null(), nothing, joined).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], decoded], [*names, "decoded"])
 
     return base.mapInArrow(task, f"{fields + ', ' if fields else ''}decoded string")
 
