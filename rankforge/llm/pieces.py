@@ -397,12 +397,12 @@ def decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model)["texts"])
 
     def task(batches):
-        texts, nothing = pa.array(shared.value, pa.large_binary()), pa.scalar(None, pa.large_binary())
+        texts, nothing = pa.array(shared.value, pa.large_binary()), pa.scalar(None, pa.large_string())
         for batch in batches:
             ids = batch.column("ids")
             runs = pa.ListArray.from_arrays(ids.offsets, texts.take(ids.values))
-            joined = pc.binary_slice(pc.binary_join(runs, pa.scalar(b"", pa.large_binary())), 1)
-            decoded = pc.if_else(ids.is_null(), nothing, joined).cast(pa.string())
+            joined = pc.binary_join(runs, pa.scalar(b"", pa.large_binary())).cast(pa.large_string())
+            decoded = pc.if_else(ids.is_null(), nothing, pc.utf8_slice_codeunits(joined, 1)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], decoded], [*names, "decoded"])
 
     return base.mapInArrow(task, f"{fields + ', ' if fields else ''}decoded string")
