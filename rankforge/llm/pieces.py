@@ -52,7 +52,7 @@ def load_model(path: str = MODEL) -> dict:
     pairs = sorted((singles[p[:k]] * PIECES + singles[p[k:]], i, r) for p, (r, i) in merges.items() for k in range(1, len(p)) if p[:k] in singles and p[k:] in singles)
     order = {r: n for n, r in enumerate(sorted({r for r, _ in merges.values()}))}
     tables = {"points": np.array([c for c, _ in single], np.uint32), "point_ids": np.array([i for _, i in single], np.int64)}
-    tables |= {"pairs": np.array([k for k, *_ in pairs], np.int64), "pair_ids": np.array([i for _, i, _ in pairs], np.int64), "pair_ranks": np.array([order[r] for *_, r in pairs], np.int32)}
+    tables |= {"pairs": np.array([k for k, *_ in pairs], np.int64), "pair_ids": np.array([i for _, i, _ in pairs], np.int32), "pair_ranks": np.array([order[r] for *_, r in pairs], np.int32)}
     return {"merges": merges, "ids": singles, "bytes": byte_ids, "texts": texts, "tables": tables}
 
 
@@ -211,13 +211,13 @@ class Encoder:
         at = np.minimum(np.searchsorted(t["points"], points), len(t["points"]) - 1)
         single = np.where(t["points"][at] == points, t["point_ids"][at], -2)
         width = int(sizes.max())
-        ids = np.full((len(chunks), width), -1, dtype=np.int64)
+        ids = np.full((len(chunks), width), -1, dtype=np.int32)
         ids[np.arange(width) < sizes[:, None]] = single
         fine = ~(ids == -2).any(axis=1)
-        result, made = ids.copy(), np.full((len(chunks), width), -1, dtype=np.int64)
+        result, made = ids.copy(), np.full((len(chunks), width), -1, dtype=np.int64)  # codes need 64 bits
         rows = np.flatnonzero(fine & (sizes > 1))
         ids, drops = ids[rows], drops[rows]
-        place = np.broadcast_to(np.arange(width), ids.shape).copy()
+        place = np.broadcast_to(np.arange(width, dtype=np.int32), ids.shape).copy()
         if not len(rows):
             return result, fine, made
         ranks, merged = self.ranked(ids[:, :-1], ids[:, 1:], place[:, :-1], drops[:, None])
@@ -232,7 +232,7 @@ class Encoder:
                 if not len(rows):
                     break
             each = np.arange(len(rows))
-            made[rows, turn] = place[each, best] * PIECES + merged[each, best]
+            made[rows, turn] = place[each, best].astype(np.int64) * PIECES + merged[each, best]
             turn += 1
             ids[each, best] = merged[each, best]
             width = ids.shape[1] - 1
@@ -256,7 +256,7 @@ class Encoder:
     def ranked(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, drops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Priorities and pieces of candidate merges; NO_MERGE where there is none or it is among drops."""
         t = self.tables
-        key = left * PIECES + right
+        key = left.astype(np.int64) * PIECES + right
         slot = self.slot(key)
         i = self.slots[slot]
         there = t["pairs"][i] == key
@@ -266,7 +266,7 @@ class Encoder:
             there[again] = t["pairs"][i[again]] == key[again]
         there &= (left >= 0) & (right >= 0)
         piece = t["pair_ids"][i]
-        code = at * PIECES + piece
+        code = at.astype(np.int64) * PIECES + piece
         for k in range(drops.shape[-1]):
             there &= code != drops[..., k]
         return np.where(there, t["pair_ranks"][i], NO_MERGE), piece
