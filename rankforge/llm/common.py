@@ -150,8 +150,8 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
 NOT_LETTER = ~((np.arange(256) >= 128) | ((np.arange(256) | 32) >= 97) & ((np.arange(256) | 32) <= 122))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased (A-Z) words of some texts, and the number of words in each."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SEP, values: np.ndarray = _BYTE_LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, and the number of words in each; values: of bytes, as given lower-cased (A-Z)."""
     n = len(data)
     rows = len(offsets) - 1
     if not n:
@@ -166,7 +166,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SE
     if not len(starts):
         return np.zeros(0, np.uint64), counts
     up, down = powers(n)
-    each = _BYTE_LOWER[data]
+    each = values[data]
     each *= up[:n]
     each *= word
     return mix(np.add.reduceat(each, starts) * down[starts]), counts

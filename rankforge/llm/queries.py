@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, katz, langid, mixing, pieces, secrets, toxicity, warc, webp
+from . import ann, jaccard, katz, langid, mixing, periods, pieces, secrets, toxicity, warc, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8,
     "op9_ann_partitions": ann.op9,
     "op10_secret_scan": secrets.op10,
+    "op11_periodic_runs": periods.op11,
 }
 
 ORACLES = {
