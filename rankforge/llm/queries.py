@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, katz, langid, mixing, periods, pieces, secrets, toxicity, warc, webp
+from . import ann, jaccard, katz, langid, mixing, periods, pieces, secrets, substrings, toxicity, warc, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ann_partitions": ann.op9,
     "op10_secret_scan": secrets.op10,
     "op11_periodic_runs": periods.op11,
+    "op13_substring_dedup": substrings.op13,
 }
 
 ORACLES = {
@@ -35,6 +36,16 @@ pairs as (
 edges as (select a, b from pairs union all select b, a from pairs),
 reach as (select doc_id as id, doc_id as c from documents union select e.b, r.c from reach r join edges e on e.a = r.id)
 select s.doc_id, cast(len(g) as bigint) as n_shingles, r.c as component_id from sets s join (select id, min(c) as c from reach group by 1) r on r.id = s.doc_id""",
+    "op13_substring_dedup": """
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+places as (select doc_id, w, len(w) as n, unnest(range(1, len(w) - 18)) as i from words),
+starts as (select doc_id, i, row_number() over (partition by md5(array_to_string(w[i:i + 19], ' ')) order by doc_id, i) > 1 as again from places),
+later as (select doc_id, list(i) as at from starts where again group by doc_id),
+gone as (select doc_id, list_distinct(flatten(list_transform(at, lambda i: range(i, i + 20)))) as g from later),
+kept as (
+  select w.doc_id, len(w.w) as n, coalesce(len(g), 0) as removed, case when g is null then w.w else list_filter(w.w, lambda x, i: not list_contains(g, i)) end as k from words w left join gone using (doc_id))
+select doc_id, cast(n as bigint) as n_words, cast(removed as bigint) as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
 }
 
 
