@@ -17,7 +17,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _P, _SEP, discard, materialize, mix, steps, table, text_buffers, with_values, word_hashes
+from .common import _BYTE, _SEP, discard, materialize, mix, powers, steps, table, text_buffers, with_values, word_hashes
 
 #: Words of a window, and of the anchor that each window has.
 WIDTH, GRAM = 20, 6
@@ -29,14 +29,15 @@ HELD = 1 << 19
 LAST = (1 << 63) - 1
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of every k consecutive words."""
-    n = max(0, len(words) - k + 1)
-    out, power = np.zeros(n, np.uint64), 1
-    for i in range(k):
-        out += words[i : i + n] * np.uint64(power)
-        power = power * _P & 0xFFFFFFFFFFFFFFFF
-    return mix(out)
+def sums_of(words: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words))[0][: len(words)], dtype=np.uint64)])
+
+
+def rolling(sums: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the k words from each of the places at (all that there are), from the running sums of sums_of."""
+    n = max(0, len(sums) - k)
+    down = powers(len(sums))[1]
+    return mix((sums[k:] - sums[:n]) * down[:n] if at is None else (sums[at + k] - sums[at]) * down[at])
 
 
 def windows(counts: np.ndarray, width: int) -> np.ndarray:
@@ -48,7 +49,7 @@ def windows(counts: np.ndarray, width: int) -> np.ndarray:
 
 def anchors_of(words: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all grams and, of each window, the place of its anchor: its gram of the smallest hash, the first of equal ones."""
-    hashes, place = rolling(words, gram), at.copy()
+    hashes, place = rolling(sums_of(words), gram), at.copy()
     for i in range(0, len(at), HELD):
         place[i : i + HELD] += sliding_window_view(hashes, width - gram + 1)[at[i : i + HELD]].argmin(axis=1)
     return hashes, place
@@ -113,6 +114,15 @@ def prefix_lengths(width: int) -> list[int]:
     return [*out, width] if width > 1 else out
 
 
+def held(batch: pa.RecordBatch):
+    """(row of each suffix, its place in words, words, first word of each row) for the stretches of a batch, about HELD words at a time."""
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("words")).to_numpy())])
+    for i, j in steps(offsets, 8 * HELD):
+        words = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("words")[i:j]), np.uint64)
+        counts = np.diff(offsets[i : j + 1]) // 8
+        yield np.repeat(np.arange(i, j), counts), words, np.cumsum(counts) - counts, counts, i
+
+
 def histogram(parts: DataFrame, width: int) -> np.ndarray:
     """How many suffixes each counter of each prefix length has; COUNTERS of them a length, whatever the corpus."""
     lengths = prefix_lengths(width)
@@ -120,11 +130,10 @@ def histogram(parts: DataFrame, width: int) -> np.ndarray:
     def task(batches):
         total = np.zeros((len(lengths), COUNTERS), np.int64)
         for batch in batches:
-            for x in batch.column("words"):
-                words = np.frombuffer(x.as_buffer(), np.uint64)
-                n = len(words) - width + 1
+            for _, words, _, counts, _ in held(batch):
+                at, sums = windows(counts, width), sums_of(words)
                 for k, length in enumerate(lengths):
-                    total[k] += np.bincount((rolling(words[: n + length - 1], length) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                    total[k] += np.bincount((rolling(sums, length, at) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["counter", "n"])
 
@@ -134,13 +143,35 @@ def histogram(parts: DataFrame, width: int) -> np.ndarray:
     return out.reshape(len(lengths), COUNTERS)
 
 
+#: Where a suffix stands.
+PLACE = np.dtype([("oid", "i8"), ("th", "i8"), ("place", "i4")])
+
+
 def record(width: int) -> np.dtype:
-    """A suffix: 16 bits of each of its words, the hash of all, and where it stands."""
-    return np.dtype([("key", f"V{2 * width + 8}"), ("oid", "i8"), ("th", "i8"), ("place", "i4")])
+    """A suffix: a byte of each of its words and the hash of all, and where it stands."""
+    return np.dtype([("key", f"V{width + 8}"), *[(c, PLACE[c]) for c in PLACE.names]])
+
 
+def packed(rows: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+    """(group, packed): the rows of each group as one binary."""
+    order = np.argsort(groups, kind="stable")
+    rows, groups = rows[order], groups[order]
+    cut = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    offsets = pa.array(np.concatenate([cut, [len(rows)]]) * rows.dtype.itemsize, pa.int32()).buffers()[1]
+    binary = pa.Array.from_buffers(pa.binary(), len(cut), [None, offsets, pa.py_buffer(rows.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(groups[cut].astype(np.int64)), binary], ["group", "packed"])
 
-def suffixes(parts: DataFrame, sizes: np.ndarray, width: int) -> DataFrame:
-    """(group, packed) of the suffixes, and (oid, th, places) of those that repeat one of the same task.
+
+def places_of(rows: np.ndarray, shares: int) -> pa.RecordBatch:
+    """The places of rows, dealt over shares by document; these groups are below 0."""
+    own = np.empty(len(rows), PLACE)
+    for c in PLACE.names:
+        own[c] = rows[c]
+    return packed(own, -1 - (mix(own["oid"].view(np.uint64) ^ mix(own["th"].view(np.uint64))) % np.uint64(shares)).astype(np.int64))
+
+
+def suffixes(parts: DataFrame, sizes: np.ndarray, width: int, shares: int) -> DataFrame:
+    """(group, packed) of the suffixes, and of the places of those that repeat one of the same task.
 
     A task sends only the first suffix of each window that it holds, so that a passage of many documents is a record a task.
     """
@@ -148,61 +179,44 @@ def suffixes(parts: DataFrame, sizes: np.ndarray, width: int) -> DataFrame:
     full = sizes > GROUP
     most = 1 + int(sizes[-2][full[-2]].sum() if len(lengths) > 1 else sizes[-1].sum()) // GROUP
 
-    def group_of(h: list[np.ndarray]) -> np.ndarray:
-        out = (h[-1] % np.uint64(most)).astype(np.int64) + (len(lengths) - 1) * COUNTERS
+    def group_of(sums: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        out = (whole % np.uint64(most)).astype(np.int64) + (len(lengths) - 1) * COUNTERS
         for k in range(len(lengths) - 2, -1, -1):
-            counter = (h[k] % np.uint64(COUNTERS)).astype(np.int64)
+            counter = (rolling(sums, lengths[k], at) % np.uint64(COUNTERS)).astype(np.int64)
             out = np.where(full[k][counter], out, counter + k * COUNTERS)
         return out
 
-    def sent(held: list[tuple]):
-        rows, groups = (np.concatenate(c) for c in zip(*held))
-        window = columns_of(rows["key"])[0]
+    def sent(some: list[tuple]):
+        rows, groups, window = (np.concatenate(c) for c in zip(*some))
         order = np.lexsort((rows["place"], rows["th"], rows["oid"], window))
         rows, groups, window = rows[order], groups[order], window[order]
         again = np.concatenate([[False], window[1:] == window[:-1]])
-        yield from places(rows[again & differs(rows, again)])
-        rows, groups = rows[~again], groups[~again]
-        order = np.argsort(groups, kind="stable")
-        rows, groups = rows[order], groups[order]
-        cut = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        offsets = pa.array(np.concatenate([cut, [len(rows)]]) * kind.itemsize, pa.int64()).buffers()[1]
-        packed = pa.Array.from_buffers(pa.large_binary(), len(cut), [None, offsets, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-        yield out(pa.array(groups[cut]), packed, pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.list_(pa.int32())))
-
-    def places(rows):
-        if len(rows):
-            oid, th, lists = by_text(rows)
-            yield out(pa.array(-1 - th % 65536, pa.int64()), pa.nulls(len(oid), pa.binary()), pa.array(oid), pa.array(th), lists)
-
-    def out(*columns):
-        return pa.RecordBatch.from_arrays(list(columns), ["group", "packed", "oid", "th", "places"])
+        later = rows[again & differs(rows, again)]
+        if len(later):
+            yield places_of(later, shares)
+        yield packed(rows[~again], groups[~again])
 
     def task(batches):
-        held, n = [], 0
+        some, n = [], 0
         for batch in batches:
             oid, th, start = (batch.column(c).to_numpy() for c in ("oid", "th", "start"))
-            for r, x in enumerate(batch.column("words")):
-                words = np.frombuffer(x.as_buffer(), np.uint64)
-                for a in range(0, len(words) - width + 1, HELD):
-                    own = words[a : a + HELD + width - 1]
-                    m = len(own) - width + 1
-                    h = [rolling(own[: m + k - 1], k) for k in lengths]
-                    rows = np.empty(m, kind)
-                    key = np.empty((m, 2 * width + 8), np.uint8)
-                    key[:, : 2 * width] = np.ascontiguousarray(sliding_window_view((own >> np.uint64(48)).astype(">u2"), width)).view(np.uint8).reshape(m, 2 * width)
-                    key[:, 2 * width :] = h[-1].view(np.uint8).reshape(m, 8)
-                    rows["key"] = key.view(kind["key"]).ravel()
-                    rows["oid"], rows["th"], rows["place"] = oid[r], th[r], start[r] + a + np.arange(m)
-                    held.append((rows, group_of(h)))
-                    n += m
-                    if n >= HELD:
-                        yield from sent(held)
-                        held, n = [], 0
-        if held:
-            yield from sent(held)
-
-    return parts.mapInArrow(task, "group long, packed binary, oid long, th long, places array<int>")
+            for own, words, begins, counts, i in held(batch):
+                at, sums = windows(counts, width), sums_of(words)
+                own, whole = own[at], rolling(sums, width, at)
+                rows, key = np.empty(len(at), kind), np.empty((len(at), width + 8), np.uint8)
+                key[:, :width] = sliding_window_view((words >> np.uint64(56)).astype(np.uint8), width)[at]
+                key[:, width:] = whole.view(np.uint8).reshape(-1, 8)
+                rows["key"] = key.view(kind["key"]).ravel()
+                rows["oid"], rows["th"], rows["place"] = oid[own], th[own], start[own] + at - begins[own - i]
+                some.append((rows, group_of(sums, at, whole), whole))
+                n += len(at)
+                if n >= HELD:
+                    yield from sent(some)
+                    some, n = [], 0
+        if n:
+            yield from sent(some)
+
+    return parts.mapInArrow(task, "group long, packed binary")
 
 
 def columns_of(key: np.ndarray) -> list[np.ndarray]:
@@ -221,7 +235,7 @@ def differs(rows: np.ndarray, again: np.ndarray) -> np.ndarray:
 
 
 def by_text(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(oid, th, places) of the documents that rows are of."""
+    """(oid, th, places) of the documents that places are of."""
     rows = rows[np.lexsort((rows["place"], rows["th"], rows["oid"]))]
     cut = np.flatnonzero(np.concatenate([[True], (rows["oid"][1:] != rows["oid"][:-1]) | (rows["th"][1:] != rows["th"][:-1])]))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cut, [len(rows)]]).astype(np.int32)), pa.array(rows["place"].astype(np.int32)))
@@ -235,11 +249,10 @@ class Tree:
         order = np.lexsort((rows["place"], rows["th"], rows["oid"], *columns_of(rows["key"])))
         self.leaves, self.width = rows[order], width
         each = np.ascontiguousarray(self.leaves["key"]).view(np.uint8).reshape(len(rows), -1)
-        words = each[:, : 2 * width].copy().view(">u2")
-        unlike = np.concatenate([words[1:] != words[:-1], np.ones((max(0, len(rows) - 1), 1), bool)], axis=1)
+        unlike = np.concatenate([each[1:, :width] != each[:-1, :width], np.ones((max(0, len(rows) - 1), 1), bool)], axis=1)
         self.shared = unlike.argmax(axis=1)
-        whole = (each[1:, 2 * width :] == each[:-1, 2 * width :]).all(axis=1)
-        self.shared[(self.shared == width) & ~whole] = width - 1  # words that only look alike in 16 bits
+        whole = (each[1:, width:] == each[:-1, width:]).all(axis=1)
+        self.shared[(self.shared == width) & ~whole] = width - 1  # words that only look alike in a byte
 
     def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(first leaf, end) of the internal nodes that have so many words or more, the topmost of each branch."""
@@ -267,44 +280,46 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     parts = materialize(stretches(docs.join(again, ["oid", "th"]), width))
     discard(found, counts)
     sizes = histogram(parts, width)
+    shares = 1 + int(sizes[-1].sum()) // HELD
     kind = record(width)
 
-    def task(batches):
-        held: list[np.ndarray] = []
-        group, later, n = None, [], 0
-
-        def solved():
-            return Tree(np.concatenate(held), width).later()
-
-        def out(lists):
-            oid, th, places = lists
-            return pa.RecordBatch.from_arrays([pa.array(oid), pa.array(th), places], ["oid", "th", "places"])
-
+    def runs(batches):
+        """(group, parts of it) of sorted rows."""
+        group, some = None, []
         for batch in batches:
-            known = batch.filter(pc.is_null(batch.column("packed")))
-            if known.num_rows:
-                yield known.select(["oid", "th", "places"])
             for g, x in zip(batch.column("group").to_pylist(), batch.column("packed")):
-                if not x.is_valid:
-                    continue
-                if g != group and held:
-                    later.append(solved())
-                    n += len(later[-1])
-                    held = []
-                    if n > HELD:
-                        yield out(by_text(np.concatenate(later)))
-                        later, n = [], 0
+                if g != group and some:
+                    yield group, some
+                    some = []
                 group = g
-                held.append(np.frombuffer(x.as_buffer(), kind))
-        if held:
-            later.append(solved())
-        if sum(map(len, later)):
-            yield out(by_text(np.concatenate(later)))
-
-    spread = suffixes(parts, sizes, width).repartition("group").sortWithinPartitions("group")
-    near = materialize(spread.mapInArrow(task, "oid long, th long, places array<int>"))
+                some.append(np.frombuffer(x.as_buffer(), PLACE if g < 0 else kind))
+        if some:
+            yield group, some
+
+    def trees(batches):
+        later, n = [], 0
+        for group, some in runs(batches):
+            if group < 0:
+                later += some
+                n += sum(map(len, some))
+            else:
+                later.append(Tree(np.concatenate(some), width).later()[list(PLACE.names)].astype(PLACE))
+                n += len(later[-1])
+            if n >= HELD:
+                yield places_of(np.concatenate(later), shares)
+                later, n = [], 0
+        if n:
+            yield places_of(np.concatenate(later), shares)
+
+    def texts(batches):
+        for _, some in runs(batches):
+            oid, th, lists = by_text(np.concatenate(some))
+            yield pa.RecordBatch.from_arrays([pa.array(oid), pa.array(th), lists], ["oid", "th", "places"])
+
+    grouped = lambda df: df.repartition("group").sortWithinPartitions("group")
+    near = materialize(grouped(suffixes(parts, sizes, width, shares)).mapInArrow(trees, "group long, packed binary"))
     discard(parts)
-    return near.groupBy("oid", "th").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return grouped(near).mapInArrow(texts, "oid long, th long, places array<int>")
 
 
 def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -86,10 +86,10 @@ def test_tree_nodes_are_shared_prefixes():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 3, (300, 4))
     rows = np.zeros(300, substrings.record(4))
-    key = np.zeros((300, 16), np.uint8)
-    key[:, :8] = words.astype(">u2").view(np.uint8).reshape(300, 8)
-    key[:, 8:] = (words @ np.array([27, 9, 3, 1])).astype(np.uint64).view(np.uint8).reshape(300, 8)
-    rows["key"], rows["place"] = key.view("V16").ravel(), np.arange(300)
+    key = np.zeros((300, 12), np.uint8)
+    key[:, :4] = words
+    key[:, 4:] = (words @ np.array([27, 9, 3, 1])).astype(np.uint64).view(np.uint8).reshape(300, 8)
+    rows["key"], rows["place"] = key.view("V12").ravel(), np.arange(300)
     tree = substrings.Tree(rows, 4)
     for depth in (1, 2, 3, 4):
         first, end = tree.nodes(depth)
