@@ -288,7 +288,7 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def pages_of(records: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """One row a record that could be read: revisits take length and digest from the response they refer to.
+    """One row a record that could be read: revisits take their length from the response of the id and digest they refer to.
 
     With the manifest of archives that must be whole, RuntimeError if there are gaps or records are missing.
     """
@@ -299,11 +299,11 @@ def pages_of(records: DataFrame, manifest: DataFrame | None = None) -> DataFrame
         if got["gaps"] or got["read"] != wrote:
             raise RuntimeError(f"{wrote} records were written and {got['read']} read, with {got['gaps']} gaps")
     rows = rows.filter("reason is null").drop("reason")
-    named = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
-    held = rows.filter("record_type = 'response'").join(named, "page_id", "left_semi")
-    held = held.groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("full_bytes"), F.first("payload_digest").alias("full_digest"))
-    revisits = salted_lookup(rows.filter("record_type = 'revisit'").drop("payload_bytes"), held, "refers_to", "page_id")
-    revisits = revisits.select("page_id", F.col("full_bytes").alias("payload_bytes"), F.coalesce("full_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    # an id may have several responses, so the one that a revisit means is named by its digest too
+    means = rows.filter("record_type = 'revisit'").drop("payload_bytes").withColumn("_of", F.concat_ws(":", "refers_to", "payload_digest"))
+    held = rows.filter("record_type = 'response'").withColumn("_of", F.concat_ws(":", "page_id", "payload_digest"))
+    held = held.join(means.select("_of").distinct(), "_of", "left_semi").groupBy("_of").agg(F.first("payload_bytes").alias("payload_bytes"))
+    revisits = salted_lookup(means, held, "_of", "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return rows.filter("record_type = 'response'").select(*revisits.columns).unionByName(revisits)
 
 

@@ -486,6 +486,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.pages_of(warc.read(warc.write(df.limit(0), str(tmp_path / "none")))).count() == 0
 
 
+def test_warc_revisits_of_an_id_with_two_payloads(spark, tmp_path):
+    a, b = "a" * 150, "b" * 190
+    rows = [(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.pages_of(warc.read(warc.write(df, str(tmp_path)), payload=False)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, 150, sha(a), "response", None), (1, 190, sha(b), "response", None), (2, 150, sha(a), "revisit", 1), (3, 190, sha(b), "revisit", 1)]
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("gzipped", [True, False])
 def test_warc_salvage(tmp_path, gzipped):
     parts = [warc.record(i, f"http://x/{i}", (f"payload {i} " * 50).encode(), hashlib.sha256((f"payload {i} " * 50).encode()).hexdigest(), None) for i in range(6)]
