@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 K_NEW, K_MID, K_OLD, NEW_GAMES, MID_GAMES = 40.0, 24.0, 16.0, 30, 100
 TIERS = {"premier": 2.0, "major": 1.5, "minor": 1.0}
 START, START_RD, START_VOL, MAX_RD = 1500.0, 350.0, 0.06, 350.0
-SCALE, TAU, EPSILON = 173.7178, 1.2, 1e-6
+SCALE, TAU = 173.7178, 1.2
+#: Brackets of a root this close end its search: finer than the 1e-6 of the published method, so that engines agree.
+EPSILON = 1e-12
 # The alias spellings of games.
 GAME_ALIASES = {
     "ql": "Quake Live",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import scalars as S
 from rankforge.operators.relational import participants
-from rankforge.sources.store import stored
+from rankforge.sources.store import shared_folder, stored
+
+#: Duels of a pool that one task folds in order; larger pools are swept by all tasks together.
+FOLD = 5_000_000
+#: Rows that a sweep holds, and how far a rating may still move when sweeps end.
+SWEPT, STILL = 500_000, 1e-9
+#: Periods after which the changed states are merged.
+COMPACT = 8
 
 HISTORY = "player_id long, game_id int, rating_system string, match_id long, played_at timestamp, rating double, rd double, vol double, wins long, losses long, matches_played long"
 
@@ -37,63 +44,83 @@ def sides(rows: DataFrame) -> DataFrame:
     return out.select("pool", "match_id", "played_at", "multiplier", "_p.*")
 
 
-def counters(rows: DataFrame) -> DataFrame:
-    """Per pool, match and side: wins, losses and matches up to and with this match."""
+def counters(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Per pool, match and side: wins, losses and matches up to and with this match.
+
+    base: (pool, player_id, wins, losses, matches_played) of what came before rows.
+    """
     w = Window.partitionBy("pool", "player_id").orderBy("played_at", "match_id", "side").rowsBetween(Window.unboundedPreceding, 0)
-    s = sides(rows)
-    return s.withColumns({"wins": F.sum(F.when(F.col("score") == 1.0, 1).otherwise(0)).over(w), "losses": F.sum(F.when(F.col("score") == 0.0, 1).otherwise(0)).over(w), "matches_played": F.count("*").over(w)})
+    out = sides(rows).withColumns({"wins": F.sum(F.when(F.col("score") == 1.0, 1).otherwise(0)).over(w), "losses": F.sum(F.when(F.col("score") == 0.0, 1).otherwise(0)).over(w), "matches_played": F.count("*").over(w)})
+    if base is None:
+        return out
+    names = ("wins", "losses", "matches_played")
+    out = out.join(base.select("pool", "player_id", *[F.col(c).alias(f"_{c}") for c in names]), ["pool", "player_id"], "left")
+    return out.withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in names}).drop(*[f"_{c}" for c in names])
 
 
-def fold_input(rows: DataFrame) -> DataFrame:
+def fold_input(counted: DataFrame) -> DataFrame:
     """A row a match and pool with the K of both sides, from the counters before the match."""
-    n = counters(rows).withColumn("k", S.base_k(F.col("matches_played") - 1) * F.col("multiplier"))
-    both = n.groupBy("pool", "match_id", "played_at").agg(F.max(F.when(F.col("side") == 1, F.col("player_id"))).alias("a"), F.max(F.when(F.col("side") == 2, F.col("player_id"))).alias("b"), F.max(F.when(F.col("side") == 1, F.col("score"))).alias("s"), F.max(F.when(F.col("side") == 1, F.col("k"))).alias("ka"), F.max(F.when(F.col("side") == 2, F.col("k"))).alias("kb"))
-    return both
+    n = counted.withColumn("k", S.base_k(F.col("matches_played") - 1) * F.col("multiplier"))
+    of = lambda side, col: F.max(F.when(F.col("side") == side, F.col(col)))
+    return n.groupBy("pool", "match_id", "played_at").agg(of(1, "player_id").alias("a"), of(2, "player_id").alias("b"), of(1, "score").alias("s"), of(1, "k").alias("ka"), of(2, "k").alias("kb"))
 
 
-def elo(matches: DataFrame, tournaments: DataFrame | None = None, partitions: int = 32) -> DataFrame:
+def elo(matches: DataFrame, tournaments: DataFrame | None = None, fold: int = FOLD) -> DataFrame:
     """The Elo history: two rows a match and pool.
 
-    Pools are folded in parallel, each by one task in time order with the ratings of its players alone in memory;
-    counters and K come from windows.
+    Counters and K come from windows. Pools of at most fold duels are folded by a task each, all at once; larger
+    ones are swept, so that no task holds them.
     """
-    return elo_of(rating_input(matches, tournaments), partitions=partitions)
+    return elo_of(rating_input(matches, tournaments), fold=fold)
 
 
-def elo_incremental(history: DataFrame, matches: DataFrame, tournaments: DataFrame | None = None) -> DataFrame:
+def elo_incremental(history: DataFrame, matches: DataFrame, tournaments: DataFrame | None = None, fold: int = FOLD) -> DataFrame:
     """The history after more matches have come: pools with a late match are folded anew, others go on.
 
-    matches are all matches. A pool goes on from its ratings if all its new matches lie behind its newest rated
-    one; else, or if it is new, it is recomputed. Rows of history that still hold are kept as they are.
+    matches are all matches. A pool goes on from its ratings and counters if all its new matches lie behind its
+    newest rated one; else, or if it is new, it is recomputed. Rows of history that still hold are kept as they are.
     """
     rows = rating_input(matches, tournaments)
-    known = history.filter("rating_system = 'elo'").select(F.col("game_id").alias("pool"), "match_id").distinct()
-    new = rows.join(known, ["pool", "match_id"], "left_anti")
-    high = history.filter("rating_system = 'elo'").groupBy(F.col("game_id").alias("pool")).agg(F.max(F.struct("played_at", "match_id")).alias("high"))
-    late = new.join(high, "pool").filter(F.struct("played_at", "match_id") < F.col("high")).select("pool").distinct()
-    again = elo_of(rows.join(late, "pool", "left_semi"))
-    on = rows.join(late, "pool", "left_anti")
-    state = history.filter("rating_system = 'elo'").groupBy(F.col("game_id").alias("pool"), "player_id").agg(F.max_by("rating", F.struct("played_at", "match_id")).alias("rating"))
-    fresh = on.join(known, ["pool", "match_id"], "left_anti").select("pool", "match_id")
-    more = elo_of(on, state, fresh)
-    kept = history.filter("rating_system = 'elo'").join(late.withColumnRenamed("pool", "game_id"), "game_id", "left_anti")
+    rated = history.filter("rating_system = 'elo'")
+    new = stored(rows.join(rated.select(F.col("game_id").alias("pool"), "match_id").distinct(), ["pool", "match_id"], "left_anti"))
+    high = rated.groupBy(F.col("game_id").alias("pool")).agg(F.max(F.struct("played_at", "match_id")).alias("high"))
+    late = stored(new.join(high, "pool").filter(F.struct("played_at", "match_id") < F.col("high")).select("pool").distinct())
+    again = elo_of(rows.join(late, "pool", "left_semi"), fold=fold)
+    more = elo_of(new.join(late, "pool", "left_anti"), last_states(rated), fold)
+    kept = rated.join(late.withColumnRenamed("pool", "game_id"), "game_id", "left_anti")
     return kept.unionByName(again.select(*kept.columns)).unionByName(more.select(*kept.columns))
 
 
-def elo_of(rows: DataFrame, state: DataFrame | None = None, only: DataFrame | None = None, partitions: int = 32) -> DataFrame:
-    """As elo over given input rows; with state and only, folds those matches from each player's rating in state.
+def last_states(history: DataFrame) -> DataFrame:
+    """(pool, player_id, rating, wins, losses, matches_played) of each player's last row."""
+    last = F.max_by(F.struct("rating", "wins", "losses", "matches_played"), F.struct("played_at", "match_id"))
+    return history.groupBy(F.col("game_id").alias("pool"), "player_id").agg(last.alias("s")).select("pool", "player_id", "s.*")
 
-    A task's fold runs over matches sorted by (pool, played_at, match_id) and holds one pool's ratings.
-    """
-    ordered = fold_input(rows)
-    if only is not None:
-        ordered = ordered.join(only, ["pool", "match_id"], "left_semi")
+
+def elo_of(rows: DataFrame, state: DataFrame | None = None, fold: int = FOLD) -> DataFrame:
+    """As elo over given input rows; state: what players had before them, as last_states gives it."""
+    counted = counters(rows, state)
+    ordered = fold_input(counted)
     for side in ("a", "b"):
         if state is not None:
             ordered = ordered.join(state.select("pool", F.col("player_id").alias(side), F.col("rating").alias(f"start_{side}")), ["pool", side], "left")
         else:
             ordered = ordered.withColumn(f"start_{side}", F.lit(None).cast("double"))
-    ordered = ordered.repartition(partitions, "pool").sortWithinPartitions("pool", "played_at", "match_id")
+    large = [r["pool"] for r in rows.groupBy("pool").count().filter(F.col("count") > fold).select("pool").collect()]  # a row for each fold duels at most
+    rated = folded(ordered.filter(~F.col("pool").isin(large)) if large else ordered)
+    if large:
+        rated = rated.unionByName(swept(ordered.filter(F.col("pool").isin(large))))
+    out = counted.join(rated, ["pool", "match_id"])
+    return out.select("player_id", F.col("pool").alias("game_id"), F.lit("elo").alias("rating_system"), "match_id", "played_at", F.when(F.col("side") == 1, F.col("ra")).otherwise(F.col("rb")).alias("rating"), F.lit(0.0).alias("rd"), F.lit(0.0).alias("vol"), "wins", "losses", "matches_played")
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def folded(ordered: DataFrame) -> DataFrame:
+    """(pool, match_id, ra, rb): each pool folded by one task in order of time; matches stream, the ratings of one pool's players are held."""
+    ordered = ordered.repartition(partitions(ordered), "pool").sortWithinPartitions("pool", "played_at", "match_id")
 
     def task(frames):
         pool, ratings = None, {}
@@ -108,9 +135,64 @@ def elo_of(rows: DataFrame, state: DataFrame | None = None, only: DataFrame | No
                 ratings[a], ratings[b] = out[i] = ra + ka * change, rb - kb * change
             yield pd.DataFrame({"pool": f["pool"], "match_id": f["match_id"], "ra": out[:, 0], "rb": out[:, 1]})
 
-    rated = ordered.select("pool", "match_id", "a", "b", "s", "ka", "kb", "start_a", "start_b").mapInPandas(task, "pool int, match_id long, ra double, rb double")
-    out = counters(rows).join(rated, ["pool", "match_id"])
-    return out.select("player_id", F.col("pool").alias("game_id"), F.lit("elo").alias("rating_system"), "match_id", "played_at", F.when(F.col("side") == 1, F.col("ra")).otherwise(F.col("rb")).alias("rating"), F.lit(0.0).alias("rd"), F.lit(0.0).alias("vol"), "wins", "losses", "matches_played")
+    return ordered.select("pool", "match_id", "a", "b", "s", "ka", "kb", "start_a", "start_b").mapInPandas(task, "pool int, match_id long, ra double, rb double")
+
+
+SIDE = "pool int, match_id long, side int, player_id long, played_at timestamp, k double, score double, start double, before double, after double, moved double"
+
+
+def swept(ordered: DataFrame) -> DataFrame:
+    """(pool, match_id, ra, rb) by sweeps in which all tasks share each pool.
+
+    A sweep takes every player's matches in order against the opponents' ratings of the sweep before; players are
+    dealt over all tasks, which step through them together. A match is right once both players' earlier ones are,
+    so ratings settle from the first matches on, and as a rating moves its opponent's by a small part of its own
+    error only, after some twenty sweeps, however many matches there are. Sweeps end when no rating moves.
+    """
+    side = lambda n, x: F.struct(F.lit(n).alias("side"), F.col(x).alias("player_id"), F.col(f"k{x}").alias("k"), (F.col("s") if n == 1 else 1 - F.col("s")).alias("score"), F.coalesce(f"start_{x}", F.lit(S.START)).alias("start"))
+    rows = ordered.withColumn("_p", F.explode(F.array(side(1, "a"), side(2, "b")))).select("pool", "match_id", "played_at", "_p.*")
+    first = stored(rows.withColumn("before", F.col("start")))
+
+    def steps(f: pd.DataFrame) -> pd.DataFrame:
+        begin = np.flatnonzero(np.concatenate([[True], (f["pool"].to_numpy()[1:] != f["pool"].to_numpy()[:-1]) | (f["player_id"].to_numpy()[1:] != f["player_id"].to_numpy()[:-1])]))
+        length = np.diff(np.concatenate([begin, [len(f)]]))
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        k, score, other, old = (f[c].to_numpy() for c in ("k", "score", "other", "before"))
+        rating, before, after = f["start"].to_numpy()[begin].copy(), np.empty(len(f)), np.empty(len(f))
+        for j in range(int(length[0])):
+            n = int(np.searchsorted(-length, -j))  # players with more than j matches
+            at = begin[:n] + j
+            before[at] = rating[:n]
+            rating[:n] += k[at] * (score[at] - 1.0 / (1.0 + 10.0 ** ((other[at] - rating[:n]) / 400.0)))
+            after[at] = rating[:n]
+        return f[["pool", "match_id", "side", "player_id", "played_at", "k", "score", "start"]].assign(before=before, after=after, moved=np.abs(before - old))
+
+    def sweep(frames):
+        rest = None
+        for f in frames:
+            rest = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            if len(rest) >= SWEPT:
+                last = rest[["pool", "player_id"]].iloc[-1]
+                cut = int((~((rest["pool"] == last["pool"]) & (rest["player_id"] == last["player_id"]))).sum())
+                if cut:
+                    yield steps(rest.iloc[:cut])
+                    rest = rest.iloc[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield steps(rest)
+
+    now = first
+    while True:
+        pair = F.collect_list(F.struct("side", "player_id", "k", "score", "start", "before"))
+        met = now.groupBy("pool", "match_id", "played_at").agg(pair.alias("two"))
+        other = lambda x: F.element_at(F.filter("two", lambda y: y["side"] != x["side"]), 1)["before"]
+        each = met.select("pool", "match_id", "played_at", F.explode(F.transform("two", lambda x: x.withField("other", other(x)))).alias("x")).select("pool", "match_id", "played_at", "x.*")
+        dealt = each.repartition(partitions(each), "pool", "player_id").sortWithinPartitions("pool", "player_id", "played_at", "match_id", "side")
+        now = stored(dealt.mapInPandas(sweep, SIDE))
+        if (now.agg(F.max("moved")).first()[0] or 0.0) <= STILL:
+            break
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("after")))
+    return now.groupBy("pool", "match_id").agg(of(1).alias("ra"), of(2).alias("rb"))
 
 
 def period_index(rows: DataFrame, unit: str) -> DataFrame:
@@ -147,40 +229,141 @@ def glicko_period(games: DataFrame, state: DataFrame, mode: str = "default") ->
     return per.select("pool", "player_id", rating.alias("rating"), F.least(F.lit(S.MAX_RD), F.col("new_phi") * S.SCALE).alias("rd"), "vol", "n")
 
 
-def glicko2(matches: DataFrame, unit: str = "month", mode: str = "default", state: DataFrame | None = None, since: DataFrame | None = None, keep: Callable | None = None) -> DataFrame:
+def volatility(phi, vol, v, delta, tau: float = S.TAU, rounds: int = 40):
+    """As scalars.glicko_volatility, over arrays."""
+    p2, d2, a = phi**2, delta**2, np.log(vol**2)
+
+    def f(x):
+        e = np.exp(x)
+        return e * (d2 - p2 - v - e) / (2.0 * (p2 + v + e) ** 2) - (x - a) / (tau * tau)
+
+    k = np.zeros(len(phi))
+    for i in range(1, rounds + 1):
+        k = np.where((k == i - 1) & (f(a - i * tau) < 0), float(i), k)
+    x, y = a, np.where(d2 > p2 + v, np.log(np.maximum(d2 - p2 - v, 1e-300)), a - (k + 1) * tau)
+    fx, fy = f(x), f(y)
+    for _ in range(rounds):
+        done = np.abs(y - x) <= S.EPSILON
+        if done.all():
+            break
+        z = np.where(done, y, x + (x - y) * fx / np.where(fy != fx, fy - fx, 1.0))
+        fz = f(z)
+        turned = fz * fy <= 0
+        x, fx = np.where(done, x, np.where(turned, y, x)), np.where(done, fx, np.where(turned, fy, fx / 2.0))
+        y, fy = z, np.where(done, fy, fz)
+    return np.exp(x / 2.0)
+
+
+def glicko_folded(todo: DataFrame, state: DataFrame | None, mode: str) -> DataFrame:
+    """(pool, player_id, rating, rd, vol, n): each pool folded by one task, a period a step over arrays.
+
+    A task holds one period's matches and the states of one pool's players.
+    """
+    rows = todo.select("pool", "n", "player_id", "opponent_id", "score")
+    names = ("rating", "rd", "vol", "n")
+    start = state if state is not None else rows.sparkSession.createDataFrame([], STATE)
+    rows = rows.join(start.select("pool", "player_id", *[F.col(c).alias(f"_{c}") for c in names]), ["pool", "player_id"], "left")
+    rows = rows.repartition(partitions(rows), "pool").sortWithinPartitions("pool", "n")
+
+    def period(known: dict, f: pd.DataFrame) -> pd.DataFrame:
+        n = int(f["n"].iloc[0])
+        ids, at = np.unique(np.concatenate([f["player_id"].to_numpy(), f["opponent_id"].to_numpy()]), return_inverse=True)
+        for i, *x in zip(*[f[c].tolist() for c in ("player_id", "_rating", "_rd", "_vol", "_n")]):
+            if i not in known and x[0] == x[0] and x[0] is not None:
+                known[i] = x
+        was = np.array([known.get(i, (S.START, S.START_RD, S.START_VOL, n)) for i in ids.tolist()], float)
+        r, vol = was[:, 0], was[:, 2]
+        rd = np.where([i in known for i in ids.tolist()], np.minimum(S.MAX_RD, np.sqrt(was[:, 1] ** 2 + np.maximum(n - was[:, 3] - 1, 0) * (S.SCALE * vol) ** 2)), S.START_RD)
+        p, o = at[: len(f)], at[len(f) :]
+        g = 1.0 / np.sqrt(1.0 + 3.0 * (rd[o] / S.SCALE) ** 2 / (np.pi**2 if mode == "paper" else 1.0))
+        e = 1.0 / (1.0 + np.exp(-g * (r[p] - r[o]) / S.SCALE))
+        info = np.bincount(p, g * g * e * (1 - e), len(ids))
+        gain = np.bincount(p, g * (f["score"].to_numpy() - e), len(ids))
+        ids, r, rd, vol, info, gain = (x[info > 0] for x in (ids, r, rd, vol, info, gain))
+        phi, v = rd / S.SCALE, 1.0 / info
+        vol = volatility(phi, vol, v, gain / info)
+        phi = 1.0 / np.sqrt(1.0 / (phi**2 + vol**2) + 1.0 / v) if mode == "paper" else np.sqrt(1.0 / (1.0 / phi**2 + 1.0 / v) + vol**2)
+        r, rd = r + S.SCALE * phi**2 * gain, np.minimum(S.MAX_RD, phi * S.SCALE)
+        known.update(zip(ids.tolist(), zip(r.tolist(), rd.tolist(), vol.tolist(), [n] * len(ids))))
+        return pd.DataFrame({"pool": int(f["pool"].iloc[0]), "player_id": ids, "rating": r, "rd": rd, "vol": vol, "n": n})
+
+    def task(frames):
+        pool, known, held = None, {}, []
+        for f in frames:
+            for (own, _), part in f.groupby(["pool", "n"], sort=False):
+                if held and (own, part["n"].iloc[0]) != (held[0]["pool"].iloc[0], held[0]["n"].iloc[0]):
+                    yield period(known, pd.concat(held))
+                    held = []
+                if own != pool:
+                    pool, known = own, {}
+                held.append(part)
+        if held:
+            yield period(known, pd.concat(held))
+
+    return rows.mapInPandas(task, STATE)
+
+
+def glicko2(matches: DataFrame, unit: str = "month", mode: str = "default", state: DataFrame | None = None, since: DataFrame | None = None, keep: Callable | None = None, fold: int = FOLD) -> DataFrame:
     """The Glicko-2 history: a row for each active player of each period, tagged with the player's last match there.
 
-    Pools advance together, each by its own match-bearing periods; only the list of period numbers is known to
-    the driver. Every period is a few joins and aggregations over its own players; the state is stored between
-    periods, which cuts the lineage. since (pool, first) says from which of its periods on a pool is computed, all
-    if it is not there; state is what players had before. keep(df) stores a DataFrame and reads it back (default: a table in the shared folder).
+    Pools of at most fold duels are folded by a task each, all at once; larger ones advance together over all tasks,
+    each by its own match-bearing periods. since (pool, first) says from which of its periods on a pool is computed,
+    all if it is not there; state is what players had before. keep(df) stores a DataFrame and reads it back (default:
+    a table in the shared folder).
     """
     keep = keep or stored
     rows = period_index(rating_input(matches).withColumn("result", S.score_result("player1_score", "player2_score")), unit)
     all_sides = keep(sides_with_period(rows))
-    spark = matches.sparkSession
     todo = all_sides
     if since is not None:
         todo = all_sides.join(since, "pool", "left").filter(F.col("n") >= F.coalesce("first", F.lit(1))).drop("first")
-    span = todo.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
-    current = state if state is not None else spark.createDataFrame([], "pool int, player_id long, rating double, rd double, vol double, n int")
-    out: list[DataFrame] = []
-    for n in range(span["lo"] or 1, (span["hi"] or 0) + 1):
-        games = todo.filter(F.col("n") == n)
-        new = keep(glicko_period(games, current, mode))
-        out.append(new)
-        current = keep(current.join(new.select("pool", "player_id"), ["pool", "player_id"], "left_anti").unionByName(new))
-    states = reduce(DataFrame.unionByName, out) if out else current
+    large = [r["pool"] for r in todo.groupBy("pool").count().filter(F.col("count") > 2 * fold).select("pool").collect()]  # a row for each fold duels at most
+    states = glicko_folded(todo.filter(~F.col("pool").isin(large)) if large else todo, state, mode)
+    if large:
+        states = states.unionByName(glicko_by_period(todo.filter(F.col("pool").isin(large)), state, mode, keep))
     tags = all_sides.groupBy("pool", "player_id", "n").agg(F.max(F.struct("played_at", "match_id", "wins", "losses", "matches_played")).alias("t"))
     return states.join(tags, ["pool", "player_id", "n"]).select("player_id", F.col("pool").alias("game_id"), F.lit("glicko2").alias("rating_system"), "t.match_id", "t.played_at", "rating", "rd", "vol", "t.wins", "t.losses", "t.matches_played", "n")
 
 
+STATE = "pool int, player_id long, rating double, rd double, vol double, n int"
+
+
+def glicko_by_period(todo: DataFrame, state: DataFrame | None, mode: str, keep: Callable) -> DataFrame:
+    """(pool, player_id, rating, rd, vol, n), every period a few joins and aggregations over its own players.
+
+    Only the list of period numbers is known to the driver. A period's states are appended as one partition of a
+    change log, which cuts the lineage; a player's state is the last one in the log, and after COMPACT periods the
+    log so far is merged, so that little is rewritten and little is read.
+    """
+    spark = todo.sparkSession
+    span = todo.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    log = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    merged = state if state is not None else spark.createDataFrame([], STATE)
+    periods = range(span["lo"] or 1, (span["hi"] or 0) + 1)
+    changed: list[int] = []
+
+    def logged(numbers: list[int]) -> DataFrame:
+        return spark.read.schema(STATE).option("basePath", log).parquet(*[f"{log}/n={i}" for i in numbers])
+
+    def last(df: DataFrame) -> DataFrame:
+        return df.groupBy("pool", "player_id").agg(F.max_by(F.struct("rating", "rd", "vol", "n"), "n").alias("s")).select("pool", "player_id", "s.*")
+
+    for n in periods:
+        current = last(merged.unionByName(logged(changed))) if changed else merged
+        if len(changed) >= COMPACT:
+            current = merged = keep(current)
+            changed = []
+        glicko_period(todo.filter(F.col("n") == n), current, mode).drop("n").write.parquet(f"{log}/n={n}")
+        changed.append(n)
+    return logged(list(periods)) if periods else merged
+
+
 def sides_with_period(rows: DataFrame) -> DataFrame:
     n = rows.select("pool", "match_id", "n")
     return counters(rows).join(n, ["pool", "match_id"]).select("pool", "match_id", "played_at", "player_id", "opponent_id", "score", "wins", "losses", "matches_played", "n")
 
 
-def glicko2_incremental(history: DataFrame, matches: DataFrame, unit: str = "month", keep: Callable | None = None) -> DataFrame:
+def glicko2_incremental(history: DataFrame, matches: DataFrame, unit: str = "month", keep: Callable | None = None, fold: int = FOLD) -> DataFrame:
     """The history after more matches: of each pool, its last processed period and later ones are computed anew.
 
     history carries n, the number of a period among those of its pool. Late matches that change earlier periods
@@ -189,7 +372,7 @@ def glicko2_incremental(history: DataFrame, matches: DataFrame, unit: str = "mon
     last = history.groupBy(F.col("game_id").alias("pool")).agg(F.max("n").alias("first"))
     kept = history.join(last.withColumnRenamed("pool", "game_id"), "game_id").filter("n < first").select(*history.columns)
     state = kept.groupBy(F.col("game_id").alias("pool"), "player_id").agg(F.max_by(F.struct("rating", "rd", "vol", "n"), "n").alias("s")).select("pool", "player_id", "s.*")
-    more = glicko2(matches, unit, state=state, since=last, keep=keep)
+    more = glicko2(matches, unit, state=state, since=last, keep=keep, fold=fold)
     return kept.unionByName(more.select(*kept.columns))
 
 

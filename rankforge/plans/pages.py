@@ -15,7 +15,7 @@ from rankforge.functions import scalars as S
 from rankforge.operators import brackets as B
 from rankforge.operators import ratings as G
 from rankforge.operators import relational as R
-from rankforge.plans.queries import CANON, DUEL, ORACLES, at, num, query, ts
+from rankforge.plans.queries import CANON, DUEL, ORACLES, PAIR, at, num, query, ts
 from rankforge.sources import extract as E
 from rankforge.sources import providers as PV
 from rankforge.sources import store
@@ -271,6 +271,16 @@ def _(t):
     return G.elo_incremental(first, t.matches, t.tournaments).select("player_id", "game_id", "match_id", num("rating"))
 
 
+@query("g2_elo_swept")
+def _(t):
+    """The whole history with every pool dealt over all tasks."""
+    out = G.elo(t.matches, t.tournaments, fold=0)
+    return out.select("player_id", "game_id", "match_id", num("rating"), "wins", "losses", "matches_played")
+
+
+ORACLES["g2_elo_swept"] = ORACLES["g2_elo"]
+
+
 @query("g6_glicko2_incremental")
 def _(t):
     last = "played_at < timestamp '1998-06-01 00:00:00'"
@@ -287,6 +297,64 @@ def _(t):
     return G.glicko_period(games, state).select("pool", "player_id", num("rating"), num("rd"), num("vol", 6))
 
 
+# The volatility's root in DuckDB: the same bracket and rounds, for a relation with a, p2, v and d2.
+def likelihood(x: str, m: str = "") -> str:
+    return f"exp({x}) * ({m}d2 - {m}p2 - {m}v - exp({x})) / (2.0 * pow({m}p2 + {m}v + exp({x}), 2)) - (({x}) - {m}a) / (1.2::double * 1.2::double)"
+
+
+def rooted(relation: str) -> str:
+    """The relation with vol."""
+    fall = f"coalesce(list_filter(range(1, 41), lambda i: not ({likelihood('(a - i * 1.2::double)')} < 0))[1] - 1, 40)"
+    top = f"case when d2 > p2 + v then ln(greatest(d2 - p2 - v, 1e-300)) else a - ({fall} + 1) * 1.2::double end"
+    first = f"{{'a': a, 'p2': p2, 'v': v, 'd2': d2, 'x': a, 'y': y0, 'fx': {likelihood('a')}, 'fy': {likelihood('y0')}}}"
+    made = lambda x, y, fx, fy: f"{{'a': m.a, 'p2': m.p2, 'v': m.v, 'd2': m.d2, 'x': {x}, 'y': {y}, 'fx': {fx}, 'fy': {fy}}}"
+    turned = f"case when w * m.fy <= 0 then {made('m.y', 'z', 'm.fy', 'w')} else {made('m.x', 'z', 'm.fx / 2.0', 'w')} end"
+    step = f"case when abs(m.y - m.x) <= 1e-12 then m else list_transform([m.x + (m.x - m.y) * m.fx / (case when m.fy <> m.fx then m.fy - m.fx else 1.0 end)], lambda z: list_transform([{likelihood('z', 'm.')}], lambda w: {turned})[1])[1] end"
+    return f"(select *, exp(list_reduce(list_transform(range(41), lambda i: m0), lambda m, j: {step}).x / 2.0) as vol_new from (select *, {first} as m0 from (select *, {top} as y0 from {relation}) r0) r1)"
+
+
+ORACLES["f7_volatility"] = with_views(f"""select match_id, round(vol_new, 6) as vol from {rooted(f"(select match_id, ln(pow(0.06::double, 2)) as a, pow(da / 173.7178, 2) as p2, 0.5::double + (match_id % 7) / 10.0::double as v, pow((ra - rb) / 200.0, 2) as d2 from ({PAIR}) q)")} f""")
+
+PERIOD_GAMES = f"""duels as (select match_id, played_at, player1_id as a, player2_id as b, pool, case when player1_score > player2_score then 1.0 when player2_score > player1_score then 0.0 else 0.5 end as s
+   from matches m cross join lateral (select unnest([0, m.game_id]) as pool) p where {DUEL}),
+ seats as (select pool, match_id, played_at, 1 as side, a as player_id, b as opponent_id, s from duels union all select pool, match_id, played_at, 2, b, a, 1 - s from duels)"""
+GAIN = "1.0 / sqrt(1.0 + 3.0 * pow(ord / 173.7178, 2))"
+
+
+def updated(games: str) -> str:
+    """New rating, deviation and volatility of each player from games (pool, player_id, s, pr, prd, pv, orr, ord)."""
+    weighed = f"(select *, 1.0 / (1.0 + exp(-g * (pr - orr) / 173.7178)) as e from (select *, {GAIN} as g from {games} g0) g1)"
+    per = f"(select pool, player_id, pr, prd, pv, sum(g * g * e * (1 - e)) as info, sum(g * (s - e)) as gain from {weighed} w group by all)"
+    known = f"(select *, ln(pow(pv, 2)) as a, pow(prd / 173.7178, 2) as p2, 1.0 / info as v, pow(gain / info, 2) as d2 from {per} p)"
+    wide = f"(select *, sqrt(1.0 / (1.0 / p2 + 1.0 / v) + pow(vol_new, 2)) as phi from {rooted(known)} k)"
+    return f"(select pool, player_id, pr + 173.7178 * pow(phi, 2) * gain as r, least(350.0, phi * 173.7178) as rd, vol_new as vol from {wide} x)"
+
+
+ORACLES["f8_glicko_update"] = with_views(f"""with {PERIOD_GAMES},
+ held as (select game_id as pool, player_id, rating, least(350.0, sqrt(pow(rd, 2) + pow(173.7178 * vol, 2))) as rd, vol from player_ratings where rating_system = 'glicko2'),
+ entered as (select s.pool, s.player_id, s.s, coalesce(p.rating, 1500.0) as pr, coalesce(p.rd, 350.0) as prd, coalesce(p.vol, 0.06::double) as pv, coalesce(o.rating, 1500.0) as orr, coalesce(o.rd, 350.0) as ord
+  from seats s left join held p on p.pool = s.pool and p.player_id = s.player_id left join held o on o.pool = s.pool and o.player_id = s.opponent_id)
+ select pool, player_id, round(r, 4) as rating, round(rd, 4) as rd, round(vol, 6) as vol from {updated("entered")} u""")
+
+
+def glicko_sql(unit: str, columns: str) -> str:
+    """All periods of all pools, a period a step, with the state of every player of every pool."""
+    idle = lambda x: f"case when {x}.last is null then 350.0 else least(350.0, sqrt(pow({x}.rd, 2) + greatest({x}.n - {x}.last, 0) * pow(173.7178 * {x}.vol, 2))) end"
+    games = f"(select g.pool, g.player_id, g.s, p.r as pr, {idle('p')} as prd, p.vol as pv, o.r as orr, {idle('o')} as ord from st p join played g on g.pool = p.pool and g.player_id = p.player_id and g.n = p.n + 1 join st o on o.pool = g.pool and o.player_id = g.opponent_id)"
+    return with_views(f"""with recursive {PERIOD_GAMES},
+ periods as (select pool, period, row_number() over (partition by pool order by period) as n from (select distinct pool, date_trunc('{unit}', played_at) as period from duels) d),
+ played as materialized (select s.*, p.n from seats s join periods p on p.pool = s.pool and p.period = date_trunc('{unit}', s.played_at)),
+ st as (select distinct pool, player_id, cast(0 as bigint) as n, cast(1500 as double) as r, cast(350 as double) as rd, cast(0.06 as double) as vol, cast(null as bigint) as last from seats
+  union all select s.pool, s.player_id, s.n + 1, coalesce(u.r, s.r), coalesce(u.rd, s.rd), coalesce(u.vol, s.vol), case when u.r is not null then s.n + 1 else s.last end
+  from st s left join {updated(games)} u on u.pool = s.pool and u.player_id = s.player_id where s.n < (select max(n) from periods)),
+ totals as (select *, cast(sum(cast(s = 1 as int)) over w as bigint) as wins, cast(sum(cast(s = 0 as int)) over w as bigint) as losses, count(*) over w as matches_played
+  from played window w as (partition by pool, player_id order by played_at, match_id, side rows between unbounded preceding and current row)),
+ tags as (select pool, player_id, n, max_by({{'match_id': match_id, 'wins': wins, 'losses': losses, 'matches_played': matches_played}}, (played_at, match_id)) as t from totals group by 1, 2, 3)
+ select player_id, pool as game_id, cast(n as int) as n, t.match_id, round(r, 4) as rating, round(rd, 4) as rd, round(vol, 6) as vol{columns} from st join tags using (pool, player_id, n)""")
+
+
+ORACLES["g4_glicko2"] = glicko_sql("month", ", t.wins, t.losses, t.matches_played")
+ORACLES["g6_glicko2_incremental"] = glicko_sql("year", "")
 query("g12_rate_all", f"select pool as game_id, 'elo' as rating_system, 2 * count(*) as n from (select unnest([0, game_id]) as pool from matches where {DUEL}) m group by 1 union all select game_id, rating_system, n from (select pool as game_id, 'glicko2' as rating_system, count(distinct (player_id, date_trunc('year', played_at))) as n from (select unnest([0, game_id]) as pool, player1_id as player_id, played_at from matches where {DUEL} union all select unnest([0, game_id]), player2_id, played_at from matches where {DUEL}) a group by 1) b")(
     lambda t: G.rate_all(t.matches, t.tournaments, "year").groupBy("game_id", "rating_system").agg(F.count("*").alias("n"))
 )

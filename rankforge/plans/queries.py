@@ -225,7 +225,7 @@ query("f6_glicko_weights", f"select match_id, round(1 / sqrt(1 + 3 * pow(db / 17
     lambda t: rating_pairs(t).select("match_id", num(S.glicko_g("db"), 6, "g"), num(S.glicko_expected("ra", "rb", "db"), 6, "e"))
 )
 query("f7_volatility")(
-    lambda t: rating_pairs(t).select("match_id", S.glicko_volatility(F.col("da") / S.SCALE, F.lit(0.06), F.lit(0.5) + (F.col("match_id") % 7) / 10.0, (F.col("ra") - F.col("rb")) / 200.0).alias("vol"))
+    lambda t: rating_pairs(t).select("match_id", num(S.glicko_volatility(F.col("da") / S.SCALE, F.lit(0.06), F.lit(0.5) + (F.col("match_id") % 7) / 10.0, (F.col("ra") - F.col("rb")) / 200.0), 6, "vol"))
 )
 query("f9_conservative", f"select player_id, game_id, rating_system, {VALUE} as value from player_ratings")(lambda t: t.player_ratings.select(*L.KEY, L.ranking_value().alias("value")))
 query("f10_periods", f"select distinct {ts("date_trunc('week', played_at)", 'week')}, {ts("date_trunc('month', played_at)", 'month')}, strftime(played_at, '%Y-%m') as month_key, strftime(played_at, '%G-W%V') as week_key from matches")(

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,32 +51,39 @@ def got(df):
     return {(r["player_id"], r["match_id"]): (r["rating"], r["matches_played"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_elo_equals_scalar_fold(spark, seed):
+@pytest.mark.parametrize("seed,fold", [(1, G.FOLD), (2, G.FOLD), (1, 0), (2, 90)])
+def test_elo_equals_scalar_fold(spark, seed, fold):
+    """Folded by pool, swept, and both for pools of different sizes."""
     rows = league(seed=seed)
     tiers = spark.createDataFrame([(1, "premier"), (2, "major")], "tournament_id long, tier string")
-    history = G.elo(spark.createDataFrame(rows, COLUMNS).repartition(7), tiers).cache()
+    history = G.elo(spark.createDataFrame(rows, COLUMNS).repartition(7), tiers, fold).cache()
     for pool in (0, 1, 2):
         mine, want = got(history.filter(F.col("game_id") == pool)), scalar_elo(rows, pool, {1: "premier", 2: "major"})
         assert mine.keys() == want.keys()
-        assert all(mine[x][0] == pytest.approx(want[x][0], abs=1e-9) and mine[x][1] == want[x][1] for x in want)
+        assert all(mine[x][0] == pytest.approx(want[x][0], abs=1e-8) and mine[x][1] == want[x][1] for x in want)
+
+
+def test_sweeps_hold_a_part_of_the_players_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(G, "SWEPT", 5)
+    rows = league(60)
+    assert {x: v[0] for x, v in got(G.elo(spark.createDataFrame(rows, COLUMNS), fold=0).filter("game_id = 0")).items()} == pytest.approx({x: v[0] for x, v in scalar_elo(rows, 0).items()}, abs=1e-8)
 
 
 def test_elo_of_nothing(spark):
     assert G.elo(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
-@pytest.mark.parametrize("late", [False, True])
-def test_incremental_equals_full(spark, late):
+@pytest.mark.parametrize("late,fold", [(False, G.FOLD), (True, G.FOLD), (False, 0)])
+def test_incremental_equals_full(spark, late, fold):
     rows = league()
     old = rows[:80]
     new = rows[80:] if not late else rows[80:] + [(999, 1, 2, 3, 0, 1, 1, "1v1", None, dt.datetime(2024, 1, 3))]
     before = stored(G.elo(spark.createDataFrame(old, COLUMNS)))
-    after = G.elo_incremental(before, spark.createDataFrame(old + new, COLUMNS))
+    after = stored(G.elo_incremental(before, spark.createDataFrame(old + new, COLUMNS), fold=fold))
     for pool in (0, 1, 2):
         mine, want = got(after.filter(F.col("game_id") == pool)), scalar_elo(old + new, pool)
         assert mine.keys() == want.keys()
-        assert all(mine[x][0] == pytest.approx(want[x][0], abs=1e-9) for x in want)
+        assert all(mine[x][0] == pytest.approx(want[x][0], abs=1e-8) and mine[x][1] == want[x][1] for x in want)
 
 
 def volatility_residual(phi, vol, v, delta, new):
@@ -133,21 +141,31 @@ def scalar_glicko(rows, pool):
     return {(p, n): x for p, n, *x in out}
 
 
-def test_glicko_equals_scalar_and_incremental_equals_full(spark):
+@pytest.mark.parametrize("fold", [G.FOLD, 0])
+def test_glicko_equals_scalar_and_incremental_equals_full(spark, fold, monkeypatch):
+    monkeypatch.setattr(G, "COMPACT", 1)
     rows = league(150)
     matches = spark.createDataFrame(rows, COLUMNS)
-    full = stored(G.glicko2(matches, "month", keep=stored))
+    full = stored(G.glicko2(matches, "month", keep=stored, fold=fold))
     mine = {(r["player_id"], r["n"]): (r["rating"], r["rd"], r["vol"]) for r in full.filter("game_id = 0").collect()}
     want = scalar_glicko(rows, 0)
     assert mine.keys() == want.keys()
     for x in want:
         assert mine[x] == pytest.approx(tuple(want[x]), abs=1e-3)
     cut = spark.createDataFrame([r for r in rows if r[9] < dt.datetime(2024, 2, 20)], COLUMNS)
-    again = G.glicko2_incremental(stored(G.glicko2(cut, "month", keep=stored)), matches, "month", keep=stored)
+    again = G.glicko2_incremental(stored(G.glicko2(cut, "month", keep=stored, fold=fold)), matches, "month", keep=stored, fold=fold)
     other = {(r["player_id"], r["n"]): r["rating"] for r in again.filter("game_id = 0").collect()}
     assert other == pytest.approx({x: v[0] for x, v in mine.items()}, abs=1e-6)
 
 
+def test_volatility_over_arrays_is_that_of_columns(spark):
+    rng = random.Random(3)
+    cases = [(rng.uniform(0.2, 2.1), rng.uniform(0.03, 1.2), rng.uniform(0.1, 3), rng.uniform(-6, 6)) for _ in range(300)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, phi double, vol double, v double, delta double")
+    want = [r["new"] for r in df.withColumn("new", S.glicko_volatility("phi", "vol", "v", "delta")).orderBy("i").collect()]
+    assert G.volatility(*map(np.array, zip(*cases))).tolist() == pytest.approx(want, rel=1e-9)
+
+
 def test_glicko_incremental_of_pools_with_different_periods(spark):
     row = lambda i, game, month: (i, 1 + i % 3, 4 + i % 2, 2, 1, 1 + i % 3, game, "1v1", 1, dt.datetime(2024, month, 3))
     rows = [row(i, 1, 1 + i % 5) for i in range(20)] + [row(100 + i, 2, 1 + i % 2) for i in range(6)]
