@@ -71,16 +71,22 @@ def details(matches: DataFrame, match_maps: DataFrame, maps: DataFrame, vods: Da
 def ratings_before(matches: DataFrame, history: DataFrame) -> DataFrame:
     """Per match, side, pool and system: the player's last snapshot strictly before the match's time.
 
-    Snapshots and questions are stacked by player, snapshots of an instant after the questions of that instant,
-    and the last snapshot of each pool and system is carried on.
+    Matches and snapshots are stacked by player, snapshots of an instant after the matches of that instant, and one
+    window carries the last snapshot of every pool and system at once, so that no match is repeated for them. Pools are
+    few: the games and all of them together.
     """
     sides = matches.select("match_id", "played_at", F.explode(F.array("player1_id", "player2_id")).alias("player_id"))
-    pools = history.select("player_id", "game_id", "rating_system").distinct()
-    asked = sides.join(pools, "player_id").select("player_id", "game_id", "rating_system", "played_at", F.lit(0).alias("s"), F.col("match_id").alias("asked"), F.lit(None).cast("struct<rating:double,rd:double,matches_played:bigint>").alias("v"), F.lit(0).cast("bigint").alias("m"))
-    known = history.select("player_id", "game_id", "rating_system", "played_at", F.lit(1).alias("s"), F.lit(None).cast("bigint").alias("asked"), F.struct("rating", "rd", F.col("matches_played").cast("bigint").alias("matches_played")).alias("v"), F.col("match_id").alias("m"))
-    w = Window.partitionBy("player_id", "game_id", "rating_system").orderBy("played_at", "s", "m").rowsBetween(Window.unboundedPreceding, 0)
-    out = asked.unionByName(known).withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("asked is not null and v is not null")
-    return out.select(F.col("asked").alias("match_id"), "player_id", "game_id", "rating_system", "v.*")
+    pools = sorted((r[0], r[1]) for r in history.select("game_id", "rating_system").distinct().collect())
+    shape = "struct<rating:double,rd:double,matches_played:bigint>"
+    asked = sides.select("player_id", "played_at", F.lit(0).alias("s"), F.col("match_id").alias("asked"), F.lit(None).cast("bigint").alias("m"), F.lit(None).cast("int").alias("game_id"), F.lit(None).cast("string").alias("rating_system"), F.lit(None).cast(shape).alias("v"))
+    known = history.select("player_id", "played_at", F.lit(1).alias("s"), F.lit(None).cast("bigint").alias("asked"), F.col("match_id").alias("m"), F.col("game_id").cast("int"), "rating_system", F.struct("rating", "rd", F.col("matches_played").cast("bigint").alias("matches_played")).alias("v"))
+    w = Window.partitionBy("player_id").orderBy("played_at", "s", "m").rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda g, system: F.when((F.col("game_id") == g) & (F.col("rating_system") == system), F.col("v"))
+    rows = asked.unionByName(known).withColumns({f"_{i}": F.last(own(g, system), ignorenulls=True).over(w) for i, (g, system) in enumerate(pools)}).filter("asked is not null")
+    last = F.array(*[F.struct(F.lit(g).cast("int").alias("game_id"), F.lit(system).alias("rating_system"), F.col(f"_{i}").alias("v")) for i, (g, system) in enumerate(pools)])
+    if not pools:
+        return sides.limit(0).select("match_id", "player_id", F.lit(0).alias("game_id"), F.lit("").alias("rating_system"), F.lit(0.0).alias("rating"), F.lit(0.0).alias("rd"), F.lit(0).cast("bigint").alias("matches_played"))
+    return rows.select(F.col("asked").alias("match_id"), "player_id", F.explode(last).alias("x")).filter("x.v is not null").select("match_id", "player_id", "x.game_id", "x.rating_system", "x.v.*")
 
 
 def k_factors_before(matches: DataFrame, history: DataFrame, tournaments: DataFrame) -> DataFrame:

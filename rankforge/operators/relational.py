@@ -24,6 +24,13 @@ def text_match(col: str, pattern: str, mode: str = "exact") -> Column:
     return F.col(col).rlike(f"(?i){pattern}")
 
 
+def match_modes(queries: DataFrame, names: DataFrame, col: str = "name") -> DataFrame:
+    """queries (q, ...) with mode: regex if q holds a sign of patterns, exact if it is one of names, else partial."""
+    known = names.select(F.col(col).alias("q"), F.lit(True).alias("_known")).distinct()
+    signs = F.rlike("q", F.lit(r"[\^$*+?|()\[\]{}\\]"))
+    return queries.join(known, "q", "left").withColumn("mode", F.when(signs, "regex").when(F.col("_known"), "exact").otherwise("partial")).drop("_known")
+
+
 def smart_match_mode(names: DataFrame, col: str, query: str) -> str:
     """regex if the query has its marks, exact if it is a known name, else partial."""
     if any(ch in r"^$*+?|()[]{}\\" for ch in query):

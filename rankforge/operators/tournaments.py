@@ -88,12 +88,43 @@ def completed_maplist(tournaments: DataFrame, played: DataFrame) -> DataFrame:
     return out.select("tournament_id", F.concat(listed, F.coalesce(F.array_except("own", listed), F.array().cast("array<string>"))).alias("maplist"))
 
 
-def enriched_standings(tournaments: DataFrame, players: DataFrame, stats: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Standings with the player's country, an unknown mark, match record and Elo change there."""
+def tournament_maps(listed: DataFrame, played: DataFrame, maps: DataFrame) -> DataFrame:
+    """(tournament_id, place, map_id, name, image): the maps on a tournament's page in order, then played ones by id.
+
+    listed: (tournament_id, place, map_id, name, image); played: (tournament_id, map_id); maps: (map_id, name, image).
+    A name is the page's, else that of maps, else 'Unknown'; an image is that of maps, else the page's.
+    """
+    page = listed.groupBy("tournament_id", "map_id").agg(F.min_by(F.struct("name", "image"), "place").alias("page"), F.min("place").alias("at"))
+    both = page.join(played.select("tournament_id", "map_id").distinct(), ["tournament_id", "map_id"], "full")
+    named = both.join(maps.select("map_id", F.col("name").alias("_name"), F.col("image").alias("_image")), "map_id", "left")
+    order = Window.partitionBy("tournament_id").orderBy(F.col("at").asc_nulls_last(), "map_id")
+    return named.select("tournament_id", F.row_number().over(order).alias("place"), "map_id", F.coalesce("page.name", "_name", F.lit("Unknown")).alias("name"), F.coalesce("_image", "page.image").alias("image"))
+
+
+def map_images(asked: DataFrame, maps: DataFrame, by: str = "map_id") -> DataFrame:
+    """asked with the image of each map by id or by name, empty if there is none; a name of several maps takes the smallest id."""
+    known = maps.filter("image is not null and image <> ''")
+    known = known.groupBy("name").agg(F.min_by("image", "map_id").alias("image")) if by == "name" else known.select("map_id", "image")
+    return asked.join(known, by, "left").withColumn("image", F.coalesce("image", F.lit("")))
+
+
+def enriched_standings(tournaments: DataFrame, players: DataFrame, stats: DataFrame, deltas: DataFrame, known: DataFrame) -> DataFrame:
+    """Standings with country, unknown mark, record, both rating changes there, and which columns have data.
+
+    known: player_id of players with matches; others are unknown. Seats without a name have no rating change; seats
+    without matches there have no record. has_matches, has_maps and has_frags tell whether any seat of the
+    tournament has such figures.
+    """
+    change = lambda system: F.max(F.when(F.col("rating_system") == system, F.col("delta"))).alias(f"{system}_delta")
+    both = deltas.groupBy("tournament_id", "player_id").agg(change("elo"), change("glicko2"))
     rows = standings(tournaments).join(players.select("player_id", "country"), "player_id", "left")
-    rows = rows.join(stats.select("tournament_id", "player_id", "wins", "losses"), ["tournament_id", "player_id"], "left")
-    rows = rows.join(deltas.filter("rating_system = 'elo'").select("tournament_id", "player_id", "delta"), ["tournament_id", "player_id"], "left")
-    return rows.withColumn("unknown", F.col("player_name") == "")
+    rows = rows.join(known.select("player_id", F.lit(False).alias("unknown")).distinct(), "player_id", "left").withColumn("unknown", F.coalesce("unknown", F.lit(True)))
+    rows = rows.join(stats.select("tournament_id", "player_id", "wins", "losses", "map_wins", "map_losses", "frags", "deaths"), ["tournament_id", "player_id"], "left").join(both, ["tournament_id", "player_id"], "left")
+    named = F.coalesce(F.col("player_name") != "", F.lit(False))
+    rows = rows.withColumns({c: F.when(named, F.col(c)) for c in ("elo_delta", "glicko2_delta")})
+    own = Window.partitionBy("tournament_id")
+    some = lambda a, b: F.coalesce(F.max((F.coalesce(F.col(a), F.lit(0)) != 0) | (F.coalesce(F.col(b), F.lit(0)) != 0)).over(own), F.lit(False))
+    return rows.withColumns({"has_matches": some("wins", "losses"), "has_maps": some("map_wins", "map_losses"), "has_frags": some("frags", "deaths")})
 
 
 def winners(matches: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ back from them must equal the rows that they were written from.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from rankforge.functions import scalars as S
 from rankforge.operators import brackets as B
 from rankforge.operators import ratings as G
 from rankforge.operators import relational as R
+from rankforge.operators import tournaments as T
 from rankforge.plans.queries import CANON, DUEL, ORACLES, PAIR, at, num, query, ts
 from rankforge.sources import extract as E
 from rankforge.sources import providers as PV
@@ -147,6 +149,60 @@ query("e19_bracket_sources", """select tournament_id, case tournament_id % 5 whe
     lambda t: t.tournaments.select("tournament_id", F.concat(F.lit('<a href="https://'), F.element_at(F.array(text("play.toornament.com/en_US/tournaments/", F.col("tournament_id")), text("shambler.site/a/brackets.php?cup=", F.col("tournament_id")), text("egb.com/cup#/t/cup-", F.col("tournament_id")), text("kuachi.gg/cups/00000000-1111-2222-3333-444444444444/stage/", F.col("tournament_id")), text("example.org/", F.col("tournament_id"))), (F.col("tournament_id") % 5 + 1).cast("int")), F.lit('">')).alias("h")).select("tournament_id", *[x.alias(n) for x, n in zip(E.bracket_source(F.col("h")), ("kind", "ref"))])
 )
 
+# --- dimensions, told piece by piece, the later pages first ---------------------------------------
+
+
+def in_two_turns(facts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The dimension after the facts of every other version, then all of them, have been merged."""
+    facts = store.stored(facts)
+    some = E.latest_columns(facts.filter(F.crc32(F.to_json("at")) % 2 == 0), keys, columns)
+    return E.latest_columns(some.unionByName(E.latest_columns(facts, keys, columns)), keys, columns)
+
+
+query("e23_games_upsert", "select game_id, max_by(name, (played_at, match_id)) as name from (select game_id, played_at, match_id, 'Game ' || game_id || ' ' || (match_id % 11) as name from matches where match_id % 4 > 0) m group by 1")(
+    lambda t: in_two_turns(E.game_facts(t.matches.withColumn("game_name", F.when(F.col("match_id") % 4 > 0, text("Game ", F.col("game_id"), " ", F.col("match_id") % 11)).otherwise(""))), ["game_id"], ["name"]).select("game_id", "name")
+)
+query("e23_maps_upsert", """select map_id, max_by(name, (played_at, match_id, name)) as name, max_by(image, (played_at, match_id, image)) filter (where image is not null) as image
+ from (select map_id, played_at, match_id, 'map ' || map_id || ' ' || (match_id % 7) as name, case when match_id % 5 = 0 then '/maps/' || map_id || '_' || (match_id % 3) end as image from match_maps join matches using (match_id) where map_id > 0 and match_id % 6 > 0) m group by 1""")(
+    lambda t: in_two_turns(E.map_facts(t.match_maps.select("match_id", "map_id", F.when(F.col("match_id") % 6 > 0, text("map ", F.col("map_id"), " ", F.col("match_id") % 7)).otherwise("?").alias("map_name"), F.when(F.col("match_id") % 5 == 0, text("/maps/", F.col("map_id"), "_", F.col("match_id") % 3)).alias("image")), t.matches), ["map_id"], ["name", "image"]).select("map_id", "name", "image")
+)
+query("e23_tournaments_upsert", """select tournament_id, coalesce(p.name, m.name) as name, p.tier, p.game_id, p.maplist from (select tournament_id, max_by(name, (played_at, match_id)) filter (where name is not null) as name
+  from (select tournament_id, played_at, match_id, case when match_id % 5 > 0 then 'Cup ' || stage_name end as name from matches where tournament_id is not null) a group by 1) m
+ full join (select tournament_id, name || ' é' as name, coalesce(tier, 'minor') as tier, game_id, maplist_csv as maplist from tournaments where tournament_id % 3 = 0) p using (tournament_id)""")(
+    lambda t: in_two_turns(
+        E.tournament_facts(t.matches.withColumn("tournament_name", F.when(F.col("match_id") % 5 > 0, text("Cup ", F.col("stage_name"))).otherwise("")), E.tournaments(tournament_pages(t).filter("post_id % 3 = 0"), t.games)), ["tournament_id"], E.TOURNAMENT_COLUMNS
+    ).select("tournament_id", "name", "tier", "game_id", F.array_join("maplist", ",").alias("maplist"))
+)
+
+
+def maplist_pages(t) -> DataFrame:
+    """Tournament pages that list three maps, one of them twice on some pages; every fourth lists none."""
+    number = lambda k: F.pmod(F.col("tournament_id") * k, F.lit(70)) + 1
+    shown = lambda k: text('<span class="map_preview" data-image="/files/images/maps/', number(k), '_p.jpg" data-name="M ', number(k), '">m</span>\n')
+    return t.tournaments.select(F.col("tournament_id").alias("post_id"), F.when(F.col("tournament_id") % 4 > 0, F.concat(shown(7), shown(3), shown(1))).otherwise("<p>none</p>").alias("raw_html"))
+
+
+def pictured(t) -> DataFrame:
+    return t.maps.withColumn("image", F.when(F.col("map_id") % 3 > 0, text("img/", F.col("map_id"))))
+
+
+query("t10_tournament_maps", """with page as (select tournament_id, map_id, min(i) as seat from (select tournament_id, i, (tournament_id * k) % 70 + 1 as map_id from tournaments cross join (values (0, 7), (1, 3), (2, 1)) v(i, k) where tournament_id % 4 > 0) x group by 1, 2),
+ played as (select distinct m.tournament_id, mm.map_id from matches m join match_maps mm using (match_id) where m.tournament_id is not null and mm.map_id is not null),
+ listed as (select tournament_id, map_id, seat from page full join played using (tournament_id, map_id))
+ select tournament_id, cast(row_number() over (partition by tournament_id order by seat nulls last, b.map_id) as int) as place, b.map_id, case when seat is not null then 'M ' || b.map_id else coalesce(x.name, 'Unknown') end as name,
+  case when x.map_id is not null and x.map_id % 3 > 0 then 'img/' || x.map_id when seat is not null then '/files/images/maps/' || b.map_id || '_p.jpg' end as image from listed b left join maps x on x.map_id = b.map_id""")(
+    lambda t: T.tournament_maps(E.listed_maps(maplist_pages(t)), T.played_maps(t.matches, t.match_maps, t.maps), pictured(t)).select("tournament_id", "place", F.col("map_id").cast("bigint").alias("map_id"), "name", "image")
+)
+query("x2_images_by_id", "select distinct mm.map_id, case when x.map_id is not null and x.map_id % 3 > 0 then 'img/' || x.map_id else '' end as image from match_maps mm left join maps x using (map_id) where mm.map_id is not null")(
+    lambda t: T.map_images(t.match_maps.filter("map_id is not null").select("map_id").distinct(), pictured(t)).select("map_id", "image")
+)
+query("x2_images_by_name", "select 'map' || p.player_id as name, coalesce('img/' || min(x.map_id), '') as image from players p left join maps x on x.name = 'map' || p.player_id and x.map_id % 3 > 0 group by 1")(
+    lambda t: T.map_images(t.players.select(text("map", F.col("player_id")).alias("name")), pictured(t), "name").select("name", "image")
+)
+query("f22_map_display", "select match_id, map_index, case when map_id is null then 'Unknown' when map_id % 5 = 0 then 'Unknown' else 'map' || map_id end as name from match_maps")(
+    lambda t: t.match_maps.select("match_id", "map_index", S.map_display(F.when(F.col("map_id") % 5 == 0, "?").otherwise(F.when(F.col("map_id").isNotNull(), text("map", F.col("map_id"))))).alias("name"))
+)
+
 # --- brackets -------------------------------------------------------------------------------------
 
 
@@ -232,11 +288,10 @@ def _(t):
     return back["players"].select("player_id", "name", "country").union(back["matches"].select("match_id", "stage_name", at("played_at")))
 
 
-@query("r4_smart_match_mode", "select * from (values ('Supplier#000000001', 'exact'), ('supplier', 'partial'), ('^Supp', 'regex')) v(q, mode) where exists (select 1 from players)")
-def _(t):
-    asked = [(q, R.smart_match_mode(t.players, "name", q)) for q in ("Supplier#000000001", "supplier", "^Supp")]
-    return t.players.limit(1).select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(m).alias("mode")) for q, m in asked])).alias("x")).select("x.*")
-
+ASKED = "(select player_id, i, case i when 0 then name when 1 then lower(name) when 2 then '^' || name when 3 then substr(name, 1, 8) when 4 then name || '.' else 'no (' || player_id end as q from players cross join (select unnest([0, 1, 2, 3, 4, 5]) as i) x)"
+query("r4_smart_match_mode", f"select player_id, i, case when i in (2, 5) then 'regex' when exists (select 1 from players p where p.name = a.q) then 'exact' else 'partial' end as mode from {ASKED} a")(
+    lambda t: R.match_modes(t.players.select("player_id", F.posexplode(F.array("name", F.lower("name"), text("^", F.col("name")), F.substring("name", 1, 8), text(F.col("name"), "."), text("no (", F.col("player_id")))).alias("i", "q")), t.players).select("player_id", "i", "mode")
+)
 
 # --- ratings --------------------------------------------------------------------------------------
 
@@ -337,11 +392,11 @@ ORACLES["f8_glicko_update"] = with_views(f"""with {PERIOD_GAMES},
  select pool, player_id, round(r, 4) as rating, round(rd, 4) as rd, round(vol, 6) as vol from {updated("entered")} u""")
 
 
-def glicko_sql(unit: str, columns: str) -> str:
+def glicko_body(unit: str, columns: str) -> str:
     """All periods of all pools, a period a step, with the state of every player of every pool."""
     idle = lambda x: f"case when {x}.last is null then 350.0 else least(350.0, sqrt(pow({x}.rd, 2) + greatest({x}.n - {x}.last, 0) * pow(173.7178 * {x}.vol, 2))) end"
     games = f"(select g.pool, g.player_id, g.s, p.r as pr, {idle('p')} as prd, p.vol as pv, o.r as orr, {idle('o')} as ord from st p join played g on g.pool = p.pool and g.player_id = p.player_id and g.n = p.n + 1 join st o on o.pool = g.pool and o.player_id = g.opponent_id)"
-    return with_views(f"""with recursive {PERIOD_GAMES},
+    return f"""with recursive {PERIOD_GAMES},
  periods as (select pool, period, row_number() over (partition by pool order by period) as n from (select distinct pool, date_trunc('{unit}', played_at) as period from duels) d),
  played as materialized (select s.*, p.n from seats s join periods p on p.pool = s.pool and p.period = date_trunc('{unit}', s.played_at)),
  st as (select distinct pool, player_id, cast(0 as bigint) as n, cast(1500 as double) as r, cast(350 as double) as rd, cast(0.06 as double) as vol, cast(null as bigint) as last from seats
@@ -350,16 +405,25 @@ def glicko_sql(unit: str, columns: str) -> str:
  totals as (select *, cast(sum(cast(s = 1 as int)) over w as bigint) as wins, cast(sum(cast(s = 0 as int)) over w as bigint) as losses, count(*) over w as matches_played
   from played window w as (partition by pool, player_id order by played_at, match_id, side rows between unbounded preceding and current row)),
  tags as (select pool, player_id, n, max_by({{'match_id': match_id, 'wins': wins, 'losses': losses, 'matches_played': matches_played}}, (played_at, match_id)) as t from totals group by 1, 2, 3)
- select player_id, pool as game_id, cast(n as int) as n, t.match_id, round(r, 4) as rating, round(rd, 4) as rd, round(vol, 6) as vol{columns} from st join tags using (pool, player_id, n)""")
+ select player_id, pool as game_id, cast(n as int) as n, t.match_id, round(r, 4) as rating, round(rd, 4) as rd, round(vol, 6) as vol{columns} from st join tags using (pool, player_id, n)"""
 
 
-ORACLES["g4_glicko2"] = glicko_sql("month", ", t.wins, t.losses, t.matches_played")
-ORACLES["g6_glicko2_incremental"] = glicko_sql("year", "")
-query("g12_rate_all", f"select pool as game_id, 'elo' as rating_system, 2 * count(*) as n from (select unnest([0, game_id]) as pool from matches where {DUEL}) m group by 1 union all select game_id, rating_system, n from (select pool as game_id, 'glicko2' as rating_system, count(distinct (player_id, date_trunc('year', played_at))) as n from (select unnest([0, game_id]) as pool, player1_id as player_id, played_at from matches where {DUEL} union all select unnest([0, game_id]), player2_id, played_at from matches where {DUEL}) a group by 1) b")(
-    lambda t: G.rate_all(t.matches, t.tournaments, "year").groupBy("game_id", "rating_system").agg(F.count("*").alias("n"))
-)
-query("f18_game_aliases", "select match_id, case match_id % 4 when 0 then 'Quake Live' when 1 then 'Quake 3 CPMA' when 2 then 'Reflex' else 'Other Game' end as game from matches")(
-    lambda t: t.matches.select("match_id", S.resolve_game(F.element_at(F.array(F.lit("QL"), F.lit(" cpm "), F.lit("reflex"), F.lit("Other Game")), (F.col("match_id") % 4 + 1).cast("int"))).alias("game"))
+ORACLES["g4_glicko2"] = with_views(glicko_body("month", ", t.wins, t.losses, t.matches_played"))
+ORACLES["g6_glicko2_incremental"] = with_views(glicko_body("year", ""))
+ORACLES["g12_rate_all"] = with_views(f"""select player_id, game_id, 'elo' as rating_system, match_id, rating from ({FOLD} select player_id, game_id, match_id, round(rating, 4) as rating from elo) e
+ union all select player_id, game_id, 'glicko2', match_id, rating from ({glicko_body("year", "")}) g""")
+query("g12_rate_all")(lambda t: G.rate_all(t.matches, t.tournaments, "year").select("player_id", "game_id", "rating_system", "match_id", num("rating")))
+SPELLINGS = [*S.GAME_ALIASES, "Other Game"]
+
+
+def spelled(number: Column) -> Column:
+    """Each alias in turn, some in upper case or with blanks; then a name that is none."""
+    each = F.element_at(F.array(*map(F.lit, SPELLINGS)), (number % len(SPELLINGS) + 1).cast("int"))
+    return F.when(number % len(SPELLINGS) == len(SPELLINGS) - 1, each).when(number % 3 == 0, F.upper(each)).when(number % 3 == 1, text(" ", each, " ")).otherwise(each)
+
+
+query("f18_game_aliases", f"""select match_id, case i {" ".join(f"when {i} then '{g}'" for i, g in enumerate(S.GAME_ALIASES.values()))} else 'Other Game' end as game from (select match_id, match_id % {len(SPELLINGS)} as i from matches) m""")(
+    lambda t: t.matches.select("match_id", S.resolve_game(spelled(F.col("match_id"))).alias("game"))
 )
 query("f19_unescape", "select match_id, 'é & ' || chr(cast(65 + match_id % 26 as int)) || ' ' || chr(cast(228 + match_id % 20 as int)) || ' &nosuch; <' || match_id || '>' as text from matches")(
     lambda t: t.matches.select("match_id", S.unescape(text("&eacute; &amp; &#", F.col("match_id") % 26 + 65, "; &#x", F.hex(F.col("match_id") % 20 + 228), "; &nosuch; &lt;", F.col("match_id"), "&gt;")).alias("text"))
@@ -371,14 +435,49 @@ query("g9_corrupt_ratings", "select game_id, count(*) filter (where match_id % 5
 # --- streams, drained -----------------------------------------------------------------------------
 
 
-@query("s1_a8_stream_parse", f"select match_id, player1_id, player2_id, {WON} as winner_id, {ts('played_at')} from {LIVE} m")
+SHIFT = 1_000_000_000
+TOLD = f"(select player_id, name from (select player1_id as player_id, a.name from {LIVE} m join players a on a.player_id = player1_id union all select player2_id, b.name from {LIVE} m join players b on b.player_id = player2_id) x)"
+query("s1_a8_stream_parse", f"""select 'matches' as name, count(*) as n, cast(sum(match_id + 3 * player1_id + 5 * player2_id) as bigint) as s from {LIVE} m
+ union all select 'match_maps', count(*), cast(sum(match_id + mm.player1_score) as bigint) from match_maps mm join (select match_id from {LIVE} l) k using (match_id)
+ union all select 'match_vods', count(*), cast(sum(vod_post_id) as bigint) from match_vods join (select match_id from {LIVE} l) k using (match_id)
+ union all select 'raw_posts', (select count(*) from matches) + (select count(*) from tournaments), (select cast(sum(match_id) as bigint) from matches) + (select cast(sum(tournament_id + {SHIFT}) as bigint) from tournaments)
+ union all select 'standings', count(*), cast(sum(player_id) as bigint) from (select cast(rankings::json->(i::int)->>'player_id' as bigint) as player_id from tournaments cross join (select unnest([0, 1]) as i) x) y
+ union all select 'players', count(distinct player_id), cast(sum(distinct player_id) as bigint) from {TOLD} p
+ union all select 'games', count(distinct game_id), cast(sum(distinct game_id) as bigint) from {LIVE} m
+ union all select 'tournaments', count(distinct id), cast(sum(distinct id) as bigint) from (select tournament_id as id from {LIVE} m where tournament_id is not null union all select tournament_id + {SHIFT} from tournaments union all select match_id from matches where match_id % {KINDS} = 6) i
+ union all select 'aliases', count(*), cast(sum(cnt * player_id) as bigint) from (select player_id, name, count(*) as cnt from {TOLD} p group by 1, 2) c""")(lambda t: drained_parse(t))
+
+
+def drained_parse(t) -> DataFrame:
+    """What all tables hold after a stream of pages was parsed and every batch of it was delivered again."""
+    place = folder(t)
+    pages = match_pages(t).unionByName(tournament_pages(t).withColumn("post_id", F.col("post_id") + SHIFT))
+    pages.coalesce(1).write.parquet(f"{place}/posts")
+    silver = ST.Silver(t.spark, f"{place}/silver", 2)
+    for state, again in (("first", False), ("second", True)):
+        posts = t.spark.readStream.schema("post_id long, raw_html string").option("maxFilesPerTrigger", 1).parquet(f"{place}/posts")
+        silver.follow(posts, "posts", f"{place}/{state}", again).awaitTermination()
+    sums = {
+        "matches": F.col("match_id") + 3 * F.col("player1_id") + 5 * F.col("player2_id"), "match_maps": F.col("match_id") + F.col("player1_score"), "match_vods": F.col("vod_post_id"), "raw_posts": F.col("post_id"),
+        "standings": F.col("player_id"), "players": F.col("player_id"), "games": F.col("game_id"), "tournaments": F.col("tournament_id"), "aliases": F.col("cnt") * F.col("player_id"),
+    }
+    read = lambda name: silver.read(name).groupBy("player_id", "name").agg(F.count("*").alias("cnt")) if name == "aliases" else silver.read(name)
+    return reduce(DataFrame.unionByName, [read(name).agg(F.count("*").alias("n"), F.sum(s).cast("bigint").alias("s")).select(F.lit(name).alias("name"), "n", "s") for name, s in sums.items()])
+
+
+@query("s3_stream_ratings", FOLD + "select player_id, game_id, match_id, round(rating, 4) as rating from elo")
 def _(t):
+    """Matches in two files by time, and a third with late ones: every eighth of the first years."""
     place = folder(t)
-    match_pages(t).write.parquet(f"{place}/posts")
-    posts = t.spark.readStream.schema("post_id long, raw_html string").option("maxFilesPerTrigger", 4).parquet(f"{place}/posts")
-    sink = lambda name, rows: name == "matches" and rows.write.mode("append").parquet(f"{place}/{name}")
-    ST.parse_stream(posts, sink, f"{place}/state").awaitTermination()
-    return t.spark.read.parquet(f"{place}/matches").dropDuplicates(["match_id"]).select("match_id", "player1_id", "player2_id", "winner_id", at("played_at"))
+    late, new = F.expr(f"not ({EARLY}) or match_id % 31 = 0"), F.col("played_at") >= F.lit("1997-01-01").cast("timestamp")
+    turn = F.when(late, 2).when(new, 1).otherwise(0)
+    for i in range(3):
+        t.matches.filter(turn == i).coalesce(1).write.parquet(f"{place}/{i}")
+    held = ST.Ratings(t.spark, f"{place}/ratings", t.tournaments, "year")
+    for i in range(3):  # one after the other, so that the order is fixed
+        posts = t.spark.readStream.schema(t.matches.schema).parquet(f"{place}/{i}")
+        posts.writeStream.foreachBatch(lambda df, _, i=i: held.add(df, i)).option("checkpointLocation", f"{place}/state-{i}").trigger(availableNow=True).start().awaitTermination()
+    return held.history().select("player_id", F.col("game_id").cast("int").alias("game_id"), "match_id", num("rating"))
 
 
 @query("s6_stream_embeds", "select event_id as vod_post_id, case when event_id % 3 = 0 then 'v' || event_id end as video_id from events where ts <= (select max(ts) - interval 9 day from events)")
@@ -397,3 +496,23 @@ def drained_due(t) -> DataFrame:
     t.raw_posts.drop("raw_html").write.parquet(f"{place}/posts")
     posts = t.spark.readStream.schema("post_id long, status string, reason string, sort_time timestamp").parquet(f"{place}/posts")
     return ST.drained(ST.due_posts(posts, "2024-02-15 00:00:00")).select("post_id")
+
+
+VISITED = "timestamp '2024-03-20 00:00:00'"
+query("s7_stream_revisits", f"select page_id as post_id, strftime(due, '%Y-%m-%d %H:%M:%S') as due from (select page_id, timestamp '2024-01-01 00:00:00' + interval '1' day * (page_id * 37 % 100) as due from pages) p where page_id % 4 > 0 and page_id % 5 > 0 and due <= {VISITED} and due > timestamp '2024-01-01 00:00:00'")(
+    lambda t: drained_revisits(t)
+)
+
+
+def drained_revisits(t) -> DataFrame:
+    """Posts scheduled for later; every fifth is parsed the day before, others after; every fourth was never scheduled."""
+    place = folder(t)
+    posts = t.raw_posts.select("post_id", "sort_time")
+    start, none = F.lit("2024-01-01").cast("timestamp"), F.lit(None).cast("timestamp")
+    first = posts.filter("sort_time > timestamp '2024-01-01'").select("post_id", F.lit("skipped").alias("status"), F.when(F.col("post_id") % 4 > 0, "not played").otherwise("team format").alias("reason"), "sort_time", start.alias("seen"))
+    second = posts.filter("sort_time > timestamp '2024-01-01'").select("post_id", F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("reason"), none.alias("sort_time"), F.when(F.col("post_id") % 5 == 0, F.col("sort_time") - F.expr("interval 12 hours")).otherwise(F.col("sort_time") + F.expr("interval 12 hours")).alias("seen"))
+    last = posts.agg(F.lit(-1).cast("bigint").alias("post_id")).select("post_id", F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("reason"), none.alias("sort_time"), F.lit("2024-03-20").cast("timestamp").alias("seen"))
+    events = first.unionByName(second).filter("seen <= timestamp '2024-03-20'").unionByName(last)
+    events.coalesce(1).write.parquet(f"{place}/posts")
+    stream = t.spark.readStream.schema("post_id long, status string, reason string, sort_time timestamp, seen timestamp").parquet(f"{place}/posts")
+    return ST.drained(ST.revisits(stream)).select("post_id", at("due"))

@@ -407,8 +407,24 @@ query("t10_played_maps", "select m.tournament_id, mm.map_id, count(*) as times,
 query("t11_maplist", "select t.tournament_id, array_to_string(list_distinct_ordered || coalesce(extra, []), ',') as maplist from (select tournament_id, [x for x, i in string_split(maplist_csv, ',') if list_position(string_split(maplist_csv, ','), x) = i] as list_distinct_ordered, string_split(maplist_csv, ',') as l from tournaments) t left join (select m.tournament_id, list(distinct coalesce(x.name, 'Unknown') order by coalesce(x.name, 'Unknown')) as extra from matches m join match_maps mm using (match_id) left join maps x on x.map_id = mm.map_id where mm.map_id is not null group by 1) e using (tournament_id)")(
     lambda t: T.completed_maplist(t.tournaments, T.played_maps(t.matches, t.match_maps, t.maps)).select("tournament_id", F.array_join("maplist", ",").alias("maplist"))
 )
-query("t12_standings", f"select s.tournament_id, s.position, s.player_id, p.country, s.player_name = '' as unknown, w.wins from {STAND} s left join players p using (player_id) left join (select tournament_id, player_id, count(*) filter (where winner_id = player_id) as wins from {SIDES} q where tournament_id is not null group by 1, 2) w on w.tournament_id = s.tournament_id and w.player_id = s.player_id")(
-    lambda t: T.enriched_standings(t.tournaments, t.players, T.player_stats(t.matches, t.match_maps), T.rating_deltas(t.tournaments, t.matches, t.rating_history)).select("tournament_id", "position", "player_id", "country", "unknown", "wins")
+query(
+    "t12_standings",
+    f"""with delta as (
+  select tournament_id, player_id, rating_system, after - coalesce(prior, first) as delta from (
+   select c.tournament_id, c.player_id, h.rating_system, max_by(h.rating, (h.played_at, h.match_id)) filter (where h.played_at <= c.hi) as after,
+    max_by(h.rating, (h.played_at, h.match_id)) filter (where h.played_at < c.lo) as prior, min_by(h.rating, (h.played_at, h.match_id)) filter (where h.played_at <= c.hi) as first
+   from (select distinct s.tournament_id, s.player_id, lo, hi from {SIDES} s join (select tournament_id, min(played_at) as lo, max(played_at) as hi from matches where tournament_id is not null group by 1) x using (tournament_id)) c
+   join rating_history h on h.player_id = c.player_id and h.game_id = 0 group by 1, 2, 3) y where after is not null),
+ record as (select tournament_id, player_id, count(*) filter (where winner_id = player_id) as wins, count(*) filter (where winner_id is not null and winner_id <> player_id) as losses from {SIDES} q where tournament_id is not null group by 1, 2),
+ seats as (select s.tournament_id, s.position, s.player_id, p.country, not exists (select 1 from {SIDES} k where k.player_id = s.player_id) as unknown, w.wins, w.losses,
+   case when s.player_name <> '' then round(e.delta, 4) end as elo_delta, case when s.player_name <> '' then round(g.delta, 4) end as glicko2_delta
+  from {STAND} s left join players p using (player_id) left join record w on w.tournament_id = s.tournament_id and w.player_id = s.player_id
+  left join delta e on e.tournament_id = s.tournament_id and e.player_id = s.player_id and e.rating_system = 'elo' left join delta g on g.tournament_id = s.tournament_id and g.player_id = s.player_id and g.rating_system = 'glicko2')
+ select *, coalesce(bool_or(coalesce(wins, 0) <> 0 or coalesce(losses, 0) <> 0) over (partition by tournament_id), false) as has_matches from seats""",
+)(
+    lambda t: T.enriched_standings(t.tournaments, t.players, T.player_stats(t.matches, t.match_maps), T.rating_deltas(t.tournaments, t.matches, t.rating_history), R.participants(t.matches)).select(
+        "tournament_id", "position", "player_id", "country", "unknown", "wins", "losses", num("elo_delta"), num("glicko2_delta"), "has_matches"
+    )
 )
 query("t13_winners", f"select tournament_id, player_id, count(*) as matches, count(*) filter (where winner_id = player_id) as wins from {SIDES} s where tournament_id is not null group by 1, 2")(lambda t: T.winners(t.matches))
 query("x1_stats", f"select count(distinct match_id) as matches, count(distinct player_id) as players, count(distinct tournament_id) as tournaments, count(distinct country) as countries, count(distinct player_id) filter (where played_at >= timestamp '1998-07-01 00:00:00' - interval 30 day) as active, {ts('min(played_at)', 'first_match')}, {ts('max(played_at)', 'last_match')} from {SIDES} s")(

@@ -272,11 +272,22 @@ def tournaments(pages: DataFrame, games: DataFrame) -> DataFrame:
         field("Match format").alias("match_format"),
         F.when(F.size(hours) > 0, time(0)).alias("schedule_start"),
         F.when(F.size(hours) > 0, time(1)).alias("schedule_end"),
-        F.filter(F.transform(parts(b, '<span class="map_preview"'), lambda m: attribute(before(m, ">"), "data-name")), lambda n: n.isNotNull()).alias("maplist"),
+        F.filter(F.transform(previews(b), lambda m: m["name"]), lambda n: n.isNotNull()).alias("maplist"),
     )
     return x.join(games.select("game_id", F.col("name").alias("_game")), "game_id", "left").withColumn("game", F.coalesce("title_game", "_game")).drop("_game", "title_game")
 
 
+def previews(html: Column) -> Column:
+    """(name, image) of the maps that a page shows."""
+    return F.transform(parts(html, '<span class="map_preview"'), lambda m: let(before(m, ">"), lambda tag: F.struct(attribute(tag, "data-name").alias("name"), attribute(tag, "data-image").alias("image"))))
+
+
+def listed_maps(pages: DataFrame) -> DataFrame:
+    """(tournament_id, place, map_id, name, image) of the maps on tournament pages that have an id, in order."""
+    rows = pages.select(F.col("post_id").alias("tournament_id"), F.posexplode(previews(tight(F.col("raw_html")))).alias("place", "m")).select("tournament_id", "place", image_id(F.col("m.image")).alias("map_id"), "m.name", "m.image")
+    return rows.filter("map_id is not null and name is not null")
+
+
 def standings(pages: DataFrame) -> DataFrame:
     """Rows of all ranking tables, each with the category of the sub-event that it stands under.
 
@@ -359,13 +370,55 @@ def needs_bracket(tournaments: DataFrame, stored: DataFrame, now: Column, days:
     return rows.filter(F.col("matches").isNull() | (F.col("matches") == 0) | old).select("tournament_id", "source")
 
 
+def latest_columns(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Per key the last value of each column that is not null, with its time as <column>_at.
+
+    rows have a version, the struct at, or a struct for each column, <column>_at. What comes out can go in again
+    with more rows, so rows may come in any order and more than once. Equal versions take the greater value.
+    """
+    version = lambda c: f"{c}_at" if f"{c}_at" in rows.columns else "at"
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(version(c)).alias("at"), F.col(c).alias("value")))).alias(c)
+    out = rows.groupBy(*keys).agg(*[last(c) for c in columns])
+    return out.select(*keys, *[F.col(f"{c}.value").alias(c) for c in columns], *[F.col(f"{c}.at").alias(f"{c}_at") for c in columns])
+
+
 def dimension_players(matches: DataFrame) -> DataFrame:
     """The last name and country of each player by match time; unnamed and unnumbered players are left out."""
+    return latest_columns(player_facts(matches), ["player_id"], ["name", "country"]).filter("name is not null").select("player_id", "name", "country")
+
+
+def player_facts(matches: DataFrame) -> DataFrame:
+    """(player_id, name, country, at) of both sides of parsed matches."""
     side = lambda i: F.struct(F.col(f"player{i}_id").alias("player_id"), F.col(f"player{i}_name").alias("name"), F.col(f"player{i}_country").alias("country"))
-    rows = matches.select("match_id", "played_at", F.explode(F.array(side(1), side(2))).alias("p")).select("match_id", "played_at", "p.*")
-    rows = rows.filter("player_id > 0 and name <> '' and name <> '?'")
-    at = F.struct("played_at", "match_id")
-    return rows.groupBy("player_id").agg(F.max_by("name", at).alias("name"), F.max_by("country", F.when(F.col("country").isNotNull(), at)).alias("country"))
+    rows = matches.select(F.struct("played_at", "match_id").alias("at"), F.explode(F.array(side(1), side(2))).alias("p")).select("at", "p.*")
+    return rows.filter("player_id > 0 and name <> '' and name <> '?'")
+
+
+def game_facts(matches: DataFrame) -> DataFrame:
+    """(game_id, name, at) of parsed matches whose page shows the category."""
+    return matches.filter("game_id > 0").select("game_id", F.nullif("game_name", F.lit("")).alias("name"), F.struct("played_at", "match_id").alias("at"))
+
+
+def map_facts(maps: DataFrame, matches: DataFrame) -> DataFrame:
+    """(map_id, name, image, at) of parsed maps with an id and a name."""
+    rows = maps.filter("map_id > 0 and map_name <> '' and map_name <> '?'").select("match_id", "map_id", F.col("map_name").alias("name"), F.nullif("image", F.lit("")).alias("image"))
+    return rows.join(matches.select("match_id", "played_at"), "match_id").select("map_id", "name", "image", F.struct("played_at", "match_id").alias("at"))
+
+
+#: What a tournament's own page tells of it; a match page tells its name alone.
+TOURNAMENT_COLUMNS = ["name", "tier", "game", "game_id", "prize_money", "tourney_format", "match_format", "schedule_start", "schedule_end", "maplist"]
+
+
+def tournament_facts(matches: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(tournament_id, at, columns) from parsed matches and tournament pages, at being (own page, time, post).
+
+    A tournament's own page stands over what match pages call it, whichever came first.
+    """
+    version = lambda page, time, post: F.struct(F.lit(page).alias("page"), F.col(time).alias("time"), F.col(post).alias("post")).alias("at")
+    named = matches.filter("tournament_id > 0").select("tournament_id", version(0, "played_at", "match_id"), F.nullif("tournament_name", F.lit("")).alias("name"))
+    if own is None:
+        return named
+    return named.unionByName(own.select("tournament_id", version(1, "schedule_start", "tournament_id"), *TOURNAMENT_COLUMNS), allowMissingColumns=True)
 
 
 def alias_counts(matches: DataFrame) -> DataFrame:

@@ -6,14 +6,16 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rankforge.functions import scalars as S
 from rankforge.functions.scalars import base_k
 from rankforge.operators import ratings as G
 from rankforge.sources import extract
-from rankforge.sources.store import shared_folder
+from rankforge.sources.store import shared_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,36 +51,102 @@ def dedup(stream: DataFrame, time: str, keys: list[str], delay: str = "2 days")
 
 
 class Record(StatefulProcessor):
-    """Running matches, wins, losses and streak of a key, one row an input row in order of time."""
+    """Running matches, wins, losses and streak of a key, one row an input row in order of time.
+
+    Rows are held until the watermark has passed them, so that rows of later batches which are earlier in time
+    still come before; a timer at the earliest held row lets them out.
+    """
 
     SCHEMA = "key long, id long, matches long, wins long, losses long, result string, length long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("record", "matches long, wins long, losses long, result string, length long")
+        self.held = handle.getListState("held", "ms long, id long, result string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for f in rows:
+            ms = (f["ts"].to_numpy().astype("datetime64[us]").astype("int64") // 1000).tolist()
+            self.held.appendList(list(zip(ms, f["id"].tolist(), f["result"].tolist())))
+            first = min([*ms, *([first] if first is not None else [])])
+        if first is not None:
+            self.handle.registerTimer(first)
+        yield pd.DataFrame(columns=[c.split(" ")[0] for c in self.SCHEMA.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, rows = timerValues.getCurrentWatermarkInMs(), sorted(self.held.get())
+        late = [tuple(r) for r in rows if r[0] > now]
         m, w, lost, last, run = self.state.get() if self.state.exists() else (0, 0, 0, "", 0)
         out = []
-        for f in sorted(rows, key=lambda f: f["ts"].min()):
-            for i, r in zip(f.sort_values(["ts", "id"])["id"], f.sort_values(["ts", "id"])["result"]):
-                m, w, lost = m + 1, w + (r == "W"), lost + (r == "L")
-                run = run + 1 if r == last else 1
-                last = r
-                out.append((key[0], i, m, w, lost, last, run))
-        self.state.update((m, w, lost, last, run))
-        yield pd.DataFrame(out, columns=["key", "id", "matches", "wins", "losses", "result", "length"])
+        for _, i, r in rows[: len(rows) - len(late)]:
+            m, w, lost = m + 1, w + (r == "W"), lost + (r == "L")
+            run = run + 1 if r == last else 1
+            last = r
+            out.append((key[0], i, m, w, lost, last, run))
+        if out:
+            self.state.update((m, w, lost, last, run))
+        if late:
+            self.held.put(late)
+            self.handle.registerTimer(late[0][0])
+        else:
+            self.held.clear()
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in self.SCHEMA.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def running_records(stream: DataFrame) -> DataFrame:
-    """stream has key, id, ts and result (W, L or D); K follows from the matches so far."""
+def running_records(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """stream has key, id, ts and result (W, L or D), at most delay late; K follows from the matches so far."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = stream.groupBy("key").transformWithStateInPandas(statefulProcessor=Record(), outputStructType=Record.SCHEMA, outputMode="Append", timeMode="None")
+    out = stream.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(statefulProcessor=Record(), outputStructType=Record.SCHEMA, outputMode="Append", timeMode="EventTime")
     return out.withColumn("k", base_k("matches"))
 
 
+class Revisit(StatefulProcessor):
+    """A post that was not played yet is due again at its scheduled time, unless it is parsed before."""
+
+    SCHEMA = "post_id long, due timestamp"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for f in sorted((f for f in rows if len(f)), key=lambda f: f["seen"].min()):
+            f = f.sort_values("seen")
+            millis = lambda c: (f[c].to_numpy().astype("datetime64[us]").astype("int64") // 1000).tolist()
+            for status, reason, due, seen in zip(f["status"], f["reason"], millis("sort_time"), millis("seen")):
+                held = self.due.get()[0] if self.due.exists() else None
+                if held is not None and seen < held:  # rescheduled or parsed in time: the old timer is void
+                    self.handle.deleteTimer(held)
+                    self.due.clear()
+                    held = None
+                if held is None and status == "skipped" and reason == "not played":
+                    self.due.update((due,))
+                    self.handle.registerTimer(due)
+        yield pd.DataFrame({"post_id": pd.Series(dtype="int64"), "due": pd.Series(dtype="datetime64[us]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
+        yield pd.DataFrame({"post_id": [key[0]], "due": pd.to_datetime([expiredTimerInfo.getExpiryTimeInMs()], unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+def revisits(posts: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """(post_id, due) once the watermark of seen, the time of each visit, has passed a post's scheduled time.
+
+    posts: post_id, status, reason, sort_time (when it is scheduled) and seen. A visit before that time voids or
+    moves it. One timer a post, by event time, so that a drained stream gives what a live one gave.
+    """
+    posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    stream = posts.withWatermark("seen", delay).select("post_id", "status", "reason", F.coalesce("sort_time", "seen").alias("sort_time"), "seen")
+    return stream.groupBy("post_id").transformWithStateInPandas(statefulProcessor=Revisit(), outputStructType=Revisit.SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
 def link_embeds(vods: DataFrame, embeds: DataFrame, delay: str = "3 days") -> DataFrame:
     """Vods with the embed of their page, which may come before or after; without one in time, null."""
     v = vods.withWatermark("ts", delay).alias("v")
@@ -87,34 +155,149 @@ def link_embeds(vods: DataFrame, embeds: DataFrame, delay: str = "3 days") -> Da
     return v.join(e, near, "leftOuter").select("v.vod_post_id", "v.ts", "e.video_id")
 
 
-def parse_stream(posts: DataFrame, sink: Callable[[str, DataFrame], None], checkpoint: str):
-    """Parses each micro-batch of pages into matches, maps and vods; sink(name, rows) must be keyed, so that a
-    batch that runs again changes nothing."""
+#: Tables that a page gives whole: what is read, and the columns that name the page.
+SETS: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] = {
+    "raw_posts": (lambda p: extract.outcome(p), ["post_id"]),
+    "matches": (lambda p: extract.matches(p), ["match_id"]),
+    "match_maps": (lambda p: extract.match_maps(p), ["match_id"]),
+    "match_vods": (lambda p: extract.match_vods(p), ["match_id"]),
+    "vod_embeds": (lambda p: extract.vod_embeds(p), ["vod_post_id"]),
+    "standings": (lambda p: extract.standings(p.filter(extract.page_class(F.col("raw_html")) == "tournament")), ["tournament_id"]),
+}
+#: Dimensions that pages tell of piece by piece.
+DIMENSIONS = {"players": (["player_id"], ["name", "country"]), "games": (["game_id"], ["name"]), "maps": (["map_id"], ["name", "image"]), "tournaments": (["tournament_id"], extract.TOURNAMENT_COLUMNS)}
+
+
+def parse_stream(posts: DataFrame, sink: Callable[[str, DataFrame, int], None], checkpoint: str):
+    """Parses each micro-batch of pages into tables; sink(name, rows, batch) must be keyed, so that a batch that
+    runs again changes nothing. Dimension rows carry a version of each column; aliases are rows a match."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        df = df.persist()
+    def batch(df: DataFrame, number: int) -> None:
+        pages = df.persist()
         try:
-            sink("matches", extract.matches(df))
-            sink("match_maps", extract.match_maps(df))
-            sink("match_vods", extract.match_vods(df))
-            sink("raw_posts", extract.outcome(df))
+            read = {name: of(pages) for name, (of, _) in SETS.items()}
+            read["matches"] = read["matches"].persist()
+            for name, rows in read.items():
+                sink(name, rows, number)
+            matches = read["matches"]
+            own = extract.tournaments(pages, matches.select("game_id", F.col("game_name").alias("name")).limit(0)).persist()
+            facts = {"players": extract.player_facts(matches), "games": extract.game_facts(matches), "maps": extract.map_facts(read["match_maps"], matches), "tournaments": extract.tournament_facts(matches, own)}
+            for name, rows in facts.items():
+                sink(name, extract.latest_columns(rows, *DIMENSIONS[name]), number)
+            sink("aliases", extract.player_facts(matches).select(F.col("at.match_id").alias("match_id"), "player_id", "name"), number)
+            matches.unpersist()
+            own.unpersist()
         finally:
-            df.unpersist()
+            pages.unpersist()
 
     return posts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rating_stream(matches: DataFrame, known: Callable[[], DataFrame], history: Callable[[], DataFrame], store: Callable[[DataFrame, DataFrame], None], checkpoint: str):
-    """Keeps an Elo history up to date: pools go on from their state, or anew where a late match came.
+class Silver:
+    """Keyed tables that a stream writes: each in buckets by a hash of its key, of which a batch rewrites those it touches.
 
-    known() and history() give what is stored; store(matches, history) replaces it.
+    A table of SETS or aliases keeps the rows of a page's last batch; a dimension keeps the last value of each column. Both
+    are the same however often and in whatever order batches come, and a ledger skips batches that are complete.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        all_matches = known().unionByName(df.join(known().select("match_id"), "match_id", "left_anti").dropDuplicates(["match_id"]))
-        store(all_matches, G.elo_incremental(history(), all_matches))
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 8):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
-    return matches.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def table(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        except AnalysisException:
+            return None  # nothing was written yet
+
+    def read(self, name: str) -> DataFrame:
+        return self.table(name).drop("_bucket", "_batch")
+
+    def upsert(self, name: str, rows: DataFrame, keys: list[str], merged: Callable[[DataFrame], DataFrame]) -> None:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        new = stored(rows.withColumn("_bucket", bucket))
+        touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most buckets
+        if not touched:
+            return
+        held = self.table(name)
+        both = new if held is None else held.filter(F.col("_bucket").isin(touched)).unionByName(new)
+        out = stored(merged(both.drop("_bucket")).withColumn("_bucket", bucket))  # read whole before its place is overwritten
+        out.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/{name}")
+
+    def sink(self, name: str, rows: DataFrame, batch: int) -> None:
+        if name in DIMENSIONS:
+            keys, columns = DIMENSIONS[name]
+            self.upsert(name, rows, keys, lambda both: extract.latest_columns(both, keys, columns))
+        else:
+            keys = SETS[name][1] if name in SETS else ["match_id"]
+            page = Window.partitionBy(*keys)
+            newest = lambda both: both.withColumn("_last", F.max("_batch").over(page)).filter("_batch = _last").drop("_last").distinct()
+            self.upsert(name, rows.withColumn("_batch", F.lit(batch).cast("long")), keys, newest)
+
+    def done(self, stream: str, batch: int) -> bool:
+        ledger = self.table("batches")
+        return ledger is not None and ledger.filter((F.col("stream") == stream) & (F.col("batch") == batch)).limit(1).count() > 0
+
+    def follow(self, posts: DataFrame, stream: str, checkpoint: str, again: bool = False):
+        """Parses a stream of pages into the tables. again: batches in the ledger run once more."""
+        names = [*SETS, *DIMENSIONS, "aliases"]
+
+        def sink(name: str, rows: DataFrame, batch: int) -> None:
+            if again or not self.done(stream, batch):
+                self.sink(name, rows, batch)
+                if name == names[-1]:
+                    mark = self.spark.createDataFrame([(stream, batch)], "stream string, batch long")
+                    self.upsert("batches", mark, ["stream", "batch"], lambda both: both.distinct())
+
+        return parse_stream(posts, sink, checkpoint)
+
+
+class Ratings:
+    """An Elo history that a stream of matches keeps up to date, with the state of every pool after each period.
+
+    A batch rates anew from the first period that it touches in a pool, from the states before it; pools and
+    earlier periods stay as they are, so that on-time matches cost their own period and a late match the periods
+    since. Tables are partitioned by pool and period, and a batch overwrites the partitions that it rates.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, tournaments: DataFrame | None = None, unit: str = "month"):
+        self.spark, self.folder, self.tournaments, self.unit = spark, folder, tournaments, unit
+
+    def table(self, name: str, like: DataFrame | None = None) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        except AnalysisException:
+            return None if like is None else like.limit(0)
+
+    def history(self) -> DataFrame:
+        return self.table("history").withColumnRenamed("pool", "game_id").drop("period")
+
+    def put(self, name: str, rows: DataFrame, by: list[str]) -> None:
+        rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.folder}/{name}")
+
+    def add(self, matches: DataFrame, batch: int) -> None:
+        """Takes a batch of matches; those that are known are left out, and a batch may run again."""
+        known = self.table("matches", matches.withColumn("batch", F.lit(batch)))
+        new = matches.dropDuplicates(["match_id"]).join(known.filter(F.col("batch") != batch).select("match_id"), "match_id", "left_anti")
+        self.put("matches", stored(new.withColumn("batch", F.lit(batch))), ["batch"])
+        rows = G.rating_input(self.table("matches").drop("batch"), self.tournaments).withColumn("period", S.period_key("played_at", self.unit))
+        touched = G.rating_input(new, self.tournaments).withColumn("period", S.period_key("played_at", self.unit))
+        since = stored(touched.groupBy("pool").agg(F.min("period").alias("since")))
+        if not since.limit(1).count():
+            return
+        own = stored(rows.join(since, "pool").filter("period >= since").drop("since"))
+        before = self.table("states")
+        state = None
+        if before is not None:
+            last = F.max_by(F.struct("rating", "wins", "losses", "matches_played"), "period")
+            state = stored(before.join(since, "pool").filter("period < since").groupBy("pool", "player_id").agg(last.alias("s")).select("pool", "player_id", "s.*"))
+        rated = G.elo_of(own.drop("period"), state).withColumnRenamed("game_id", "pool").withColumn("period", S.period_key("played_at", self.unit))
+        rated = stored(rated)
+        self.put("history", rated, ["pool", "period"])
+        last = F.max_by(F.struct("rating", "wins", "losses", "matches_played"), F.struct("played_at", "match_id"))
+        self.put("states", rated.groupBy("pool", "period", "player_id").agg(last.alias("s")).select("pool", "period", "player_id", "s.*"), ["pool", "period"])
+
+    def follow(self, matches: DataFrame, checkpoint: str):
+        return matches.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def due_posts(stream: DataFrame, now: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_parse_stream_equals_batch(spark, tmp_path):
     s = files_in_order(spark, [posts[:5], posts[5:], posts[:3]], schema, tmp_path / "in")
     seen: dict[str, dict] = {}
 
-    def sink(name, rows):
+    def sink(name, rows, batch):
         for r in rows.collect():
             key = (r["match_id"], r[1]) if name in ("match_maps", "match_vods") else r[0]
             seen.setdefault(name, {})[key] = tuple(r)
@@ -55,21 +55,62 @@ def test_parse_stream_equals_batch(spark, tmp_path):
     assert {k: v[2:4] for k, v in seen["raw_posts"].items()} == {r["post_id"]: (r["status"], r["reason"]) for r in E.outcome(whole).collect()}
 
 
+def test_silver_tables_are_the_same_after_a_replay(spark, tmp_path):
+    posts = [(i, html, "downloaded", None, dt.datetime(2024, 1, 1)) for i, (html, _) in CASES.items()]
+    schema = "post_id long, raw_html string, status string, reason string, sort_time timestamp"
+    silver = ST.Silver(spark, str(tmp_path / "silver"), 3)
+    for state, again in (("a", False), ("b", True)):  # a new checkpoint makes the stream deliver its batches again
+        silver.follow(files_in_order(spark, [posts[:5], posts[5:]], schema, tmp_path / f"in-{state}"), "posts", str(tmp_path / state), again).awaitTermination()
+    whole = spark.createDataFrame(posts, schema)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for name, of in (("matches", E.matches), ("match_maps", E.match_maps), ("match_vods", E.match_vods), ("vod_embeds", E.vod_embeds)):
+        assert rows(silver.read(name).select(*of(whole).columns)) == rows(of(whole)), name
+    assert rows(silver.read("players").select("player_id", "name", "country")) == rows(E.dimension_players(E.matches(whole)))
+    assert {r["tournament_id"]: r["name"] for r in silver.read("tournaments").collect()} == {6: "Cup & Co", 55: "Cup & Co"}
+    assert silver.read("standings").count() == 3 and silver.read("raw_posts").count() == len(CASES) and silver.done("posts", 1) and not silver.done("posts", 9)
+
+
 def test_rating_stream_repairs_late_matches(spark, tmp_path):
     rows = league(90)
     late = (900, 1, 2, 3, 0, 1, 1, "1v1", None, dt.datetime(2024, 1, 2))
     s = files_in_order(spark, [rows[:40], rows[40:70], [late, *rows[60:90]]], COLUMNS, tmp_path / "in")
-    held = {"matches": spark.createDataFrame([], COLUMNS), "history": spark.createDataFrame([], G.HISTORY)}
-
-    def keep(matches, history):
-        held["matches"], held["history"] = store.stored(matches), store.stored(history.select(*[f.split(" ")[0] for f in G.HISTORY.split(", ")]))
-
-    ST.rating_stream(s, lambda: held["matches"], lambda: held["history"], keep, str(tmp_path / "state")).awaitTermination()
+    held = ST.Ratings(spark, str(tmp_path / "ratings"), unit="week")
+    held.follow(s, str(tmp_path / "state")).awaitTermination()
+    held.add(spark.createDataFrame([late, *rows[60:90]], COLUMNS), 2)  # the last batch once more
     want = {(r["player_id"], r["game_id"], r["match_id"]): r["rating"] for r in G.elo(spark.createDataFrame([*rows, late], COLUMNS)).collect()}
-    got = {(r["player_id"], r["game_id"], r["match_id"]): r["rating"] for r in held["history"].collect()}
+    got = {(r["player_id"], r["game_id"], r["match_id"]): r["rating"] for r in held.history().collect()}
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_records_are_in_order_across_batches(spark, tmp_path):
+    """A key over several Arrow batches with rows interleaved, and over two micro-batches."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = [(1 + i % 2, i, at(i * 37 % 101), "WLD"[i * i % 3]) for i in range(40)]
+        s = files_in_order(spark, [rows[:25], rows[25:], [(9, 99, at(100_000), "W")]], "key long, id long, ts timestamp, result string", tmp_path / "in")
+        got = {(r["key"], r["id"]): tuple(r)[2:7] for r in ST.drained(ST.running_records(s, "1 hour")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = {}
+    for key in (1, 2):
+        m = w = lost = run = 0
+        last = ""
+        for k, i, _, r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            m, w, lost, run, last = m + 1, w + (r == "W"), lost + (r == "L"), run + 1 if r == last else 1, r
+            want[k, i] = (m, w, lost, r, run)
+    assert {k: v for k, v in got.items() if k[0] < 9} == want
+
+
+def test_revisits_fire_once_unless_parsed_before(spark, tmp_path):
+    day = lambda d: dt.datetime(2024, 1, d)
+    skip = lambda i, due, seen: (i, "skipped", "not played", day(due), day(seen))
+    parsed = lambda i, seen: (i, "parsed", None, None, day(seen))
+    batches = [[skip(1, 5, 1), skip(2, 6, 1), skip(3, 25, 1), skip(4, 5, 1)], [parsed(2, 3), skip(4, 9, 2)], [parsed(1, 8), skip(5, 12, 10)], [parsed(99, 20)]]
+    s = files_in_order(spark, batches, "post_id long, status string, reason string, sort_time timestamp, seen timestamp", tmp_path / "in")
+    assert sorted((r["post_id"], r["due"].day) for r in ST.drained(ST.revisits(s)).collect()) == [(1, 5), (4, 9), (5, 12)]
+
+
 def test_embeds_wait_for_their_match(spark, tmp_path):
     at = lambda d: dt.datetime(2024, 1, d)
     vods = files_in_order(spark, [[(1, at(1)), (2, at(2))], [(3, at(3))], [(99, at(28))]], "vod_post_id long, ts timestamp", tmp_path / "v")
