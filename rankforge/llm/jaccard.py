@@ -7,8 +7,9 @@ are ranked alike for all sets, so two linked sets share at least one that both a
 segments have signatures of its own is met by nobody. Small bands have half as many segments, each indexed by its
 one-deletion neighbourhood, as one of H // 2 + 1 segments has one difference at most.
 
-Buckets are met in two turns: every row with one row of its bucket, which joins groups of near copies into
-components, and then rows of different components, whose difference is first bounded by parity sketches.
+Buckets are met in three turns: every row with one row of its bucket, which joins groups of near copies into
+components; then rows of different components, whose difference is first bounded by parity sketches, by as few
+pairs as would join all that the sketches leave open; then all open pairs of rows that are still apart.
 """
 
 from __future__ import annotations
@@ -219,13 +220,15 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack(rows).view(np.uint64)
 
 
-def near_pairs(ids, sizes, comps, blocks, sketches, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(ids, sizes, comps, blocks, sketches, plan: Plan, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of different components that their sizes and sketches leave open.
 
-    blocks: of two different blocks only pairs across them, of one block all.
+    blocks: of two different blocks only pairs across them, of one block all. forest: as if open pairs were links, only
+    so many of them as join the components that they reach, the nearest first; at most a pair a row.
     """
     x = folded(sketches)
     across = blocks.max() != blocks.min()
+    comps = comps.copy()
     left, right = [], []
     for i in range(len(ids)):
         small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
@@ -236,7 +239,12 @@ def near_pairs(ids, sizes, comps, blocks, sketches, plan: Plan) -> tuple[np.ndar
         at = np.flatnonzero(ok)
         if len(at):
             differ = np.bitwise_count(x[at] ^ x[i]).sum(axis=1, dtype=np.int64)
-            at = at[differ <= plan.differences(sizes[at], sizes[i])]
+            fit = differ <= plan.differences(sizes[at], sizes[i])
+            at = at[fit]
+            if forest and len(at):
+                at = at[np.argsort(differ[fit], kind="stable")]
+                at = at[np.unique(comps[at], return_index=True)[1]]
+                comps[np.isin(comps, comps[at])] = comps[i]
             left.append(np.full(len(at), ids[i]))
             right.append(ids[at])
     if not left:
@@ -245,7 +253,7 @@ def near_pairs(ids, sizes, comps, blocks, sketches, plan: Plan) -> tuple[np.ndar
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def across_components(open_rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def across_components(open_rows: DataFrame, sets: DataFrame, plan: Plan, forest: bool) -> DataFrame:
     """Candidate pairs of rows (sig, id, size, comp, n) that share a bucket of n rows but no component.
 
     A bucket is cut into blocks of some BLOCK rows by a hash of the id, and each pair of blocks is a group of its
@@ -264,7 +272,7 @@ def across_components(open_rows: DataFrame, sets: DataFrame, plan: Plan) -> Data
         begin = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
         ids, sizes, comps, blocks = column("id"), column("size").astype(np.int64), column("comp"), column("block")
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("sketch")]
-        out = [near_pairs(ids[a:b], sizes[a:b], comps[a:b], blocks[a:b], raw[a:b], plan) for a, b in zip(begin, [*begin[1:], len(ids)])]
+        out = [near_pairs(ids[a:b], sizes[a:b], comps[a:b], blocks[a:b], raw[a:b], plan, forest) for a, b in zip(begin, [*begin[1:], len(ids)])]
         a, b = (np.concatenate(c) for c in zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -316,15 +324,19 @@ def links(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
     sets = materialize(packed_sets(by_ids(docs, ids, "left_semi"), width))
     found = verified(stars, sets, plan)
     labels = connected_components(found)
-    named = materialize(members.select("sig", "id", "size").join(labels, "id", "left").select("sig", "id", "size", F.coalesce("component", "id").alias("comp")))
-    mixed = named.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    mixed = materialize(mixed.filter("least <> most").select("sig", "n"))
-    more = materialize(across_components(with_values(named, mixed, "sig", "n", "id"), sets, plan))
-    added = verified(more, sets, plan)
-    if added.limit(1).count():
-        discard(labels)
-        labels = connected_components(found.union(added))
-    discard(buckets, members, stars, ids, sets, found, named, mixed, more, added)
+    # first as few pairs as would join what can be joined, then all pairs of rows that these have not joined
+    for forest in (True, False):
+        named = materialize(members.select("sig", "id", "size").join(labels, "id", "left").select("sig", "id", "size", F.coalesce("component", "id").alias("comp")))
+        mixed = named.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        mixed = materialize(mixed.filter("least <> most").select("sig", "n"))
+        more = materialize(across_components(with_values(named, mixed, "sig", "n", "id"), sets, plan, forest))
+        added = verified(more, sets, plan)
+        if added.limit(1).count():
+            joined = materialize(found.union(added))
+            discard(labels, found)
+            found, labels = joined, connected_components(joined)
+        discard(named, mixed, more, added)
+    discard(buckets, members, stars, ids, sets, found)
     return labels
 
 
