@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankforge.llm import jaccard, langid, mixing, pieces, secrets
-from rankforge.llm.common import by_ids, materialize, remainder, shared_dir, table
+from rankforge.llm.common import by_ids, discard, materialize, remainder, shared_dir, table
 
 #: A document whose dominant language has a smaller share is no text of one language.
 LEAST_SHARE = 0.4
@@ -103,6 +103,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents, each stage's rows written as Parquet and read back for the next."""
     docs = table(spark, sf_dir, "documents")
     shared_dir(spark)
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        done = materialize(stage(spark, docs, sf_dir))
+        if i:
+            discard(docs)  # the stage before, which nothing reads again
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
