@@ -37,7 +37,7 @@ def peaks(history: DataFrame) -> DataFrame:
 def main_games(ratings: DataFrame, games: DataFrame) -> DataFrame:
     """Each player's game of most matches; ties to the larger game id."""
     own = ratings.filter("game_id <> 0 and rating_system = 'elo'").groupBy("player_id").agg(F.max_by("game_id", F.struct("matches_played", "game_id")).alias("game_id"))
-    return own.join(F.broadcast(games), "game_id", "left").select("player_id", F.col("name").alias("main_game"))
+    return own.join(games, "game_id", "left").select("player_id", F.col("name").alias("main_game"))
 
 
 def top_players(ratings: DataFrame, names: DataFrame, game: int = 0, system: str = "elo", limit: int = 10, min_matches: int = 10, offset: int = 0) -> DataFrame:

@@ -35,7 +35,7 @@ def selected(matches: DataFrame, players: DataFrame, tournaments: DataFrame, pla
 def named(rows: DataFrame, players: DataFrame, tournaments: DataFrame, games: DataFrame) -> DataFrame:
     """Matches with the names of their players, tournament and game, the tier and the winner's name."""
     rows = with_names(rows, players).join(tournaments.select("tournament_id", F.col("name").alias("tournament"), "tier"), "tournament_id", "left")
-    rows = rows.join(F.broadcast(games.select("game_id", F.col("name").alias("game"))), "game_id", "left")  # games are few by nature
+    rows = rows.join(games.select("game_id", F.col("name").alias("game")), "game_id", "left")
     return rows.withColumn("winner", winner_name("player1_id", "player2_id", "winner_id", "player1", "player2"))
 
 
@@ -61,7 +61,7 @@ def vods_once(vods: DataFrame) -> DataFrame:
 
 def details(matches: DataFrame, match_maps: DataFrame, maps: DataFrame, vods: DataFrame) -> DataFrame:
     """Matches with their maps, each with its winner, and their vods, as ordered arrays."""
-    named = match_maps.join(F.broadcast(maps.select("map_id", F.col("name").alias("map"))), "map_id", "left")
+    named = match_maps.join(maps.select("map_id", F.col("name").alias("map")), "map_id", "left")
     side = F.when(F.col("player1_score") > F.col("player2_score"), 1).when(F.col("player2_score") > F.col("player1_score"), 2).otherwise(0)
     own = named.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("map_index", F.coalesce("map", F.lit("Unknown")).alias("map"), "player1_score", "player2_score", side.alias("won")))).alias("maps"))
     seen = vods_once(vods).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("vod_index", "vod_post_id", "platform", "video_id"))).alias("vods"))

@@ -42,7 +42,7 @@ def common_flags(matches: DataFrame) -> DataFrame:
 
 
 def played_games(matches: DataFrame, games: DataFrame) -> DataFrame:
-    return participants(matches).select("player_id", "game_id").distinct().join(F.broadcast(games), "game_id").select("player_id", "name")
+    return participants(matches).select("player_id", "game_id").distinct().join(games, "game_id").select("player_id", "name")
 
 
 def history_both(history: DataFrame, unit: str = "month") -> DataFrame:
@@ -120,7 +120,7 @@ def map_edges(matches: DataFrame, match_maps: DataFrame, maps: DataFrame, min_ga
     Drawn maps do not count; the overall rate is over all maps, before min_games.
     """
     rows = match_maps.select("match_id", "map_id", F.col("player1_score").alias("m1"), F.col("player2_score").alias("m2")).filter("m1 <> m2")
-    rows = rows.join(matches.select("match_id", "player1_id", "player2_id"), "match_id").join(F.broadcast(maps.select("map_id", "name")), "map_id")
+    rows = rows.join(matches.select("match_id", "player1_id", "player2_id"), "match_id").join(maps.select("map_id", "name"), "map_id")
     sides = F.array(F.struct(F.col("player1_id").alias("player_id"), F.col("player2_id").alias("opponent_id"), (F.col("m1") > F.col("m2")).alias("won")), F.struct(F.col("player2_id").alias("player_id"), F.col("player1_id").alias("opponent_id"), (F.col("m2") > F.col("m1")).alias("won")))
     rows = rows.select("name", F.explode(sides).alias("p")).select("name", "p.*")
     by = ["player_id", "opponent_id"] if versus else ["player_id"]

@@ -77,7 +77,7 @@ def played_maps(matches: DataFrame, match_maps: DataFrame, maps: DataFrame) -> D
     """The maps played in each tournament, by id, with names."""
     rows = matches.filter("tournament_id is not null").select("match_id", "tournament_id").join(match_maps.filter("map_id is not null").select("match_id", "map_id"), "match_id")
     out = rows.groupBy("tournament_id", "map_id").agg(F.count("*").alias("times"))
-    return out.join(F.broadcast(maps.select("map_id", "name")), "map_id", "left").select("tournament_id", "map_id", "times", F.coalesce("name", F.lit("Unknown")).alias("name"))
+    return out.join(maps.select("map_id", "name"), "map_id", "left").select("tournament_id", "map_id", "times", F.coalesce("name", F.lit("Unknown")).alias("name"))
 
 
 def completed_maplist(tournaments: DataFrame, played: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def game_stats(matches: DataFrame, games: DataFrame) -> DataFrame:
     """Per game: matches, tournaments and players."""
     rows = participants(matches)
     out = rows.groupBy("game_id").agg(F.count_distinct("match_id").alias("matches"), F.count_distinct("tournament_id").alias("tournaments"), F.count_distinct("player_id").alias("players"))
-    return out.join(F.broadcast(games), "game_id").select("game_id", "name", "matches", "tournaments", "players")
+    return out.join(games, "game_id").select("game_id", "name", "matches", "tournaments", "players")
 
 
 def stats(matches: DataFrame, now: str, days: int = 30) -> DataFrame:

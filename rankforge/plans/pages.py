@@ -265,6 +265,63 @@ query("e20_provider_brackets", f"select tournament_id, round_no, 'name' || subst
     lambda t: PV.normalize(shambler(t)).select("tournament_id", "round_no", "p1", "p2", "score1", "score2")
 )
 
+PLAYED = "group_no = 0 and p1 <> '' and p2 <> '' and p1 <> p2"
+
+
+def payloads(t, match: Column, whole, kind: str) -> DataFrame:
+    """A payload a tournament: whole(its matches in order) as JSON."""
+    rows = bracket(t).filter(PLAYED)
+    return rows.groupBy("tournament_id").agg(F.to_json(whole(F.array_sort(F.collect_list(match)))).alias("payload")).select("tournament_id", F.lit(kind).alias("kind"), "payload")
+
+
+def numbered(kind) -> Column:
+    """Participants p0 to p5 by id."""
+    return F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: kind(F.concat(F.lit("p"), i.cast("string")), F.concat(F.lit("name"), i.cast("string"))))
+
+
+def toornament(t) -> DataFrame:
+    seat = lambda k: F.struct(F.struct(F.concat(F.lit("name"), F.substring(f"p{k}", 2, 9)).alias("name")).alias("participant"), F.col(f"score{k}").alias("score"), F.when(F.col("winner") == f"p{k}", "win").otherwise("loss").alias("result"))
+    match = F.struct("round_no", "match_no", F.struct(F.lit("s1").alias("id")).alias("stage"), F.struct(F.lit("g").alias("id"), F.lit("Winners").alias("name")).alias("group"), F.struct(F.col("round_no").alias("number"), F.col("round").alias("name")).alias("round"), F.array(seat(1), seat(2)).alias("opponents"))
+    stage = F.array(F.struct(F.lit("s1").alias("id"), F.lit("Main").alias("name"), F.lit(True).alias("closed")))
+    return payloads(t, match, lambda m: F.struct(stage.alias("stages"), m.alias("matches")), "toornament")
+
+
+def egb(t) -> DataFrame:
+    seat = lambda k: F.struct(F.lit("player").alias("type"), F.col(f"p{k}").alias("participant")).alias("home" if k == 1 else "away")
+    won = F.when(F.col("winner") == "p1", F.col("p1")).when(F.col("winner") == "p2", F.col("p2")).alias("winner")
+    match = F.struct(F.col("round_no").alias("round"), F.col("match_no").alias("indexInRound"), F.lit("WINNERS").alias("side"), seat(1), seat(2), F.struct(F.col("score1").alias("home"), F.col("score2").alias("away")).alias("score"), won)
+    people = numbered(lambda i, n: F.struct(i.alias("id"), n.alias("displayName")))
+    return payloads(t, match, lambda m: F.struct(F.lit("Cup").alias("name"), people.alias("participants"), m.alias("matches")), "egb")
+
+
+def kuachi(t) -> DataFrame:
+    """Scores are maps won, so a report has a map for each point."""
+    maps = lambda score, low, high: F.when(F.col(score) > 0, F.array_repeat(F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")), F.col(score))).otherwise(F.array().cast("array<struct<low:int,high:int>>"))
+    won = F.when(F.col("winner") == "p1", F.col("p1")).when(F.col("winner") == "p2", F.col("p2")).alias("winner_id")
+    match = F.struct(F.col("round_no").alias("elim_round"), F.col("match_no").alias("elim_index"), F.lit("WB").alias("elim_type"), F.lit("s").alias("cup_stage_id"), F.col("p1").alias("low_id"), F.col("p2").alias("high_id"), F.concat(maps("score1", 9, 2), maps("score2", 3, 7)).alias("low_report"), won)
+    return payloads(t, match, lambda m: F.struct(F.lit("Cup").alias("title"), F.lit("s").alias("stage_id"), numbered(lambda i, n: F.struct(i.alias("id"), i.alias("player_id"))).alias("signups"), numbered(lambda i, n: F.struct(i.alias("id"), n.alias("discord_username"))).alias("profiles"), m.alias("matches")), "kuachi")
+
+
+for provider in (toornament, egb, kuachi):
+    query(f"e20_{provider.__name__}_brackets", f"select tournament_id, group_no, round_no, cast(row_number() over (partition by tournament_id, round_no order by match_no) - 1 as int) as match_no, 'name' || substr(p1, 2) as p1, 'name' || substr(p2, 2) as p2, score1, score2, winner from {LONG} l where {PLAYED}")(
+        lambda t, provider=provider: PV.normalize(provider(t)).select("tournament_id", "group_no", "round_no", F.col("match_no").cast("int").alias("match_no"), "p1", "p2", "score1", "score2", "winner")
+    )
+
+
+def drawn(t) -> DataFrame:
+    """A page a tournament with its bracket in columns, a column a round, the winner's name in bold."""
+    cell = lambda k: text('<div class="bracket-cell-r', F.lit(k), '"><div class="bracket-name"', F.when(F.col("winner") == f"p{k}", ' style="font-weight: 700"'), ">", F.col(f"p{k}"), '</div><div class="bracket-score">', F.col(f"score{k}"), "</div></div>")
+    match = text('<div class="bracket-match">', cell(1), cell(2), "</div>")
+    title = text(F.when(F.col("group_no") == 1, "LB Round ").otherwise("Round "), F.col("round_no"))
+    columns = bracket(t).groupBy("tournament_id", "group_no", "round_no").agg(F.first(title).alias("title"), F.array_sort(F.collect_list(F.struct("match_no", match.alias("m")))).alias("m"))
+    column = text('<div class="bracket-column"><div class="bracket-round-title">', F.col("title"), "</div>", F.array_join(F.col("m.m"), ""), "</div>")
+    return columns.groupBy("tournament_id").agg(F.array_sort(F.collect_list(F.struct("group_no", "round_no", column.alias("c")))).alias("c")).select("tournament_id", text('<div class="bracket">', F.array_join(F.col("c.c"), ""), "</div>").alias("html"))
+
+
+query("e21_native_brackets", f"select tournament_id, group_no, cast(dense_rank() over (partition by tournament_id, group_no order by round_no) - 1 as int) as round_no, cast(row_number() over (partition by tournament_id, group_no, round_no order by match_no) - 1 as int) as match_no, p1, p2, score1, score2, winner from {LONG} l")(
+    lambda t: PV.native(drawn(t)).select("tournament_id", "group_no", "round_no", "match_no", "p1", "p2", "score1", "score2", "winner")
+)
+
 # --- stores ---------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from rankforge.operators import players as P
 from rankforge.operators import ratings as G
 from rankforge.operators import relational as R
 from rankforge.operators import tournaments as T
+from rankforge.sources.store import stored
 from rankforge.tables import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +170,8 @@ query("r26_widths", "select cast(max(strlen(a.name)) as bigint) as player1, cast
     lambda t: R.widths(R.with_names(t.matches, t.players), ["player1", "player2", "match_format"])
 )
 
+TFACT = f"(select tournament_id, min(played_at) as first_match, max(played_at) as last_match, count(distinct match_id) as matches, count(distinct player_id) as players from {SIDES} s where tournament_id is not null group by 1)"
+
 # Ten rows of each order, with their places; sql maps a column to its DuckDB order without direction.
 
 
@@ -190,12 +193,25 @@ def places_sql(rows: str, columns: dict[str, str], key: str, falls: bool = False
     return " union all ".join(one(c, o, d) for c, o in columns.items() for d in (True, False))
 
 
-LEADERS = "(select r.*, n.name, wins / matches_played as win_rate from player_ratings r left join players n using (player_id) where game_id = 0 and rating_system = 'elo')"
+LEADERS = """(select r.*, n.name, wins / matches_played as win_rate, h.peak, h.peak_date from player_ratings r left join players n using (player_id)
+ left join (select player_id, max(rating) as peak, max_by(played_at, (rating, played_at)) as peak_date from rating_history where game_id = 0 and rating_system = 'elo' group by 1) h using (player_id) where game_id = 0 and rating_system = 'elo')"""
 TIER = "case tier when 'premier' then -0 when 'major' then -1 when 'minor' then -2 end"
-query("r22_sort_players_by", places_sql(LEADERS, {"win_rate": "win_rate", "name": "lower(name)", "rating": "rating", "wins": "wins", "losses": "losses", "matches": "matches_played"}, "player_id"))(
-    lambda t: places(t.player_ratings.filter("game_id = 0 and rating_system = 'elo'").join(t.players.select("player_id", "name"), "player_id", "left"), R.player_order, ["win_rate", "name", "rating", "wins", "losses", "matches"], "player_id")
+LEADER_ORDERS = {"win_rate": "win_rate", "name": "lower(name)", "rating": "rating", "rd": "rd", "peak": "peak", "peak_date": "peak_date", "wins": "wins", "losses": "losses", "matches": "matches_played"}
+
+
+def leaders(t) -> DataFrame:
+    peaks = t.rating_history.filter("game_id = 0 and rating_system = 'elo'").groupBy("player_id").agg(F.max("rating").alias("peak"), F.max_by("played_at", F.struct("rating", "played_at")).alias("peak_date"))
+    own = t.player_ratings.filter("game_id = 0 and rating_system = 'elo'")
+    return own.join(t.players.select("player_id", "name"), "player_id", "left").join(peaks, "player_id", "left")
+
+
+query("r22_sort_players_by", places_sql(LEADERS, LEADER_ORDERS, "player_id"))(lambda t: places(stored(leaders(t)), R.player_order, list(LEADER_ORDERS), "player_id"))
+EVENTS = f"""(select t.*, g.name as game, f.first_match, f.last_match, coalesce(f.matches, 0) as matches, coalesce(f.players, 0) as players, len(list_distinct(string_split(maplist_csv, ','))) as maps
+ from tournaments t left join games g using (game_id) left join {TFACT} f using (tournament_id))"""
+EVENT_ORDERS = {"name": "lower(name)", "tier": TIER, "game": "lower(game)", "maps": "maps", "matches": "matches", "players": "players", "last_match": "last_match", "first_match": "first_match"}
+query("r23_sort_tournaments_by", places_sql(EVENTS, EVENT_ORDERS, "tournament_id"))(
+    lambda t: places(stored(T.overview(t.tournaments, t.matches).join(t.games.select("game_id", F.col("name").alias("game")), "game_id", "left")), R.tournament_order, list(EVENT_ORDERS), "tournament_id")
 )
-query("r23_sort_tournaments_by", places_sql("tournaments", {"name": "lower(name)", "tier": TIER, "game_id": "game_id"}, "tournament_id"))(lambda t: places(t.tournaments, R.tournament_order, ["name", "tier", "game_id"], "tournament_id"))
 NAMED_MATCHES = "(select m.*, a.name as player1, t.name as tournament, t.tier from matches m left join players a on a.player_id = m.player1_id left join tournaments t using (tournament_id))"
 query("r24_sort_matches_by", places_sql(NAMED_MATCHES, {"score": "player1_score + player2_score | player1_score", "played_at": "played_at", "tier": TIER, "player1": "lower(player1)", "tournament": "lower(tournament)", "match_format": "match_format"}, "match_id", True))(
     lambda t: places(M.named(t.matches, t.players, t.tournaments, t.games), R.match_order, ["score", "played_at", "tier", "player1", "tournament", "match_format"], "match_id")
@@ -369,13 +385,12 @@ query("m12_h2h_map_edges", f"select player_id, opponent_id, name, wins, losses,
     lambda t: P.map_edges(t.matches, t.match_maps, t.maps, 1, True).select("player_id", "opponent_id", "name", "wins", "losses", num("edge"))
 )
 query("m13_h2h_games", "select distinct least(player1_id, player2_id) as a, greatest(player1_id, player2_id) as b, g.name from matches m join games g using (game_id)")(
-    lambda t: t.matches.select(F.least("player1_id", "player2_id").alias("a"), F.greatest("player1_id", "player2_id").alias("b"), "game_id").distinct().join(F.broadcast(t.games), "game_id").select("a", "b", "name")
+    lambda t: t.matches.select(F.least("player1_id", "player2_id").alias("a"), F.greatest("player1_id", "player2_id").alias("b"), "game_id").distinct().join(t.games, "game_id").select("a", "b", "name")
 )
 query("m14_h2h_rates", H2H.format("round(count(*) filter (where winner_id = least(player1_id, player2_id)) / count(*), 4) as a_rate", ""))(lambda t: M.head_to_head(t.matches).select("a", "b", num(S.win_rate("a_wins", "matches"), 4, "a_rate")))
 
 # --- tournaments, statistics ----------------------------------------------------------------------
 
-TFACT = f"(select tournament_id, min(played_at) as first_match, max(played_at) as last_match, count(distinct match_id) as matches, count(distinct player_id) as players from {SIDES} s where tournament_id is not null group by 1)"
 query("t1_tournaments", f"select t.tournament_id, t.name, t.tier, {ts('f.first_match')}, {ts('f.last_match')}, coalesce(f.matches, 0) as matches, coalesce(f.players, 0) as players, cast(len(list_distinct(string_split(maplist_csv, ','))) as bigint) as maps from tournaments t left join {TFACT} f using (tournament_id)")(
     lambda t: T.overview(t.tournaments, t.matches).select("tournament_id", "name", "tier", at("first_match"), at("last_match"), "matches", "players", "maps")
 )
@@ -432,7 +447,7 @@ query("x1_stats", f"select count(distinct match_id) as matches, count(distinct p
 )
 query("x1_game_stats", f"select s.game_id, g.name, count(distinct match_id) as matches, count(distinct tournament_id) as tournaments, count(distinct player_id) as players from {SIDES} s join games g using (game_id) group by 1, 2")(lambda t: T.game_stats(t.matches, t.games))
 query("x2_map_names", "select distinct mm.map_id, coalesce(m.name, '') as name from match_maps mm left join maps m using (map_id) where mm.map_id is not null")(
-    lambda t: t.match_maps.filter("map_id is not null").select("map_id").distinct().join(F.broadcast(t.maps), "map_id", "left").select("map_id", F.coalesce("name", F.lit("")).alias("name"))
+    lambda t: t.match_maps.filter("map_id is not null").select("map_id").distinct().join(t.maps, "map_id", "left").select("map_id", F.coalesce("name", F.lit("")).alias("name"))
 )
 query("x3_post_counts", "select count(*) filter (where status = 'parsed') as parsed, count(*) as total from raw_posts")(lambda t: t.raw_posts.agg(F.count_if(F.col("status") == "parsed").alias("parsed"), F.count("*").alias("total")))
 
@@ -447,8 +462,6 @@ query("g2_elo")(lambda t: G.elo(t.matches, t.tournaments).select("player_id", "g
 
 @query("g4_glicko2")
 def _(t):
-    from rankforge.sources.store import stored
-
     return G.glicko2(t.matches, "month", keep=stored).select("player_id", "game_id", "n", "match_id", num("rating"), num("rd"), num("vol", 6), "wins", "losses", "matches_played")
 
 

@@ -194,9 +194,18 @@ def matches(pages: DataFrame) -> DataFrame:
     )
 
 
+def classified(pages: DataFrame) -> DataFrame:
+    """pages with _kind, their class, so that several extractions work it out once."""
+    return pages.withColumn("_kind", page_class(F.col("raw_html")))
+
+
+def kind_of(pages: DataFrame) -> Column:
+    return F.col("_kind") if "_kind" in pages.columns else page_class(F.col("raw_html"))
+
+
 def played(pages: DataFrame) -> DataFrame:
     """The pages that give a match; a page that is rejected gives no maps or recordings either."""
-    return pages.filter(page_class(F.col("raw_html")) == "match")
+    return pages.filter(kind_of(pages) == "match")
 
 
 def match_maps(pages: DataFrame) -> DataFrame:
@@ -251,7 +260,7 @@ def attach_embeds(vods: DataFrame, embeds: DataFrame) -> tuple[DataFrame, DataFr
 
 def tournaments(pages: DataFrame, games: DataFrame) -> DataFrame:
     """A row for each tournament page; the game by its title, else by its category icon."""
-    x = pages.filter(page_class(F.col("raw_html")) == "tournament").withColumn("page", tight(F.col("raw_html"))).withColumn("b", body(F.col("page")))
+    x = pages.filter(kind_of(pages) == "tournament").withColumn("page", tight(F.col("raw_html"))).withColumn("b", body(F.col("page")))
     b = F.col("b")
     field: Callable[[str], Column] = lambda label: F.nullif(F.trim(unescape(F.array_join(texts(before(after(b, f'<div class="tc_title">{label}</div>'), "</div>")), " "))), F.lit(""))
     x = x.withColumns({"icon": after(b, TITLE + ICON), "when": field("Schedule")})
@@ -428,9 +437,9 @@ def alias_counts(matches: DataFrame) -> DataFrame:
 
 def outcome(pages: DataFrame) -> DataFrame:
     """Pages with the status and reason that parsing gives them."""
-    kind = page_class(F.col("raw_html"))
+    kind = kind_of(pages)
     good = kind.isin("match", "tournament", "vod")
-    return pages.withColumn("status", F.when(good, "parsed").otherwise("skipped")).withColumn("reason", F.when(~good, kind))
+    return pages.withColumn("status", F.when(good, "parsed").otherwise("skipped")).withColumn("reason", F.when(~good, kind)).drop("_kind")
 
 
 def parse_summary(posts: DataFrame) -> DataFrame:

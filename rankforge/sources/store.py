@@ -76,12 +76,16 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
 
 
+#: Files that a series is written in, each by a task of its own.
+SHARES = 16
+
+
 def replace_series(history: DataFrame, folder: str) -> None:
     """Overwrites only the (rating_system, game_id) partitions that history has."""
     spark = history.sparkSession
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        history.repartition("rating_system", "game_id").sortWithinPartitions("player_id", "played_at").write.mode("overwrite").partitionBy("rating_system", "game_id").parquet(f"{folder}/rating_history")
+        history.repartition("rating_system", "game_id", F.pmod(F.xxhash64("player_id"), F.lit(SHARES))).sortWithinPartitions("player_id", "played_at").write.mode("overwrite").partitionBy("rating_system", "game_id").parquet(f"{folder}/rating_history")
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)

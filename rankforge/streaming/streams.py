@@ -162,7 +162,7 @@ SETS: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] = {
     "match_maps": (lambda p: extract.match_maps(p), ["match_id"]),
     "match_vods": (lambda p: extract.match_vods(p), ["match_id"]),
     "vod_embeds": (lambda p: extract.vod_embeds(p), ["vod_post_id"]),
-    "standings": (lambda p: extract.standings(p.filter(extract.page_class(F.col("raw_html")) == "tournament")), ["tournament_id"]),
+    "standings": (lambda p: extract.standings(p.filter(extract.kind_of(p) == "tournament")), ["tournament_id"]),
 }
 #: Dimensions that pages tell of piece by piece.
 DIMENSIONS = {"players": (["player_id"], ["name", "country"]), "games": (["game_id"], ["name"]), "maps": (["map_id"], ["name", "image"]), "tournaments": (["tournament_id"], extract.TOURNAMENT_COLUMNS)}
@@ -173,7 +173,7 @@ def parse_stream(posts: DataFrame, sink: Callable[[str, DataFrame, int], None],
     runs again changes nothing. Dimension rows carry a version of each column; aliases are rows a match."""
 
     def batch(df: DataFrame, number: int) -> None:
-        pages = df.persist()
+        pages = extract.classified(df).persist()
         try:
             read = {name: of(pages) for name, (of, _) in SETS.items()}
             read["matches"] = read["matches"].persist()
@@ -214,14 +214,14 @@ class Silver:
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], merged: Callable[[DataFrame], DataFrame]) -> None:
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        new = stored(rows.withColumn("_bucket", bucket))
+        new = rows.withColumn("_bucket", bucket).persist()
         touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most buckets
-        if not touched:
-            return
-        held = self.table(name)
-        both = new if held is None else held.filter(F.col("_bucket").isin(touched)).unionByName(new)
-        out = stored(merged(both.drop("_bucket")).withColumn("_bucket", bucket))  # read whole before its place is overwritten
-        out.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/{name}")
+        held = self.table(name) if touched else None
+        out = merged(new.drop("_bucket") if held is None else held.filter(F.col("_bucket").isin(touched)).unionByName(new).drop("_bucket")).withColumn("_bucket", bucket)
+        if touched:
+            out = out if held is None else stored(out)  # read whole before its place is overwritten
+            out.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/{name}")
+        new.unpersist()
 
     def sink(self, name: str, rows: DataFrame, batch: int) -> None:
         if name in DIMENSIONS:
@@ -240,9 +240,12 @@ class Silver:
     def follow(self, posts: DataFrame, stream: str, checkpoint: str, again: bool = False):
         """Parses a stream of pages into the tables. again: batches in the ledger run once more."""
         names = [*SETS, *DIMENSIONS, "aliases"]
+        skipped: dict[int, bool] = {}
 
         def sink(name: str, rows: DataFrame, batch: int) -> None:
-            if again or not self.done(stream, batch):
+            if batch not in skipped:
+                skipped[batch] = not again and self.done(stream, batch)
+            if not skipped[batch]:
                 self.sink(name, rows, batch)
                 if name == names[-1]:
                     mark = self.spark.createDataFrame([(stream, batch)], "stream string, batch long")
