@@ -68,15 +68,18 @@ def details(matches: DataFrame, match_maps: DataFrame, maps: DataFrame, vods: Da
     return matches.join(own, "match_id", "left").join(seen, "match_id", "left")
 
 
-def ratings_before(matches: DataFrame, history: DataFrame) -> DataFrame:
+def ratings_before(matches: DataFrame, history: DataFrame, pools: list[tuple[int, str]] | None = None) -> DataFrame:
     """Per match, side, pool and system: the player's last snapshot strictly before the match's time.
 
+    pools: the (game_id, rating_system) asked for; all that history has, if not given.
+
     Matches and snapshots are stacked by player, snapshots of an instant after the matches of that instant, and one
     window carries the last snapshot of every pool and system at once, so that no match is repeated for them. Pools are
     few: the games and all of them together.
     """
     sides = matches.select("match_id", "played_at", F.explode(F.array("player1_id", "player2_id")).alias("player_id"))
-    pools = sorted((r[0], r[1]) for r in history.select("game_id", "rating_system").distinct().collect())
+    if pools is None:
+        pools = sorted((r[0], r[1]) for r in history.select("game_id", "rating_system").distinct().collect())
     shape = "struct<rating:double,rd:double,matches_played:bigint>"
     asked = sides.select("player_id", "played_at", F.lit(0).alias("s"), F.col("match_id").alias("asked"), F.lit(None).cast("bigint").alias("m"), F.lit(None).cast("int").alias("game_id"), F.lit(None).cast("string").alias("rating_system"), F.lit(None).cast(shape).alias("v"))
     known = history.select("player_id", "played_at", F.lit(1).alias("s"), F.lit(None).cast("bigint").alias("asked"), F.col("match_id").alias("m"), F.col("game_id").cast("int"), "rating_system", F.struct("rating", "rd", F.col("matches_played").cast("bigint").alias("matches_played")).alias("v"))

@@ -363,8 +363,13 @@ query("m4_vods", "select match_id, vod_index, vod_post_id from (select *, row_nu
 query("m5_map_flags", "select match_id, match_id in (select match_id from match_maps) as has_maps from matches")(
     lambda t: t.matches.select("match_id").join(t.match_maps.select("match_id").distinct().withColumn("h", F.lit(True)), "match_id", "left").select("match_id", F.coalesce("h", F.lit(False)).alias("has_maps"))
 )
+def rated_pools(t) -> list[tuple[int, str]]:
+    """Every game and all of them together, in both systems: a dimension, which costs no pass over the history."""
+    return [(g, system) for g in [0, *sorted(r["game_id"] for r in t.games.select("game_id").collect())] for system in ("elo", "glicko2")]
+
+
 query("m7_ratings_before", f"select s.match_id, s.player_id, h.game_id, h.rating_system, max_by(h.rating, (h.played_at, h.match_id)) as rating from {SIDES} s join rating_history h on h.player_id = s.player_id and h.played_at < s.played_at group by 1, 2, 3, 4")(
-    lambda t: M.ratings_before(t.matches, t.rating_history).select("match_id", "player_id", "game_id", "rating_system", "rating")
+    lambda t: M.ratings_before(t.matches, t.rating_history, rated_pools(t)).select("match_id", "player_id", "game_id", "rating_system", "rating")
 )
 query("m8_k_before", f"select s.match_id, s.player_id, coalesce(max_by(h.matches_played, (h.played_at, h.match_id)), 0) as matches_before from {SIDES} s left join rating_history h on h.player_id = s.player_id and h.game_id = s.game_id and h.rating_system = 'elo' and h.played_at < s.played_at group by 1, 2")(
     lambda t: M.k_factors_before(t.matches, t.rating_history, t.tournaments).select("match_id", "player_id", "matches_before")
