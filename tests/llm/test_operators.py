@@ -428,34 +428,62 @@ def test_media_round_trip(spark):
 # --- 4 language model -------------------------------------------------------------------------------
 
 
-def test_katz_equals_brute_force(spark):
-    rows = corpus(5)
-    held = {i for i, *_ in rows if i % 4 == 0}
-    got = katz.score(docs(spark, rows), F.col("doc_id") % 4 == 0).collect()
-    assert len(got) == len(rows)
-    tokens = [(i, [*WORD.findall(low(t)), None]) for i, t, *_ in rows]
-    one, two = collections.Counter(), collections.Counter()
+def katz_by_hand(tokens, held):
+    """(words, unknown, chance): the trigram model written down as its definition, over lists of tokens that end in None."""
+    one, two, three = (collections.Counter() for _ in range(3))
     for i, w in tokens:
         if i not in held:
             one.update(w)
             two.update(zip([None, *w[:-1]], w))
+            three.update(zip([None, *w[:-2]], w[:-1], w[1:]))
     counts = lambda c: [0] + [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]
-    d1, d2 = katz.discounts(counts(one)), katz.discounts(counts(two))
+    d1, d2, d3 = (katz.discounts(counts(c)) for c in (one, two, three))
     cut = lambda c, d: d[c] * c if c <= katz.K else c - katz.K * (1 - d[katz.K])
-    n, v = sum(one.values()), len(one)
+    n = sum(one.values())
     p = {w: cut(c, d1) / n for w, c in one.items()}
     unknown = 1 - sum(p.values())
-    follow = collections.defaultdict(dict)
+    follow, after = collections.defaultdict(dict), collections.defaultdict(dict)
     for (u, w), c in two.items():
         follow[u][w] = cut(c, d2) / one[u]
+    for (t, u, w), c in three.items():
+        after[t, u][w] = cut(c, d3) / two[t, u]
     alpha = {u: (1 - sum(x.values())) / (1 - sum(p[w] for w in x)) for u, x in follow.items()}
-    for u in list(follow)[:50]:  # exactly normalised over the vocabulary and the unknown token
-        assert sum(follow[u].values()) + alpha[u] * (unknown + sum(q for w, q in p.items() if w not in follow[u])) == pytest.approx(1)
-    want = collections.Counter()
+    alpha2 = {(t, u): (1 - sum(x.values())) / (1 - sum(follow[u][w] for w in x)) for (t, u), x in after.items()}
+
+    def chance(w, u, *t):
+        """Of w after u, and after t and u where t is given."""
+        if t:
+            own = after.get((*t, u), {})
+            return own[w] if w in own else alpha2.get((*t, u), 1) * chance(w, u)
+        own = follow.get(u, {})
+        return own[w] if w in own else alpha.get(u, 1) * p.get(w, unknown)
+
+    for u in list(follow)[:40]:  # exactly normalised over the vocabulary and the unknown token, whatever stands before
+        assert sum(chance(w, u) for w in [*one, "unknown"]) == pytest.approx(1)
+    for t, u in list(after)[:40]:
+        assert sum(chance(w, u, t) for w in [*one, "unknown"]) == pytest.approx(1)
+    return one, three, chance
+
+
+@pytest.mark.parametrize("chunk", [8 << 20, 1 << 10])
+def test_katz_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(katz, "CHUNK_BYTES", chunk)
+    rows = corpus(5)
+    held = {i for i, *_ in rows if i % 4 == 0}
+    got = katz.score(docs(spark, rows), F.col("doc_id") % 4 == 0).collect()
+    assert len(got) == len(rows)
+    tokens = [(i, [*WORD.findall(low(t)), None]) for i, t, *_ in rows]
+    one, three, chance = katz_by_hand(tokens, held)
+    assert {c for c in three.values() if c > katz.K} and {c for c in three.values() if c == 1}
+    n, v = sum(one.values()), len(one)
+    want, orders = collections.Counter(), collections.Counter()
     for i, w in tokens:
-        s = sum(math.log10(follow[u][x] if x in follow.get(u, {}) else alpha.get(u, 1) * p.get(x, unknown)) for u, x in zip([None, *w[:-1]], w))
+        before = [None, *w[:-1]]
+        s = math.log10(chance(w[0], None)) + sum(math.log10(chance(x, u, t)) for t, u, x in zip(before, before[1:], w[1:]))
+        orders.update((t, u, x) in three for t, u, x in zip(before, before[1:], w[1:]))
         base = sum(math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         want[i, i in held, len(w), sum(x in one for x in w), n, round(base, 6), round(s, 6)] += 1
+    assert min(orders[True], orders[False]) > 100
     assert collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
 
 
