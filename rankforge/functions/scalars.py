@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from html.entities import name2codepoint
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +69,11 @@ def base_k(games) -> Column:
     return F.when(c(games) < NEW_GAMES, K_NEW).when(c(games) <= MID_GAMES, K_MID).otherwise(K_OLD)
 
 
+def k_of(games):
+    """As base_k, over an array."""
+    return np.where(games < NEW_GAMES, K_NEW, np.where(games <= MID_GAMES, K_MID, K_OLD))
+
+
 def tier_multiplier(tier) -> Column:
     low = F.lower(F.trim(c(tier)))
     out = F.when(low == "premier", TIERS["premier"]).when(low == "major", TIERS["major"])

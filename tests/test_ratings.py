@@ -69,6 +69,21 @@ def test_sweeps_hold_a_part_of_the_players_at_a_time(spark, monkeypatch):
     assert {x: v[0] for x, v in got(G.elo(spark.createDataFrame(rows, COLUMNS), fold=0).filter("game_id = 0")).items()} == pytest.approx({x: v[0] for x, v in scalar_elo(rows, 0).items()}, abs=1e-8)
 
 
+def test_no_task_gets_more_than_a_turn_of_a_pool(spark, monkeypatch):
+    """Pools go on from the states of the turn before, with self-matches and states given; each turn is a few duels."""
+    monkeypatch.setattr(G, "SWEPT", 20)
+    rows = [(r[0], r[1], r[1], *r[3:]) if r[0] == 7 else r for r in league(100)]
+    turns, step = [], G.folded
+    monkeypatch.setattr(G, "folded", lambda part, *more: turns.append(part.groupBy("pool").count().agg(F.max("count")).first()[0]) or step(part, *more))
+    matches = spark.createDataFrame(rows, COLUMNS)
+    before = stored(G.elo(matches.filter("match_id < 40")))
+    assert len(turns) == 1
+    flat = lambda df: sorted(((r["game_id"], r["match_id"], r["player_id"], r["matches_played"]), (round(r["rating"], 9), r["wins"], r["losses"])) for r in df.collect())
+    whole = flat(G.elo(matches))
+    assert flat(G.elo_incremental(before, matches, fold=0)) == whole and flat(G.elo(matches, fold=0)) == whole
+    assert len(turns) >= 10 and max(turns[4:]) <= 23
+
+
 def test_elo_of_nothing(spark):
     assert G.elo(spark.createDataFrame([], COLUMNS)).count() == 0
 
