@@ -385,7 +385,7 @@ def _(t):
 
 @query("g2_elo_swept")
 def _(t):
-    """The whole history with every pool dealt over all tasks."""
+    """The whole history with every pool swept in turns."""
     out = G.elo(t.matches, t.tournaments, fold=0)
     return out.select("player_id", "game_id", "match_id", num("rating"), "wins", "losses", "matches_played")
 
@@ -524,12 +524,12 @@ def drained_parse(t) -> DataFrame:
 
 @query("s3_stream_ratings", FOLD + "select player_id, game_id, match_id, round(rating, 4) as rating from elo")
 def _(t):
-    """Matches in two files by time, and a third with late ones: every eighth of the first years."""
+    """Matches in two batches by time, and a third with late ones: every 31st and, from 1998 on, every eighth."""
     place = folder(t)
     late, new = F.expr(f"not ({EARLY}) or match_id % 31 = 0"), F.col("played_at") >= F.lit("1997-01-01").cast("timestamp")
     turn = F.when(late, 2).when(new, 1).otherwise(0)
     for i in range(3):
-        t.matches.filter(turn == i).coalesce(1).write.parquet(f"{place}/{i}")
+        t.matches.filter(turn == i).write.parquet(f"{place}/{i}")
     held = ST.Ratings(t.spark, f"{place}/ratings", t.tournaments, "year")
     for i in range(3):  # one after the other, so that the order is fixed
         posts = t.spark.readStream.schema(t.matches.schema).parquet(f"{place}/{i}")

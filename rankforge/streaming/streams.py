@@ -15,7 +15,7 @@ from rankforge.functions import scalars as S
 from rankforge.functions.scalars import base_k
 from rankforge.operators import ratings as G
 from rankforge.sources import extract
-from rankforge.sources.store import shared_folder, stored
+from rankforge.sources.store import SHARES, shared_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -274,8 +274,9 @@ class Ratings:
     def history(self) -> DataFrame:
         return self.table("history").withColumnRenamed("pool", "game_id").drop("period")
 
-    def put(self, name: str, rows: DataFrame, by: list[str]) -> None:
-        rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.folder}/{name}")
+    def put(self, name: str, rows: DataFrame, by: list[str], share: str = "match_id") -> None:
+        """Overwrites the partitions that rows has, each by SHARES tasks."""
+        rows.repartition(*by, F.pmod(F.xxhash64(share), F.lit(SHARES))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.folder}/{name}")
 
     def add(self, matches: DataFrame, batch: int) -> None:
         """Takes a batch of matches; those that are known are left out, and a batch may run again."""
@@ -297,7 +298,7 @@ class Ratings:
         rated = stored(rated)
         self.put("history", rated, ["pool", "period"])
         last = F.max_by(F.struct("rating", "wins", "losses", "matches_played"), F.struct("played_at", "match_id"))
-        self.put("states", rated.groupBy("pool", "period", "player_id").agg(last.alias("s")).select("pool", "period", "player_id", "s.*"), ["pool", "period"])
+        self.put("states", rated.groupBy("pool", "period", "player_id").agg(last.alias("s")).select("pool", "period", "player_id", "s.*"), ["pool", "period"], "player_id")
 
     def follow(self, matches: DataFrame, checkpoint: str):
         return matches.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -162,3 +162,13 @@ def test_names_in_two_cases_resolve_to_the_exact_one(spark):
     aliases = spark.createDataFrame([(3, "BOB", 1), (4, "bob", 1)], "player_id long, name string, cnt long")
     queries = spark.createDataFrame([("Ann",), ("ann",), ("ANN",), ("bob",), ("Bob",), ("zed",)], "query string")
     assert {r["query"]: r["player_id"] for r in resolve(queries, players, aliases).collect()} == {"Ann": 1, "ann": 2, "ANN": 1, "bob": 4, "Bob": 3}
+
+
+def test_a_partition_of_the_rating_stream_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ST.Ratings(spark, str(tmp_path), unit="year").add(spark.createDataFrame(league(60), COLUMNS), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = lambda place: len([f for f in os.listdir(tmp_path / place) if f.endswith(".parquet")])
+    assert files("matches/batch=0") > 1 and files("history/pool=0/period=2024") > 1
