@@ -7,6 +7,7 @@ between tags. Blanks between tags are dropped first, so that a marker may span t
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,7 +91,12 @@ def link(x: Column, kind: str) -> Column:
 
 def content(html: Column) -> Column:
     """The match area of a page; null if it has none or does not end."""
-    return let(cut(after(html, MATCH), *MATCH_ENDS, limit=2), lambda c: F.when(F.size(c) > 1, c[0]))
+
+    def ended(x: Column) -> Column:
+        ends = reduce(Column.__or__, [F.contains(x, F.lit(m)) for m in MATCH_ENDS])
+        return F.when(ends, reduce(before, MATCH_ENDS, x))
+
+    return let(after(html, MATCH), ended)
 
 
 def body(html: Column) -> Column:
@@ -114,35 +120,43 @@ def page_title(html: Column) -> Column:
     return F.trim(F.coalesce(before(after(html, "<title>"), "</title>"), F.lit("")))
 
 
-def page_class(html: Column) -> Column:
-    """parent index, tournament, vod, match, or why a page gives nothing."""
+def opened(html: Column) -> Column:
+    """A page read once: its kind (parent index, tournament, vod, match, or why it gives nothing), the page without
+    blanks between its tags, and of the match area the whole, the description, players and results."""
+    empty = F.lit(None).cast("string")
+    nothing = {"area": empty, "about": F.lit(None).cast("array<string>"), "players": F.lit(None).cast("array<string>"), "results": F.lit(None).cast("array<struct<score:int,won:boolean>>")}
+    row = lambda kind, page, read: F.struct(kind.alias("kind"), page.alias("page"), *[c.alias(n) for n, c in read.items()])
 
-    def by_area(v: Column) -> Column:
-        fmt = F.lower(F.coalesce(F.get(titled(v["area"], "Description"), F.lit(1)), F.lit("")))
-        read = F.struct(fmt.alias("fmt"), F.size(player_blocks(v["area"])).alias("players"), F.size(result_cells(v["area"])).alias("results"))
-        return let(read, lambda r: by_format(v, r))
+    def by_area(page: Column, area: Column) -> Column:
+        read = F.struct(area.alias("area"), titled(area, "Description").alias("about"), player_blocks(area).alias("players"), result_cells(area).alias("results"))
+        return let(read, lambda r: row(by_format(area, F.lower(F.coalesce(F.get(r["about"], F.lit(1)), F.lit(""))), r), page, {n: r[n] for n in nothing}))
 
-    def by_format(v: Column, r: Column) -> Column:
+    def by_format(area: Column, fmt: Column, r: Column) -> Column:
         return (
-            F.when(is_duel(r["fmt"]) & (r["players"] >= 2) & (r["results"] >= 2), "match")
+            F.when(is_duel(fmt) & (F.size(r["players"]) >= 2) & (F.size(r["results"]) >= 2), "match")
             .when(html.contains("postvods") | html.contains("videoplaceholder"), "vod")
             .when(F.lower(page_title(html)).startswith("deleted"), "invalid")
             .when(~html.contains(MATCH), "not a match")
-            .when((r["fmt"] != "") & ~r["fmt"].contains("duel") & ~r["fmt"].contains("1v1"), "team format")
-            .when(v["area"].isNotNull() & (r["results"] < 2), "not played")
+            .when((fmt != "") & ~fmt.contains("duel") & ~fmt.contains("1v1"), "team format")
+            .when(area.isNotNull() & (F.size(r["results"]) < 2), "not played")
             .otherwise("parse error")
         )
 
     def by_kind(page: Column) -> Column:
         events = F.filter(parts(body(page), TITLE + ICON), lambda t: F.startswith(after(t, "</i>"), F.lit('<a href="/post/')))
         return (
-            F.when(F.trim(html) == "", "invalid")
-            .when(F.size(events) >= 2, "parent index")
-            .when(html.contains("postinnercontent") & html.contains("tour_info"), "tournament")
-            .otherwise(let(F.struct(content(page).alias("area")), by_area))
+            F.when(F.trim(html) == "", row(F.lit("invalid"), page, nothing))
+            .when(F.contains(page, F.lit(TITLE + ICON)) & (F.size(events) >= 2), row(F.lit("parent index"), page, nothing))
+            .when(html.contains("postinnercontent") & html.contains("tour_info"), row(F.lit("tournament"), page, nothing))
+            .otherwise(let(content(page), lambda area: by_area(page, area)))
         )
 
-    return F.when(html.isNull(), "invalid").otherwise(let(tight(html), by_kind))
+    return F.when(html.isNull(), row(F.lit("invalid"), empty, nothing)).otherwise(let(tight(html), by_kind))
+
+
+def page_class(html: Column) -> Column:
+    """parent index, tournament, vod, match, or why a page gives nothing."""
+    return opened(html)["kind"]
 
 
 def valid_page(html: Column, generic_title: str) -> Column:
@@ -159,9 +173,13 @@ def decide_winner(marker: Column, p1: Column, p2: Column, s1: Column, s2: Column
 
 def matches(pages: DataFrame) -> DataFrame:
     """A row for each page of a played duel (post_id, raw_html)."""
-    x = played(pages).withColumn("c", content(tight(F.col("raw_html"))))
+    x = played(pages)
+    if "area" not in x.columns:
+        x = x.withColumn("area", content(F.col("page")))
+        x = x.withColumns({"about": titled(F.col("area"), "Description"), "players": player_blocks(F.col("area")), "results": result_cells(F.col("area"))})
+    x = x.withColumnsRenamed({"area": "c", "players": "b", "results": "r"})
     c = F.col("c")
-    x = x.withColumns({"b": player_blocks(c), "r": result_cells(c), "about": titled(c, "Description"), "cup": titled(c, "Tournament"), "day": titled(c, "Date"), "links": parts(c, 'href="/player/')})
+    x = x.withColumns({"cup": titled(c, "Tournament"), "day": titled(c, "Date"), "links": parts(c, 'href="/player/')})
     won = lambda i: F.col("r")[i]["won"]
     marker = F.when(won(0) & ~won(1), 1).when(won(1) & ~won(0), 2).otherwise(0)
     block = lambda i: F.col("b")[i]
@@ -203,14 +221,24 @@ def kind_of(pages: DataFrame) -> Column:
     return F.col("_kind") if "_kind" in pages.columns else page_class(F.col("raw_html"))
 
 
+def of_kind(pages: DataFrame, kind: str) -> DataFrame:
+    """(post_id, raw_html, page, ...) of the pages of a kind; those not classified come with all that opened reads.
+
+    Pages are opened in a generator, which no filter passes, so that each is written and read once.
+    """
+    if "_kind" in pages.columns:
+        return pages.filter(F.col("_kind") == kind).withColumn("page", tight(F.col("raw_html")))
+    return pages.select("post_id", "raw_html", F.explode(F.array(opened(F.col("raw_html")))).alias("_p")).filter(F.col("_p.kind") == kind).select("post_id", "raw_html", "_p.*")
+
+
 def played(pages: DataFrame) -> DataFrame:
     """The pages that give a match; a page that is rejected gives no maps or recordings either."""
-    return pages.filter(kind_of(pages) == "match")
+    return of_kind(pages, "match")
 
 
 def match_maps(pages: DataFrame) -> DataFrame:
     """The maps of matches, numbered by those with two scores."""
-    maps = before(after(tight(F.col("raw_html")), MAPS), "<script")
+    maps = before(after(F.col("page"), MAPS), "<script")
     rows = played(pages).select(F.col("post_id").alias("match_id"), F.posexplode(parts(maps, "<tr>")).alias("map_index", "r"))
     scores = F.transform(parts(F.col("r"), 'class="score_value'), lambda c: number(before(after(c, ">"), "<")))
     rows = rows.filter(F.contains("r", F.lit('class="map"'))).withColumn("s", F.filter(scores, lambda v: v.isNotNull())).filter(F.size("s") >= 2)
@@ -234,7 +262,7 @@ def image_id(path: Column) -> Column:
 
 def match_vods(pages: DataFrame) -> DataFrame:
     """The recordings that pages of matches link to."""
-    rows = played(pages).select(F.col("post_id").alias("match_id"), F.posexplode(F.filter(parts(tight(F.col("raw_html")), VOD), lambda v: F.contains(v, F.lit('href="/post/')))).alias("vod_index", "r"))
+    rows = played(pages).select(F.col("post_id").alias("match_id"), F.posexplode(F.filter(parts(F.col("page"), VOD), lambda v: F.contains(v, F.lit('href="/post/')))).alias("vod_index", "r"))
     anchor = after(after(F.col("r"), 'href="/post/'), ">")
     return rows.select(
         "match_id",
@@ -260,7 +288,7 @@ def attach_embeds(vods: DataFrame, embeds: DataFrame) -> tuple[DataFrame, DataFr
 
 def tournaments(pages: DataFrame, games: DataFrame) -> DataFrame:
     """A row for each tournament page; the game by its title, else by its category icon."""
-    x = pages.filter(kind_of(pages) == "tournament").withColumn("page", tight(F.col("raw_html"))).withColumn("b", body(F.col("page")))
+    x = of_kind(pages, "tournament").withColumn("b", body(F.col("page")))
     b = F.col("b")
     field: Callable[[str], Column] = lambda label: F.nullif(F.trim(unescape(F.array_join(texts(before(after(b, f'<div class="tc_title">{label}</div>'), "</div>")), " "))), F.lit(""))
     x = x.withColumns({"icon": after(b, TITLE + ICON), "when": field("Schedule")})
