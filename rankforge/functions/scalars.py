@@ -1,4 +1,4 @@
-"""Column functions of the match domain. All are built-in expressions and stay inside generated code."""
+"""Column functions of the match domain: built-in expressions, and the volatility by arrays."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import math
 from html.entities import name2codepoint
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,34 +104,40 @@ def glicko_expected(r, r_opp, rd_opp, mode: str = "default") -> Column:
     return F.lit(1.0) / (1.0 + F.exp(-glicko_g(rd_opp, mode) * (c(r) - c(r_opp)) / SCALE))
 
 
+def volatility(phi, vol, v, delta, tau: float = TAU, rounds: int = 40):
+    """The root by the Illinois method in at most so many rounds, over arrays."""
+    p2, d2, a = phi**2, delta**2, np.log(vol**2)
+
+    def f(x):
+        e = np.exp(x)
+        return e * (d2 - p2 - v - e) / (2.0 * (p2 + v + e) ** 2) - (x - a) / (tau * tau)
+
+    k = np.zeros(len(phi))
+    for i in range(1, rounds + 1):
+        k = np.where((k == i - 1) & (f(a - i * tau) < 0), float(i), k)
+    x, y = a, np.where(d2 > p2 + v, np.log(np.maximum(d2 - p2 - v, 1e-300)), a - (k + 1) * tau)
+    fx, fy = f(x), f(y)
+    for _ in range(rounds):
+        done = np.abs(y - x) <= EPSILON
+        if done.all():
+            break
+        z = np.where(done, y, x + (x - y) * fx / np.where(fy != fx, fy - fx, 1.0))
+        fz = f(z)
+        turned = fz * fy <= 0
+        x, fx = np.where(done, x, np.where(turned, y, x)), np.where(done, fx, np.where(turned, fy, fx / 2.0))
+        y, fy = z, np.where(done, fy, fz)
+    return np.exp(x / 2.0)
+
+
 def glicko_volatility(phi, vol, v, delta, tau: float = TAU, rounds: int = 40) -> Column:
-    """The new volatility: the root of the period's likelihood, by the Illinois method in a fixed number of rounds."""
-    phi2, v, d2 = F.pow(c(phi), F.lit(2.0)), c(v), F.pow(c(delta), F.lit(2.0))
-    a = F.log(F.pow(c(vol), F.lit(2.0)))
-
-    def f(x, s):
-        e = F.exp(x)
-        return e * (s["d2"] - s["p2"] - s["v"] - e) / (2.0 * F.pow(s["p2"] + s["v"] + e, F.lit(2.0))) - (x - s["a"]) / (tau * tau)
-
-    base = F.struct(a.alias("a"), phi2.alias("p2"), v.alias("v"), d2.alias("d2"))
-    state = F.struct(base.alias("s"), F.lit(0.0).alias("k"))
-    # the lower bracket: below a by whole taus until the function is not negative, unless delta says how high
-    fall = lambda acc, i: F.struct(acc["s"].alias("s"), F.when((acc["k"] == i - 1) & (f(acc["s"]["a"] - i * tau, acc["s"]) < 0), i.cast("double")).otherwise(acc["k"]).alias("k"))
-    down = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, fall, lambda acc: acc["k"])
-    start = F.transform(F.array(F.struct(base.alias("s"), down.alias("k"))), lambda m: F.struct(m["s"].alias("s"), m["s"]["a"].alias("x"), F.when(m["s"]["d2"] > m["s"]["p2"] + m["s"]["v"], F.log(F.greatest(m["s"]["d2"] - m["s"]["p2"] - m["s"]["v"], F.lit(1e-300)))).otherwise(m["s"]["a"] - (m["k"] + 1) * tau).alias("y")))
-    start = F.transform(start, lambda m: F.struct(m["s"].alias("s"), m["x"].alias("x"), m["y"].alias("y"), f(m["x"], m["s"]).alias("fx"), f(m["y"], m["s"]).alias("fy")))[0]
-
-    def step(m, _):
-        new = F.transform(F.array(m), lambda m: F.struct(m.alias("m"), F.when(F.abs(m["y"] - m["x"]) <= EPSILON, m["y"]).otherwise(m["x"] + (m["x"] - m["y"]) * m["fx"] / F.when(m["fy"] != m["fx"], m["fy"] - m["fx"]).otherwise(1.0)).alias("z")))
-        new = F.transform(new, lambda n: F.struct(n["m"].alias("m"), n["z"].alias("z"), f(n["z"], n["m"]["s"]).alias("fz")))[0]
-        return F.transform(
-            F.array(new),
-            lambda n: F.when(F.abs(n["m"]["y"] - n["m"]["x"]) <= EPSILON, n["m"])
-            .when(n["fz"] * n["m"]["fy"] <= 0, F.struct(n["m"]["s"].alias("s"), n["m"]["y"].alias("x"), n["z"].alias("y"), n["m"]["fy"].alias("fx"), n["fz"].alias("fy")))
-            .otherwise(F.struct(n["m"]["s"].alias("s"), n["m"]["x"].alias("x"), n["z"].alias("y"), (n["m"]["fx"] / 2.0).alias("fx"), n["fz"].alias("fy"))),
-        )[0]
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda m: F.exp(m["x"] / 2.0))
+    """The new volatility: the root of the period's likelihood, by arrays; null where a value is."""
+
+    @F.pandas_udf("double")
+    def root(phi: pd.Series, vol: pd.Series, v: pd.Series, delta: pd.Series) -> pd.Series:
+        return pd.Series(volatility(*[x.to_numpy(float) for x in (phi, vol, v, delta)], tau, rounds))
+
+    given = [c(x).cast("double") for x in (phi, vol, v, delta)]
+    return F.when(F.forall(F.array(*given), lambda x: x.isNotNull()), root(*given))
 
 
 def conservative(rating, rd) -> Column:
