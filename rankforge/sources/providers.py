@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -106,6 +107,12 @@ def provider_complete(payloads: DataFrame) -> DataFrame:
     return payloads.select("tournament_id", F.coalesce(over, F.lit(False)).alias("complete"))
 
 
+#: Tags with quoted attributes and texts without signs that a parser would read into; tags whose texts are raw.
+PLAIN = re.compile(r'(<(/?)([a-z][a-z0-9]*)((?: [a-z][a-z-]*="[^"&<>]*")*)>|([^<>&\0]+))')
+VALUES = re.compile(r' ([a-z-]+)="([^"]*)"')
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
 class _Rounds(HTMLParser):
     """Collects titles and cells of a bracket's columns."""
 
@@ -114,6 +121,21 @@ class _Rounds(HTMLParser):
         self.stack: list[str] = []
         self.columns: list[dict] = []
 
+    def read(self, html: str) -> list[dict]:
+        """The columns of a page; one of plain tags and texts alone is cut by a pattern, with the same outcome."""
+        tokens = PLAIN.findall(html)
+        if sum(map(len, (t[0] for t in tokens))) < len(html) or not RAW.isdisjoint(t[2] for t in tokens):
+            self.feed(html)
+            return self.columns
+        for whole, end, tag, attrs, text in tokens:
+            if text:
+                self.handle_data(text)
+            elif end:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, VALUES.findall(attrs))
+        return self.columns
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         names = (a.get("class") or "").split()
@@ -153,9 +175,7 @@ def native(pages: DataFrame) -> DataFrame:
         for f in frames:
             out = []
             for t, html in zip(f["tournament_id"], f["html"]):
-                p = _Rounds()
-                p.feed(html or "")
-                rounds = [c for c in p.columns if any(len(m) >= 2 for m in c["matches"])]
+                rounds = [c for c in _Rounds().read(html or "") if any(len(m) >= 2 for m in c["matches"])]
                 kinds = {"Winners Bracket": [], "Losers Bracket": [], "Grand Final": []}
                 for c in rounds:
                     low = c["title"].lower()
