@@ -570,6 +570,6 @@ def drained_revisits(t) -> DataFrame:
     second = posts.filter("sort_time > timestamp '2024-01-01'").select("post_id", F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("reason"), none.alias("sort_time"), F.when(F.col("post_id") % 5 == 0, F.col("sort_time") - F.expr("interval 12 hours")).otherwise(F.col("sort_time") + F.expr("interval 12 hours")).alias("seen"))
     last = posts.agg(F.lit(-1).cast("bigint").alias("post_id")).select("post_id", F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("reason"), none.alias("sort_time"), F.lit("2024-03-20").cast("timestamp").alias("seen"))
     events = first.unionByName(second).filter("seen <= timestamp '2024-03-20'").unionByName(last)
-    events.coalesce(1).write.parquet(f"{place}/posts")
+    events.write.parquet(f"{place}/posts")
     stream = t.spark.readStream.schema("post_id long, status string, reason string, sort_time timestamp, seen timestamp").parquet(f"{place}/posts")
     return ST.drained(ST.revisits(stream)).select("post_id", at("due"))

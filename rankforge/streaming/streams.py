@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -105,32 +105,33 @@ def running_records(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 class Revisit(StatefulProcessor):
-    """A post that was not played yet is due again at its scheduled time, unless it is parsed before."""
+    """A post that was not played yet is due again at its scheduled time, unless it is parsed before; times in ms."""
 
-    SCHEMA = "post_id long, due timestamp"
+    SCHEMA = "post_id long, due long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.due = handle.getValueState("due", "ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for f in sorted((f for f in rows if len(f)), key=lambda f: f["seen"].min()):
-            f = f.sort_values("seen")
-            millis = lambda c: (f[c].to_numpy().astype("datetime64[us]").astype("int64") // 1000).tolist()
-            for status, reason, due, seen in zip(f["status"], f["reason"], millis("sort_time"), millis("seen")):
-                held = self.due.get()[0] if self.due.exists() else None
-                if held is not None and seen < held:  # rescheduled or parsed in time: the old timer is void
-                    self.handle.deleteTimer(held)
-                    self.due.clear()
-                    held = None
-                if held is None and status == "skipped" and reason == "not played":
-                    self.due.update((due,))
-                    self.handle.registerTimer(due)
-        yield pd.DataFrame({"post_id": pd.Series(dtype="int64"), "due": pd.Series(dtype="datetime64[us]")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = before = self.due.get()[0] if self.due.exists() else None
+        for r in sorted(rows, key=lambda r: r["seen_ms"]):
+            if held is not None and r["seen_ms"] < held:  # rescheduled or parsed in time: the old timer is void
+                held = None
+            if held is None and r["status"] == "skipped" and r["reason"] == "not played":
+                held = r["sort_ms"]
+        if held != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+                self.due.clear()
+            if held is not None:
+                self.due.update((held,))
+                self.handle.registerTimer(held)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.due.clear()
-        yield pd.DataFrame({"post_id": [key[0]], "due": pd.to_datetime([expiredTimerInfo.getExpiryTimeInMs()], unit="ms")})
+        yield Row(post_id=key[0], due=expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -143,8 +144,9 @@ def revisits(posts: DataFrame, delay: str = "0 seconds") -> DataFrame:
     moves it. One timer a post, by event time, so that a drained stream gives what a live one gave.
     """
     posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    stream = posts.withWatermark("seen", delay).select("post_id", "status", "reason", F.coalesce("sort_time", "seen").alias("sort_time"), "seen")
-    return stream.groupBy("post_id").transformWithStateInPandas(statefulProcessor=Revisit(), outputStructType=Revisit.SCHEMA, outputMode="Append", timeMode="EventTime")
+    stream = posts.withWatermark("seen", delay).select("post_id", "status", "reason", F.unix_millis(F.coalesce("sort_time", "seen")).alias("sort_ms"), F.unix_millis("seen").alias("seen_ms"), "seen")
+    out = stream.groupBy("post_id").transformWithState(statefulProcessor=Revisit(), outputStructType=Revisit.SCHEMA, outputMode="Append", timeMode="EventTime")
+    return out.select("post_id", F.timestamp_millis("due").alias("due"))
 
 
 def link_embeds(vods: DataFrame, embeds: DataFrame, delay: str = "3 days") -> DataFrame:
