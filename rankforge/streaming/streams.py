@@ -196,7 +196,8 @@ def parse_stream(posts: DataFrame, sink: Callable[[str, DataFrame, int], None],
 
 
 class Silver:
-    """Keyed tables that a stream writes: each in buckets by a hash of its key, of which a batch rewrites those it touches.
+    """Keyed tables that a stream writes: each in buckets by a hash of its key, of which a batch rewrites those it touches,
+    by SHARES tasks each.
 
     A table of SETS or aliases keeps the rows of a page's last batch; a dimension keeps the last value of each column. Both
     are the same however often and in whatever order batches come, and a ledger skips batches that are complete.
@@ -222,7 +223,8 @@ class Silver:
         out = merged(new.drop("_bucket") if held is None else held.filter(F.col("_bucket").isin(touched)).unionByName(new).drop("_bucket")).withColumn("_bucket", bucket)
         if touched:
             out = out if held is None else stored(out)  # read whole before its place is overwritten
-            out.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/{name}")
+            share = F.pmod(F.shiftrightunsigned(F.xxhash64(*keys), 16), F.lit(SHARES))
+            out.repartition("_bucket", share).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/{name}")
         new.unpersist()
 
     def sink(self, name: str, rows: DataFrame, batch: int) -> None:
