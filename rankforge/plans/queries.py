@@ -15,7 +15,7 @@ from rankforge.operators import players as P
 from rankforge.operators import ratings as G
 from rankforge.operators import relational as R
 from rankforge.operators import tournaments as T
-from rankforge.sources.store import stored
+from rankforge.sources.store import stored, stored_in_portions
 from rankforge.tables import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def at(col: str, alias: str | None = None):
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias(alias or col)
 
 
+def in_portions(t: Tables, df: DataFrame) -> DataFrame:
+    """df, worked out by tasks as many as the matches need."""
+    return stored_in_portions(df, t.base("orders").count())
+
+
 def num(col, digits: int = 4, alias: str | None = None):
     out = F.round(F.col(col) if isinstance(col, str) else col, digits)
     return out.alias(alias or col) if isinstance(alias or col, str) else out
@@ -421,7 +426,7 @@ query("t8_player_stats", f"select a.tournament_id, a.player_id, wins, losses, ma
     lambda t: T.player_stats(t.matches, t.match_maps).select("tournament_id", "player_id", "wins", "losses", "map_wins", "map_losses", "frags", "deaths")
 )
 query("t9_rating_deltas", f"select tournament_id, player_id, rating_system, max_by(rating, (h.played_at, h.match_id)) - coalesce(max_by(rating, (h.played_at, h.match_id)) filter (where h.played_at < lo), min_by(rating, (h.played_at, h.match_id)) filter (where h.played_at >= lo)) as delta from (select distinct tournament_id, player_id from {SIDES} s where tournament_id is not null) p join (select tournament_id, min(played_at) as lo, max(played_at) as hi from matches group by 1) w using (tournament_id) join (select * from rating_history where game_id = 0) h using (player_id) where h.played_at <= hi group by 1, 2, 3")(
-    lambda t: T.rating_deltas(t.tournaments, t.matches, t.rating_history).select("tournament_id", "player_id", "rating_system", "delta")
+    lambda t: in_portions(t, T.rating_deltas(t.tournaments, t.matches, t.rating_history).select("tournament_id", "player_id", "rating_system", "delta"))
 )
 query("t10_played_maps", "select m.tournament_id, mm.map_id, count(*) as times, coalesce(x.name, 'Unknown') as name from matches m join match_maps mm using (match_id) left join maps x on x.map_id = mm.map_id where m.tournament_id is not null and mm.map_id is not null group by 1, 2, 4")(lambda t: T.played_maps(t.matches, t.match_maps, t.maps))
 query("t11_maplist", "select t.tournament_id, array_to_string(list_distinct_ordered || coalesce(extra, []), ',') as maplist from (select tournament_id, [x for x, i in string_split(maplist_csv, ',') if list_position(string_split(maplist_csv, ','), x) = i] as list_distinct_ordered, string_split(maplist_csv, ',') as l from tournaments) t left join (select m.tournament_id, list(distinct coalesce(x.name, 'Unknown') order by coalesce(x.name, 'Unknown')) as extra from matches m join match_maps mm using (match_id) left join maps x on x.map_id = mm.map_id where mm.map_id is not null group by 1) e using (tournament_id)")(
@@ -442,8 +447,11 @@ query(
   left join delta e on e.tournament_id = s.tournament_id and e.player_id = s.player_id and e.rating_system = 'elo' left join delta g on g.tournament_id = s.tournament_id and g.player_id = s.player_id and g.rating_system = 'glicko2')
  select *, coalesce(bool_or(coalesce(wins, 0) <> 0 or coalesce(losses, 0) <> 0) over (partition by tournament_id), false) as has_matches from seats""",
 )(
-    lambda t: T.enriched_standings(t.tournaments, t.players, T.player_stats(t.matches, t.match_maps), T.rating_deltas(t.tournaments, t.matches, t.rating_history), R.participants(t.matches)).select(
-        "tournament_id", "position", "player_id", "country", "unknown", "wins", "losses", num("elo_delta"), num("glicko2_delta"), "has_matches"
+    lambda t: in_portions(
+        t,
+        T.enriched_standings(t.tournaments, t.players, T.player_stats(t.matches, t.match_maps), T.rating_deltas(t.tournaments, t.matches, t.rating_history), R.participants(t.matches)).select(
+            "tournament_id", "position", "player_id", "country", "unknown", "wins", "losses", num("elo_delta"), num("glicko2_delta"), "has_matches"
+        ),
     )
 )
 query("t13_winners", f"select tournament_id, player_id, count(*) as matches, count(*) filter (where winner_id = player_id) as wins from {SIDES} s where tournament_id is not null group by 1, 2")(lambda t: T.winners(t.matches))

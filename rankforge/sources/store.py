@@ -32,6 +32,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of input for each partition of a shuffle, and bytes of files and shuffles that a task takes.
+ROWS, BYTES = 50_000, 16 << 20
+
+
+def stored_in_portions(df: DataFrame, rows: int) -> DataFrame:
+    """stored, worked out by so many tasks as rows of input need, so that what a task sorts and holds does not grow with them.
+
+    Small inputs keep the session's settings; for larger ones they are changed while df is written.
+    """
+    spark = df.sparkSession
+    need = -(-rows // ROWS)
+    if need <= spark.sparkContext.defaultParallelism:
+        return stored(df)
+    shuffles, *sizes = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    before = {c: spark.conf.get(c) for c in (shuffles, *sizes)}
+    try:
+        spark.conf.set(shuffles, str(max(need, int(before[shuffles]))))
+        for c in sizes:
+            spark.conf.set(c, f"{BYTES}b")
+        return stored(df)
+    finally:
+        for c, was in before.items():
+            spark.conf.set(c, was)
+
+
 def append(df: DataFrame, folder: str, name: str, partition_by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/{name}")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import scalars as S
 from rankforge.plans import pages as P
+from rankforge.plans import queries as Q
 from rankforge.sources import extract as E
 from rankforge.sources import providers as PV
+from rankforge.sources import store
 from rankforge.streaming import streams as ST
 from rankforge.tables import Tables
 
@@ -53,6 +55,19 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert sorted(r["post_id"] for r in silver.table("t").collect()) == list(range(400))
 
 
+@pytest.mark.parametrize("name", ["t9_rating_deltas", "t12_standings"])
+def test_rating_changes_take_more_tasks_as_matches_grow(spark, monkeypatch, name):
+    """1500 matches; a task gets 100 of them, and the session has its settings again."""
+    conf, seen, inner = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"), [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df: seen.append([spark.conf.get(c) for c in conf]) or inner(df))
+    own = [spark.conf.get(c) for c in conf]
+    plain = sorted(map(repr, Q.QUERIES[name](spark, DIR).collect()))
+    monkeypatch.setattr(store, "ROWS", 100)
+    assert sorted(map(repr, Q.QUERIES[name](spark, DIR).collect())) == plain
+    assert seen == [own, ["15", f"{store.BYTES}b", f"{store.BYTES}b"]]
+    assert [spark.conf.get(c) for c in conf] == own
+
+
 class Held:
     def __init__(self):
         self.value, self.timers, self.calls = None, set(), 0
