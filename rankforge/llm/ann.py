@@ -18,8 +18,10 @@ NEIGHBOURS, SLACK = 10, 1.1
 MOVES, HIDDEN, STEPS, BATCH, RATE = 12, 64, 1500, 256, 0.01
 #: Queries are routed to as many parts as give this recall on the sample.
 RECALL = 0.95
-#: Vectors and queries in a block.
-BLOCK = 2048
+#: Candidates, and queries, of a tile: a quarter of a core's share of the vectors, but no fewer than BLOCK and no more numbers than TILE.
+BLOCK, TILE = 2048, 1 << 22
+#: Scores that a task holds at once, and tasks that tiles are dealt to at most.
+SCORES, MOST_TASKS = 1 << 22, 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -114,14 +116,14 @@ def train(x: np.ndarray, target: np.ndarray) -> dict:
     return net
 
 
-def fit(rows: DataFrame, nearest: int) -> dict | None:
+def fit(rows: DataFrame, count: int, nearest: int) -> dict | None:
     """The router: a classifier of vectors into parts and the number of parts to search; None for fewer than ten vectors a part.
 
     Fitted on at most SAMPLE vectors, which alone reach the driver. Four fifths are partitioned and trained on;
     the others are queries against those, and the parts searched grow until they find RECALL of the nearest.
     """
     got = rows.orderBy(F.xxhash64(F.lit(23), "vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    parts = int(min(MOST, max(FEWEST, -(-rows.count() // PART_ROWS))))
+    parts = int(min(MOST, max(FEWEST, -(-count // PART_ROWS))))
     if len(got) < 10 * parts:
         return None  # one part holds them all, and it is searched whole
     x = unit(got.values.to_numpy().reshape(len(got), -1))
@@ -145,9 +147,9 @@ def fit(rows: DataFrame, nearest: int) -> dict | None:
 
 
 def routed(rows: DataFrame, router: dict | None, probes: bool) -> DataFrame:
-    """(vec_id, v, part): each row once in its likeliest part, or once in each of the parts to search."""
+    """(vec_id, v, parts): each row with its likeliest part, or with the parts to search."""
     if router is None:
-        return rows.withColumn("part", F.lit(0))
+        return rows.withColumn("parts", F.array(F.lit(0)))
     shared = rows.sparkSession.sparkContext.broadcast(router)
 
     def task(batches):
@@ -157,18 +159,28 @@ def routed(rows: DataFrame, router: dict | None, probes: bool) -> DataFrame:
                 v = batch.column("v")
                 x = unit(v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
                 top = np.argsort(-forward(net, x), axis=1, kind="stable")[:, :k]
-                again = pa.array(np.repeat(np.arange(batch.num_rows), k))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(again), v.take(again), pa.array(top.ravel().astype(np.int32))], ["vec_id", "v", "part"])
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, top.shape[1], dtype=np.int32)), pa.array(top.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), v, parts], ["vec_id", "v", "parts"])
 
-    return rows.mapInArrow(task, "vec_id long, v array<double>, part int")
+    return rows.mapInArrow(task, "vec_id long, v array<double>, parts array<int>")
 
 
-def blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of a part packed into blocks of about BLOCK vectors by keyed hash, however many a part has."""
-    counts = {r["part"]: -(-r["count"] // BLOCK) for r in rows.groupBy("part").count().collect()}  # a row a part
-    n = F.coalesce(*[F.when(F.col("part") == p, F.lit(k)) for p, k in counts.items()], F.lit(1))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(31), "vec_id"), n))
-    return dealt.groupBy("part", "block").agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v")).drop("block")
+def tiles(base: DataFrame, asked: DataFrame, side: int, tasks: int) -> DataFrame:
+    """(part, b, q, asks, vec_id, v): candidates and queries (asks) of a part in tiles of about side of each, by keyed hash.
+
+    A vector is copied once for each side vectors of the other kind in its part. Tiles are dealt to at least so many
+    tasks, each tile whole and its candidates first.
+    """
+    base, asked = [rows.select("vec_id", "v", F.explode("parts").alias("part")) for rows in (base, asked)]
+    high, wide = [{r["part"]: -(-r["count"] // side) for r in rows.groupBy("part").count().collect()} for rows in (base, asked)]  # a row a part
+    both = [p for p in high if p in wide]
+    of = lambda n: F.coalesce(*[F.when(F.col("part") == p, F.lit(n[p])) for p in both], F.lit(1))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(31), "vec_id"), of(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
+    dealt = lambda rows, b, q, asks: rows.filter(F.col("part").isin(both)).select("part", b.alias("b"), q.alias("q"), F.lit(asks).alias("asks"), "vec_id", "v")
+    rows = dealt(base, own(high), each(wide), False).unionByName(dealt(asked, each(high), own(wide), True))
+    number = max(tasks, min(MOST_TASKS, sum(high[p] * wide[p] for p in both)))
+    return rows.repartition(number, "part", "b", "q").sortWithinPartitions("part", "b", "q", "asks")
 
 
 def best_of(query_ids, query, ids, base, k):
@@ -178,18 +190,19 @@ def best_of(query_ids, query, ids, base, k):
     that a pair has one score wherever it is met.
     """
     qn, bn = np.sqrt((query * query).sum(axis=1)), np.sqrt((base * base).sum(axis=1))
-    s = (query / qn[:, None]) @ (base / bn[:, None]).T
-    s[query_ids[:, None] == ids[None, :]] = -np.inf
-    out = []
-    for q in range(len(query)):
-        row = s[q]
-        m = min(k, int(np.isfinite(row).sum()))
-        if m:
-            least = np.partition(row, -m)[-m]
-            near = np.flatnonzero((row >= least - 1e-9) & np.isfinite(row))
-            exact = (base[near] * query[q]).sum(axis=1) / (bn[near] * qn[q])
-            first = np.lexsort((ids[near], -exact))[:m]
-            out.append((np.full(m, query_ids[q]), ids[near][first], exact[first]))
+    query_unit, base_unit = query / qn[:, None], (base / bn[:, None]).T
+    out, step = [], max(1, SCORES // len(base))
+    for begin in range(0, len(query), step):
+        s = query_unit[begin : begin + step] @ base_unit
+        s[query_ids[begin : begin + step, None] == ids[None, :]] = -np.inf
+        for q, row in enumerate(s, begin):
+            m = min(k, int(np.isfinite(row).sum()))
+            if m:
+                least = np.partition(row, -m)[-m]
+                near = np.flatnonzero((row >= least - 1e-9) & np.isfinite(row))
+                exact = (base[near] * query[q]).sum(axis=1) / (bn[near] * qn[q])
+                first = np.lexsort((ids[near], -exact))[:m]
+                out.append((np.full(m, query_ids[q]), ids[near][first], exact[first]))
     return [np.concatenate(c) for c in zip(*out)] if out else None
 
 
@@ -205,23 +218,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     top = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     length = F.size("v") == (top["n"] if top else 0)  # of vectors and queries alike
     rows = materialize(fine.filter(length))
-    router = fit(rows, k)
+    count = rows.count()
+    router = fit(rows, count, k)
     base = materialize(routed(rows, router, False))
     asked = materialize(routed(usable(queries).filter(length), router, True))
     discard(rows)
-    pairs = blocks(base, "b").join(blocks(asked, "q"), "part")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    side = max(1, min(TILE // max(1, top["n"] if top else 1), max(BLOCK, count // (4 * cores))))
 
     def task(batches):
+        tile, held, base = None, [], None
         for batch in batches:
-            for row in range(batch.num_rows):
-                own = {n: batch.column(n)[row].values.to_numpy(zero_copy_only=False) for n in ("q_ids", "q_v", "b_ids", "b_v")}
-                got = best_of(own["q_ids"], own["q_v"].reshape(len(own["q_ids"]), -1), own["b_ids"], own["b_v"].reshape(len(own["b_ids"]), -1), k)
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy() for c in ("part", "b", "q")], axis=1)
+            asks, ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "vec_id")]
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if tile != tuple(at[i]):
+                    tile, held, base = tuple(at[i]), [], None
+                if not asks[i]:
+                    held.append((ids[i:j], v[i:j]))
+                    continue
+                if held:
+                    base, held = [np.concatenate(c) for c in zip(*held)], []
+                got = best_of(ids[i:j], v[i:j], *base, k) if base else None
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    spark = vectors.sparkSession
-    tasks = max(8, spark.sparkContext.defaultParallelism * 2)
-    near = pairs.repartition(tasks).mapInArrow(task, "query_id long, vec_id long, score double")
+    near = tiles(base, asked, side, max(8, cores * 2)).mapInArrow(task, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

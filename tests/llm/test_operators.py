@@ -807,6 +807,26 @@ def test_ann_takes_one_length_for_vectors_and_queries(spark):
     assert {r["query_id"] for r in ann.search(df, df.filter("vec_id % 10 = 0")).collect()} == {10, 20, 30}
 
 
+def test_ann_sends_no_vectors_to_every_executor(spark):
+    """Stored queries are small, as their copies compress well, but blocks of them are not."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    assert "Broadcast" not in ann.search(df, df.filter("vec_id % 10 = 0"))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [40, 500])
+def test_ann_tiles_find_what_whole_parts_find(spark, monkeypatch, n):
+    """Parts of several tiles, repeated vectors and ids among them."""
+    rng = np.random.default_rng(n)
+    v = [(i, [float(x) for x in rng.integers(-3, 4, size=8)]) for i in range(n)]
+    df = spark.createDataFrame([*v, *[(n + i, v[i][1]) for i in range(10)], v[3], v[20]], "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(ann.search(df, df.filter("vec_id % 5 = 0")).collect())
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "TILE", 7 * 8)
+    monkeypatch.setattr(ann, "SCORES", 20)
+    assert sorted(ann.search(df, df.filter("vec_id % 5 = 0")).collect()) == whole and len(whole) >= 5 * (n // 5)
+
+
 # --- 10 secrets -------------------------------------------------------------------------------------
 
 
