@@ -179,7 +179,7 @@ def matches(pages: DataFrame) -> DataFrame:
         x = x.withColumns({"about": titled(F.col("area"), "Description"), "players": player_blocks(F.col("area")), "results": result_cells(F.col("area"))})
     x = x.withColumnsRenamed({"area": "c", "players": "b", "results": "r"})
     c = F.col("c")
-    x = x.withColumns({"cup": titled(c, "Tournament"), "day": titled(c, "Date"), "links": parts(c, 'href="/player/')})
+    x = x.withColumns({"cup": titled(c, "Tournament"), "day": titled(c, "Date"), "links": F.transform(parts(c, 'href="/player/'), lambda p: before(p, '"'))})
     won = lambda i: F.col("r")[i]["won"]
     marker = F.when(won(0) & ~won(1), 1).when(won(1) & ~won(0), 2).otherwise(0)
     block = lambda i: F.col("b")[i]
@@ -188,7 +188,7 @@ def matches(pages: DataFrame) -> DataFrame:
     x = x.withColumns({"p1": number(link(block(0), "player")[0], "long"), "p2": number(link(block(1), "player")[0], "long")})
     winner, s1, s2 = decide_winner(marker, F.col("p1"), F.col("p2"), F.col("r")[0]["score"], F.col("r")[1]["score"])
     icon = number(before(after(c, 'class="pfcat pfcat-'), '"'))
-    linked = F.filter(F.transform("links", lambda p: number(F.get(F.split(before(p, '"'), "/"), F.lit(2)))), lambda v: v > 0)
+    linked = F.filter(F.transform("links", lambda p: number(F.get(F.split(p, "/"), F.lit(2)))), lambda v: v > 0)
     text = lambda col, i: F.get(F.col(col), F.lit(i))
     section = after(c, f"{TITLE}Tournament</div>")
     return x.select(

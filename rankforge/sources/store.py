@@ -24,12 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Writer's options for tables of long values: a page of the file is closed by its size after any row, not after a hundred at
+#: least. Readers and writers hold a page whole, outside the heap too.
+LONG_VALUES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.check.estimate": "false"}
+
+
+def stored(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options or {}).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of input for each partition of a shuffle, and bytes of files and shuffles that a task takes.

@@ -15,7 +15,7 @@ from rankforge.functions import scalars as S
 from rankforge.functions.scalars import base_k
 from rankforge.operators import ratings as G
 from rankforge.sources import extract
-from rankforge.sources.store import SHARES, shared_folder, stored
+from rankforge.sources.store import LONG_VALUES, SHARES, discard, shared_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -170,34 +170,54 @@ SETS: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] = {
 DIMENSIONS = {"players": (["player_id"], ["name", "country"]), "games": (["game_id"], ["name"]), "maps": (["map_id"], ["name", "image"]), "tournaments": (["tournament_id"], extract.TOURNAMENT_COLUMNS)}
 
 
-def parse_stream(posts: DataFrame, sink: Callable[[str, DataFrame, int], None], checkpoint: str):
+def parse_stream(posts: DataFrame, sink: Callable[[str, DataFrame, int], None], checkpoint: str, skipped: Callable[[int], bool] = lambda batch: False):
     """Parses each micro-batch of pages into tables; sink(name, rows, batch) must be keyed, so that a batch that
-    runs again changes nothing. Dimension rows carry a version of each column; aliases are rows a match."""
+    runs again changes nothing. Dimension rows carry a version of each column; aliases are rows a match.
+
+    Pages and what is read from them are kept as files, not in executors' memory, and go when the batch has ended; a
+    sink may read its rows several times. Batches that are skipped are not parsed. Files are read row by row, in the stream's own session: some thousand pages
+    at once are much where pages are long."""
 
     def batch(df: DataFrame, number: int) -> None:
-        pages = extract.classified(df).persist()
+        if skipped(number):
+            return
+        df.sparkSession.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
+        kept = []
+
+        def keep(rows: DataFrame) -> DataFrame:
+            kept.append(stored(rows, LONG_VALUES))
+            return kept[-1]
+
         try:
-            read = {name: of(pages) for name, (of, _) in SETS.items()}
-            read["matches"] = read["matches"].persist()
+            pages = keep(extract.classified(df))
+            read = {name: of(pages) if name == "raw_posts" else keep(of(pages)) for name, (of, _) in SETS.items()}
             for name, rows in read.items():
                 sink(name, rows, number)
             matches = read["matches"]
-            own = extract.tournaments(pages, matches.select("game_id", F.col("game_name").alias("name")).limit(0)).persist()
+            own = keep(extract.tournaments(pages, matches.select("game_id", F.col("game_name").alias("name")).limit(0)))
             facts = {"players": extract.player_facts(matches), "games": extract.game_facts(matches), "maps": extract.map_facts(read["match_maps"], matches), "tournaments": extract.tournament_facts(matches, own)}
             for name, rows in facts.items():
-                sink(name, extract.latest_columns(rows, *DIMENSIONS[name]), number)
+                sink(name, keep(extract.latest_columns(rows, *DIMENSIONS[name])), number)
             sink("aliases", extract.player_facts(matches).select(F.col("at.match_id").alias("match_id"), "player_id", "name"), number)
-            matches.unpersist()
-            own.unpersist()
         finally:
-            pages.unpersist()
+            discard(*kept)
 
     return posts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each page's last _batch, equal ones once: told by a hash, so that pages are neither sorted by nor grouped by their text.
+
+    rows are dealt by _bucket and _share and so stay where they are, and come out in order of _bucket.
+    """
+    page = Window.partitionBy("_bucket", "_share", *keys).orderBy(F.desc("_batch"), "_row")
+    marked = rows.withColumn("_row", F.xxhash64(*rows.columns)).withColumns({"_last": F.first("_batch").over(page), "_before": F.lag("_row").over(page)})
+    return marked.filter("_batch = _last and (_before is null or _before <> _row)").drop("_row", "_last", "_before")
+
+
 class Silver:
     """Keyed tables that a stream writes: each in buckets by a hash of its key, of which a batch rewrites those it touches,
-    by SHARES tasks each.
+    by at least SHARES tasks each.
 
     A table of SETS or aliases keeps the rows of a page's last batch; a dimension keeps the last value of each column. Both
     are the same however often and in whatever order batches come, and a ledger skips batches that are complete.
@@ -206,9 +226,9 @@ class Silver:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 8):
         self.spark, self.folder, self.buckets = spark, folder, buckets
 
-    def table(self, name: str) -> DataFrame | None:
+    def table(self, name: str, spark: SparkSession | None = None) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
+            return (spark or self.spark).read.parquet(f"{self.folder}/{name}")
         except AnalysisException:
             return None  # nothing was written yet
 
@@ -217,15 +237,19 @@ class Silver:
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], merged: Callable[[DataFrame], DataFrame]) -> None:
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        new = rows.withColumn("_bucket", bucket).persist()
-        touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most buckets
-        held = self.table(name) if touched else None
-        out = merged(new.drop("_bucket") if held is None else held.filter(F.col("_bucket").isin(touched)).unionByName(new).drop("_bucket")).withColumn("_bucket", bucket)
-        if touched:
-            out = out if held is None else stored(out)  # read whole before its place is overwritten
-            share = F.pmod(F.shiftrightunsigned(F.xxhash64(*keys), 16), F.lit(SHARES))
-            out.repartition("_bucket", share).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/{name}")
-        new.unpersist()
+        touched = [r[0] for r in rows.select(bucket.alias("_bucket")).distinct().collect()]  # at most buckets
+        if not touched:
+            return
+        held = self.table(name, rows.sparkSession)
+        both = rows if held is None else held.filter(F.col("_bucket").isin(touched)).drop("_bucket").unionByName(rows)
+        shares = max(SHARES, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        share = F.pmod(F.shiftrightunsigned(F.xxhash64(*keys), 16), F.lit(shares))
+        out = merged(both.withColumns({"_bucket": bucket, "_share": share}).repartition("_bucket", "_share")).drop("_share")
+        out = out if "_bucket" in out.columns else out.withColumn("_bucket", bucket)
+        kept = None if held is None else stored(out, LONG_VALUES)  # read whole before its place is overwritten
+        (out if kept is None else kept).write.mode("overwrite").options(**LONG_VALUES).option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/{name}")
+        if kept is not None:
+            discard(kept)
 
     def sink(self, name: str, rows: DataFrame, batch: int) -> None:
         if name in DIMENSIONS:
@@ -233,9 +257,7 @@ class Silver:
             self.upsert(name, rows, keys, lambda both: extract.latest_columns(both, keys, columns))
         else:
             keys = SETS[name][1] if name in SETS else ["match_id"]
-            page = Window.partitionBy(*keys)
-            newest = lambda both: both.withColumn("_last", F.max("_batch").over(page)).filter("_batch = _last").drop("_last").distinct()
-            self.upsert(name, rows.withColumn("_batch", F.lit(batch).cast("long")), keys, newest)
+            self.upsert(name, rows.withColumn("_batch", F.lit(batch).cast("long")), keys, lambda both: newest(both, keys))
 
     def done(self, stream: str, batch: int) -> bool:
         ledger = self.table("batches")
@@ -244,18 +266,14 @@ class Silver:
     def follow(self, posts: DataFrame, stream: str, checkpoint: str, again: bool = False):
         """Parses a stream of pages into the tables. again: batches in the ledger run once more."""
         names = [*SETS, *DIMENSIONS, "aliases"]
-        skipped: dict[int, bool] = {}
 
         def sink(name: str, rows: DataFrame, batch: int) -> None:
-            if batch not in skipped:
-                skipped[batch] = not again and self.done(stream, batch)
-            if not skipped[batch]:
-                self.sink(name, rows, batch)
-                if name == names[-1]:
-                    mark = self.spark.createDataFrame([(stream, batch)], "stream string, batch long")
-                    self.upsert("batches", mark, ["stream", "batch"], lambda both: both.distinct())
-
-        return parse_stream(posts, sink, checkpoint)
+            self.sink(name, rows, batch)
+            if name == names[-1]:
+                mark = self.spark.createDataFrame([(stream, batch)], "stream string, batch long")
+                self.upsert("batches", mark, ["stream", "batch"], lambda both: both.distinct())
+
+        return parse_stream(posts, sink, checkpoint, lambda batch: not again and self.done(stream, batch))
 
 
 class Ratings:

@@ -1,5 +1,7 @@
 """Steps whose work must not pile up in one task or be done over again as tables grow."""
 
+import os
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -55,6 +57,30 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert sorted(r["post_id"] for r in silver.table("t").collect()) == list(range(400))
 
 
+def test_pages_of_a_batch_are_not_held_in_memory(spark, tmp_path):
+    """Nor are their files kept when the batch has ended."""
+    spark.range(40).selectExpr("id as post_id", "concat('<title>', repeat('x', 5000), id, '</title>') as raw_html").write.parquet(str(tmp_path / "in"))
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+    before, seen, folders = held(), {}, []
+
+    def sink(name, rows, batch):
+        seen[name] = rows.count()
+        assert held() <= before
+        folders.extend(f for f in rows.inputFiles() if f not in folders)
+
+    ST.parse_stream(spark.readStream.schema("post_id long, raw_html string").parquet(str(tmp_path / "in")), sink, str(tmp_path / "state")).awaitTermination()
+    assert seen["raw_posts"] == 40 and len(seen) == len(ST.SETS) + len(ST.DIMENSIONS) + 1
+    assert folders and not [f for f in folders if os.path.exists(f.removeprefix("file://"))]
+
+
+def test_a_page_keeps_its_last_batch_by_one_shuffle(spark, tmp_path):
+    rows = [(1, "a", 0), (1, "b", 0), (1, "a", 0), (2, "c", 0), (1, "d", 1), (1, "d", 1), (1, "e", 1), (3, None, 2), (3, None, 2), (2, "c", 0)]
+    dealt = spark.createDataFrame(rows, "post_id long, raw_html string, _batch long").withColumns({"_bucket": F.col("post_id") % 2, "_share": F.col("post_id") % 3}).repartition("_bucket", "_share")
+    out = ST.newest(dealt, ["post_id"])
+    assert sorted((r["post_id"], str(r["raw_html"])) for r in out.collect()) == [(1, "d"), (1, "e"), (2, "c"), (3, "None")]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hash") == 1
+
+
 @pytest.mark.parametrize("name", ["t9_rating_deltas", "t12_standings"])
 def test_rating_changes_take_more_tasks_as_matches_grow(spark, monkeypatch, name):
     """1500 matches; a task gets 100 of them, and the session has its settings again."""
